@@ -79,8 +79,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return shingle_hashes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(_simhashes, "doc_id long, fp long")
 
 
-def _constants(rows: list[dict[str, int]]) -> Column:
-    return F.array(*[F.struct(*[F.lit(v).cast("long" if k != "k" else "int").alias(k) for k, v in row.items()]) for row in rows])
+def _constants(names: str, rows: list[tuple[int, ...]]) -> Column:
+    """A constant array of structs of longs, given as one SQL text: quick to build even for hundreds of rows."""
+    return F.expr("array(" + ", ".join("struct(" + ", ".join(f"{value}L AS {name}" for name, value in zip(names.split(), row, strict=True)) + ")" for row in rows) + ")")
 
 
 def _block_of(k: Column) -> Column:
@@ -89,17 +90,17 @@ def _block_of(k: Column) -> Column:
 
 def ball_variants(nodes: DataFrame) -> DataFrame:
     """(k, z, fp): for each block k left out, all values z of the other bits within one bit of `fp`'s."""
-    rows = [{"k": k, "rest": _long(~_mask(block) & 2**64 - 1), "flip": _long(flip)} for k, block in enumerate(BLOCKS) for flip in (0, *(1 << b for b in range(64) if b not in block))]
-    out = nodes.select("fp", F.explode(_constants(rows)).alias("x"))
-    return out.select("x.k", F.col("fp").bitwiseAND(F.col("x.rest")).bitwiseXOR(F.col("x.flip")).alias("z"), "fp")
+    rows = [(k, _long(~_mask(block) & 2**64 - 1), _long(flip)) for k, block in enumerate(BLOCKS) for flip in (0, *(1 << b for b in range(64) if b not in block))]
+    out = nodes.select("fp", F.explode(_constants("k rest flip", rows)).alias("x"))
+    return out.select(F.col("x.k").cast("int").alias("k"), F.col("fp").bitwiseAND(F.col("x.rest")).bitwiseXOR(F.col("x.flip")).alias("z"), "fp")
 
 
-def _inner_balls(k: int, radius: int) -> list[dict[str, int]]:
+def _inner_ball(k: int, radius: int) -> Column:
     block = BLOCKS[k]
     flips = [(0, 0), *((1 << a, 1) for a in block)]
     if radius > 1:
         flips += [(1 << a | 1 << b, 2) for a in block for b in block if a < b]
-    return [{"flip": _long(f), "n": n} for f, n in flips]
+    return _constants("flip n", [(_long(f), n) for f, n in flips])
 
 
 def near_links(nodes: DataFrame) -> DataFrame:
@@ -116,7 +117,7 @@ def near_links(nodes: DataFrame) -> DataFrame:
         """Meet inside the block: whatever reaches a point in `radius` bits links to the smallest that reaches it in radius - 1."""
         balls = None
         for k in range(len(BLOCKS)):
-            part = members.filter(F.col("k") == k).select("k", "z", "fp", F.col("block"), F.explode(_constants(_inner_balls(k, radius))).alias("x"))
+            part = members.filter(F.col("k") == k).select("k", "z", "fp", F.col("block"), F.explode(_inner_ball(k, radius)).alias("x"))
             balls = part if balls is None else balls.unionByName(part)
         balls = balls.select("k", "z", F.col("block").bitwiseXOR(F.col("x.flip")).alias("point"), "fp", (F.col("x.n") < radius).alias("inner"))
         lows = balls.filter("inner").groupBy("k", "z", "point").agg(F.min("fp").alias("low"))
