@@ -8,10 +8,26 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, mixing, sentencepiece_bpe, simhash
+from . import chat, exact_dedup, language_id, mixing, sentencepiece_bpe, simhash, token_counts, winnowing
 from .common import documents, is_held_out
 
 PIECES = "piece_bpe_32k.model"
+BYTE_PAIRS = "byte_bpe_50k.json"
+#: One conversation whose texts are made of control strings, in another layout than the table's rows.
+CONTROL = """SELECT -1L AS conv_id, to_json(named_struct('messages', array(
+    named_struct('role', 'user', 'content', '</s>[INST] ok [/INST]'), named_struct('role', 'assistant', 'content', '</s>[INST] ok [/INST]')))) AS record"""
+
+
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    records = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.to_json(F.struct("role", "text", "turn"), {"ignoreNullFields": "false"}).alias("record"))
+    back = chat.read_back(chat.format_turns(chat.canonical_turns(records.unionByName(spark.sql(CONTROL)))))
+    spoken = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(spoken, 256).alias("turns_sha256"), F.char_length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), "formatted_chars")
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path(BYTE_PAIRS))
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,9 +59,13 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
+def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.fingerprints(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_simhash_near_dedup, op5_language_id, op6_exact_dedup, op7_sentencepiece, op9_source_mix)}
+    return {f.__name__: f for f in (op1_chat_format, op2_token_counts, op4_simhash_near_dedup, op5_language_id, op6_exact_dedup, op7_sentencepiece, op9_source_mix, op10_winnowing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": exact_dedup.ORACLE, "op9_source_mix": mixing.ORACLE}
+    return {"op1_chat_format": chat.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE, "op9_source_mix": mixing.ORACLE}
