@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, language_id, mixing, sentencepiece_bpe, simhash, token_counts, winnowing
+from . import chat, exact_dedup, katz, language_id, mixing, sentencepiece_bpe, simhash, token_counts, winnowing
 from .common import documents, is_held_out
 
 PIECES = "piece_bpe_32k.model"
@@ -55,6 +55,10 @@ def digests(decoded: DataFrame) -> DataFrame:
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(documents(spark, sf_dir))
+
+
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
@@ -64,7 +68,7 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op2_token_counts, op4_simhash_near_dedup, op5_language_id, op6_exact_dedup, op7_sentencepiece, op9_source_mix, op10_winnowing)}
+    return {f.__name__: f for f in (op1_chat_format, op2_token_counts, op4_simhash_near_dedup, op5_language_id, op6_exact_dedup, op7_sentencepiece, op8_lm_score, op9_source_mix, op10_winnowing)}
 
 
 def oracle_sql() -> dict[str, str]:
