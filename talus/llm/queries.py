@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, katz, language_id, mixing, sentencepiece_bpe, simhash, token_counts, winnowing
+from . import chat, exact_dedup, katz, language_id, license_scan, mixing, sentencepiece_bpe, simhash, token_counts, winnowing
 from .common import documents, is_held_out
 
 PIECES = "piece_bpe_32k.model"
@@ -30,6 +30,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path(BYTE_PAIRS))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(documents(spark, sf_dir))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
@@ -68,7 +72,7 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op2_token_counts, op4_simhash_near_dedup, op5_language_id, op6_exact_dedup, op7_sentencepiece, op8_lm_score, op9_source_mix, op10_winnowing)}
+    return {f.__name__: f for f in (op1_chat_format, op2_token_counts, op3_license_scan, op4_simhash_near_dedup, op5_language_id, op6_exact_dedup, op7_sentencepiece, op8_lm_score, op9_source_mix, op10_winnowing)}
 
 
 def oracle_sql() -> dict[str, str]:
