@@ -54,7 +54,7 @@ def health(docs: DataFrame, edges: DataFrame, stale_before: dt.datetime) -> Data
 def totals(docs: DataFrame, edges: DataFrame) -> DataFrame:
     """One row: live documents, collections, content types, links."""
     alive = live(docs)
-    return alive.agg(F.count("*").alias("docs"), F.countDistinct("collection").alias("collections"), F.countDistinct("content_type").alias("content_types")).join(F.broadcast(edges.agg(F.count("*").alias("links"))), F.lit(1) == F.lit(1))
+    return alive.agg(F.count("*").alias("docs"), F.countDistinct("collection").alias("collections"), F.countDistinct("content_type").alias("content_types")).withColumn("links", edges.agg(F.count("*")).scalar())
 
 
 def gaps(docs: DataFrame, manifest: DataFrame, expected: str = "chunk_count") -> DataFrame:

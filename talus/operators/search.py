@@ -81,7 +81,8 @@ def nearest(queries: DataFrame, chunks: DataFrame, k: int = 10, **options) -> Da
 def text_matches(docs: DataFrame, query: str, key: str = "id", text: str = "text", gate: float = GATE) -> DataFrame:
     """Keys of texts that have all content words of the query, or for each of them a word of similar spelling.
 
-    Spelling is compared on the distinct words of the corpus, by the trigrams of each word, and joined back. A query of
+    Spelling is compared on the distinct words of the corpus and joined back: a share `gate` of the asked word's trigrams
+    must occur in the word. A query of
     stopwords alone matches nothing.
     """
     spark = docs.sparkSession
@@ -92,8 +93,8 @@ def text_matches(docs: DataFrame, query: str, key: str = "id", text: str = "text
     words = docs.select(key, F.explode(F.array_distinct(X.tokens(F.col(text)))).alias("word"))
     grams = words.select("word").distinct().withColumn("grams", X.trigrams(F.col("word")))
     # Words that share a trigram with an asked word, so that no pair without one is made.
-    shared = grams.withColumn("g", F.explode("grams")).join(F.broadcast(asked.withColumn("g", F.explode("asked_grams"))), "g").groupBy("word", "asked").agg(F.count("*").alias("n"), F.first(F.size("grams")).alias("a"), F.first(F.size("asked_grams")).alias("b"))
-    alike = shared.filter(F.col("n") / (F.col("a") + F.col("b") - F.col("n")) >= gate).select("word", "asked")
+    shared = grams.withColumn("g", F.explode("grams")).join(F.broadcast(asked.withColumn("g", F.explode("asked_grams"))), "g").groupBy("word", "asked").agg(F.count("*").alias("n"), F.first(F.size("asked_grams")).alias("of"))
+    alike = shared.filter(F.col("n") / F.col("of") >= gate).select("word", "asked")
     return words.join(alike, "word").groupBy(key).agg(F.countDistinct("asked").alias("n")).filter(F.col("n") == len(wanted)).select(key)
 
 

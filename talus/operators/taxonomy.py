@@ -36,9 +36,9 @@ def keep_higher(old: DataFrame, new: DataFrame) -> DataFrame:
 def icf(assignments: DataFrame) -> DataFrame:
     """(topic_id, df, icf): log2 of all source collections by those a topic is found in. No rows for fewer than two collections."""
     known = assignments.filter(F.col("source_collection").isNotNull())
-    all_ = known.agg(F.countDistinct("source_collection").alias("n")).filter("n >= 2")
     by_topic = known.groupBy("topic_id").agg(F.countDistinct("source_collection").alias("df"))
-    return by_topic.join(F.broadcast(all_), F.lit(1) == F.lit(1)).select("topic_id", "df", F.log2(F.col("n") / F.col("df")).alias("icf"))
+    counted = by_topic.withColumn("n", known.agg(F.countDistinct("source_collection")).scalar()).filter("n >= 2")
+    return counted.select("topic_id", "df", F.log2(F.col("n") / F.col("df")).alias("icf"))
 
 
 def hubs(assignments: DataFrame, least_collections: int = 2, most_icf: float | None = None) -> DataFrame:
@@ -62,8 +62,8 @@ def topic_terms(docs: DataFrame, topic: str, text: str, most: int = 10) -> DataF
     words = docs.select(topic, F.explode(F.filter(X.tokens(F.col(text)), lambda t: (F.length(t) > 1) & ~t.isin(list(X.STOPWORDS)))).alias("term"))
     tf = words.groupBy(topic, "term").agg(F.count("*").alias("tf"))
     f = tf.groupBy("term").agg(F.sum("tf").alias("f"))
-    size = tf.groupBy(topic).agg(F.sum("tf").alias("n")).agg(F.avg("n").alias("a"))
-    scored = tf.join(f, "term").join(F.broadcast(size), F.lit(1) == F.lit(1)).select(topic, "term", F.round(F.col("tf") * F.log(1 + F.col("a") / F.col("f")), 6).alias("score"))
+    average = tf.groupBy(topic).agg(F.sum("tf").alias("n")).agg(F.avg("n")).scalar()
+    scored = tf.join(f, "term").withColumn("a", average).select(topic, "term", F.round(F.col("tf") * F.log(1 + F.col("a") / F.col("f")), 6).alias("score"))
     order = Window.partitionBy(topic).orderBy(F.desc("score"), "term")
     return scored.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= most)
 
