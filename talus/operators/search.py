@@ -44,20 +44,21 @@ def distances(queries: DataFrame, chunks: DataFrame, k: int | None, query_key: s
     if k is not None and k < 1:
         raise ValueError("k must be 1 or more")
     names, matrix = query_block(queries, query_key, vector)
-    shared = chunks.sparkSession.sparkContext.broadcast((names, matrix))
+    # The query keys come back in their own type.
+    wide = {"int": np.int32, "smallint": np.int16, "tinyint": np.int8}.get(queries.schema[query_key].dataType.simpleString())
+    shared = chunks.sparkSession.sparkContext.broadcast((np.array(names, wide), matrix))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, matrix = shared.value
-        if not names:
+        wanted, matrix = shared.value
+        if not len(wanted):
             return
-        wanted = np.array(names)
         for batch in batches:
             ids, lists = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
             rows = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
             if len(rows) != len(ids) * matrix.shape[1]:
                 raise ValueError("vectors of different length")
             far = np.clip(1 - _units(rows.reshape(len(ids), -1)) @ matrix.T, 0, 2).T
-            for q in range(len(names)):
+            for q in range(len(wanted)):
                 keep = np.ones(len(ids), bool) if not skip_self else ids != wanted[q]
                 if most is not None:
                     keep &= far[q] <= most
