@@ -62,7 +62,7 @@ def build_filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     blocks = (quotients >> np.uint64(SLOT_BITS)).astype(np.int64)
     used, starts = np.unique(blocks, return_index=True)
     rows = []
-    for block, a, b in zip(used, starts, np.r_[starts[1:], len(held)], strict=True):
+    for block, a, b in zip(used, starts, [*starts[1:], len(held)][: len(used)], strict=True):
         slots = (quotients[a:b] & np.uint64(2**SLOT_BITS - 1)).astype(np.int64)
         runs = np.bincount(slots, minlength=2**SLOT_BITS).astype(np.uint32)
         rows.append((int(block), runs.tobytes(), remainders[a:b].tobytes(), held_counts[a:b].tobytes()))

@@ -183,5 +183,7 @@ def training_rows(docs: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
-    """The documents in some learned language, with all their columns: `und` goes."""
-    return predict(docs, prototypes).filter("lang_pred <> 'und'").select(*(c for c in docs.columns if c not in ("lang_pred", "score")))
+    """The documents in some learned language, with all their columns as they came: `und` goes."""
+    own = {c: f"__own_{c}" for c in ("lang_pred", "score") if c in docs.columns}
+    kept = predict(docs.withColumnsRenamed(own), prototypes).filter("lang_pred <> 'und'").drop("lang_pred", "score")
+    return kept.withColumnsRenamed({new: old for old, new in own.items()}).select(*docs.columns)
