@@ -84,15 +84,26 @@ def _constants(names: str, rows: list[tuple[int, ...]]) -> Column:
     return F.expr("array(" + ", ".join("struct(" + ", ".join(f"{value}L AS {name}" for name, value in zip(names.split(), row, strict=True)) + ")" for row in rows) + ")")
 
 
-def _block_of(k: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(_long(_mask(b))).cast("long") for b in BLOCKS]), k + 1)
+def ball_variants(nodes: DataFrame) -> DataFrame:
+    """(z, rest): for each block k left out, all values z of the other bits within one bit of `fp`'s.
 
+    `rest` holds what z lacks in one number: k, the bit that differs (0: none, else its place + 1), and the block.
+    """
+    rows = [(k, at + 1) for k, block in enumerate(BLOCKS) for at in (-1, *(b for b in range(64) if b not in block))]
+    masks = [(_long(~_mask(BLOCKS[k]) & 2**64 - 1), 0 if not at else _long(1 << at - 1), BLOCKS[k][0], k << 29 | at << 22) for k, at in rows]
+    out = nodes.select("fp", F.explode(_constants("keep flip low head", masks)).alias("x"))
+    z = F.col("fp").bitwiseAND(F.col("x.keep")).bitwiseXOR(F.col("x.flip"))
+    block = F.expr("shiftrightunsigned(fp, cast(x.low as int))").bitwiseAND(F.lit(2**22 - 1)).bitwiseAND(F.when(F.col("x.low") == 0, 2**22 - 1).otherwise(2**21 - 1))
+    return out.select(z.alias("z"), F.col("x.head").bitwiseOR(block).cast("int").alias("rest"))
 
-def ball_variants(nodes: DataFrame) -> DataFrame:
-    """(k, z, fp): for each block k left out, all values z of the other bits within one bit of `fp`'s."""
-    rows = [(k, _long(~_mask(block) & 2**64 - 1), _long(flip)) for k, block in enumerate(BLOCKS) for flip in (0, *(1 << b for b in range(64) if b not in block))]
-    out = nodes.select("fp", F.explode(_constants("k rest flip", rows)).alias("x"))
-    return out.select(F.col("x.k").cast("int").alias("k"), F.col("fp").bitwiseAND(F.col("x.rest")).bitwiseXOR(F.col("x.flip")).alias("z"), "fp")
+
+def whole(variants: DataFrame) -> DataFrame:
+    """(k, z, fp, block, own) of (z, rest); own: z is the fingerprint's own value."""
+    at = F.shiftright("rest", 22).bitwiseAND(F.lit(127))
+    parts = variants.select("z", F.shiftright("rest", 29).alias("k"), at.alias("at"), F.col("rest").bitwiseAND(F.lit(2**22 - 1)).cast("long").alias("low"))
+    parts = parts.select("k", "z", "at", F.expr(f"shiftleft(low, element_at(array({', '.join(str(b[0]) for b in BLOCKS)}), k + 1))").alias("block"))
+    flip = F.when(F.col("at") == 0, F.lit(0).cast("long")).otherwise(F.expr("shiftleft(1L, at - 1)"))
+    return parts.select("k", "z", F.col("z").bitwiseXOR(flip).bitwiseOR(F.col("block")).alias("fp"), "block", (F.col("at") == 0).alias("own"))
 
 
 def _inner_ball(k: int, radius: int) -> Column:
@@ -105,10 +116,12 @@ def _inner_ball(k: int, radius: int) -> Column:
 
 def near_links(nodes: DataFrame) -> DataFrame:
     """(a, b) of fingerprints at most RADIUS bits apart; as many as join all that can be reached from each other."""
-    bucket = Window.partitionBy("k", "z")
-    met = ball_variants(nodes).withColumn("block", F.col("fp").bitwiseAND(_block_of(F.col("k"))))
-    own = F.col("fp").bitwiseXOR(F.col("block")) == F.col("z")
-    met = met.select("*", own.alias("own"), (F.min("fp").over(bucket) != F.max("fp").over(bucket)).alias("many"), (F.min("block").over(bucket) != F.max("block").over(bucket)).alias("blocks"), (F.min(F.when(own, F.col("fp"))).over(bucket) != F.max(F.when(own, F.col("fp"))).over(bucket)).alias("owners"))
+    # Everything below a bucket follows from the one exchange by z.
+    partitions = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bucket = Window.partitionBy("z", "k")
+    met = whole(ball_variants(nodes.repartition(partitions, "fp")).repartition("z"))
+    low, high = (f(F.when(F.col("own"), F.col("fp"))).over(bucket) for f in (F.min, F.max))
+    met = met.select("*", (F.min("fp").over(bucket) != F.max("fp").over(bucket)).alias("many"), (F.min("block").over(bucket) != F.max("block").over(bucket)).alias("blocks"), (low != high).alias("owners"))
     met = cut(met.filter("many").select("k", "z", "fp", "block", "own", "blocks", F.coalesce("owners", F.lit(False)).alias("owners")))
     same = met.groupBy("k", "z", "block").agg(F.min("fp").alias("low"), F.max("blocks").alias("blocks"))
     equal = met.join(same.drop("blocks"), ["k", "z", "block"]).select(F.col("fp").alias("a"), F.col("low").alias("b"))
