@@ -26,7 +26,7 @@ def query_block(queries: DataFrame, key: str, vector: str) -> tuple[list, np.nda
     if len(rows) > MOST_QUERIES:
         raise ValueError(f"more than {MOST_QUERIES} queries in one call")
     rows.sort(key=lambda r: r[0])
-    matrix = np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1)
+    matrix = np.array([r[1] for r in rows], np.float64).reshape(len(rows), len(rows[0][1]) if rows else 0)
     return [r[0] for r in rows], _units(matrix)
 
 

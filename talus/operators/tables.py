@@ -37,12 +37,16 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], merged_maps: tuple[s
             out.append(F.coalesce(f"b.{c}", f"a.{c}").alias(c))
         elif c in merged_maps:
             x, y = F.coalesce(F.col(f"a.{c}"), F.create_map().cast(old.schema[c].dataType)), F.coalesce(F.col(f"b.{c}"), F.create_map().cast(old.schema[c].dataType))
-            out.append(F.map_concat(F.map_filter(x, lambda k, _, y=y: ~F.map_contains_key(y, k)), y).alias(c))
+            out.append(F.map_concat(_without(x, y), y).alias(c))
         else:
             out.append(F.when(there, F.col(f"b.{c}")).otherwise(F.col(f"a.{c}")).alias(c))
     return a.join(b, keys_equal(keys), "full").select(*out)
 
 
+def _without(x: Column, y: Column) -> Column:
+    return F.map_filter(x, lambda k, _: ~F.map_contains_key(y, k))
+
+
 def update(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Known keys only; null columns of `new` leave the old value."""
     a, b = old.alias("a"), new.alias("b")

@@ -15,13 +15,13 @@ from ..operators import tables
 
 def telemetry_windows(events: DataFrame, late: str = "1 hour", window: str = "1 day", ts: str = "ts", by: str = "event_type", value: str = "value") -> DataFrame:
     """(window_start, by, n, total): counts and sums by window, for rows that are at most `late` late."""
-    grouped = events.withWatermark(ts, late).groupBy(F.window(ts, window), by).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
+    grouped = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).groupBy(F.window(ts, window), by).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
     return grouped.select(F.col("window.start").alias("window_start"), by, "n", "total")
 
 
 def first_of_each(events: DataFrame, key: str, late: str = "1 hour", ts: str = "ts") -> DataFrame:
     """Rows whose key was not seen before within the watermark."""
-    return events.withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
+    return events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
 
 
 def append_chunks(stream: DataFrame, path: str, checkpoint: str, partition: str = "collection") -> StreamingQuery:
