@@ -88,3 +88,44 @@ def next_numbers(docs: DataFrame, owner: str, new: DataFrame, order: str) -> Dat
     last = docs.groupBy(owner).agg(F.max("number").alias("__last"))
     n = F.row_number().over(Window.partitionBy(owner).orderBy(order))
     return new.withColumn("__n", n).join(last, owner, "left").withColumn("number", (F.coalesce("__last", F.lit(0)) + F.col("__n")).cast("long")).drop("__n", "__last")
+
+
+def vector_stats(chunks: DataFrame, vector: str = "embedding") -> DataFrame:
+    """(collection, chunks, dimension): the dimension is null where a collection mixes several."""
+    size = F.size(vector)
+    return chunks.groupBy("collection").agg(F.count("*").alias("chunks"), F.when(F.min(size) == F.max(size), F.max(size)).alias("dimension"))
+
+
+def resolve_chunk(rows: DataFrame, chash: str, prefer: str | None = None) -> DataFrame:
+    """One (chash, collection) for each hash: the preferred collection, else the newest, else the first by name."""
+    rest = F.struct((F.col("collection") != F.lit(prefer)) if prefer is not None else F.lit(True), -F.unix_micros(F.col("created_at").cast("timestamp")), "collection")
+    return rows.groupBy(chash).agg(F.min_by("collection", rest).alias("collection"))
+
+
+def search(docs: DataFrame, words: str | None = None, text: list[str] = (), contains: dict[str, str] | None = None, equals: dict | None = None) -> DataFrame:
+    """Documents whose text columns hold all words, whatever the case, with substrings and equal values in other columns."""
+    out = docs
+    for word in (words or "").lower().split():
+        holds = F.lit(False)
+        for c in text:
+            holds = holds | F.contains(F.lower(F.coalesce(c, F.lit(""))), F.lit(word))
+        out = out.filter(holds)
+    for c, part in (contains or {}).items():
+        out = out.filter(F.contains(F.lower(c), F.lit(part.lower())))
+    for c, value in (equals or {}).items():
+        out = out.filter(F.col(c) == value)
+    return out
+
+
+def show(docs: DataFrame, edges: DataFrame) -> DataFrame:
+    """Documents with the numbers of links that leave and reach them."""
+    out = edges.groupBy(F.col("from_id").alias("id")).agg(F.count("*").alias("links_out"))
+    into = edges.groupBy(F.col("to_id").alias("id")).agg(F.count("*").alias("links_in"))
+    return docs.join(out, "id", "left").join(into, "id", "left").fillna(0, ["links_out", "links_in"])
+
+
+def of_tenant(df: DataFrame, tenant: str, column: str = "tenant") -> DataFrame:
+    """Rows of one tenant; without a tenant there are none."""
+    if not tenant:
+        raise ValueError("no tenant")
+    return df.filter(F.col(column) == tenant)

@@ -10,6 +10,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 MOST_HOPS = 3
+# What a named purpose walks along.
+PURPOSES = {
+    "find-implementations": ("implements", "implements-heuristic"),
+    "decision-evolution": ("supersedes", "cites"),
+    "reference-chain": ("cites", "quotes"),
+    "documentation-for": ("implements", "implements-heuristic", "cites"),
+    "soft-relations": ("relates", "comments"),
+    "all-implementations": ("implements",),
+    "factual-evidence": ("cites", "implements", "relates"),
+}
 
 
 def directed(edges: DataFrame, direction: str) -> DataFrame:
@@ -37,6 +47,24 @@ def walk(seeds: DataFrame, edges: DataFrame, depth: int = 1, direction: str = "o
     return reached
 
 
+def traverse(seeds: DataFrame, edges: DataFrame, link_types: list[str] | None = None, purpose: str | None = None, depth: int = 1, direction: str = "out") -> DataFrame:
+    """A walk along link types or along those of a purpose, one of the two."""
+    if (link_types is None) == (purpose is None):
+        raise ValueError("link_types or purpose")
+    if purpose is not None and purpose not in PURPOSES:
+        raise ValueError(f"no purpose {purpose!r}")
+    return walk(seeds, edges, depth, direction, list(link_types or PURPOSES[purpose]))
+
+
+def suggest_links(docs: DataFrame, key: str, stem: str, title: str, edges: DataFrame, longer_than: int = 3) -> DataFrame:
+    """(from_id, to_id): titles that hold another document's stem as a word, where no link joins the two in either direction."""
+    stems = docs.select(F.col(key).alias("to_id"), F.lower(stem).alias("word")).filter(F.length("word") > longer_than)
+    words = docs.select(F.col(key).alias("from_id"), F.explode(F.array_distinct(F.split(F.regexp_replace(F.lower(title), "[^a-z0-9_]+", " "), " "))).alias("word"))
+    met = words.join(stems, "word").filter("from_id <> to_id").select("from_id", "to_id").distinct()
+    known = edges.select("from_id", "to_id").union(edges.select(F.col("to_id"), F.col("from_id"))).distinct()
+    return met.join(known, ["from_id", "to_id"], "left_anti")
+
+
 def live_links(edges: DataFrame, live: DataFrame) -> DataFrame:
     """Links whose two ends are live documents. live: (id)."""
     return edges.join(live.select(F.col("id").alias("from_id")), "from_id", "left_semi").join(live.select(F.col("id").alias("to_id")), "to_id", "left_semi")

@@ -107,3 +107,14 @@ def match_topics(old: DataFrame, new: DataFrame, least: float = 0.8) -> DataFram
             return best if out is None else out
         out = best if out is None else out.unionByName(best)
         left = left.join(best.select("old_id"), "old_id", "left_anti").join(best.select("new_id"), "new_id", "left_anti").cache()
+
+
+def split_topic(assigned: DataFrame, topic_id: int, k: int, seed: int = 42) -> DataFrame:
+    """(id, topic_id, child) of the chunks of one topic, in k parts. assigned: (id, topic_id, embedding)."""
+    inside = assigned.filter(F.col("topic_id") == topic_id)
+    return discover(inside, k, seed).select("id", F.lit(topic_id).alias("topic_id"), F.col("topic_id").alias("child"))
+
+
+def carry_over(manual: DataFrame, old: DataFrame, new: DataFrame, least: float = 0.5) -> DataFrame:
+    """(id, topic_id) of hand-made assignments (id, topic_id) to old topics, moved to the matched new ones; those without a match are lost."""
+    return manual.join(match_topics(old, new, least), F.col("topic_id") == F.col("old_id")).select("id", F.col("new_id").alias("topic_id"))
