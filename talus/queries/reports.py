@@ -70,7 +70,7 @@ def step_breakdown(spark, sf_dir):
     return L.step_breakdown(table(spark, sf_dir, "steps"), ["operator", "source"])
 
 
-@query("cost_mismatch", "SELECT o.o_orderkey AS run_id, 100.0 AS run_cost, s.c AS steps_cost FROM orders o JOIN (SELECT run_id, sum(cost_usd) AS c FROM {steps} GROUP BY 1) s ON s.run_id = o.o_orderkey WHERE abs(100 - s.c) > 1e-6")
+@query("cost_mismatch", "SELECT o.o_orderkey AS run_id, CAST(100.0 AS DOUBLE) AS run_cost, s.c AS steps_cost FROM orders o JOIN (SELECT run_id, sum(cost_usd) AS c FROM {steps} GROUP BY 1) s ON s.run_id = o.o_orderkey WHERE abs(100 - s.c) > 1e-6")
 def cost_mismatch(spark, sf_dir):
     runs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run_id"), F.lit(100.0).alias("cost_usd"))
     return L.cost_mismatch(runs, table(spark, sf_dir, "steps"), "run_id")
