@@ -147,7 +147,7 @@ def squeezed_titles(spark, sf_dir):
     return table(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", X.squeezed(F.substr("text", F.lit(1), F.lit(80))).alias("title"))
 
 
-@query("nx_answer", """SELECT topic, count(*) AS hits, min(distance) AS best FROM (SELECT * FROM (SELECT c.id, c.topic, round(1 - list_cosine_similarity(CAST(c.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS distance FROM {chunks} c, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE c.id <> 0) ORDER BY distance, id LIMIT 100) GROUP BY 1""")
-def nx_answer(spark, sf_dir):
+@query("answer_steps", """SELECT topic, count(*) AS hits, min(distance) AS best FROM (SELECT * FROM (SELECT c.id, c.topic, round(1 - list_cosine_similarity(CAST(c.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS distance FROM {chunks} c, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE c.id <> 0) ORDER BY distance, id LIMIT 100) GROUP BY 1""")
+def answer_steps(spark, sf_dir):
     """Search, then group and reduce: a stored plan's steps composed by hand."""
     return S.top(hits(spark, sf_dir), 100, ["distance", "id"]).groupBy("topic").agg(F.count("*").alias("hits"), F.min("distance").alias("best"))
