@@ -1,4 +1,8 @@
-"""The ranking steps after retrieval, each from a table of hits to a table of hits."""
+"""The ranking steps after retrieval, each from a table of hits to a table of hits.
+
+Hits are result sets of searches: at most k rows a query. Windows over a query's or a collection's hits are bounded by
+that, whatever the size of the corpus.
+"""
 
 from __future__ import annotations
 

@@ -14,16 +14,17 @@ from ..operators import tables as T
 from .registry import query, table
 
 COS = "1 - list_cosine_similarity(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[]))"
-#: The hits of one search (query vector 0), as the ranking queries use them.
-HITS = f"""SELECT c.id, c.collection, c.kind, c.topic, round({COS.format(a='c.embedding', b='q.embedding')}, 6) AS distance,
-  CAST((c.id * 37) % 101 AS DOUBLE) / 100 AS frecency, c.id % 17 = 0 AS cached
-  FROM {{chunks}} c, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE c.id <> 0"""
+#: The hits of one search: the 500 chunks nearest to chunk 0. Ranking works on result sets such as this, not on the corpus.
+MOST_HITS = 500
+HITS = f"""SELECT id, collection, kind, topic, round(d, 6) AS distance, CAST((id * 37) % 101 AS DOUBLE) / 100 AS frecency, id % 17 = 0 AS cached
+  FROM (SELECT c.id, c.collection, c.kind, c.topic, {COS.format(a='c.embedding', b='q.embedding')} AS d FROM {{chunks}} c, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE c.id <> 0)
+  ORDER BY round(d, 12), id LIMIT {MOST_HITS}"""
 
 
 def hits(spark, sf_dir):
     chunks = table(spark, sf_dir, "chunks")
-    near = S.distances(chunks.filter("id = 0"), chunks.filter("id <> 0"), None, query_key="id")
-    return near.select("id", F.round("distance", 6).alias("distance")).join(chunks.drop("embedding"), "id").select("id", "collection", "kind", "topic", "distance", ((F.col("id") * 37) % 101 / 100.0).cast("double").alias("frecency"), (F.col("id") % 17 == 0).alias("cached"))
+    near = S.nearest(chunks.filter("id = 0"), chunks.filter("id <> 0"), MOST_HITS, query_key="id").select("id", F.round("distance", 6).alias("distance"))
+    return near.join(chunks.drop("embedding"), "id").select("id", "collection", "kind", "topic", "distance", ((F.col("id") * 37) % 101 / 100.0).cast("double").alias("frecency"), (F.col("id") % 17 == 0).alias("cached"))
 
 
 @query("flagship", f"""
