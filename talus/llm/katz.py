@@ -30,20 +30,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, is_held_out, words
+from .common import WORD, ascii_lower, is_held_out, words
 
 HELD_OUT = (10, 0)
 END, START = np.uint64(1), np.uint64(2)
 CONTEXT = np.uint64(2**48 - 1)
 K = 5
 RESERVE = 1e-3
-#: Tokens in a bucket, on average.
-BUCKET_TOKENS = 5_000_000
+#: Tokens in a bucket, on average, and in the blocks that a task makes at once.
+BUCKET_TOKENS, BLOCK_TOKENS = 1_500_000, 2_000_000
 #: Heavy means this share of a sample of about SAMPLE texts.
 HEAVY_SHARE, SAMPLE, MOST_HEAVY = 1 / 2000, 4000, 2000
 
@@ -71,6 +72,11 @@ def pair_key(w: np.ndarray, v: np.ndarray) -> np.ndarray:
     return (w * np.uint64(0x9E3779B97F4A7C15)) ^ (v * np.uint64(0xC2B2AE3D27D4EB4F))
 
 
+def home_of(first_row: int, buckets: int) -> int:
+    """Where the parts of a batch's scores meet."""
+    return int(spread(np.array([first_row], np.uint64))[0] % np.uint64(buckets))
+
+
 def found(values: np.ndarray, sorted_list: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Whether each value is in the sorted list, and where."""
     if not len(sorted_list):
@@ -89,8 +95,8 @@ def starts_of(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def heavy_lists(tokens: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Words and pairs (by pair_key) with a large share of a sample; only the routing depends on it."""
+def heavy_lists(tokens: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words and pairs (word, context) with a large share of a sample, by word and by pair_key; only the routing depends on it."""
     some = tokens.filter(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, rows // SAMPLE))) == 0)
     after = F.concat("w", F.array(F.lit(int(END)).cast("bigint")))
     before = F.concat(F.array(F.lit(int(START)).cast("bigint")), "w")
@@ -100,14 +106,19 @@ def heavy_lists(tokens: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
     heavy = pairs.filter(F.col("n") >= least).orderBy(F.desc("n")).limit(MOST_HEAVY).collect()
     alone = pairs.groupBy("w").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).orderBy(F.desc("n")).limit(MOST_HEAVY).collect()
     as_hash = lambda xs: np.array(xs, np.int64).view(np.uint64)
-    return np.sort(as_hash([r["w"] for r in alone])), np.sort(pair_key(as_hash([r["w"] for r in heavy]), as_hash([r["v"] for r in heavy]) & CONTEXT))
+    heavy_words = np.sort(as_hash([r["w"] for r in alone]))
+    w, v = as_hash([r["w"] for r in heavy]), as_hash([r["v"] for r in heavy]) & CONTEXT
+    inside = found(w, heavy_words)[0]
+    w, v = w[inside], v[inside]
+    order = np.argsort(pair_key(w, v))
+    return heavy_words, w[order], v[order]
 
 
 def build_blocks(batch: pa.RecordBatch, first_row: int, salt: int, buckets: int, heavy_words: np.ndarray, heavy_pairs: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """(bucket, block) of the texts in a batch."""
+    """(bucket, data) of the texts in a batch: H and the list of its texts once, B and a block for each bucket of words."""
     lists = batch.column("w")
     flat = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-    lengths = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+    lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
     doc_ids = batch.column("doc_id").fill_null(-(2**63)).to_numpy()
     held = batch.column("held_out").to_numpy(zero_copy_only=False)
     n, total = len(lengths), len(flat) + len(lengths)
@@ -130,7 +141,7 @@ def build_blocks(batch: pa.RecordBatch, first_row: int, salt: int, buckets: int,
     bucket = (spread(route) % np.uint64(buckets)).astype(np.uint32)
     order = np.lexsort((v, w, bucket))
     bucket, w, v, doc = bucket[order], w[order], v[order], doc[order]
-    rows = first_row + np.arange(n)
+    yield home_of(first_row, buckets), b"H" + pack(first_row, doc_ids, held, lengths + 1)
     edges = np.r_[starts_of(bucket), total] if total else np.zeros(1, np.int64)
     for a, b in zip(edges[:-1], edges[1:], strict=True):
         mine, which = np.unique(doc[a:b], return_inverse=True)
@@ -138,39 +149,49 @@ def build_blocks(batch: pa.RecordBatch, first_row: int, salt: int, buckets: int,
         words_at = starts_of(w[a:b][pairs])
         context = v[a:b][pairs].view(np.uint8).reshape(-1, 8)[:, :6]
         which = which.astype(np.uint16 if len(mine) < 2**16 else np.uint32)
-        yield int(bucket[a]), pack(w[a:b][pairs][words_at], np.diff(np.r_[words_at, len(pairs)]).astype(np.uint32), np.ascontiguousarray(context.T), np.diff(np.r_[pairs, b - a]).astype(np.uint32), which, rows[mine], doc_ids[mine], held[mine])
+        yield int(bucket[a]), b"B" + pack(w[a:b][pairs][words_at], np.diff(np.r_[words_at, len(pairs)]).astype(np.uint32), np.ascontiguousarray(context.T), np.diff(np.r_[pairs, b - a]).astype(np.uint32), which, first_row, mine, held[mine])
 
 
 class Block:
     def __init__(self, data: bytes) -> None:
-        words_, per_word, context, self.times, self.which, self.rows, self.doc_ids, self.held = unpack(data)
+        words_, per_word, context, self.times, self.which, self.first_row, self.mine, held = unpack(data)
         self.w = np.repeat(words_, per_word)
         wide = np.zeros((len(self.w), 8), np.uint8)
         wide[:, :6] = context.T
         self.v = wide.reshape(-1).view(np.uint64)
-        trained = (~self.held[self.which]).astype(np.int64)
-        self.trained = np.add.reduceat(trained, np.r_[0, np.cumsum(self.times, dtype=np.int64)[:-1]]) if len(self.w) else np.zeros(0, np.int64)
+        self.pairs = len(self.w)
+        self.trained = np.add.reduceat((~held[self.which]).astype(np.int32), np.r_[0, np.cumsum(self.times, dtype=np.int64)[:-1]])
 
 
 class Bucket:
-    """All blocks of a bucket, with the counts of their pairs and words."""
+    """All blocks of a bucket, with the counts of their pairs and words, and lists of texts that only pass through."""
+
+    def __init__(self, blocks: list[Block], headers: list[bytes], heavy_words: np.ndarray, heavy_pairs: np.ndarray) -> None:
+        self.blocks, self.headers = blocks, headers
+
+        def taken(name: str, kind: type) -> np.ndarray:
+            """One array of all blocks', which let go of theirs."""
+            out = np.concatenate([np.zeros(0, kind), *(getattr(b, name) for b in blocks)])
+            for b in blocks:
+                setattr(b, name, None)
+            return out
 
-    def __init__(self, blocks: list[Block], heavy_words: np.ndarray, heavy_pairs: np.ndarray) -> None:
-        self.blocks = blocks
-        w, v = np.concatenate([b.w for b in blocks]), np.concatenate([b.v for b in blocks])
-        trained = np.concatenate([b.trained for b in blocks])
+        w, v = taken("w", np.uint64), taken("v", np.uint64)
         order = np.lexsort((v, w))
-        at = starts_of(w[order], v[order])
-        self.w, self.v, self.count = w[order][at], v[order][at], np.add.reduceat(trained[order], at)
-        self.pair_of = np.empty(len(w), np.int64)
-        self.pair_of[order] = np.repeat(np.arange(len(at)), np.diff(np.r_[at, len(w)]))
+        w, v = w[order], v[order]
+        at = starts_of(w, v)
+        self.pair_of = np.empty(len(w), np.int32)
+        self.pair_of[order] = np.repeat(np.arange(len(at), dtype=np.int32), np.diff(np.r_[at, len(w)]))
+        self.w, self.v = w[at], v[at]
+        del w, v
+        self.count = np.add.reduceat(taken("trained", np.int32)[order].astype(np.int64), at) if len(at) else np.zeros(0, np.int64)
+        del order
         at = starts_of(self.w)
-        sums = np.add.reduceat(self.count, at)
+        sums = np.add.reduceat(self.count, at) if len(at) else self.count
         self.word_at, self.word_sums = at, sums
         self.word_count = np.repeat(sums, np.diff(np.r_[at, len(self.w)]))
         self.heavy_word, self.word_index = found(self.w, heavy_words)
-        keys = pair_key(self.w, self.v)
-        inside, self.pair_index = found(keys, heavy_pairs)
+        inside, self.pair_index = found(pair_key(self.w, self.v), heavy_pairs)
         self.heavy_pair = inside & self.heavy_word
 
     def statistics(self, n_words: int, n_pairs: int) -> np.ndarray:
@@ -231,7 +252,7 @@ class Model:
 
 
 def score_bucket(bucket: Bucket, model: Model, buckets: int, number: int) -> Iterator[tuple[int, int, bytes]]:
-    """(bucket, kind, data): 0: sums for contexts, 1: unseen pairs by context, 2: parts of scores."""
+    """(bucket, kind, data): 0: sums for contexts, 1: unseen pairs by context, 2: texts of a batch, 3: parts of their scores."""
     r, c = bucket.count.copy(), bucket.word_count.copy()
     c[bucket.heavy_word] = model.word_totals[bucket.word_index[bucket.heavy_word]]
     r[bucket.heavy_pair] = model.pair_totals[bucket.pair_index[bucket.heavy_pair]]
@@ -239,22 +260,27 @@ def score_bucket(bucket: Bucket, model: Model, buckets: int, number: int) -> Ite
     value = np.log10(np.where(r > 0, model.mass(np.maximum(r, 1)), p))
     value -= np.where((bucket.w != END) & (c > 0), np.log10(np.maximum(c, 1)), 0)
     base = model.base(c)
-    # A heavy pair stands in many buckets; the one that its plain route names gives its sums.
-    owned = ~bucket.heavy_pair
-    if bucket.heavy_pair.any():
-        home = spread(pair_key(bucket.w, bucket.v)) % np.uint64(buckets)
-        owned |= home == np.uint64(number)
-    keep = np.flatnonzero((r > 0) & owned)
+    keep = np.flatnonzero((r > 0) & ~bucket.heavy_pair)  # heavy pairs stand in many buckets: see heavy_sums
     yield from _by_context(buckets, 0, bucket.v[keep], p[keep], model.mass(r[keep]), r[keep])
+    for data in bucket.headers:
+        yield number, 2, data
     at = 0
     for block in bucket.blocks:
-        pair = np.repeat(bucket.pair_of[at : at + len(block.w)], block.times)
-        at += len(block.w)
-        n = len(block.rows)
-        yield number, 2, pack(block.rows, block.doc_ids, block.held, np.bincount(block.which, minlength=n), np.bincount(block.which, c[pair] > 0, n).astype(np.int64), np.bincount(block.which, base[pair], n), np.bincount(block.which, value[pair], n))
+        pair = np.repeat(bucket.pair_of[at : at + block.pairs], block.times)
+        at += block.pairs
+        n = len(block.mine)
+        sums = (np.bincount(block.which, c[pair] > 0, n).astype(np.int64), np.bincount(block.which, base[pair], n), np.bincount(block.which, value[pair], n))
+        yield home_of(block.first_row, buckets), 3, pack(block.first_row, block.mine, *sums)
         unseen = np.flatnonzero(r[pair] == 0)
         if len(unseen):
-            yield from _by_context(buckets, 1, bucket.v[pair[unseen]], block.rows[block.which[unseen]])
+            yield from _by_context(buckets, 1, bucket.v[pair[unseen]], block.first_row + block.mine[block.which[unseen]].astype(np.int64))
+
+
+def heavy_sums(model: Model, w: np.ndarray, v: np.ndarray, buckets: int) -> Iterator[tuple[int, int, bytes]]:
+    """What the heavy pairs (2000 at most) add to the sums of their contexts."""
+    r, c = model.pair_totals, model.word_totals[found(w, model.heavy_words)[1]] if len(w) else np.zeros(0, np.int64)
+    keep = np.flatnonzero(r > 0)
+    yield from _by_context(buckets, 0, v[keep], model.p_word(c[keep]), model.mass(r[keep]), r[keep])
 
 
 def _by_context(buckets: int, kind: int, v: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
@@ -276,11 +302,8 @@ def _by_context(buckets: int, kind: int, v: np.ndarray, *columns: np.ndarray) ->
         yield int(to[a]), kind, pack(part, *mine)
 
 
-def back_off(sums: list[bytes], needs: list[bytes], parts: list[bytes]) -> Iterator[bytes]:
-    """Parts of scores: log c(v) + log a(v) for every unseen pair, then those that came as they are."""
-    yield from parts
-    if not needs:
-        return
+def back_off(sums: list[bytes], needs: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
+    """log c(v) + log a(v) of all unseen pairs, added up by text."""
     nothing = [np.zeros(0, np.uint64), np.zeros(0), np.zeros(0), np.zeros(0, np.int64)]
     v, p, mass, count = (np.concatenate(x) for x in zip(*(unpack(s) for s in sums), strict=True)) if sums else nothing
     order = np.argsort(v, kind="stable")
@@ -288,13 +311,30 @@ def back_off(sums: list[bytes], needs: list[bytes], parts: list[bytes]) -> Itera
     context = v[order][at]
     p, mass, count = (np.add.reduceat(x[order], at) if len(at) else x for x in (p, mass, count))
     weight = np.log10(np.maximum(count - mass, 1e-300) / np.maximum(1 - p, 1e-300))  # log10(c(v) * a(v))
+    rows, added = [], []
     for data in needs:
-        v, rows, times = unpack(data)
+        v, row, times = unpack(data)
         known, where = found(v, context)
-        rows, times, where = rows[known], times[known], where[known]
-        mine, which = np.unique(rows, return_inverse=True)
+        rows.append(row[known])
+        added.append(weight[where[known]] * times[known])
+    mine, which = np.unique(np.concatenate(rows), return_inverse=True)
+    if len(mine):
         zero = np.zeros(len(mine), np.int64)
-        yield pack(mine, np.full(len(mine), -(2**63), np.int64), zero.astype(bool), zero, zero, zero.astype(np.float64), np.bincount(which, weight[where] * times, len(mine)))
+        yield mine, np.full(len(mine), -(2**63), np.int64), zero.astype(bool), zero, zero, zero.astype(np.float64), np.bincount(which, np.concatenate(added), len(mine))
+
+
+def whole_texts(headers: list[bytes], parts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
+    """The parts of the scores of each batch's texts, added up."""
+    batches = {}
+    for data in headers:
+        first_row, doc_ids, held, n_tokens = unpack(data[1:])
+        n = len(doc_ids)
+        batches[first_row] = (first_row + np.arange(n), doc_ids, held, n_tokens, np.zeros(n, np.int64), np.zeros(n), np.zeros(n))
+    for data in parts:
+        first_row, mine, *sums = unpack(data)
+        for total, part in zip(batches[first_row][4:], sums, strict=True):
+            total[mine] += part
+    yield from batches.values()
 
 
 PARTS = "row_id long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
@@ -304,43 +344,51 @@ def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each whole text."""
     spark = docs.sparkSession
     tokens = hashed(docs)
-    seen = tokens.agg(F.count("*"), F.sum(F.size("w") + 1), F.sum((~F.col("held_out")).cast("long"))).first()
+    held = is_held_out(F.col("doc_id"), *HELD_OUT)
+    seen = docs.agg(F.count("*"), F.sum(F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)) + 1), F.count_if(~held)).first()
     rows, total, texts = (x or 0 for x in seen)
     buckets = max(8, total // BUCKET_TOKENS + 1)
-    heavy_words, heavy_pairs = heavy_lists(tokens, rows)
+    heavy_words, heavy_w, heavy_v = heavy_lists(tokens, rows)
+    heavy_pairs = pair_key(heavy_w, heavy_v)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, row = TaskContext.get().partitionId(), 0
         for batch in batches:
-            out = list(build_blocks(batch, (task << 40) + row, task, buckets, heavy_words, heavy_pairs))
-            row += batch.num_rows
-            for bucket, data in out:
-                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([data], pa.binary())], ["bucket", "data"])
+            edges = np.searchsorted(np.cumsum(pc.list_value_length(batch.column("w")).to_numpy(zero_copy_only=False) + 1), BLOCK_TOKENS * np.arange(1, batch.num_rows + 1))
+            edges = np.unique(np.r_[0, edges, batch.num_rows])
+            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                for bucket, data in build_blocks(batch.slice(lo, hi - lo), (task << 40) + row, task, buckets, heavy_words, heavy_pairs):
+                    yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([data], pa.binary())], ["bucket", "data"])
+                row += hi - lo
 
-    # An RDD, since its shuffle files serve both passes over the buckets.
-    placed = tokens.mapInArrow(blocks, "bucket int, data binary").rdd.map(tuple).partitionBy(buckets)
+    # One bucket in a partition; an RDD of it, since its shuffle files then serve both passes over the buckets.
+    placed = tokens.mapInArrow(blocks, "bucket int, data binary").repartitionById(buckets, "bucket").rdd
 
     def by_bucket(records: Iterator[tuple[int, bytes]]) -> Iterator[tuple[int, Bucket]]:
-        waiting: dict[int, list[Block]] = {}
+        waiting: dict[int, list[bytes]] = {}
         for number, data in records:
-            waiting.setdefault(number, []).append(Block(bytes(data)))
+            waiting.setdefault(number, []).append(bytes(data))
         for number in list(waiting):
-            yield number, Bucket(waiting.pop(number), heavy_words, heavy_pairs)
+            mine = waiting.pop(number)
+            yield number, Bucket([Block(x[1:]) for x in mine if x[:1] == b"B"], [x for x in mine if x[:1] == b"H"], heavy_words, heavy_pairs)
 
     width = 2 * (K + 1) + 2 + len(heavy_words) + len(heavy_pairs)
     stats = placed.mapPartitions(lambda x: (b.statistics(len(heavy_words), len(heavy_pairs)) for _, b in by_bucket(x))).treeAggregate(np.zeros(width), np.add, np.add)
     model = Model(stats, heavy_words, heavy_pairs, texts)
     scored = placed.mapPartitions(lambda x: (out for number, b in by_bucket(x) for out in score_bucket(b, model, buckets, number)))
-    met = spark.createDataFrame(scored, "bucket int, kind int, data binary", verifySchema=False).repartition(int(buckets), "bucket")
+    extra = spark.sparkContext.parallelize(list(heavy_sums(model, heavy_w, heavy_v, buckets)), 1)
+    met = spark.createDataFrame(scored.union(extra), "bucket int, kind int, data binary", verifySchema=False).repartitionById(int(buckets), "bucket")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[list[bytes], ...]] = {}
+        names = [x.split()[0] for x in PARTS.split(", ")]
         for batch in batches:
             for number, kind, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                held.setdefault(number, ([], [], []))[kind].append(data)
+                held.setdefault(number, ([], [], [], []))[kind].append(data)
         for number in list(held):
-            for data in back_off(*held.pop(number)):
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in unpack(data)], [x.split()[0] for x in PARTS.split(", ")])
+            sums, needs, headers, parts = held.pop(number)
+            for rows in (*whole_texts(headers, parts), *(back_off(sums, needs) if needs else ())):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], names)
 
     parts = met.mapInArrow(finish, PARTS)
     whole = parts.groupBy("row_id").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), *(F.sum(x).alias(x) for x in ("n_tokens", "n_known", "base_score", "score")))
