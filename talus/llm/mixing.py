@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD
+from .common import WORD, cut
 
 MAX_EPOCHS = 3
 WEIGHTS = (1, 2, 3)
@@ -59,7 +59,7 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: in
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """One row for each document: doc_id, source, size, source_size, target, taken, copies (times taken whole), part (words taken of one more copy)."""
-    sized = sizes(docs)
+    sized = cut(sizes(docs))  # read three times below
     goal = targets(sized, weights, max_epochs).withColumnRenamed("source", "__source")
     ranged = sized.withColumn("range", F.substring("key", 1, RANGE_DIGITS))
     range_sums = ranged.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
