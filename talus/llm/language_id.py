@@ -28,8 +28,10 @@ from .common import is_held_out
 DIMENSIONS = 2048
 #: Distinct language labels that may be learned; a table with more has something else in its lang column.
 MAX_LANGUAGES = 1000
-#: Code points worked on at once.
-CHUNK = 1_000_000
+#: Code points, and distinct trigrams, worked on at once: a worker's arrays stay at some 80 MB.
+CHUNK, GRAMS = 200_000, 2048
+#: Texts whose profiles are held at once.
+ROWS = 256
 HELD_OUT = (4, 2)
 
 
@@ -109,8 +111,8 @@ def _bundle(pieces: list[np.ndarray], owners: list[int], out: np.ndarray) -> Non
         mine = slice(np.searchsorted(row, lo), np.searchsorted(row, hi))
         counts = np.bincount((row[mine] - lo) * len(used) + grams[mine], minlength=(hi - lo) * len(used)).reshape(hi - lo, len(used))
         seen = np.flatnonzero(counts.any(axis=0))
-        for s in range(0, len(seen), 8192):
-            part = seen[s : s + 8192]
+        for s in range(0, len(seen), GRAMS):
+            part = seen[s : s + GRAMS]
             bound = a[used[part] // (k * k)] * b[used[part] // k % k] * base[used[part] % k]
             out[rows[lo:hi]] += counts[:, part].astype(np.float32) @ bound.astype(np.float32)
 
@@ -121,8 +123,8 @@ def _units(matrix: np.ndarray) -> np.ndarray:
 
 
 def _slices(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, list[str]]]:
-    for lo in range(0, batch.num_rows, 512):
-        yield lo, batch.column(column).slice(lo, 512).to_pylist()
+    for lo in range(0, batch.num_rows, ROWS):
+        yield lo, batch.column(column).slice(lo, ROWS).to_pylist()
 
 
 def learn(labelled: DataFrame) -> dict[str, np.ndarray]:
@@ -133,7 +135,7 @@ def learn(labelled: DataFrame) -> dict[str, np.ndarray]:
         for batch in batches:
             for lo, texts in _slices(batch, "text"):
                 unit = _units(profiles(texts, letters))
-                langs = np.array(batch.column("lang").slice(lo, 512).to_pylist())
+                langs = np.array(batch.column("lang").slice(lo, ROWS).to_pylist())
                 for lang in np.unique(langs):
                     total[lang] = total.get(lang, 0) + unit[langs == lang].sum(axis=0, dtype=np.float64)
         names = list(total)
