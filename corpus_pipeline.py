@@ -12,28 +12,41 @@ from talus.llm.common import documents, ensure_checkpoint_dir
 from talus.llm.queries import PIECES, digests
 
 
+#: Rows in an Arrow batch, in all stages: what a task and its Python worker hold of whole texts at once.
+BATCH_ROWS = 1000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter go; all others are in some language and stay."""
+    _small_batches(spark)
     return language_id.accepted(docs, language_id.learn(language_id.training_rows(docs)))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the row with the largest doc_id stays."""
+    _small_batches(spark)
     return exact_dedup.deduplicate(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies, the document with the smallest doc_id stays."""
+    _small_batches(spark)
     return simhash.keep_one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's budget takes it; the document on the cut comes whole."""
+    _small_batches(spark)
     return mixing.mixture(docs)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Digests of each row's ids and of the text they decode to."""
+    _small_batches(spark)
     path = public_tokenizers.path(PIECES)
     return digests(sentencepiece_bpe.decode(sentencepiece_bpe.encode(docs, path), path))
 

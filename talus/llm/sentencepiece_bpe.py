@@ -30,8 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-#: Encoded words that a task keeps.
-KEPT_WORDS = 400_000
+#: Encoded words that a task keeps: the first ones it meets, among them the frequent ones.
+KEPT_WORDS = 100_000
 LONG = 64
 NEVER = np.int64(2**62)
 
@@ -58,22 +58,23 @@ class Model:
         # By falling score: the rank of the piece that a pair gives.
         order = sorted(self.ids.values(), key=lambda i: (-read.get_score(i), i))
         ranks = {i: r for r, i in enumerate(order)}
-        pairs = {}
+        keys, made = [], []
         for piece, i in self.ids.items():
             for cut in range(1, len(piece)):
                 a, b = self.ids.get(piece[:cut]), self.ids.get(piece[cut:])
                 if a is not None and b is not None:
-                    pairs[a << 32 | b] = (ranks[i], i)
-        keys = np.array(sorted(pairs), np.int64)
+                    keys.append(a << 32 | b)
+                    made.append(i)
+        keys = np.array(keys, np.int64)
         # An open-addressing table with one probe a step: numpy looks up all pairs of a round at once.
-        self.bits = int(len(keys) * 4).bit_length()
+        self.bits = int(len(keys) * 2).bit_length()
         self.keys = np.full(1 << self.bits, -1, np.int64)
-        self.slots = np.zeros((1 << self.bits, 2), np.int64)
-        for key, at in zip(keys.tolist(), self._home(keys).tolist(), strict=True):
+        self.slots = np.zeros((1 << self.bits, 2), np.int32)
+        for key, at, i in zip(keys.tolist(), self._home(keys).tolist(), made, strict=True):
             while self.keys[at] >= 0:
                 at = (at + 1) & ((1 << self.bits) - 1)
             self.keys[at] = key
-            self.slots[at] = pairs[key]
+            self.slots[at] = ranks[i], i
         byte_of = {i: b for b, i in enumerate(self.byte_ids.tolist())}
         surface = [bytes([byte_of[i]]) if self.is_byte[i] else b"" if special[i] and i else p.replace(MARK, " ").encode() for i, p in enumerate(self.pieces)]
         self.starts = np.r_[0, np.cumsum([len(s) for s in surface])]
@@ -82,6 +83,13 @@ class Model:
         self.words: dict[str, int] = {}
         self.flat, self.offsets = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
+        self.forget()
+
+    def forget(self) -> None:
+        """Let go of the encoded words."""
+        self.words: dict[str, int] = {}
+        self.flat, self.offsets = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
     def _home(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
@@ -182,8 +190,6 @@ class Model:
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts on end, and the number of each text's ids."""
         split = [_WORDS.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        if len(self.words) > KEPT_WORDS:
-            self.words, self.flat, self.offsets = {}, np.zeros(0, np.int32), np.zeros(1, np.int64)
         new = list({w for ws in split for w in ws if w not in self.words})
         if new:
             ids, counts = self.merge(new)
@@ -194,6 +200,11 @@ class Model:
         index = np.fromiter((get(w) for ws in split for w in ws), np.int64)
         lengths = self.offsets[index + 1] - self.offsets[index]
         out = self.flat[_gather(self.offsets[index], lengths)]
+        kept = max(KEPT_WORDS, len(self.words) - len(new))
+        if len(self.words) > kept:  # full: the words of this call are forgotten
+            for word in new[kept - len(self.words) :]:
+                del self.words[word]
+            self.flat, self.offsets = self.flat[: self.offsets[kept]].copy(), self.offsets[: kept + 1].copy()
         ends = np.r_[0, np.cumsum(lengths)]
         edges = np.r_[0, np.cumsum([len(ws) for ws in split])]
         return out, ends[edges[1:]] - ends[edges[:-1]]
@@ -261,7 +272,7 @@ def _portions(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
 
 
 #: Bytes of text, or ids, that are worked on at once.
-PORTION = 2_000_000
+PORTION = 300_000
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
@@ -270,11 +281,12 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model(path)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for lo, hi in _portions([len(t or "") for t in texts], PORTION):
-                ids, counts = own.encode(texts[lo:hi])
+            texts = batch.column("text")
+            for lo, hi in _portions(pc.binary_length(texts).fill_null(0).to_pylist(), PORTION):
+                ids, counts = own.encode(texts.slice(lo, hi - lo).to_pylist())
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), lists], ["doc_id", "ids"])
+        own.forget()  # the worker may wait for other tasks for long
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>")
 

@@ -20,9 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: UTF-8 bytes of text in a portion, and of pieces in a call of the library.
-PORTION, CALL = 4_000_000, 256_000
+PORTION, CALL = 2_000_000, 256_000
 #: Counts of pieces that a task remembers; longer pieces aren't remembered.
-KEPT, KEPT_CHARS = 500_000, 64
+KEPT, KEPT_CHARS = 250_000, 64
 BOUNDARY = re.compile(r"(?<=\S)(?= )")
 
 
@@ -49,13 +49,11 @@ class Counter:
 
     def count(self, texts: list[str | None]) -> list[int]:
         split = [BOUNDARY.split(t) if t else [] for t in texts]
-        if len(self.known) > KEPT:
-            self.known = {}
         new = self.learn(list({p for ps in split for p in ps} - self.known.keys()))
         self.known.update(new)
         out = [sum(map(self.known.__getitem__, ps)) for ps in split]
         for piece in new:
-            if len(piece) > KEPT_CHARS:
+            if len(piece) > KEPT_CHARS or len(self.known) > KEPT:
                 del self.known[piece]
         return out
 
@@ -80,6 +78,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
                 total += size
             counts += counter.count(texts.slice(lo).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(counts, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
+        counter.known = {}  # the worker may wait for other tasks for long
 
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("n_bytes", F.octet_length("text").cast("long"))
     counted = sized.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
