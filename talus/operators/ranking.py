@@ -1,11 +1,14 @@
 """The ranking steps after retrieval, each from a table of hits to a table of hits.
 
-Hits are result sets of searches: at most k rows a query. Windows over a query's or a collection's hits are bounded by
-that, whatever the size of the corpus.
+Hits may be all chunks of a corpus. Ranges and counts of a query or a collection are aggregates, combined in the map tasks;
+what ranks keeps each group's first n before anything is shuffled.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -30,7 +33,9 @@ def overfetch(hits: DataFrame, n: int, collection: str = "collection", kind: str
     """The nearest max(5, n * factor) of every collection."""
     most = F.greatest(F.lit(5), n * by_kind(F.col(kind), FETCH, 2).cast("int"))
     order = Window.partitionBy(collection).orderBy(distance, tie)
-    return hits.withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= most).drop("__n")
+    # The fixed limit lets each task drop what no kind fetches before the shuffle.
+    first = hits.withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= max(5, n * max(2, *FETCH.values())))
+    return first.filter(F.col("__n") <= most).drop("__n")
 
 
 def within_limit(kind: Column, distance: Column, override: float | None = None) -> Column:
@@ -44,18 +49,28 @@ def limit_report(hits: DataFrame, collection: str = "collection", kind: str = "k
 
 
 def normalized(value: Column, keys: list[str]) -> Column:
-    """(v - min) / (max - min + 1e-9) over the hits of a query; 1 for a lone hit."""
+    """(v - min) / (max - min + 1e-9) over the hits of a query; 1 for a lone hit. A window: for result sets that are bounded."""
     w = Window.partitionBy(*keys)
     low, high = F.min(value).over(w), F.max(value).over(w)
     return F.when(F.count(value).over(w) == 1, F.lit(1.0)).otherwise((value - low) / (high - low + 1e-9))
 
 
+def with_normalized(hits: DataFrame, values: dict[str, Column], keys: list[str]) -> DataFrame:
+    """`hits` with a column for each of `values` as normalized() has it, by aggregates, for any number of hits. Few keys: their ranges go to every task."""
+    rows = hits.withColumns({f"__v_{out}": v for out, v in values.items()})
+    sums = [f(f"__v_{out}").alias(f"__{name}_{out}") for out in values for name, f in (("low", F.min), ("high", F.max), ("n", F.count))]
+    ranges = rows.groupBy(*(F.col(k).alias(f"__k_{k}") for k in keys)).agg(*sums)
+    both = rows.join(F.broadcast(ranges), reduce(and_, (F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys)))
+    out = {o: F.when(F.col(f"__n_{o}") == 1, F.lit(1.0)).otherwise((F.col(f"__v_{o}") - F.col(f"__low_{o}")) / (F.col(f"__high_{o}") - F.col(f"__low_{o}") + 1e-9)) for o in values}
+    return both.withColumns(out).select(*dict.fromkeys([*hits.columns, *values]))
+
+
 def hybrid_score(hits: DataFrame, keys: list[str], kind: str = "kind", distance: str = "distance", frecency: str = "frecency", cached: str = "cached", vector_weight: float = 0.7) -> DataFrame:
     """0.7 * nearness + 0.3 * frecency for code, nearness for the rest; hits from the line cache get 0.5 and stay out of the window."""
-    near = 1 - normalized(F.when(~F.col(cached), F.col(distance)), keys)
-    used = normalized(F.when(~F.col(cached), F.col(frecency)), keys)
-    score = F.when(F.col(cached), F.lit(0.5)).when(F.col(kind) == "code", vector_weight * near + (1 - vector_weight) * used).otherwise(near)
-    return hits.withColumn("score", score)
+    both = with_normalized(hits, {"__far": F.when(~F.col(cached), F.col(distance)), "__used": F.when(~F.col(cached), F.col(frecency))}, keys)
+    near = 1 - F.col("__far")
+    score = F.when(F.col(cached), F.lit(0.5)).when(F.col(kind) == "code", vector_weight * near + (1 - vector_weight) * F.col("__used")).otherwise(near)
+    return both.withColumn("score", score).drop("__far", "__used")
 
 
 def link_boost(hits: DataFrame, links: DataFrame, key: str, weight: float = 0.15) -> DataFrame:
@@ -103,11 +118,14 @@ def rerank(hits: DataFrame, order: str, score: str, n: int) -> DataFrame:
     return hits.orderBy(F.col(score).isNull(), F.desc(score), order).limit(n)
 
 
-def interleave(hits: DataFrame, group: str, order: list, first: str) -> DataFrame:
-    """One hit of each group in turn; groups in the order in which they are first seen (`first`)."""
+def interleave(hits: DataFrame, group: str, order: list, first: str, n: int | None = None) -> DataFrame:
+    """One hit of each group in turn; groups in the order in which they are first seen (`first`). With `n`, the first n of all."""
     ranked = hits.withColumn("turn", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+    if n is not None:  # no group gives more than n of the first n
+        ranked = ranked.filter(F.col("turn") <= n)
     seen = hits.groupBy(group).agg(F.min(first).alias("__seen"))
-    return ranked.join(seen, group).orderBy("turn", "__seen", group).drop("__seen")
+    out = ranked.join(seen, group).orderBy("turn", "__seen", group).drop("__seen")
+    return out if n is None else out.limit(n)
 
 
 def ndcg(graded: DataFrame, keys: list[str], rank: str, grade: str, k: int) -> DataFrame:

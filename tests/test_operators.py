@@ -202,3 +202,23 @@ def test_streams(spark, sf, tmp_path):
     assert values(jobs.claimable(queue, dt.datetime(2024, 1, 1, 0, 10), 9), "id") == [(1,), (2,)]
     done = jobs.settle(queue, spark.createDataFrame([(1, True), (2, False)], "id int, ok boolean"))
     assert values(done, "id", "status", "tries") == [(1, "done", 0), (2, "failed", 3), (3, "claimed", 0)]
+
+
+def test_hits_are_all_chunks(spark, sf, tmp_path):
+    """1200 chunks, of which the 600 of collection c0 are the nearest to chunk 0."""
+    import __spark_entry__
+
+    rows = [(i, [1.0, 0.001 * (i + 1)] if i < 600 else [0.2, 1.0 + i], 0 if i < 600 else 1 + i % 3) for i in range(1200)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.read.parquet(f"{sf}/orders.parquet").limit(20).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.read.parquet(f"{sf}/region.parquet").write.parquet(f"{tmp_path}/region.parquet")
+    queries = __spark_entry__.queries()
+    got = {name: queries[name](spark, str(tmp_path)) for name in ("overfetch", "doc_dedup", "diagnostics", "threshold", "min_max_normalize", "hybrid_score", "link_boost", "topic_boost", "exact_boost", "rerank_merge", "round_robin_interleave")}
+    for name in ("min_max_normalize", "hybrid_score", "link_boost", "topic_boost"):
+        assert got[name].count() == 1199
+    assert values(got["diagnostics"], "collection", "raw", "dropped") == [("c0", 599, 0), ("c1", 200, 200), ("c2", 200, 200), ("c3", 200, 200)]
+    assert values(got["overfetch"].groupBy("collection").count(), "collection", "count") == [("c0", 20), ("c1", 40), ("c2", 40), ("c3", 40)]
+    assert values(got["doc_dedup"], "topic") == [(0,), (1,), (2,), (3,)] and got["threshold"].count() == 1199
+    assert values(got["round_robin_interleave"].groupBy("collection").count(), "count") == [(10,)] * 4
+    assert got["exact_boost"].count() == 1199 + 1 and got["rerank_merge"].count() == 200
+    assert min(r.score for r in got["exact_boost"].collect()) < 0.4
