@@ -1,19 +1,22 @@
 """Licence scans by conditional compression.
 
-A segment of a text (a line, or part of a very long one) that holds a cue such as "license" or "warranty" starts a
-candidate block, which runs on to an empty line. A block is compressed plain and with each template as zstandard raw
-dictionary; what a template saves, as a share of what it saves on itself, ranks the templates. From the best down, a
-template wins if its wording stands in the block: its words are matched in order, and the differences (template words
-that are missing, other words in between) decide and are reported.
-
-Defined results: a null or empty text has no blocks. All segments of a text of any length are looked at. Of templates
-that rank alike the one that comes first wins. A block in which no template is confirmed is returned with a null licence
-and the differences from the best one. Repeated rows give repeated results; an empty table gives none; columns other
-than doc_id and text are ignored.
+Segments of a text (lines, or parts of very long ones) that hold a cue such as "license" or "warranty" make candidate
+blocks: a segment's cues with as many words before and after as the longest template may take, across lines and segments.
+Every template is looked for in a block: its words are matched in order, and the differences (template words that are
+missing, other words in between) are reported. A place with few differences is compressed plain and with the template as
+zstandard raw dictionary; what that saves, as a share of what the template saves on itself, decides. The same on whole
+blocks ranks the templates where no notice is found.
+
+Defined results: a null or empty text has no blocks. All cues of a text of any length are looked at. All notices of a text
+are returned, with the place of their first word; where notices overlap, the one with the smallest share of differences
+stays, and of equal ones the longer, then the earlier in the list. A segment with a cue that no notice touches is returned
+with a null licence and the differences from the best template. Repeated rows give repeated results; an empty table gives
+none; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
 import difflib
 import re
 from collections.abc import Iterator
@@ -23,9 +26,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CUES = r"(?i)licen[sc]|copyright|warrant|redistribut|spdx|creative commons|public domain|permission is hereby"
-#: Characters of a segment and of a block, segments of a block.
-SEGMENT, BLOCK, SEGMENTS = 2000, 4000, 30
+CUES = r"(?i)licen[sc]|copyright|warrant|redistribut|spdx|creative[\W_]+commons|public[\W_]+domain|permission[\W_]+is[\W_]+hereby"
+#: Characters of a segment, and of a block before its first and behind its last cue.
+SEGMENT, BLOCK = 2000, 4000
 #: Least share of what a template saves on itself, and most template words (share) that may be missing or strange.
 LEAST_SAVED, MOST_DIFFERENT = 0.4, 0.1
 
@@ -47,8 +50,11 @@ TEMPLATES = (
 )
 
 
+WORD = re.compile(r"[^\W_]+")
+
+
 def normal(text: str) -> list[str]:
-    return re.findall(r"[^\W_]+", text.lower())
+    return WORD.findall(text.lower())
 
 
 def segments(text: str) -> list[tuple[int, str]]:
@@ -57,7 +63,7 @@ def segments(text: str) -> list[tuple[int, str]]:
     for line in re.finditer(r"[^\n]*", text):
         at, end = line.start(), line.end()
         while end - at > SEGMENT:
-            cut = max(text.rfind(" ", at, at + SEGMENT), text.rfind(". ", at + SEGMENT // 2, at + SEGMENT) + 1)
+            cut = text.rfind(" ", at, at + SEGMENT)
             cut = cut + 1 if cut > at else at + SEGMENT
             out.append((at, text[at:cut]))
             at = cut
@@ -65,15 +71,24 @@ def segments(text: str) -> list[tuple[int, str]]:
     return out
 
 
-def blocks(text: str) -> Iterator[tuple[int, str]]:
-    """(place, block) for each segment with a cue: the segment alone or with what follows, as far as a block goes."""
-    parts = segments(text)
-    for i, (at, part) in enumerate(parts):
-        if re.search(CUES, part):
-            end = i + 1
-            while end < len(parts) and end - i < SEGMENTS and parts[end][1].strip() and parts[end][0] + len(parts[end][1]) - at <= BLOCK:
-                end += 1
-            yield at, text[at : parts[end - 1][0] + len(parts[end - 1][1])]
+def blocks(text: str, reach: int) -> Iterator[tuple[int, int, int, str]]:
+    """(segment's place, its end, block's place, block) for each segment with a cue: `reach` words before its first and behind its last cue are in the block."""
+    cues = [m.span() for m in re.finditer(CUES, text)]
+    if not cues:
+        return
+    spans = [m.span() for m in WORD.finditer(text)]
+    begins, ends = [a for a, _ in spans], [b for _, b in spans]
+    k = 0
+    for at, part in segments(text):
+        first = k
+        while k < len(cues) and cues[k][0] < at + len(part):
+            k += 1
+        if k == first:
+            continue
+        a, b = cues[first][0], cues[k - 1][1]
+        low, high = bisect.bisect_right(ends, a) - reach, bisect.bisect_left(begins, b) + reach
+        start = max(begins[max(low, 0)], a - BLOCK)
+        yield at, at + len(part), start, text[start : min(ends[min(high, len(ends)) - 1], b + BLOCK)]
 
 
 class Scanner:
@@ -86,6 +101,7 @@ class Scanner:
             data = text.lower().encode()
             primed = zstandard.ZstdCompressor(level=9, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
             self.templates.append((name, normal(text), primed, len(self.plain.compress(data)) - len(primed.compress(data))))
+        self.reach = max(len(words) + int(MOST_DIFFERENT * len(words)) for _, words, _, _ in self.templates)
 
     def rank(self, block: str) -> list[tuple[float, int]]:
         """(share saved, template), best first."""
@@ -93,39 +109,76 @@ class Scanner:
         size = len(self.plain.compress(data))
         return sorted(((size - len(primed.compress(data))) / saved, -i) for i, (_, _, primed, saved) in enumerate(self.templates))[::-1]
 
-    def differences(self, block: str, template: int) -> tuple[list[str], list[str]]:
-        """Template words that the block lacks, and other words between those it has."""
-        want, have = self.templates[template][1], normal(block)
+    def saved(self, part: str, template: int) -> float:
+        """Share saved of a part of a text, without line ends and comment marks."""
+        data, (_, _, primed, saved) = re.sub(r"\s*\n[\W_]*|\s+", " ", part).lower().encode("utf-8", "replace"), self.templates[template]
+        return (len(self.plain.compress(data)) - len(primed.compress(data))) / saved
+
+    def differences(self, have: list[str], template: int) -> tuple[list[str], list[str], int, int]:
+        """Template words that are lacking, other words between those there are, the place of the first and that behind the last."""
+        want = self.templates[template][1]
         same = [m for m in difflib.SequenceMatcher(None, want, have, autojunk=False).get_matching_blocks() if m.size]
         missing, extra, at, place = [], [], 0, None
         for m in same:
             missing += want[at : m.a]
             extra += have[place : m.b] if place is not None else []
             at, place = m.a + m.size, m.b + m.size
-        return missing + want[at:], extra
+        return missing + want[at:], extra, same[0].b if same else 0, place or 0
+
+    def found(self, have: list[str], template: int) -> Iterator[tuple[int, int, list[str], list[str]]]:
+        """(first word, word behind the last, missing, extra) of each place where the template's wording stands."""
+        want = self.templates[template][1]
+        most = int(MOST_DIFFERENT * len(want))
+        # So many words in a row stand unchanged somewhere, as `most` differences part the others into most + 1 runs.
+        run = -(-(len(want) - most) // (most + 1))
+        matcher = difflib.SequenceMatcher(None, have, want, autojunk=False)
+        open_ = [(0, len(have))]
+        while open_:
+            low, high = open_.pop()
+            m = matcher.find_longest_match(low, high, 0, len(want))
+            if m.size < run:
+                continue
+            a, b = max(low, m.a - m.b - most), min(high, m.a - m.b + len(want) + most)
+            missing, extra, first, last = self.differences(have[a:b], template)
+            good = len(missing) + len(extra) <= most
+            if good:
+                yield a + first, a + last, missing, extra
+            open_ += [(low, a + first), (a + last, high)] if good else [(low, m.a), (m.a + m.size, high)]
 
     def scan(self, text: str) -> Iterator[tuple[int, str | None, str, float, list[str], list[str]]]:
-        """(place, licence or None, best template's licence, share saved, missing, extra) for each block."""
-        for at, block in blocks(text):
-            best = None
-            for saved, i in self.rank(block)[:4]:
-                if saved < LEAST_SAVED and best is not None:
-                    break
-                missing, extra = self.differences(block, -i)
-                good = saved >= LEAST_SAVED and len(missing) + len(extra) <= MOST_DIFFERENT * len(self.templates[-i][1])
-                row = (at, self.templates[-i][0] if good else None, self.templates[-i][0], saved, missing, extra)
-                if good:
-                    best = row
-                    break
-                best = best or row
-            yield best
+        """(place, licence or None, best template's licence, share saved, missing, extra) for each notice, and for each segment with a cue but no notice."""
+        notices, segments_ = {}, []
+        for at, end, start, block in blocks(text, self.reach):
+            words = [(m.group().lower(), start + m.start(), start + m.end()) for m in WORD.finditer(block)]
+            have = [w for w, _, _ in words]
+            for i in range(len(self.templates)):
+                for first, last, missing, extra in self.found(have, i):
+                    low, high = words[first][1], words[last - 1][2]
+                    share = (len(missing) + len(extra)) / len(self.templates[i][1])
+                    notices[share, -len(self.templates[i][1]), i, low, high] = (missing, extra)
+            segments_.append((at, end, block, have))
+        taken: list[tuple[int, int]] = []
+        rows = []
+        for (_, _, i, low, high), (missing, extra) in sorted(notices.items()):
+            at = bisect.bisect(taken, (low, high))
+            saved = self.saved(text[low:high], i)
+            if saved >= LEAST_SAVED and (at == 0 or taken[at - 1][1] <= low) and (at == len(taken) or taken[at][0] >= high):
+                taken.insert(at, (low, high))
+                rows.append((low, self.templates[i][0], self.templates[i][0], saved, missing, extra))
+        for at, end, block, have in segments_:
+            before = bisect.bisect(taken, (end,))
+            if before == 0 or taken[before - 1][1] <= at:
+                saved, i = self.rank(block)[0]
+                missing, extra, _, _ = self.differences(have, -i)
+                rows.append((at, None, self.templates[-i][0], saved, missing, extra))
+        yield from sorted(rows, key=lambda r: r[0])
 
 
 SCHEMA = "doc_id long, start long, licence string, nearest string, saved double, missing array<string>, extra array<string>"
 
 
 def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
-    """One row for each candidate block: doc_id, start (code points), licence, nearest template, share saved, wording differences."""
+    """One row for each notice, and each segment with a cue but no notice: doc_id, start (code points), licence, nearest template, share saved, wording differences."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner, names = Scanner(templates), [x.split()[0] for x in SCHEMA.split(", ")]

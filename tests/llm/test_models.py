@@ -119,3 +119,21 @@ def test_licences(docs, sample, none):
     assert license_scan.scan(docs).count() == 0 and license_scan.scan(none).count() == 0
     long = "x" * 5000 + " Released under the MIT License. " + "y " * 4000
     assert any(r[1] == "MIT" for r in scanner.scan(long)) or any(r[2] == "MIT" for r in scanner.scan(long))
+
+
+def test_licences_across_lines_and_segments():
+    scanner = license_scan.Scanner()
+    found = lambda text: [(r[0], r[1]) for r in scanner.scan(text) if r[1]]
+    assert found("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0.") == [(0, "MPL-2.0")]
+    isc = license_scan.TEMPLATES[8][1].replace(" any purpose", "\nany purpose").replace("above copyright", "above\ncopyright")
+    assert found("Name\n\n" + isc) == [(6, "ISC")]
+    for at in range(1960, 2040):
+        assert found("a " * (at // 2) + "b" * (at % 2) + "\tReleased under the MIT License. " + "c " * 900) == [(at + 1, "MIT")]
+    for name, text in license_scan.TEMPLATES:
+        long = "Prose of the world and its words. " * 200
+        assert found(long + text + " " + long) == [(len(long), name)]
+        assert found(text.replace(" ", "\n # ")) == [(0, name)]
+    every = "\n".join(text for _, text in license_scan.TEMPLATES)
+    assert [name for _, name in found(every)] == [name for name, _ in license_scan.TEMPLATES]
+    assert [name for _, name in found(every.replace("\n", " "))] == [name for name, _ in license_scan.TEMPLATES]
+    assert found("x" * 5000 + " Released under the MIT License. " + "y " * 4000) == [(5001, "MIT")]
