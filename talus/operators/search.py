@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -14,20 +16,27 @@ from pyspark.sql.window import Window
 
 from ..functions import text as X
 
-#: Queries of one call, as vectors on every executor: 10,000 of 1024 places are 80 MB.
-MOST_QUERIES = 10_000
+#: Queries of one block, as vectors on every executor: 10,000 of 1024 places are 80 MB. More queries go in more blocks.
+BLOCK_QUERIES = 10_000
+#: Distances that a task holds at once.
+HELD = 1_000_000
 GATE = 0.6
 RRF_K = 60
 
 
-def query_block(queries: DataFrame, key: str, vector: str) -> tuple[list, np.ndarray]:
-    """Keys and unit vectors of a stated, bounded set of queries."""
-    rows = queries.select(key, vector).limit(MOST_QUERIES + 1).collect()
-    if len(rows) > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries in one call")
-    rows.sort(key=lambda r: r[0])
-    matrix = np.array([r[1] for r in rows], np.float64).reshape(len(rows), len(rows[0][1]) if rows else 0)
-    return [r[0] for r in rows], _units(matrix)
+def query_blocks(queries: DataFrame, key: str, vector: str) -> Iterator[tuple[list, np.ndarray]]:
+    """Keys and unit vectors of all queries, BLOCK_QUERIES at a time; one empty block if there are none."""
+    rows = queries.select(key, vector)
+    few = rows.limit(BLOCK_QUERIES + 1).collect()
+    some = iter(few if len(few) <= BLOCK_QUERIES else rows.toLocalIterator())
+    block = list(islice(some, BLOCK_QUERIES))
+    while True:
+        block.sort(key=lambda r: r[0])
+        matrix = np.array([r[1] for r in block], np.float64).reshape(len(block), len(block[0][1]) if block else 0)
+        yield [r[0] for r in block], _units(matrix)
+        block = list(islice(some, BLOCK_QUERIES))
+        if not block:
+            return
 
 
 def _units(matrix: np.ndarray) -> np.ndarray:
@@ -36,40 +45,54 @@ def _units(matrix: np.ndarray) -> np.ndarray:
 
 
 def distances(queries: DataFrame, chunks: DataFrame, k: int | None, query_key: str = "query_id", key: str = "id", vector: str = "embedding", most: float | None = None, skip_self: bool = False) -> DataFrame:
-    """(query_id, id, distance): cosine distances of all chunks to a stated set of queries, in blocks of rows.
+    """(query_id, id, distance): cosine distances of all chunks to all queries, in blocks of both.
 
-    With `k`, each batch of chunks keeps its k nearest for each query (ties by id) before anything is shuffled. A vector
+    Each block of queries is broadcast and meets all chunks; any number of queries runs, in one pass over the chunks for
+    every BLOCK_QUERIES. With `k`, each batch of chunks keeps its k nearest for each query (ties by id) before anything is shuffled. A vector
     of zeros is at distance 1; vectors of different length are an error.
     """
     if k is not None and k < 1:
         raise ValueError("k must be 1 or more")
-    names, matrix = query_block(queries, query_key, vector)
     # The query keys come back in their own type.
     wide = {"int": np.int32, "smallint": np.int16, "tinyint": np.int8}.get(queries.schema[query_key].dataType.simpleString())
-    shared = chunks.sparkSession.sparkContext.broadcast((np.array(names, wide), matrix))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, matrix = shared.value
-        if not len(wanted):
-            return
-        for batch in batches:
-            ids, lists = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
-            rows = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            if len(rows) != len(ids) * matrix.shape[1]:
-                raise ValueError("vectors of different length")
-            far = np.clip(1 - _units(rows.reshape(len(ids), -1)) @ matrix.T, 0, 2).T
-            for q in range(len(wanted)):
-                keep = np.ones(len(ids), bool) if not skip_self else ids != wanted[q]
+    schema = T.StructType([T.StructField("query_id", queries.schema[query_key].dataType), T.StructField("id", chunks.schema[key].dataType), T.StructField("distance", T.DoubleType())])
+    rows = chunks.select(key, vector).filter(F.col(vector).isNotNull())
+
+    def of_block(names: list, matrix: np.ndarray) -> DataFrame:
+        shared = chunks.sparkSession.sparkContext.broadcast((np.array(names, wide), matrix))
+        return rows.mapInArrow(lambda batches: _scored(batches, *shared.value, k, most, skip_self), schema)
+
+    return reduce(DataFrame.unionByName, (of_block(*block) for block in query_blocks(queries, query_key, vector)))
+
+
+def _scored(batches: Iterator[pa.RecordBatch], wanted: np.ndarray, matrix: np.ndarray, k: int | None, most: float | None, skip_self: bool) -> Iterator[pa.RecordBatch]:
+    if not len(wanted):
+        return
+    for batch in batches:
+        ids, lists = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+        rows = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        if len(rows) != len(ids) * matrix.shape[1]:
+            raise ValueError("vectors of different length")
+        units = _units(rows.reshape(len(ids), -1))
+        step = max(1, HELD // max(1, len(ids)))
+        for low in range(0, len(wanted), step):
+            far = np.clip(1 - units @ matrix[low : low + step].T, 0, 2).T
+            places = []
+            for q in range(len(far)):
+                keep = np.ones(len(ids), bool) if not skip_self else ids != wanted[low + q]
                 if most is not None:
                     keep &= far[q] <= most
                 at = np.flatnonzero(keep)
                 if k is not None:
-                    at = at[np.lexsort((ids[at], np.round(far[q][at], 12)))[:k]]
-                if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(wanted[q], len(at))), pa.array(ids[at]), pa.array(far[q][at])], ["query_id", "id", "distance"])
-
-    schema = T.StructType([T.StructField("query_id", queries.schema[query_key].dataType), T.StructField("id", chunks.schema[key].dataType), T.StructField("distance", T.DoubleType())])
-    return chunks.select(key, vector).filter(F.col(vector).isNotNull()).mapInArrow(run, schema)
+                    near = np.round(far[q][at], 12)
+                    if len(at) > k:  # with all that tie with the k-th
+                        inside = near <= np.partition(near, k - 1)[k - 1]
+                        at, near = at[inside], near[inside]
+                    at = at[np.lexsort((ids[at], near))[:k]]
+                places.append(at)
+            at, q = np.concatenate(places), np.repeat(np.arange(len(far)), [len(x) for x in places])
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(wanted[low + q]), pa.array(ids[at]), pa.array(far[q, at])], ["query_id", "id", "distance"])
 
 
 def nearest(queries: DataFrame, chunks: DataFrame, k: int = 10, **options) -> DataFrame:

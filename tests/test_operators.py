@@ -222,3 +222,11 @@ def test_hits_are_all_chunks(spark, sf, tmp_path):
     assert values(got["round_robin_interleave"].groupBy("collection").count(), "count") == [(10,)] * 4
     assert got["exact_boost"].count() == 1199 + 1 and got["rerank_merge"].count() == 200
     assert min(r.score for r in got["exact_boost"].collect()) < 0.4
+
+
+def test_more_queries_than_a_block_holds(spark):
+    rows = spark.range(10_007).select("id", F.array(F.lit(1.0), F.col("id").cast("double")).alias("embedding"))
+    few = rows.filter("id < 3")
+    near = search.nearest(rows, few, 1, query_key="id", skip_self=True)
+    assert near.count() == near.select("query_id").distinct().count() == 10_007
+    assert values(near.filter("query_id IN (0, 1, 2, 10006)"), "query_id", "id") == [(0, 1), (1, 2), (2, 1), (10006, 2)]
