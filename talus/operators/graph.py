@@ -5,6 +5,8 @@ Edges are (from_id, to_id, link_type) and may carry creators and dates.
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -77,14 +79,39 @@ def merge_links(old: DataFrame, new: DataFrame) -> DataFrame:
     return merged.select("from_id", "to_id", "link_type", F.col("first.created_by").alias("created_by"), F.col("first.created_at").alias("created_at"), F.array_sort(F.array_remove("by", F.col("first.created_by"))).alias("co_discovered_by"))
 
 
-def resolve_aliases(docs: DataFrame, key: str, alias_of: str, most: int = 8) -> DataFrame:
-    """(key, target): the end of each chain of aliases; a chain that runs into a cycle or past `most` links ends where it is."""
-    step = docs.filter(F.col(alias_of).isNotNull()).select(F.col(key).alias("__at"), F.col(alias_of).alias("__to"))
-    out = docs.select(key, F.col(key).alias("target"), F.array(F.col(key)).alias("__seen"))
-    for _ in range(most):
-        moved = F.col("__to").isNotNull() & ~F.array_contains("__seen", F.col("__to"))
-        out = out.join(step, out["target"] == step["__at"], "left").select(key, F.when(moved, F.col("__to")).otherwise(F.col("target")).alias("target"), F.when(moved, F.array_append("__seen", F.col("__to"))).otherwise(F.col("__seen")).alias("__seen"))
-    return out.select(key, "target")
+def _ends(links: DataFrame) -> tuple[DataFrame, bool]:
+    """(at, to) with the end of each chain of links (at, to), and whether some chain has none.
+
+    Pointers are doubled until none moves: a chain of n links takes about log2(n) joins. With more steps behind each
+    pointer than there are links, what still moves goes round a cycle and points into it.
+    """
+    jumps, steps = links.checkpoint(), 1
+    n = jumps.count()
+    while n:
+        ahead = jumps.select(F.col("at").alias("to"), F.col("to").alias("next"))
+        moved = jumps.join(ahead, "to", "left").select("at", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved")).checkpoint()
+        jumps, steps = moved.select("at", "to"), 2 * steps
+        if moved.filter("moved").isEmpty():
+            return jumps, False
+        if steps > n:
+            return jumps, True
+    return jumps, False
+
+
+def resolve_aliases(docs: DataFrame, key: str, alias_of: str) -> DataFrame:
+    """(key, target): the end of each chain of aliases, of any length; a chain that runs into a cycle ends before the document that it would meet again."""
+    context = docs.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(docs.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    links = docs.select(F.col(key).alias("at"), F.col(alias_of).alias("to")).filter("at IS NOT NULL AND to IS NOT NULL").checkpoint()
+    ends, cyclic = _ends(links)
+    if cyclic:
+        # Every document of a cycle is pointed to by another of it; without the cycles' links, chains end where they enter one.
+        inside = ends.select(F.col("to").alias("at")).join(links, "at", "left_semi").distinct().checkpoint()
+        before = links.join(inside, "at", "left_semi").select("to", F.col("at").alias("last"))
+        entries = _ends(links.join(inside, "at", "left_anti"))[0].unionByName(inside.withColumn("to", F.col("at")))
+        ends = entries.join(before, "to", "left").select("at", F.coalesce("last", "to").alias("to"))
+    return docs.select(key).join(ends, F.col(key) == F.col("at"), "left").select(key, F.coalesce("to", key).alias("target"))
 
 
 def same_as(docs: DataFrame, key: str, digest: str) -> DataFrame:

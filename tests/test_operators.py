@@ -230,3 +230,24 @@ def test_more_queries_than_a_block_holds(spark):
     near = search.nearest(rows, few, 1, query_key="id", skip_self=True)
     assert near.count() == near.select("query_id").distinct().count() == 10_007
     assert values(near.filter("query_id IN (0, 1, 2, 10006)"), "query_id", "id") == [(0, 1), (1, 2), (2, 1), (10006, 2)]
+
+
+def test_aliases_of_any_length(spark):
+    to = {i: i + 1 for i in range(100)} | {200: 201, 201: 202, 202: 203, 203: 201, 300: 300, 400: 999, 500: 400}
+    got = dict(values(graph.resolve_aliases(spark.createDataFrame([(i, to.get(i)) for i in [*to, 100, 600]], "id long, alias_of long"), "id", "alias_of"), "id", "target"))
+    for i in [*to, 100, 600]:
+        seen = [i]
+        while seen[-1] in to and to[seen[-1]] not in seen:
+            seen.append(to[seen[-1]])
+        assert got.pop(i) == seen[-1]
+    assert not got
+    one = spark.createDataFrame([(1, None), (2, 1)], "id long, alias_of long")
+    assert values(graph.resolve_aliases(one, "id", "alias_of"), "id", "target") == [(1, 1), (2, 1)]
+    assert graph.resolve_aliases(one.limit(0), "id", "alias_of").count() == 0
+
+
+def test_all_evidence(spark):
+    from talus.operators import steps
+
+    (row,) = steps.agree(spark.range(250).withColumn("g", F.lit(0)), "g", "id").collect()
+    assert not row.ok and len(row.evidence) == 250
