@@ -59,10 +59,19 @@ def traverse(seeds: DataFrame, edges: DataFrame, link_types: list[str] | None =
 
 
 def suggest_links(docs: DataFrame, key: str, stem: str, title: str, edges: DataFrame, longer_than: int = 3) -> DataFrame:
-    """(from_id, to_id): titles that hold another document's stem as a word, where no link joins the two in either direction."""
-    stems = docs.select(F.col(key).alias("to_id"), F.lower(stem).alias("word")).filter(F.length("word") > longer_than)
-    words = docs.select(F.col(key).alias("from_id"), F.explode(F.array_distinct(F.split(F.regexp_replace(F.lower(title), "[^a-z0-9_]+", " "), " "))).alias("word"))
-    met = words.join(stems, "word").filter("from_id <> to_id").select("from_id", "to_id").distinct()
+    """(from_id, to_id): titles that contain another document's stem, where no link joins the two in either direction.
+
+    Lower case counts, without `_` in stems and without `-`, `_` and blanks in titles. Distinct titles are cut into all
+    pieces of the lengths that stems have, and pieces meet stems as equal strings.
+    """
+    stems = docs.select(F.col(key).alias("to_id"), F.replace(F.lower(stem), F.lit("_"), F.lit("")).alias("word")).filter(F.length("word") > longer_than)
+    titles = docs.select(F.col(key).alias("from_id"), F.regexp_replace(F.lower(title), "[-_ ]", "").alias("title"))
+    words = stems.select("word").distinct()
+    sizes = F.array(*(F.lit(r[0]) for r in words.select(F.length("word")).distinct().collect())).cast("array<int>")
+    n = F.length("title")
+    pieces = F.flatten(F.transform(F.filter(sizes, lambda k: k <= n), lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substr("title", i, k))))
+    holds = titles.select("title").distinct().select("title", F.explode(F.array_distinct(pieces)).alias("word")).join(words, "word")
+    met = titles.join(holds, "title").join(stems, "word").filter("from_id <> to_id").select("from_id", "to_id").distinct()
     known = edges.select("from_id", "to_id").union(edges.select(F.col("to_id"), F.col("from_id"))).distinct()
     return met.join(known, ["from_id", "to_id"], "left_anti")
 

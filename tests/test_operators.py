@@ -251,3 +251,10 @@ def test_all_evidence(spark):
 
     (row,) = steps.agree(spark.range(250).withColumn("g", F.lit(0)), "g", "id").collect()
     assert not row.ok and len(row.evidence) == 250
+
+
+def test_suggested_links_hold_stems_anywhere(spark):
+    docs = spark.createDataFrame([(1, "query_planner", "Notes"), (2, "chunk", "Query Planner Design"), (3, "api", "On chunking, api"), (4, None, "query-planner_chunk"), (5, "planner", None), (6, "_ab_", "ab")], "id long, stem string, title string")
+    edges = spark.createDataFrame([(1, 4)], "from_id long, to_id long")
+    assert values(graph.suggest_links(docs, "id", "stem", "title", edges), "from_id", "to_id") == [(2, 1), (2, 5), (3, 2), (4, 2), (4, 5)]
+    assert graph.suggest_links(docs.limit(0), "id", "stem", "title", edges).count() == 0
