@@ -185,7 +185,8 @@ def training_rows(docs: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
-    """The documents in some learned language, with all their columns as they came: `und` goes."""
+    """The documents in some language, with all their columns as they came: `und` goes. With no prototypes, only texts without a letter go."""
+    prototypes = prototypes or {"any": np.ones(DIMENSIONS)}
     own = {c: f"__own_{c}" for c in ("lang_pred", "score") if c in docs.columns}
     kept = predict(docs.withColumnsRenamed(own), prototypes).filter("lang_pred <> 'und'").drop("lang_pred", "score")
     return kept.withColumnsRenamed({new: old for old, new in own.items()}).select(*docs.columns)

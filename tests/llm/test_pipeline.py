@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from talus.llm import exact_dedup, simhash
 
@@ -20,3 +22,9 @@ def test_run(spark, sf):
     kept = simhash.keep_one_of_each(exact_dedup.deduplicate(docs))
     assert set(r.doc_id for r in out.select("doc_id").distinct().collect()) <= set(r.doc_id for r in kept.collect())
     assert out.count() > 0
+
+
+def test_no_labels_drop_nothing_but_letterless_texts(spark, docs, sf):
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    kept = corpus_pipeline.identify_language(spark, unlabelled, sf)
+    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 2, 6, 7, 8, 9, 10]
