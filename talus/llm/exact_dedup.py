@@ -1,15 +1,20 @@
 """Exact duplicates of whole texts by counting quotient filters.
 
 Every partition builds a counting quotient filter over the 64-bit fingerprints of its texts: the leading bits of a
-fingerprint name a block and a slot in it (the quotient), the sorted remainders of a slot form its run, and each
-remainder carries a count. The filters of a block merge without loss by merging their sorted remainders and adding the
-counts. Only texts whose fingerprint has a merged count above one are compared byte for byte, by grouping on the text
-itself: Spark combines equal texts inside each map task, so a text that a third of all rows share is sent once a task.
-
-Defined results: a null text counts as empty, and empty texts equal each other. Of equal texts the row with the largest
-doc_id stays; rows that repeat both doc_id and text carry equal results, and `deduplicate` keeps one of them. A null
-doc_id ranks below all others. An empty table gives an empty result. Columns other than doc_id and text pass untouched
-through `deduplicate` and are ignored by `duplicate_groups`.
+fingerprint name a block and a slot in it (the quotient), the sorted remainders of a slot form its run, kept in as few
+bytes as they need, and remainders that occur more than once carry a count. Filters are shuffled by block, and those of a
+block merge without loss by merging their sorted remainders and adding the counts. Only texts whose fingerprint has a
+merged count above one are compared byte for byte, by grouping on the text itself: Spark combines equal texts inside each
+map task, so a text that a third of all rows share is sent once a task.
+
+The texts are read twice: for fingerprints and digests, which are written to the shared folder, and for the bytes of the
+texts whose fingerprint occurs again. Up to BROADCAST_ROWS repeated fingerprints go to every task; more are met by a
+shuffle.
+
+Defined results: a null text counts as empty, and empty texts equal each other; a text of any length is compared whole. Of
+equal texts the row with the largest doc_id stays; rows that repeat both doc_id and text carry equal results, and
+`deduplicate` keeps one of them. A null doc_id ranks below all others. An empty table gives an empty result. Columns other
+than doc_id and text, whatever their names, pass untouched through `deduplicate` and are ignored by `duplicate_groups`.
 """
 
 from __future__ import annotations
@@ -17,21 +22,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: 4096 blocks: at 50 billion texts a block merges about 12 million fingerprints, some 100 MB.
-BLOCK_BITS = 12
-#: Slots in a block.
-SLOT_BITS = 4
-REMAINDER_BITS = 64 - BLOCK_BITS - SLOT_BITS
-#: The routing bitmap has 2**22 bits (512 KB), whatever the input; more repeated fingerprints make it less selective, not wrong.
-ROUTE_BITS = 22
+from .common import cut, free_names
 
-FILTER_SCHEMA = "block int, runs binary, remainders binary, counts binary"
+#: Fingerprints in a partition's filter, and in a merged block, about: 64 MB each with their counts.
+FILTER_ROWS, BLOCK_ROWS = 2_000_000, 4_000_000
+#: Repeated fingerprints that are sent to every task, some 8 MB; beyond that they are joined by a shuffle.
+BROADCAST_ROWS = 250_000
+
+FILTER_SCHEMA = "block int, runs binary, remainders binary, places binary, counts binary"
 
 
 def combine(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -42,7 +45,35 @@ def combine(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return values[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-def build_filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class Shape:
+    """How the 64 bits of a fingerprint are dealt out: block, slot, remainder."""
+
+    def __init__(self, rows: int) -> None:
+        self.block_bits = max(1, (rows // BLOCK_ROWS).bit_length())
+        self.slot_bits = max(0, (min(rows, FILTER_ROWS) >> self.block_bits).bit_length() - 1)
+        self.remainder_bits = 64 - self.block_bits - self.slot_bits
+        self.width = -(-self.remainder_bits // 8)
+
+    def pack(self, block: int, values: np.ndarray, counts: np.ndarray) -> tuple:
+        """A block of a filter, of sorted distinct fingerprints, as a row of FILTER_SCHEMA."""
+        slots = (values >> np.uint64(self.remainder_bits)) & np.uint64(2**self.slot_bits - 1)
+        runs = np.bincount(slots.astype(np.int64), minlength=2**self.slot_bits)
+        remainders = (values & np.uint64(2**self.remainder_bits - 1)).view(np.uint8).reshape(-1, 8)[:, : self.width]
+        places = np.flatnonzero(counts > 1)
+        return block, runs.astype(np.uint8 if runs.max() < 256 else np.uint32).tobytes(), remainders.tobytes(), places.astype(np.uint32).tobytes(), counts[places].astype(np.int64).tobytes()
+
+    def unpack(self, block: int, runs: bytes, remainders: bytes, places: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+        lengths = np.frombuffer(runs, np.uint8 if len(runs) == 2**self.slot_bits else np.uint32)
+        wide = np.zeros((len(remainders) // self.width, 8), np.uint8)
+        wide[:, : self.width] = np.frombuffer(remainders, np.uint8).reshape(-1, self.width)
+        slots = np.repeat(np.arange(2**self.slot_bits, dtype=np.uint64), lengths)
+        top = np.uint64(block << (64 - self.block_bits))
+        times = np.ones(len(wide), np.int64)
+        times[np.frombuffer(places, np.uint32)] = np.frombuffer(counts, np.int64)
+        return top | slots << np.uint64(self.remainder_bits) | wide.reshape(-1).view(np.uint64), times
+
+
+def build_filters(batches: Iterator[pa.RecordBatch], shape: Shape) -> Iterator[pa.RecordBatch]:
     """One counting quotient filter for the partition, a row for each block in use."""
     held, held_counts, waiting = np.zeros(0, np.uint64), np.zeros(0, np.int64), []
 
@@ -57,76 +88,62 @@ def build_filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         if sum(map(len, waiting)) > 1_000_000:
             settle()
     settle()
-    quotients = held >> np.uint64(REMAINDER_BITS)
-    remainders = held & np.uint64(2**REMAINDER_BITS - 1)
-    blocks = (quotients >> np.uint64(SLOT_BITS)).astype(np.int64)
-    used, starts = np.unique(blocks, return_index=True)
-    rows = []
-    for block, a, b in zip(used, starts, [*starts[1:], len(held)][: len(used)], strict=True):
-        slots = (quotients[a:b] & np.uint64(2**SLOT_BITS - 1)).astype(np.int64)
-        runs = np.bincount(slots, minlength=2**SLOT_BITS).astype(np.uint32)
-        rows.append((int(block), runs.tobytes(), remainders[a:b].tobytes(), held_counts[a:b].tobytes()))
-    if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["block", "runs", "remainders", "counts"])
-
-
-def merge_block(filters: pd.DataFrame) -> pd.DataFrame:
-    """Merge a block's filters by sorted remainder; give the fingerprints that occur more than once."""
-    values, counts = [], []
-    for row in filters.itertuples():
-        slots = np.repeat(np.arange(2**SLOT_BITS, dtype=np.uint64), np.frombuffer(row.runs, np.uint32))
-        values.append(slots << np.uint64(REMAINDER_BITS) | np.frombuffer(row.remainders, np.uint64))
-        counts.append(np.frombuffer(row.counts, np.int64))
-    merged, total = combine(np.concatenate(values), np.concatenate(counts))
-    fingerprints = merged | np.uint64(int(filters["block"].iloc[0]) << (64 - BLOCK_BITS))
-    often = total > 1
-    return pd.DataFrame({"fp": fingerprints[often].view(np.int64), "copies": total[often]})
-
-
-def repeated_fingerprints(texts: DataFrame) -> DataFrame:
-    """(fp, copies) for each fingerprint of `text` that more than one row has."""
-    filters = texts.select(F.xxhash64("text").alias("fp")).mapInArrow(build_filters, FILTER_SCHEMA)
-    return filters.groupBy("block").applyInPandas(merge_block, "fp long, copies long")
-
-
-def _route(repeated: DataFrame):
-    """A predicate on fingerprints that holds for every repeated one and, by chance, for some others."""
-    slot = F.shiftrightunsigned("fp", 64 - ROUTE_BITS)
-    words = repeated.groupBy((F.shiftright(slot, 6)).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(fp, {64 - ROUTE_BITS}) & 63 as int))")).alias("bits"))
-    got = words.toPandas()  # 2**16 rows at most
-    bitmap = np.zeros(2 ** (ROUTE_BITS - 6), np.uint64)
-    bitmap[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).view(np.uint64)
-    shared = repeated.sparkSession.sparkContext.broadcast(bitmap)
-
-    @F.pandas_udf("boolean")
-    def routed(fp: pd.Series) -> pd.Series:
-        at = fp.to_numpy(np.int64).view(np.uint64) >> np.uint64(64 - ROUTE_BITS)
-        return pd.Series((shared.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool))
-
-    return routed
+    used, starts = np.unique((held >> np.uint64(64 - shape.block_bits)).astype(np.int64), return_index=True)
+    for block, a, b in zip(used.tolist(), starts, [*starts[1:], len(held)][: len(used)], strict=True):
+        row = shape.pack(block, held[a:b], held_counts[a:b])
+        kinds = (pa.int32(), *[pa.binary()] * 4)
+        yield pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip(row, kinds, strict=True)], [x.split()[0] for x in FILTER_SCHEMA.split(", ")])
+
+
+def merge_filters(batches: Iterator[pa.RecordBatch], shape: Shape) -> Iterator[pa.RecordBatch]:
+    """The fingerprints that occur more than once, from filters in the order of their blocks: one block is held at a time."""
+    block, values, counts = None, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def repeated() -> pa.RecordBatch:
+        often = counts > 1
+        return pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(counts[often])], ["fp", "copies"])
+
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["block"] != block:
+                yield repeated()
+                block, values, counts = row["block"], np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            more, times = shape.unpack(*row.values())
+            values, counts = combine(np.concatenate([values, more]), np.concatenate([counts, times]))
+    yield repeated()
+
+
+def repeated_fingerprints(prints: DataFrame) -> DataFrame:
+    """(fp, copies) for each value of `fp` that more than one row has."""
+    rows = prints.count()
+    shape = Shape(rows)
+    # Few large filters instead of many small ones; partitions are put together without a shuffle.
+    filters = prints.select("fp").coalesce(max(8, rows // FILTER_ROWS + 1)).mapInArrow(lambda x: build_filters(x, shape), FILTER_SCHEMA)
+    return filters.repartition("block").sortWithinPartitions("block").mapInArrow(lambda x: merge_filters(x, shape), "fp long, copies long")
 
 
 def duplicate_groups(docs: DataFrame) -> DataFrame:
     """One row for each document: doc_id, keep_id, group_size, kept, text_sha256."""
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    routed = _route(repeated_fingerprints(texts))
-    marked = texts.withColumn("again", routed(F.xxhash64("text")))
-    candidates = marked.filter("again")
-    groups = candidates.groupBy("text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    groups = groups.select(F.sha2("text", 256).alias("text_sha256"), "keep_id", "group_size")
-    members = candidates.select("doc_id", F.sha2("text", 256).alias("text_sha256")).join(groups, "text_sha256")
-    single = marked.filter(~F.col("again")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.sha2("text", 256).alias("text_sha256"))
-    return members.select("doc_id", "keep_id", "group_size", "text_sha256").unionByName(single).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("fp", F.xxhash64("text"))
+    prints = cut(texts.select("doc_id", "fp", F.sha2("text", 256).alias("text_sha256")))
+    repeated = cut(repeated_fingerprints(prints).select("fp"))
+    few = repeated.count() <= BROADCAST_ROWS
+    candidates = texts.join(F.broadcast(repeated) if few else repeated, "fp", "left_semi")
+    groups = candidates.groupBy("fp", "text").agg(F.max("doc_id").alias("most"), F.count("*").alias("n")).select(F.sha2("text", 256).alias("text_sha256"), "most", "n")
+    whole = prints.drop("fp").join(groups, "text_sha256", "left")
+    keep = F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("most"))
+    return whole.select("doc_id", keep.alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows that stay, with all their columns."""
+    mine, sha, place = free_names(docs, "__id", "__sha", "__nth")
     identity = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
-    stay = duplicate_groups(docs).filter("kept").select(identity.alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
-    keyed = docs.withColumn("__id", identity).withColumn("__sha", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
+    stay = duplicate_groups(docs).filter("kept").select(identity.alias(mine), F.col("text_sha256").alias(sha)).distinct()
+    keyed = docs.withColumn(mine, identity).withColumn(sha, F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
     # The window uses the join's partitioning and order: repeated rows leave one.
-    nth = F.row_number().over(Window.partitionBy("__id", "__sha").orderBy("__id"))
-    return keyed.join(stay, ["__id", "__sha"], "left_semi").withColumn("__nth", nth).filter("__nth = 1").select(*docs.columns)
+    nth = F.row_number().over(Window.partitionBy(mine, sha).orderBy(mine))
+    return keyed.join(stay, [mine, sha], "left_semi").withColumn(place, nth).filter(F.col(place) == 1).select(*docs.columns)
 
 
 ORACLE = """

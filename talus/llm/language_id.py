@@ -8,8 +8,9 @@ with the prototypes by cosine, both freed of what all languages have in common (
 Letters are lower-cased; each run of other characters counts as one blank, and a text begins and ends with one.
 
 Defined results: a null text, or one without a letter, is `und` with score 0. Ties go to the language that sorts first.
-With nothing learned every text is `und`. An empty table gives an empty result. Only text (and, to learn from, lang and
-doc_id) is read; other columns pass untouched through `accepted`.
+With nothing learned every text is `und`. A text of any length is profiled whole, a part at a time. Rows that repeat are
+predicted alike, and each counts where prototypes are learned. An empty table gives an empty result. Only text (and, to
+learn from, lang and doc_id) is read; other columns, whatever their names, pass untouched through `accepted`.
 """
 
 from __future__ import annotations
@@ -19,11 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import is_held_out
+from .common import free_names, is_held_out
 
 DIMENSIONS = 2048
 #: Distinct language labels that may be learned; a table with more has something else in its lang column.
@@ -33,6 +34,8 @@ CHUNK, GRAMS = 200_000, 2048
 #: Texts whose profiles are held at once.
 ROWS = 256
 HELD_OUT = (4, 2)
+#: Of the smallest score that a rightly predicted text of the same length has.
+SHARE = 0.5
 
 
 def letter_vectors(code_points: np.ndarray) -> np.ndarray:
@@ -157,7 +160,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: list[str]
     common = _units(matrix.sum(axis=0, keepdims=True))[0] if len(names) > 1 else np.zeros(DIMENSIONS, np.float32)
     own = _units(matrix - np.outer(matrix @ common, common)) if names else matrix
     model = docs.sparkSession.sparkContext.broadcast((names, common, own))
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("lang_pred", "score")]
 
     def guess(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, common, own = model.value
@@ -184,9 +187,28 @@ def training_rows(docs: DataFrame) -> DataFrame:
     return docs.filter(~is_held_out(F.col("doc_id"), *HELD_OUT))
 
 
-def accepted(docs: DataFrame, prototypes: dict[str, np.ndarray]) -> DataFrame:
-    """The documents in some language, with all their columns as they came: `und` goes. With no prototypes, only texts without a letter go."""
-    prototypes = prototypes or {"any": np.ones(DIMENSIONS)}
-    own = {c: f"__own_{c}" for c in ("lang_pred", "score") if c in docs.columns}
-    kept = predict(docs.withColumnsRenamed(own), prototypes).filter("lang_pred <> 'und'").drop("lang_pred", "score")
-    return kept.withColumnsRenamed({new: old for old, new in own.items()}).select(*docs.columns)
+def length_class(text: str = "text") -> Column:
+    """0 for an empty text, 1 for one character, 2 for two and three, and so on by powers of two."""
+    return F.floor(F.log2(F.char_length(F.coalesce(text, F.lit(""))) + F.lit(0.5)) + 1).cast("int")
+
+
+def least_scores(labelled: DataFrame, prototypes: dict[str, np.ndarray], share: float = SHARE) -> DataFrame:
+    """(class, least): for texts of each length class, `share` of the smallest score that a rightly predicted row of (text, lang) has."""
+    known = labelled.select("text", "lang").filter("lang IS NOT NULL AND text IS NOT NULL")
+    right = predict(known, prototypes).filter("lang_pred = lang")
+    return right.groupBy(length_class().alias("class")).agg((share * F.min("score")).alias("least"))
+
+
+def accepted(docs: DataFrame, prototypes: dict[str, np.ndarray], least: DataFrame | None = None) -> DataFrame:
+    """The documents in some language, with all their columns as they came.
+
+    `und` goes, and so does a text whose score is below `least` (as least_scores has it) for its length: it is less like
+    its language than half of what the least typical known text of that length is. Classes without a known text lose
+    nothing more. With no prototypes, only texts without a letter go.
+    """
+    own = {c: new for c, new in zip(docs.columns, free_names(docs, *(f"__own_{i}" for i in range(len(docs.columns)))), strict=True) if c.lower() != "text"}
+    guessed = predict(docs.withColumnsRenamed(own), prototypes or {"any": np.ones(DIMENSIONS)}).filter("lang_pred <> 'und'")
+    if least is not None and prototypes:
+        # As many rows as a text has powers of two: 64 at most.
+        guessed = guessed.withColumn("class", length_class()).join(F.broadcast(least), "class", "left").filter("least IS NULL OR score >= least")
+    return guessed.select(*(F.col(own.get(c, c)).alias(c) for c in docs.columns))

@@ -15,8 +15,9 @@ components is lost. Each link is verified on the full fingerprints. Components c
 
 Defined results: A-Z are lower-cased; words are runs of anything but blank and U+0009 to U+000D; shingles have three
 words and count as often as they occur; a shorter text is one shingle; a null, empty or blank text has fingerprint zero
-and links like any other. Equal doc_ids give a row each. Null doc_ids take part in links but name no component unless
-they are alone. An empty table gives an empty result; other columns are ignored.
+and links like any other. A text of any length is fingerprinted whole. Rows that repeat, also in doc_id alone, give a row
+each. Null doc_ids take part in links but name no component unless they are alone, when component_id is null. An empty
+table gives an empty result; other columns, whatever their names, are ignored, and pass untouched through keep_one_of_each.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ascii_lower, cut, words
+from .common import ascii_lower, cut, free_names, words
 from .components import connected_components
 
 RADIUS = 3
@@ -155,6 +156,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """The documents with the smallest doc_id of their component, with all their columns; rows that repeat a doc_id go together."""
+    (mine,) = free_names(docs, "__id")
     identity = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
-    stay = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(identity.alias("__id")).distinct()
-    return docs.withColumn("__id", identity).join(stay, "__id", "left_semi").select(*docs.columns)
+    stay = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(identity.alias(mine)).distinct()
+    return docs.withColumn(mine, identity).join(stay, mine, "left_semi").select(*docs.columns)

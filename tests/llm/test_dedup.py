@@ -4,7 +4,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -35,24 +35,42 @@ def test_exact_keeps_columns_and_one_row_of_repeats(docs, none):
     assert exact_dedup.duplicate_groups(none).count() == 0 and exact_dedup.deduplicate(none).count() == 0
 
 
-def test_filters_merge_without_loss():
+@pytest.mark.parametrize("rows", [0, 5, 3_000, 30_000_000])
+def test_filters_merge_without_loss(rows):
+    """Every split of the bits: the shapes of a tiny and of a large table; a few fingerprints repeat, one very often."""
+    shape = exact_dedup.Shape(rows)
     rng = np.random.default_rng(1)
-    parts = [rng.integers(0, 2**63, 500, dtype=np.uint64) >> np.uint64(rng.integers(0, 20)) for _ in range(4)]
-    parts.append(parts[0][:50])
-    import pyarrow as pa
-
+    parts = [rng.integers(0, 2**64, 500, dtype=np.uint64) >> np.uint64(rng.integers(0, 20)) for _ in range(4)]
+    parts += [parts[0][:50], np.full(700, parts[1][0]), np.array([0, 2**64 - 1, 0], np.uint64)]
     filters = []
     for part in parts:
-        for batch in exact_dedup.build_filters(iter([pa.RecordBatch.from_arrays([pa.array(part.view(np.int64))], ["fp"])])):
-            filters += batch.to_pylist()
+        batches = iter([pa.RecordBatch.from_arrays([pa.array(part.view(np.int64))], ["fp"])])
+        filters += exact_dedup.build_filters(batches, shape)
+    in_order = sorted(filters, key=lambda x: x.column("block")[0].as_py())
     got = {}
-    for block, fs in pd.DataFrame(filters).groupby("block"):
-        out = exact_dedup.merge_block(fs)
-        got |= dict(zip(out["fp"].tolist(), out["copies"].tolist(), strict=True))
+    for out in exact_dedup.merge_filters(iter(in_order), shape):
+        got |= dict(zip(out.column("fp").to_pylist(), out.column("copies").to_pylist(), strict=True))
     values, counts = np.unique(np.concatenate(parts), return_counts=True)
     assert got == {int(v.astype(np.int64)): int(c) for v, c in zip(values, counts, strict=True) if c > 1}
 
 
+def test_exact_with_shuffled_fingerprints(docs, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "BROADCAST_ROWS", 0)
+    got = sorted(repr((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256)) for r in exact_dedup.duplicate_groups(docs).collect())
+    assert got == groups_by_hand([(r.doc_id, r.text) for r in docs.collect()])
+
+
+CLASHES = {"lang_pred": "__ID", "keep_id": "__sha", "n_chars": "__nth"}
+
+
+def test_clashing_columns_pass(docs):
+    clash = docs.withColumnsRenamed(CLASHES)
+    for stage in (exact_dedup.deduplicate, simhash.keep_one_of_each):
+        out = stage(clash)
+        assert out.columns == clash.columns
+        assert {tuple(r) for r in out.collect()} <= {tuple(r) for r in clash.collect()} and out.count() >= 8
+
+
 def fingerprint_by_hand(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
     shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] if len(words) >= 3 else [" ".join(words)] if words else []
@@ -79,15 +97,15 @@ def components_by_hand(values):
 
 
 def test_simhash_documents(docs, sample):
-    for table in (docs.filter("doc_id IS NOT NULL AND doc_id <> 6"), sample.limit(150)):
-        rows = [(r.doc_id, r.text) for r in table.collect()]
-        prints = {d: fingerprint_by_hand(t) for d, t in rows}
-        part = components_by_hand(prints.values())
+    low_of = lambda x: 2**63 if x is None else x
+    for table in (docs, sample.limit(150)):
+        rows = [(r.doc_id, fingerprint_by_hand(r.text)) for r in table.collect()]
+        part = components_by_hand(p for _, p in rows)
         low = {}
-        for d, p in prints.items():
-            low[part[p]] = min(d, low.get(part[p], d))
-        want = sorted((d, f"{prints[d]:016x}", low[part[prints[d]]]) for d, _ in rows)
-        assert sorted((r.doc_id, r.fingerprint, r.component_id) for r in simhash.near_duplicates(table).collect()) == want
+        for d, p in rows:
+            low[part[p]] = min(d, low.get(part[p], d), key=low_of)
+        want = sorted(repr((d, f"{p:016x}", low[part[p]])) for d, p in rows)
+        assert sorted(repr((r.doc_id, r.fingerprint, r.component_id)) for r in simhash.near_duplicates(table).collect()) == want
 
 
 def test_links_join_all_that_is_near(spark):

@@ -1,6 +1,7 @@
 import hashlib
 import math
 import re
+from collections import Counter
 
 import xxhash
 from pyspark.sql import functions as F
@@ -83,7 +84,30 @@ def test_mix_budgets(docs, sample, none):
             assert math.isclose(goal[s], target[s], rel_tol=1e-9, abs_tol=1e-6) and abs(taken[s] - target[s]) <= 1
     assert sorted(map(repr, mixing.mix(sample).collect())) == sorted(map(repr, mixing.mix(sample.repartition(7)).collect()))
     assert mixing.mix(none).count() == 0 and mixing.mixture(none).count() == 0
-    assert mixing.mixture(docs).columns == docs.columns
+
+
+def copies_of(table):
+    """Rows of the mixture, each as often as it comes."""
+    return Counter(repr(r) for r in mixing.mixture(table).collect())
+
+
+def test_mixture_takes_each_row_as_often_as_the_mix(spark, docs, sample):
+    clash = docs.withColumnsRenamed({"lang": "__id", "lang_pred": "__N", "keep_id": "__copy", "n_chars": "size"})
+    for table in (docs, clash, sample, docs.limit(0)):
+        rows = mixing.mix(table).collect()
+        want = Counter()
+        for r in rows:
+            want[r.doc_id, r.source] += r.copies + (r.part > 0)
+        got = Counter((r.doc_id, r.source) for r in mixing.mixture(table).collect())
+        assert got == +want and mixing.mixture(table).columns == table.columns
+        assert copies_of(table) == copies_of(table.repartition(5))
+    # One doc_id for texts of different sizes: each row has its own place and no budget is passed.
+    same = spark.createDataFrame([(1, "a " * n, s) for s in ("x", "y") for n in range(1, 30)], "doc_id long, text string, source string")
+    target = {r.source: r.target for r in mixing.mix(same).collect()}
+    words = Counter()
+    for r in mixing.mixture(same).collect():
+        words[r.source] += len(r.text.split())
+    assert all(target[s] <= words[s] < target[s] + 30 for s in target)
 
 
 def winnow_by_hand(text, k=winnowing.GRAM, w=winnowing.WINDOW):
