@@ -59,6 +59,21 @@ def test_chat_layouts(spark):
     assert chat.read_back(chat.format_turns(chat.canonical_turns(df.limit(0)))).count() == 0
 
 
+def goals_by_hand(sizes):
+    """Target of each source: shares by weight, full sources set aside until none is above three times its size."""
+    order = sorted(sizes, key=lambda s: (s is None, s))
+    weights = {s: 1 + i % 3 for i, s in enumerate(order)}
+    goal, total, open_ = {}, sum(sizes.values()), set(order)
+    while True:
+        left = total - sum(goal.values())
+        share = {s: left * weights[s] / sum(weights[x] for x in open_) for s in open_}
+        full = {s for s in open_ if share[s] > 3 * sizes[s]}
+        if not full:
+            return goal | share
+        goal |= {s: 3.0 * sizes[s] for s in full}
+        open_ -= full
+
+
 def test_mix_budgets(docs, sample, none):
     for table in (docs, sample):
         rows = mixing.mix(table).collect()
@@ -69,17 +84,8 @@ def test_mix_budgets(docs, sample, none):
             taken[r.source] = taken.get(r.source, 0) + r.taken
             target[r.source] = r.target
             assert r.taken <= 3 * r.size and r.source_size >= r.size
-        order = sorted(sizes, key=lambda s: (s is None, s))
-        weights = {s: 1 + i % 3 for i, s in enumerate(order)}
-        goal, total, open_ = {}, sum(sizes.values()), set(order)
-        while True:
-            left = total - sum(goal.values())
-            full = {s for s in open_ if left * weights[s] / sum(weights[x] for x in open_) > 3 * sizes[s]}
-            if not full:
-                goal |= {s: left * weights[s] / sum(weights[x] for x in open_) for s in open_}
-                break
-            goal |= {s: 3.0 * sizes[s] for s in full}
-            open_ -= full
+        goal = goals_by_hand(sizes)
+        order = list(goal)
         for s in order:
             assert math.isclose(goal[s], target[s], rel_tol=1e-9, abs_tol=1e-6) and abs(taken[s] - target[s]) <= 1
     assert sorted(map(repr, mixing.mix(sample).collect())) == sorted(map(repr, mixing.mix(sample.repartition(7)).collect()))
