@@ -5,23 +5,28 @@ row the smallest is chosen, the rightmost of equal ones, with its position. Two
 GRAM + WINDOW - 1 = 12 words share a chosen hash. Likeness is the Jaccard index of two texts' chosen hashes.
 
 Defined results: a text of fewer than five words is one run; fewer than eight hashes are one window; a null, empty or
-blank text has no hashes and an empty fingerprint. Two empty fingerprints have likeness 1, an empty and another 0. Equal
-texts have equal fingerprints. For `with_next`, rows with equal doc_ids stand in the order of their texts, null doc_ids
-come last; a single row is its own next. An empty table gives an empty result; other columns are ignored.
+blank text has no hashes and an empty fingerprint; a text of any length is fingerprinted whole. Two empty fingerprints have
+likeness 1, an empty and another 0. Equal texts have equal fingerprints. For `with_next`, null doc_ids come last, rows with
+equal doc_ids stand in the order of their texts' XXH64 and then of their texts, so that any number of them can be spread
+out; rows that repeat both come one after the other; a single row is its own next. An empty table gives an empty result;
+other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ascii_lower, words
+from .common import ascii_lower, cut, words
 
 GRAM = 5
 WINDOW = 8
-#: Documents in a range of doc_ids, and ranges at most: a table of heads stays below 2 MB.
-RANGE_ROWS, MOST_RANGES = 1000, 2**16
+#: Documents in a range, and the fan of the two levels of quantiles that cut ranges: FAN**2 = 262,144 of them, at 50 billion
+#: documents some 200,000 each. Bounds of the second level take 2 MB, heads of ranges some 20 MB at most.
+RANGE_ROWS, FAN = 250, 512
 
 
 def winnow(df: DataFrame, text: str, out: str, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
@@ -56,25 +61,47 @@ def likeness(a: str, b: str) -> Column:
     return F.when(total == 0, F.lit(1.0)).otherwise(shared / total)
 
 
+def _quantiles(key: str, fan: int) -> Column:
+    """Inner quantiles of a column by `fan`; no row is dealt with unevenly by more than a tenth of a part."""
+    return F.percentile_approx(key, [i / fan for i in range(1, fan)], max(10_000, 10 * fan)) if fan > 1 else F.array().cast("array<bigint>")
+
+
+def _place(key: str, bounds: Column) -> Column:
+    """How many of the bounds a key has reached; a bound that comes more than once has its key's rows to itself."""
+    reached = F.size(F.filter(F.array_distinct(bounds), lambda b: b <= F.col(key)))
+    again = F.filter(bounds, lambda b, i: (i > 0) & (b == F.get(bounds, i - 1)))
+    return reached + F.size(F.filter(F.array_distinct(again), lambda b: b < F.col(key)))
+
+
 def with_next(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, range, ahead): each document in its range of doc_ids, and the first document of the range below again, marked `ahead`.
+    """(doc_id, text, down, tie, range, ahead): each document in its range, and the first document of the range below again, marked `ahead`.
 
-    Ranges are of equal width in doc_id; a table of the largest doc_id of each range (bounded) says which documents stand
-    at an edge.
+    Documents stand by falling doc_id (rising `down`), then by rising `tie`. Ranges are cut at quantiles of the doc_ids,
+    counted in two steps: over all rows, then in each part. A doc_id with many rows is alone in its range, which is cut by
+    the hashes of the texts. A table of each range's first document says which ones go to the range above too.
     """
-    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("key"))
-    low, high, rows = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    low, high = low or 0, high or 0
-    ranges = max(1, min(MOST_RANGES, rows // RANGE_ROWS))
-    width = (high - low) // ranges + 1
-    keyed = keyed.withColumn("range", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.floor((F.col("doc_id") - low) / width)).cast("long"))
-    heads = keyed.groupBy("range").agg(F.max("key").alias("head"))
-    above = Window.orderBy("range")  # MOST_RANGES + 1 rows
-    above_all = above.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    heads = heads.select(F.col("head").alias("key"), F.coalesce(F.lead("range").over(above), F.min("range").over(above_all)).alias("to"))
-    both = keyed.join(F.broadcast(heads), "key", "left")
-    places = F.when(F.col("to").isNull(), F.array(F.struct("range", F.lit(False).alias("ahead")))).otherwise(F.array(F.struct("range", F.lit(False).alias("ahead")), F.struct(F.col("to").alias("range"), F.lit(True).alias("ahead"))))
-    return both.select("doc_id", "key", "text", F.explode(places).alias("x")).select("doc_id", "key", "text", "x.range", "x.ahead")
+    down = F.bitwise_not(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))))
+    ids = docs.select(down.alias("down"))
+    rows = ids.count()
+    fan = min(FAN, math.ceil(math.sqrt(rows / RANGE_ROWS)) or 1)
+    first = F.lit(ids.agg(_quantiles("down", fan)).first()[0] or []).cast("array<bigint>")
+    parts = ids.withColumn("one", _place("down", first))
+    bounds = F.broadcast(cut(parts.groupBy("one").agg(_quantiles("down", fan).alias("bounds"))))  # 2 * fan rows at most
+    ranged = parts.join(bounds, "one").groupBy("one", _place("down", F.col("bounds")).alias("two")).agg(F.count("*").alias("n"), (F.min("down") == F.max("down")).alias("single"))
+    splits = F.broadcast(cut(ranged.filter(F.col("single") & (F.col("n") > 2 * RANGE_ROWS)).select("one", "two", F.ceil(F.col("n") / RANGE_ROWS).alias("splits"))))  # no more than ranges
+    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), down.alias("down")).withColumn("tie", F.xxhash64("text")).withColumn("one", _place("down", first))
+    keyed = keyed.join(bounds, "one").withColumn("two", _place("down", F.col("bounds"))).join(splits, ["one", "two"], "left")
+    # The hash as a number from 0 to 2**31 - 1, in the same order, times the splits.
+    third = F.shiftright(F.shiftrightunsigned(F.col("tie").bitwiseXOR(F.lit(-(2**63))), 33) * F.coalesce("splits", F.lit(1)), 31)
+    keyed = keyed.select("doc_id", "text", "down", "tie", F.struct("one", "two", third.alias("three")).alias("range"))
+    heads = keyed.groupBy("range").agg(F.min(F.struct("down", "tie")).alias("head"))
+    order = Window.orderBy("range")  # a row for each range
+    everything = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    heads = heads.select("head.*", F.coalesce(F.lag("range").over(order), F.max("range").over(everything)).alias("to"))
+    both = keyed.join(F.broadcast(heads), ["down", "tie"], "left")
+    own = F.struct("range", F.lit(False).alias("ahead"))
+    places = F.when(F.col("to").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("to").alias("range"), F.lit(True).alias("ahead"))))
+    return both.select("doc_id", "down", "tie", "text", F.explode(places).alias("x")).select("doc_id", "down", "tie", "text", "x.range", "x.ahead")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -85,7 +112,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """
     # All that follows reuses this one exchange.
     placed = winnow(with_next(docs).repartition("range"), "text", "fp").withColumn("own", hashes("fp"))
-    order = Window.partitionBy("range").orderBy("ahead", F.col("key").desc(), "text")
+    order = Window.partitionBy("range").orderBy("ahead", "down", "tie", "text")
     n = F.char_length("text")
     cut = F.floor(n / 3).cast("int")
     edited = placed.select("doc_id", "ahead", n.cast("long").alias("n_chars"), "fp", "own", F.lead("own").over(order).alias("next"), F.concat(F.substr("text", F.lit(1), n - cut), F.substr(F.lead("text").over(order), F.lit(1), cut)).alias("edited"))

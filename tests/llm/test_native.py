@@ -3,6 +3,7 @@ import math
 import re
 from collections import Counter
 
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -130,19 +131,45 @@ def winnow_by_hand(text, k=winnowing.GRAM, w=winnowing.WINDOW):
     return out
 
 
-def test_winnowing(docs, sample, none):
-    for table in (docs, sample):
-        rows = sorted(((r.doc_id, r.text or "") for r in table.collect()), key=lambda r: (-(-(2**63) if r[0] is None else r[0]), r[1]))
-        want = []
-        for i, (d, text) in enumerate(rows):
-            follow = rows[(i + 1) % len(rows)][1]
-            m = len(text) // 3
-            edited = text[: len(text) - m] + follow[:m]
-            a, b, c = (winnow_by_hand(t) for t in (text, edited, follow))
-            like = lambda x, y: 1.0 if not x | y else len(x & y) / len(x | y)
-            sets = [{h for h, _ in x} for x in (a, b, c)]
-            spell = lambda x: ",".join(f"{h & 2**64 - 1:x}:{p}" for h, p in x)
-            want.append((d, len(text), hashlib.sha256(edited.encode()).hexdigest(), spell(a), spell(b), round(like(sets[0], sets[1]), 9), round(like(sets[0], sets[2]), 9)))
-        got = [(*r[:5], round(r.near_edited, 9), round(r.near_next, 9)) for r in winnowing.fingerprints(table).collect()]
-        assert sorted(map(repr, got)) == sorted(map(repr, want))
+def signed_hash(text):
+    h = xxhash.xxh64_intdigest(text.encode(), seed=42)
+    return h - 2**64 if h >= 2**63 else h
+
+
+def fingerprints_by_hand(table):
+    rows = sorted(((r.doc_id, r.text or "") for r in table.collect()), key=lambda r: (-(-(2**63) if r[0] is None else r[0]), signed_hash(r[1]), r[1]))
+    want = []
+    for i, (d, text) in enumerate(rows):
+        follow = rows[(i + 1) % len(rows)][1]
+        m = len(text) // 3
+        edited = text[: len(text) - m] + follow[:m]
+        a, b, c = (winnow_by_hand(t) for t in (text, edited, follow))
+        like = lambda x, y: 1.0 if not x | y else len(x & y) / len(x | y)
+        sets = [{h for h, _ in x} for x in (a, b, c)]
+        spell = lambda x: ",".join(f"{h & 2**64 - 1:x}:{p}" for h, p in x)
+        want.append((d, len(text), hashlib.sha256(edited.encode()).hexdigest(), spell(a), spell(b), round(like(sets[0], sets[1]), 9), round(like(sets[0], sets[2]), 9)))
+    return sorted(map(repr, want))
+
+
+def fingerprints_of(table):
+    return sorted(repr((*r[:5], round(r.near_edited, 9), round(r.near_next, 9))) for r in winnowing.fingerprints(table).collect())
+
+
+@pytest.mark.parametrize("range_rows", [winnowing.RANGE_ROWS, 3])
+def test_winnowing(docs, sample, none, monkeypatch, range_rows):
+    monkeypatch.setattr(winnowing, "RANGE_ROWS", range_rows)
+    for table in (docs, sample, docs.withColumnsRenamed({"lang": "range", "source": "__w", "keep_id": "tie"})):
+        assert fingerprints_of(table) == fingerprints_by_hand(table)
     assert winnowing.fingerprints(none).count() == 0
+
+
+@pytest.mark.parametrize("range_rows", [250, 5])
+def test_winnowing_ranges(spark, monkeypatch, range_rows):
+    """Sparse ids with outliers, a third of null ids, a third of one id, and repeated rows: right results from ranges that stay small."""
+    monkeypatch.setattr(winnowing, "RANGE_ROWS", range_rows)
+    ids = [*range(1, 100), 10**15, -(10**15), -(2**63), 2**63 - 1, *[None] * 100, *[77] * 100]
+    rows = [(d, f"text {i} of the row with many words in it {i * 7} and an end {i % 3}") for i, d in enumerate(ids)] + [(77, "again and again the same words in a row here")] * 5
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert fingerprints_of(table) == fingerprints_by_hand(table)
+    sizes = [r["count"] for r in winnowing.with_next(table).groupBy("range").count().collect()]
+    assert sum(sizes) >= len(rows) and (range_rows > 5 or max(sizes) <= 25 and len(sizes) > 30)
