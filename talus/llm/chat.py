@@ -15,7 +15,8 @@ loss mask lists the code point spans of the assistants' texts in the formatted c
 Defined results: a null text or role counts as empty. Turns with equal numbers are ordered by role, then text; null turn
 numbers come first; repeated rows are repeated turns. A null conv_id is a conversation of its own. Records that are no
 JSON object or have no mapping give no turns; `unmapped` reports them by fingerprint. An empty table gives an empty
-result; columns that a layout doesn't name are ignored. A conversation is one output row, so its turns meet in one task.
+result; columns that a layout doesn't name are ignored, whatever their names. Texts of any length are escaped and read back
+whole. A conversation is one output row, so its turns meet in one task.
 """
 
 from __future__ import annotations

@@ -19,8 +19,10 @@ a(v) (sums over the words seen after v) in a second exchange by context. The par
 Words are known by a 64-bit hash, contexts by 48 bits of it. Shuffled data grows with the input; nothing but the totals of
 heavy words and pairs (2 * MOST_HEAVY numbers) and counts of counts goes to the driver.
 
-Defined results: a null or empty text is one end mark. Rows that share a doc_id are scored each. With no training text
-every word is unknown and has probability one. An empty table gives an empty result; other columns are ignored.
+Defined results: a null or empty text is one end mark; a text of any length is scored whole. Rows that repeat, also in
+doc_id alone, are scored each. A null doc_id stays null, and its text is learned from. Nothing depends on an order, so that
+there are no ties. With no training text every word is unknown and has probability one. An empty table gives an empty
+result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -119,7 +121,7 @@ def build_blocks(batch: pa.RecordBatch, first_row: int, salt: int, buckets: int,
     lists = batch.column("w")
     flat = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
     lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-    doc_ids = batch.column("doc_id").fill_null(-(2**63)).to_numpy()
+    doc_ids, named = batch.column("doc_id").fill_null(0).to_numpy(), batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
     held = batch.column("held_out").to_numpy(zero_copy_only=False)
     n, total = len(lengths), len(flat) + len(lengths)
     last = np.cumsum(lengths + 1) - 1
@@ -141,7 +143,7 @@ def build_blocks(batch: pa.RecordBatch, first_row: int, salt: int, buckets: int,
     bucket = (spread(route) % np.uint64(buckets)).astype(np.uint32)
     order = np.lexsort((v, w, bucket))
     bucket, w, v, doc = bucket[order], w[order], v[order], doc[order]
-    yield home_of(first_row, buckets), b"H" + pack(first_row, doc_ids, held, lengths + 1)
+    yield home_of(first_row, buckets), b"H" + pack(first_row, doc_ids, named, held, lengths + 1)
     edges = np.r_[starts_of(bucket), total] if total else np.zeros(1, np.int64)
     for a, b in zip(edges[:-1], edges[1:], strict=True):
         mine, which = np.unique(doc[a:b], return_inverse=True)
@@ -320,24 +322,24 @@ def back_off(sums: list[bytes], needs: list[bytes]) -> Iterator[tuple[np.ndarray
     mine, which = np.unique(np.concatenate(rows), return_inverse=True)
     if len(mine):
         zero = np.zeros(len(mine), np.int64)
-        yield mine, np.full(len(mine), -(2**63), np.int64), zero.astype(bool), zero, zero, zero.astype(np.float64), np.bincount(which, np.concatenate(added), len(mine))
+        yield mine, np.full(len(mine), -(2**63), np.int64), zero.astype(bool), zero.astype(bool), zero, zero, zero.astype(np.float64), np.bincount(which, np.concatenate(added), len(mine))
 
 
 def whole_texts(headers: list[bytes], parts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
     """The parts of the scores of each batch's texts, added up."""
     batches = {}
     for data in headers:
-        first_row, doc_ids, held, n_tokens = unpack(data[1:])
+        first_row, doc_ids, named, held, n_tokens = unpack(data[1:])
         n = len(doc_ids)
-        batches[first_row] = (first_row + np.arange(n), doc_ids, held, n_tokens, np.zeros(n, np.int64), np.zeros(n), np.zeros(n))
+        batches[first_row] = (first_row + np.arange(n), doc_ids, named, held, n_tokens, np.zeros(n, np.int64), np.zeros(n), np.zeros(n))
     for data in parts:
         first_row, mine, *sums = unpack(data)
-        for total, part in zip(batches[first_row][4:], sums, strict=True):
+        for total, part in zip(batches[first_row][5:], sums, strict=True):
             total[mine] += part
     yield from batches.values()
 
 
-PARTS = "row_id long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+PARTS = "row_id long, doc_id long, named boolean, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -391,7 +393,7 @@ def score(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], names)
 
     parts = met.mapInArrow(finish, PARTS)
-    whole = parts.groupBy("row_id").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), *(F.sum(x).alias(x) for x in ("n_tokens", "n_known", "base_score", "score")))
+    whole = parts.groupBy("row_id").agg(F.max("doc_id").alias("doc_id"), F.max("named").alias("named"), F.max("held_out").alias("held_out"), *(F.sum(x).alias(x) for x in ("n_tokens", "n_known", "base_score", "score")))
     # Every text starts after the start mark, whose count is the number of training texts.
     start = float(np.log10(texts)) if texts else 0.0
-    return whole.select(F.when(F.col("doc_id") != -(2**63), F.col("doc_id")).alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", (F.col("score") - start).alias("score"))
+    return whole.select(F.when(F.col("named"), F.col("doc_id")).alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", (F.col("score") - start).alias("score"))

@@ -15,7 +15,9 @@ Decoding gathers the pieces' bytes, turns marks into blanks, drops the blank tha
 pieces as UTF-8.
 
 Defined results: a null text encodes as an empty one, which has no ids; a null list of ids decodes as an empty one. Texts
-of any length are encoded whole. An empty table gives an empty result. Columns other than doc_id and text are ignored.
+of any length are encoded whole; rows that repeat are encoded each, and a null doc_id stays null. Of pairs of equal rank the
+leftmost merges first. An empty table gives an empty result. Columns other than doc_id and text, whatever their names, are
+ignored.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ pieces are counted once in a portion, and pieces already counted are remembered
 library's batches are balanced by bytes. The added special token of the vocabulary holds no blank, so it is never cut.
 
 Defined results: a null text counts as an empty one: no bytes, no tokens. A text without a safe boundary is counted as
-one piece. An empty table gives an empty result. Columns other than doc_id and text are ignored.
+one piece, whatever its length. Rows that repeat are counted each; a null doc_id stays null. An empty table gives an empty
+result. Columns other than doc_id and text, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ class Counter:
         out, batch, total = {}, [], 0
         for i, piece in enumerate(pieces):
             batch.append(piece)
-            total += len(piece)
+            total += len(piece.encode())
             if total >= CALL or i + 1 == len(pieces):
                 out.update(zip(batch, map(len, self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)), strict=True))
                 batch, total = [], 0
