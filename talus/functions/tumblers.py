@@ -17,10 +17,9 @@ def depth(tumbler: Column) -> Column:
 
 
 def ancestors(tumbler: Column) -> Column:
-    """All proper prefixes, the shortest first."""
+    """All prefixes, the shortest first, the address itself last."""
     parts = F.split(tumbler, r"\.")
-    longest = F.size(parts) - 1
-    return F.when(longest > 0, F.transform(F.sequence(F.lit(1), F.greatest(longest, F.lit(1))), lambda n: F.array_join(F.slice(parts, 1, n), "."))).otherwise(F.array().cast("array<string>"))
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "."))
 
 
 def is_prefix(prefix: Column, tumbler: Column) -> Column:

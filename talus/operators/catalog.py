@@ -58,9 +58,28 @@ def totals(docs: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def gaps(docs: DataFrame, manifest: DataFrame, expected: str = "chunk_count") -> DataFrame:
-    """(id, expected, have) of documents with fewer manifest rows than they should have."""
+    """(id, expected, have, ghost) of documents with fewer manifest rows than they should have.
+
+    A ghost should have none by its count and has none, but has a content hash and a collection: it was indexed once.
+    """
     have = manifest.groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("have"))
-    return docs.join(have, "id", "left").select("id", F.col(expected).alias("expected"), F.coalesce("have", F.lit(0)).cast("long").alias("have")).filter("have < expected")
+    known = (F.coalesce("content_hash", F.lit("")) != "") & (F.coalesce("collection", F.lit("")) != "")
+    both = docs.join(have, "id", "left").select("id", F.col(expected).alias("expected"), F.coalesce("have", F.lit(0)).cast("long").alias("have"), known.alias("__known"))
+    ghost = F.col("expected") == 0
+    return both.filter((F.col("have") < F.col("expected")) | (ghost & (F.col("have") == 0) & F.col("__known"))).select("id", "expected", "have", ghost.alias("ghost"))
+
+
+def link_loose(manifest: DataFrame, docs: DataFrame, chunks: DataFrame, name: str, key: str) -> DataFrame:
+    """New manifest rows for chunks (chunk_id, chunk_index, `key`) whose key, a title or a content hash, is the document's `name`.
+
+    They go behind the document's rows, by chunk_index and chunk_id; of documents with the same name the last one takes
+    them. Chunks without a key or without such a document are left out.
+    """
+    named = docs.filter(F.coalesce(F.col(name), F.lit("")) != "").groupBy(F.col(name).alias(key)).agg(F.max("id").alias("doc_id"))
+    found = chunks.join(named, key).select("doc_id", "chunk_id", "chunk_index").distinct()
+    have = manifest.groupBy("doc_id").agg(F.count("*").alias("__n"))
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("chunk_index", "chunk_id"))
+    return found.withColumn("__nth", nth).join(have, "doc_id", "left").select("doc_id", (F.coalesce("__n", F.lit(0)) + F.col("__nth") - 1).cast("long").alias("position"), "chunk_id")
 
 
 def append_to_manifest(manifest: DataFrame, found: DataFrame) -> DataFrame:

@@ -5,13 +5,15 @@ Edges are (from_id, to_id, link_type) and may carry creators and dates.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import lineage
+
 MOST_HOPS = 3
+#: Nodes of a frontier, with all that was reached, that are broadcast: a few MB.
+FEW_NODES = 100_000
 # What a named purpose walks along.
 PURPOSES = {
     "find-implementations": ("implements", "implements-heuristic"),
@@ -39,12 +41,15 @@ def walk(seeds: DataFrame, edges: DataFrame, depth: int = 1, direction: str = "o
     Each hop joins the frontier once, drops repeats before the next and what was visited before, so that cycles end.
     """
     inside = edges.filter(F.col("link_type").isin(link_types)) if link_types is not None else edges
-    steps = directed(inside, direction).distinct()
-    reached = seeds.select(*keys, "node").distinct().withColumn("hops", F.lit(0))
-    frontier = reached
+    steps = directed(inside, direction)
+    reached = lineage.cut(seeds.select(*keys, "node").distinct().withColumn("hops", F.lit(0)))
+    frontier, total = reached, reached.count()
     for hop in range(1, min(max(depth, 0), MOST_HOPS) + 1):
-        found = frontier.join(steps, frontier["node"] == steps["src"]).select(*keys, F.col("dst").alias("node")).distinct()
-        frontier = found.join(reached.select(*keys, "node"), [*keys, "node"], "left_anti").withColumn("hops", F.lit(hop))
+        # Few nodes go to where the links are; many meet them in a shuffle.
+        few = F.broadcast if total <= FEW_NODES else lambda df: df
+        found = steps.join(few(frontier), frontier["node"] == steps["src"]).select(*keys, F.col("dst").alias("node")).distinct()
+        frontier = lineage.cut(found.join(few(reached.select(*keys, "node")), [*keys, "node"], "left_anti").withColumn("hops", F.lit(hop)))
+        total += frontier.count()
         reached = reached.unionByName(frontier)
     return reached
 
@@ -58,16 +63,16 @@ def traverse(seeds: DataFrame, edges: DataFrame, link_types: list[str] | None =
     return walk(seeds, edges, depth, direction, list(link_types or PURPOSES[purpose]))
 
 
-def suggest_links(docs: DataFrame, key: str, stem: str, title: str, edges: DataFrame, longer_than: int = 3) -> DataFrame:
-    """(from_id, to_id): titles that contain another document's stem, where no link joins the two in either direction.
+def suggest_links(codes: DataFrame, designs: DataFrame, edges: DataFrame, longer_than: int = 3) -> DataFrame:
+    """(from_id, to_id): a code document whose stem stands in a design document's title, where no link joins the two in either direction.
 
-    Lower case counts, without `_` in stems and without `-`, `_` and blanks in titles. Distinct titles are cut into all
-    pieces of the lengths that stems have, and pieces meet stems as equal strings.
+    codes: (id, stem), designs: (id, title). Lower case counts, without `_` in stems and without `-`, `_` and blanks in
+    titles. Distinct titles are cut into all pieces of the lengths that stems have, and pieces meet stems as equal strings.
     """
-    stems = docs.select(F.col(key).alias("to_id"), F.replace(F.lower(stem), F.lit("_"), F.lit("")).alias("word")).filter(F.length("word") > longer_than)
-    titles = docs.select(F.col(key).alias("from_id"), F.regexp_replace(F.lower(title), "[-_ ]", "").alias("title"))
+    stems = codes.select(F.col("id").alias("from_id"), F.replace(F.lower("stem"), F.lit("_"), F.lit("")).alias("word")).filter(F.length("word") > longer_than)
+    titles = designs.select(F.col("id").alias("to_id"), F.regexp_replace(F.lower("title"), "[-_ ]", "").alias("title"))
     words = stems.select("word").distinct()
-    sizes = F.array(*(F.lit(r[0]) for r in words.select(F.length("word")).distinct().collect())).cast("array<int>")
+    sizes = F.array(*(F.lit(r[0]) for r in words.select(F.length("word")).distinct().collect())).cast("array<int>")  # lengths of file names
     n = F.length("title")
     pieces = F.flatten(F.transform(F.filter(sizes, lambda k: k <= n), lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substr("title", i, k))))
     holds = titles.select("title").distinct().select("title", F.explode(F.array_distinct(pieces)).alias("word")).join(words, "word")
@@ -94,11 +99,11 @@ def _ends(links: DataFrame) -> tuple[DataFrame, bool]:
     Pointers are doubled until none moves: a chain of n links takes about log2(n) joins. With more steps behind each
     pointer than there are links, what still moves goes round a cycle and points into it.
     """
-    jumps, steps = links.checkpoint(), 1
+    jumps, steps = lineage.cut(links), 1
     n = jumps.count()
     while n:
         ahead = jumps.select(F.col("at").alias("to"), F.col("to").alias("next"))
-        moved = jumps.join(ahead, "to", "left").select("at", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved")).checkpoint()
+        moved = lineage.cut(jumps.join(ahead, "to", "left").select("at", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved")))
         jumps, steps = moved.select("at", "to"), 2 * steps
         if moved.filter("moved").isEmpty():
             return jumps, False
@@ -109,14 +114,11 @@ def _ends(links: DataFrame) -> tuple[DataFrame, bool]:
 
 def resolve_aliases(docs: DataFrame, key: str, alias_of: str) -> DataFrame:
     """(key, target): the end of each chain of aliases, of any length; a chain that runs into a cycle ends before the document that it would meet again."""
-    context = docs.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(docs.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    links = docs.select(F.col(key).alias("at"), F.col(alias_of).alias("to")).filter("at IS NOT NULL AND to IS NOT NULL").checkpoint()
+    links = lineage.cut(docs.select(F.col(key).alias("at"), F.col(alias_of).alias("to")).filter("at IS NOT NULL AND to IS NOT NULL"))
     ends, cyclic = _ends(links)
     if cyclic:
         # Every document of a cycle is pointed to by another of it; without the cycles' links, chains end where they enter one.
-        inside = ends.select(F.col("to").alias("at")).join(links, "at", "left_semi").distinct().checkpoint()
+        inside = lineage.cut(ends.select(F.col("to").alias("at")).join(links, "at", "left_semi").distinct())
         before = links.join(inside, "at", "left_semi").select("to", F.col("at").alias("last"))
         entries = _ends(links.join(inside, "at", "left_anti"))[0].unionByName(inside.withColumn("to", F.col("at")))
         ends = entries.join(before, "to", "left").select("at", F.coalesce("last", "to").alias("to"))
@@ -154,7 +156,10 @@ def link_audit(edges: DataFrame, live: DataFrame) -> DataFrame:
 def link_density(seeds: DataFrame, edges: DataFrame, group: str, depth: int = 1, low: float = 3) -> DataFrame:
     """(group, seeds, p50, p90, low): sizes of what a seed reaches, itself left out. p90 is the value at place int(.9 (n-1) + .5)."""
     sizes = walk(seeds.select(group, F.col("node").alias("seed"), "node"), edges, depth, "both", keys=(group, "seed")).groupBy(group, "seed").agg((F.count("*") - 1).alias("size"))
-    order = Window.partitionBy(group).orderBy("size", "seed")
-    placed = sizes.withColumn("at", F.row_number().over(order) - 1).withColumn("n", F.count("*").over(Window.partitionBy(group)))
-    p90 = F.max(F.when(F.col("at") == F.floor(0.9 * (F.col("n") - 1) + 0.5), F.col("size")))
-    return placed.groupBy(group).agg(F.max("n").alias("seeds"), F.expr("percentile(size, 0.5)").alias("p50"), p90.alias("p90")).withColumn("low", F.col("p50") < low)
+    # How many seeds have each size: a few rows for each group.
+    counted = sizes.groupBy(group, "size").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy(group).orderBy("size"))
+    placed = counted.withColumn("upto", upto).withColumn("all", F.sum("n").over(Window.partitionBy(group)))
+    at = lambda place: F.min(F.when(F.col("upto") > place, F.col("size")))
+    out = placed.groupBy(group).agg(F.max("all").alias("seeds"), ((at(F.floor((F.col("all") - 1) / 2)) + at(F.floor(F.col("all") / 2))) / 2).alias("p50"), at(F.floor(0.9 * (F.col("all") - 1) + 0.5)).alias("p90"))
+    return out.withColumn("low", F.col("p50") < low)

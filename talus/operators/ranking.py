@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
+from ..functions import vectors as V
 
 # Distance limits, over-fetch factors and link weights by kind.
 LIMITS = {"code": 0.45, "knowledge": 0.65, "docs": 0.65, "rdr": 0.65}
 DEFAULT_LIMIT = 0.55
+CONTRADICTION = 0.3
 FETCH = {"knowledge": 4, "docs": 4, "rdr": 4}
 LINK_WEIGHTS = {"implements": 1.0, "relates": 0.5, "cites": 0.5, "supersedes": 0.0}
 
@@ -93,16 +95,14 @@ def salience_boost(query: Column, salient: Column, weight: float = 0.025) -> Col
     return weight * X.overlap_share(F.array_distinct(query), F.array_distinct(salient))
 
 
-def contradictions(hits: DataFrame, nearby: DataFrame, key: str, collection: str, agent: str) -> DataFrame:
-    """`hits` with contradicted = true for both of two hits of a collection that different agents wrote and that lie close.
-
-    nearby: (a, b) of hits whose distance is below the limit.
-    """
-    one = hits.select(F.col(key).alias("a"), F.col(collection).alias("ca"), F.col(agent).alias("wa"))
-    two = hits.select(F.col(key).alias("b"), F.col(collection).alias("cb"), F.col(agent).alias("wb"))
-    pairs = nearby.join(one, "a").join(two, "b").filter((F.col("a") != F.col("b")) & (F.col("ca") == F.col("cb")) & (F.col("wa") != F.col("wb")) & (F.col("wa") != "") & (F.col("wb") != ""))
-    flagged = pairs.select(F.explode(F.array("a", "b")).alias(key)).distinct().withColumn("contradicted", F.lit(True))
-    return hits.join(flagged, key, "left").withColumn("contradicted", F.coalesce("contradicted", F.lit(False)))
+def contradictions(hits: DataFrame, query: str = "query_id", key: str = "id", collection: str = "collection", agent: str = "agent", vector: str = "embedding", least: float = CONTRADICTION) -> DataFrame:
+    """`hits` with contradicted = true for both of two hits of one search, in the same collection, that different named agents
+    wrote and whose distance is below `least`. Hits of a search are few; those of a collection meet each other."""
+    side = lambda name: hits.filter(F.coalesce(agent, F.lit("")) != "").select(query, collection, F.col(key).alias(f"k{name}"), F.col(agent).alias(f"w{name}"), F.col(vector).alias(f"v{name}"))
+    pairs = side("a").join(side("b"), [query, collection]).filter((F.col("ka") < F.col("kb")) & (F.col("wa") != F.col("wb")))
+    near = pairs.filter(V.cosine_distance("va", "vb") < least)
+    flagged = near.select(query, F.explode(F.array("ka", "kb")).alias(key)).distinct().withColumn("contradicted", F.lit(True))
+    return hits.join(flagged, [query, key], "left").withColumn("contradicted", F.coalesce("contradicted", F.lit(False)))
 
 
 def exact_boost(hits: DataFrame, exact: DataFrame, key: str, boost: float = 0.15) -> DataFrame:

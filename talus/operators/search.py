@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from functools import reduce
 from itertools import islice
+from operator import and_, or_
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +17,8 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import text as X
+from ..functions import tumblers
+from . import lineage, tables
 
 #: Queries of one block, as vectors on every executor: 10,000 of 1024 places are 80 MB. More queries go in more blocks.
 BLOCK_QUERIES = 10_000
@@ -22,18 +26,20 @@ BLOCK_QUERIES = 10_000
 HELD = 1_000_000
 GATE = 0.6
 RRF_K = 60
+#: Words of similar spelling that filter a scan.
+FEW_WORDS = 1000
 
 
-def query_blocks(queries: DataFrame, key: str, vector: str) -> Iterator[tuple[list, np.ndarray]]:
-    """Keys and unit vectors of all queries, BLOCK_QUERIES at a time; one empty block if there are none."""
-    rows = queries.select(key, vector)
+def query_blocks(queries: DataFrame, key: str, vector: str, most: str | None = None) -> Iterator[tuple[list, np.ndarray, np.ndarray | None]]:
+    """Keys, unit vectors and limits (a column of the queries) of all queries, BLOCK_QUERIES at a time; one empty block if there are none."""
+    rows = queries.select(key, vector, *([F.col(most).cast("double")] if most is not None else []))
     few = rows.limit(BLOCK_QUERIES + 1).collect()
     some = iter(few if len(few) <= BLOCK_QUERIES else rows.toLocalIterator())
     block = list(islice(some, BLOCK_QUERIES))
     while True:
         block.sort(key=lambda r: r[0])
         matrix = np.array([r[1] for r in block], np.float64).reshape(len(block), len(block[0][1]) if block else 0)
-        yield [r[0] for r in block], _units(matrix)
+        yield [r[0] for r in block], _units(matrix), np.array([r[2] for r in block], np.float64) if most is not None else None
         block = list(islice(some, BLOCK_QUERIES))
         if not block:
             return
@@ -44,44 +50,75 @@ def _units(matrix: np.ndarray) -> np.ndarray:
     return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
 
 
-def distances(queries: DataFrame, chunks: DataFrame, k: int | None, query_key: str = "query_id", key: str = "id", vector: str = "embedding", most: float | None = None, skip_self: bool = False) -> DataFrame:
+def distances(queries: DataFrame, chunks: DataFrame, k: int | None, query_key: str = "query_id", key: str = "id", vector: str = "embedding", most: float | str | None = None, skip_self: bool = False) -> DataFrame:
     """(query_id, id, distance): cosine distances of all chunks to all queries, in blocks of both.
 
     Each block of queries is broadcast and meets all chunks; any number of queries runs, in one pass over the chunks for
-    every BLOCK_QUERIES. With `k`, each batch of chunks keeps its k nearest for each query (ties by id) before anything is shuffled. A vector
-    of zeros is at distance 1; vectors of different length are an error.
+    every BLOCK_QUERIES. With `k`, each batch of chunks keeps its k nearest for each query (ties by id), and with `most` (a
+    number, or a column of the queries) those within a distance, before anything leaves the batch. A vector of zeros is at
+    distance 1; vectors of different length are an error.
     """
     if k is not None and k < 1:
         raise ValueError("k must be 1 or more")
+    schema = T.StructType([T.StructField("query_id", queries.schema[query_key].dataType), T.StructField("id", chunks.schema[key].dataType), T.StructField("distance", T.DoubleType())])
+    return _by_blocks(queries, chunks, query_key, key, vector, most, schema, lambda batches, *block: _scored(batches, *block, k, skip_self))
+
+
+def closest_query(queries: DataFrame, chunks: DataFrame, query_key: str = "query_id", key: str = "id", vector: str = "embedding") -> DataFrame:
+    """(id, query_id, distance): for each chunk the nearest of the queries, the smallest key of equally near ones. Nothing is shuffled for a single block of queries."""
+    schema = T.StructType([T.StructField("id", chunks.schema[key].dataType), T.StructField("query_id", queries.schema[query_key].dataType), T.StructField("distance", T.DoubleType())])
+    near = _by_blocks(queries, chunks, query_key, key, vector, None, schema, lambda batches, names, matrix, _: _closest(batches, names, matrix))
+    if queries.limit(BLOCK_QUERIES + 1).count() <= BLOCK_QUERIES:
+        return near
+    return near.groupBy("id").agg(F.min(F.struct("distance", "query_id")).alias("b")).select("id", "b.query_id", "b.distance")
+
+
+def _by_blocks(queries: DataFrame, chunks: DataFrame, query_key: str, key: str, vector: str, most: float | str | None, schema: T.StructType, scored) -> DataFrame:
     # The query keys come back in their own type.
     wide = {"int": np.int32, "smallint": np.int16, "tinyint": np.int8}.get(queries.schema[query_key].dataType.simpleString())
-    schema = T.StructType([T.StructField("query_id", queries.schema[query_key].dataType), T.StructField("id", chunks.schema[key].dataType), T.StructField("distance", T.DoubleType())])
     rows = chunks.select(key, vector).filter(F.col(vector).isNotNull())
 
-    def of_block(names: list, matrix: np.ndarray) -> DataFrame:
-        shared = chunks.sparkSession.sparkContext.broadcast((np.array(names, wide), matrix))
-        return rows.mapInArrow(lambda batches: _scored(batches, *shared.value, k, most, skip_self), schema)
+    def of_block(names: list, matrix: np.ndarray, limits: np.ndarray | None) -> DataFrame:
+        limits = np.full(len(names), most, np.float64) if isinstance(most, int | float) else limits
+        shared = chunks.sparkSession.sparkContext.broadcast((np.array(names, wide), matrix, limits))
+        return rows.mapInArrow(lambda batches: scored(batches, *shared.value), schema)
+
+    return reduce(DataFrame.unionByName, (of_block(*block) for block in query_blocks(queries, query_key, vector, most if isinstance(most, str) else None)))
+
 
-    return reduce(DataFrame.unionByName, (of_block(*block) for block in query_blocks(queries, query_key, vector)))
+def _vectors(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and unit vectors of a batch."""
+    ids, rows = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    if len(rows) != len(ids) * width:
+        raise ValueError("vectors of different length")
+    return ids, _units(rows.reshape(len(ids), width))
 
 
-def _scored(batches: Iterator[pa.RecordBatch], wanted: np.ndarray, matrix: np.ndarray, k: int | None, most: float | None, skip_self: bool) -> Iterator[pa.RecordBatch]:
+def _closest(batches: Iterator[pa.RecordBatch], wanted: np.ndarray, matrix: np.ndarray) -> Iterator[pa.RecordBatch]:
     if not len(wanted):
         return
     for batch in batches:
-        ids, lists = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
-        rows = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-        if len(rows) != len(ids) * matrix.shape[1]:
-            raise ValueError("vectors of different length")
-        units = _units(rows.reshape(len(ids), -1))
+        ids, units = _vectors(batch, matrix.shape[1])
+        step = max(1, HELD // len(wanted))
+        for low in range(0, len(ids), step):
+            far = np.round(np.clip(1 - units[low : low + step] @ matrix.T, 0, 2), 12)
+            best = far.argmin(axis=1)  # the first of equal ones; keys are sorted
+            yield pa.RecordBatch.from_arrays([pa.array(ids[low : low + step]), pa.array(wanted[best]), pa.array(far[np.arange(len(best)), best])], ["id", "query_id", "distance"])
+
+
+def _scored(batches: Iterator[pa.RecordBatch], wanted: np.ndarray, matrix: np.ndarray, limits: np.ndarray | None, k: int | None, skip_self: bool) -> Iterator[pa.RecordBatch]:
+    if not len(wanted):
+        return
+    for batch in batches:
+        ids, units = _vectors(batch, matrix.shape[1])
         step = max(1, HELD // max(1, len(ids)))
         for low in range(0, len(wanted), step):
             far = np.clip(1 - units @ matrix[low : low + step].T, 0, 2).T
             places = []
             for q in range(len(far)):
                 keep = np.ones(len(ids), bool) if not skip_self else ids != wanted[low + q]
-                if most is not None:
-                    keep &= far[q] <= most
+                if limits is not None:
+                    keep &= far[q] <= limits[low + q]
                 at = np.flatnonzero(keep)
                 if k is not None:
                     near = np.round(far[q][at], 12)
@@ -102,30 +139,57 @@ def nearest(queries: DataFrame, chunks: DataFrame, k: int = 10, **options) -> Da
     return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def _grams(word: str) -> list[str]:
+    padded = f"  {word} "
+    return list(dict.fromkeys(padded[i : i + 3] for i in range(len(padded) - 2)))
+
+
+def _may_be_alike(word: Column, asked: str, gate: float) -> Column:
+    """Holds for all words that have a share `gate` of the asked word's trigrams: of any n - needed + 1 of them they have one."""
+    grams = sorted(_grams(asked), key=lambda g: g.strip() != g)  # those inside a word say more
+    needed = math.ceil(gate * len(grams) - 1e-9)
+    said = [("^" if g[0] == " " else "") + re.escape(g.strip()) + ("$" if g[-1] == " " else "") for g in grams[: len(grams) - needed + 1]]
+    return word.rlike("|".join(said))
+
+
+def alike_words(docs: DataFrame, wanted: list[str], text: str = "text", gate: float = GATE) -> DataFrame:
+    """(asked, word): for each asked word the words of the texts that have a share `gate` of its trigrams.
+
+    Only words that may be alike leave the scan; they are made distinct and compared.
+    """
+    asked = F.array(*(F.struct(F.lit(w).alias("asked"), F.lit(_grams(w)).alias("grams")) for w in wanted))
+    near = lambda w: reduce(or_, (_may_be_alike(w, a, gate) for a in wanted))
+    words = docs.select(F.explode(F.array_distinct(F.filter(X.tokens(F.col(text)), near))).alias("word")).distinct()
+    pairs = words.withColumn("grams", X.trigrams(F.col("word"))).select("word", "grams", F.explode(asked).alias("a"))
+    return pairs.filter(F.size(F.array_intersect("a.grams", "grams")) / F.size("a.grams") >= gate).select("a.asked", "word")
+
+
 def text_matches(docs: DataFrame, query: str, key: str = "id", text: str = "text", gate: float = GATE) -> DataFrame:
-    """Keys of texts that have all content words of the query, or for each of them a word of similar spelling.
+    """Rows of texts that have all content words of the query, or for each of them a word of similar spelling.
 
-    Spelling is compared on the distinct words of the corpus and joined back: a share `gate` of the asked word's trigrams
-    must occur in the word. A query of
-    stopwords alone matches nothing.
+    Spelling is compared on the distinct words of the texts: a share `gate` of the asked word's trigrams must occur in the
+    word. Up to FEW_WORDS such words filter the scan itself; more are joined with the texts' words. A query of stopwords
+    alone matches nothing.
     """
-    spark = docs.sparkSession
     wanted = [w for w in dict.fromkeys(re.findall("[a-z0-9_]+", query.lower())) if w not in X.STOPWORDS]
     if not wanted:
-        return docs.select(key).limit(0)
-    asked = spark.createDataFrame([(w,) for w in wanted], "asked string").withColumn("asked_grams", X.trigrams(F.col("asked")))
-    words = docs.select(key, F.explode(F.array_distinct(X.tokens(F.col(text)))).alias("word"))
-    grams = words.select("word").distinct().withColumn("grams", X.trigrams(F.col("word")))
-    # Words that share a trigram with an asked word, so that no pair without one is made.
-    shared = grams.withColumn("g", F.explode("grams")).join(F.broadcast(asked.withColumn("g", F.explode("asked_grams"))), "g").groupBy("word", "asked").agg(F.count("*").alias("n"), F.first(F.size("asked_grams")).alias("of"))
-    alike = shared.filter(F.col("n") / F.col("of") >= gate).select("word", "asked")
-    return words.join(alike, "word").groupBy(key).agg(F.countDistinct("asked").alias("n")).filter(F.col("n") == len(wanted)).select(key)
+        return docs.limit(0)
+    alike = alike_words(docs, wanted, text, gate)
+    few = alike.limit(FEW_WORDS + 1).collect()
+    if len(few) > FEW_WORDS:
+        words = docs.select(key, F.explode(F.array_distinct(X.tokens(F.col(text)))).alias("word"))
+        found = words.join(alike, "word").groupBy(key).agg(F.countDistinct("asked").alias("n")).filter(F.col("n") == len(wanted))
+        return docs.join(found.select(key), key, "left_semi")
+    there = {w: [r["word"] for r in few if r["asked"] == w] for w in wanted}
+    if not all(there.values()):
+        return docs.limit(0)
+    return docs.filter(reduce(and_, (F.arrays_overlap(X.tokens(F.col(text)), F.lit(there[w])) for w in wanted)))
 
 
 def hybrid(queries: DataFrame, chunks: DataFrame, query: str, k: int, where: Column | None = None, **options) -> DataFrame:
     """Text first, then vectors: only chunks that the text matches are ranked; no match, no rows."""
     inside = chunks.filter(where) if where is not None else chunks
-    return nearest(queries, inside.join(text_matches(inside, query), "id", "left_semi"), k, **options)
+    return nearest(queries, text_matches(inside, query), k, **options)
 
 
 def fuse(ranked: DataFrame, keys: list[str], ranks: list[str], k: int = RRF_K) -> DataFrame:
@@ -144,3 +208,34 @@ def top(hits: DataFrame, n: int, order: list) -> DataFrame:
     if n < 1:
         raise ValueError("n must be 1 or more")
     return hits.orderBy(*order).limit(n)
+
+
+def fused(hits: DataFrame, distance: str, order: str, key: str = "id") -> DataFrame:
+    """(key, vector_rank, text_rank, score) of all hits of one query: the places by distance and by text order (smaller is
+    better), fused by reciprocal ranks. Ties go by key."""
+    rows = lineage.cut(hits.select(key, F.round(distance, 12).alias("d"), F.col(order).cast("double").alias("o")))
+    return fuse(tables.ranks(tables.ranks(rows, "d", key, "vector_rank"), "o", key, "text_rank"), [key], ["vector_rank", "text_rank"])
+
+
+def in_scope(docs: DataFrame, content_type: str | None = None, author: str | None = None, year: int | None = None, subtree: str | None = None, where: Column | None = None) -> DataFrame:
+    """Live documents of a content type, with a part of the author's name (whatever the case), of a year, below an address, and under a predicate."""
+    out = docs.filter(F.col("deleted_at").isNull())
+    out = out.filter(F.col("content_type") == content_type) if content_type is not None else out
+    out = out.filter(F.contains(F.lower("author"), F.lit(author.lower()))) if author is not None else out
+    out = out.filter(F.col("year") == year) if year is not None else out
+    out = out.filter(tumblers.is_prefix(F.lit(subtree), F.col("tumbler"))) if subtree is not None else out
+    return out.filter(where) if where is not None else out
+
+
+def topic_members(topics: DataFrame, assignments: DataFrame, label: str, collection: str | None = None) -> DataFrame:
+    """(id) of the chunks that are assigned to the topics of a label, in a collection or in all. topics: (topic_id, label, collection), assignments: (id, topic_id)."""
+    named = topics.filter(F.col("label") == label)
+    named = named.filter(F.col("collection") == collection) if collection is not None else named
+    return assignments.join(named.select("topic_id"), "topic_id", "left_semi").select("id").distinct()
+
+
+def one_model(collections: DataFrame) -> None:
+    """An error if the collections (collection, model, dimension) of one search were embedded by different models or have vectors of different length."""
+    few = collections.select("model", "dimension").distinct().limit(2).collect()
+    if len(few) > 1:
+        raise ValueError(f"collections of different models or dimensions: {sorted(tuple(r) for r in few)}")

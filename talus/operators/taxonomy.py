@@ -9,23 +9,26 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
-from . import search
+from . import lineage, search
 
 
 def assign_nearest(chunks: DataFrame, centroids: DataFrame) -> DataFrame:
     """(id, topic_id, similarity): the nearest centroid of each chunk, the smaller topic_id of equal ones. centroids: (topic_id, embedding)."""
-    far = search.distances(centroids, chunks, None, query_key="topic_id").withColumn("distance", F.round("distance", 12))
-    best = far.groupBy("id").agg(F.min(F.struct("distance", F.col("query_id").alias("topic_id"))).alias("b"))
-    return best.select("id", "b.topic_id", (1 - F.col("b.distance")).alias("similarity"))
+    near = search.closest_query(centroids, chunks, query_key="topic_id")
+    return near.select("id", F.col("query_id").alias("topic_id"), (1 - F.col("distance")).alias("similarity"))
 
 
 def project(chunks: DataFrame, centroids: DataFrame, least: float, weights: DataFrame | None = None) -> DataFrame:
-    """(id, topic_id, similarity) with similarity (times the topic's weight, if given) of `least` or more; the raw value is kept."""
-    near = search.distances(centroids, chunks, None, query_key="topic_id").select("id", F.col("query_id").alias("topic_id"), (1 - F.col("distance")).alias("similarity"))
-    if weights is None:
-        return near.filter(F.col("similarity") >= least)
-    weighed = near.join(F.broadcast(weights), "topic_id", "left")
-    return weighed.filter(F.col("similarity") * F.coalesce("icf", F.lit(1.0)) >= least).select("id", "topic_id", "similarity")
+    """(id, topic_id, similarity) with similarity (times the topic's weight, if given) of `least` or more; the raw value is kept.
+
+    The limit of each topic goes to where chunks are scored, so that only what reaches it is a row. weights: (topic_id, icf).
+    """
+    limited = centroids.withColumn("most", F.lit(1 - least))
+    if weights is not None:
+        icf_of = F.coalesce("icf", F.lit(1.0))
+        limited = centroids.join(weights.select("topic_id", "icf"), "topic_id", "left").withColumn("most", F.when(icf_of > 0, 1 - least / icf_of).otherwise(F.lit(-1.0)))
+    near = search.distances(limited, chunks, None, query_key="topic_id", most="most")
+    return near.select("id", F.col("query_id").alias("topic_id"), (1 - F.col("distance")).alias("similarity"))
 
 
 def keep_higher(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -51,26 +54,34 @@ def hubs(assignments: DataFrame, least_collections: int = 2, most_icf: float | N
 
 def audit(assignments: DataFrame, group: str, least: float) -> DataFrame:
     """(group, rows, p10, p50, p90, below): nearest-rank quantiles of similarity, and rows strictly below a limit."""
-    order = Window.partitionBy(group).orderBy("similarity")
-    placed = assignments.select(group, "similarity", F.row_number().over(order).alias("at"), F.count("*").over(Window.partitionBy(group)).alias("n"))
-    rank = lambda p: F.max(F.when(F.col("at") == F.ceil(p * F.col("n")), F.col("similarity"))).alias(f"p{round(p * 100)}")
-    return placed.groupBy(group).agg(F.max("n").alias("rows"), rank(0.1), rank(0.5), rank(0.9), F.count_if(F.col("similarity") < least).alias("below"))
-
-
-def topic_terms(docs: DataFrame, topic: str, text: str, most: int = 10) -> DataFrame:
-    """(topic, term, score, rank): class-based tf-idf, tf * ln(1 + A / f) with A words in a topic on average and f of the term in all."""
-    words = docs.select(topic, F.explode(F.filter(X.tokens(F.col(text)), lambda t: (F.length(t) > 1) & ~t.isin(list(X.STOPWORDS)))).alias("term"))
-    tf = words.groupBy(topic, "term").agg(F.count("*").alias("tf"))
-    f = tf.groupBy("term").agg(F.sum("tf").alias("f"))
-    average = tf.groupBy(topic).agg(F.sum("tf").alias("n")).agg(F.avg("n")).scalar()
-    scored = tf.join(f, "term").withColumn("a", average).select(topic, "term", F.round(F.col("tf") * F.log(1 + F.col("a") / F.col("f")), 6).alias("score"))
+    rank = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY similarity)").alias(f"p{round(p * 100)}")
+    return assignments.groupBy(group).agg(F.count("*").alias("rows"), rank(0.1), rank(0.5), rank(0.9), F.count_if(F.col("similarity") < least).alias("below"))
+
+
+def topic_terms(docs: DataFrame, key: str, topic: str, text: str, most: int = 10) -> DataFrame:
+    """(topic, term, score, rank): the mean over a topic's documents of a term's share in them.
+
+    Terms are words of two or more letters, digits or `_`, without stopwords; a document's counts times
+    ln((1 + documents) / (1 + documents with the term)) + 1 are brought to length one. Ties of rounded scores go by term.
+    """
+    split = docs.select(key, topic, F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}_]{2,})"), 1), lambda t: ~t.isin(list(X.STOPWORDS))).alias("ts"))
+    # Counted where the document stands: its words come once, with their number.
+    counted = split.select(key, topic, F.explode("ts").alias("term")).groupBy(key, topic, "term").agg(F.count("*").alias("tf"))
+    counted = lineage.cut(counted)
+    n = docs.count()
+    df = counted.groupBy("term").agg((F.log((1.0 + n) / (1.0 + F.count("*"))) + 1).alias("idf"))
+    weighed = lineage.cut(counted.join(df, "term").select(key, topic, "term", (F.col("tf") * F.col("idf")).alias("w")))
+    length = weighed.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
+    sizes = docs.groupBy(topic).agg(F.count("*").alias("docs"))
+    means = weighed.join(length, key).groupBy(topic, "term").agg(F.sum(F.col("w") / F.col("length")).alias("s"))
+    scored = means.join(sizes, means[topic].eqNullSafe(sizes[topic])).select(means[topic], "term", F.round(F.col("s") / F.col("docs"), 8).alias("score"))
     order = Window.partitionBy(topic).orderBy(F.desc("score"), "term")
     return scored.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= most)
 
 
 def labels(terms: DataFrame, topic: str, first: int = 3) -> DataFrame:
     """(topic, label): the first terms of a topic."""
-    return terms.filter(F.col("rank") <= first).groupBy(topic).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda s: s["term"]), ", ").alias("label"))
+    return terms.filter(F.col("rank") <= first).groupBy(topic).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda s: s["term"]), " ").alias("label"))
 
 
 def cluster_count(n: int) -> int:
@@ -98,15 +109,25 @@ def match_topics(old: DataFrame, new: DataFrame, least: float = 0.8) -> DataFram
     Each round keeps the pairs that are the best of both their topics, which is what a greedy pass by falling similarity
     does, and goes on with the rest; pairs of equal similarity go by the smaller ids.
     """
-    left = search.distances(old, new, None, query_key="topic_id", key="topic_id", most=1 - least).select(F.col("query_id").alias("old_id"), F.col("id").alias("new_id"), F.round(1 - F.col("distance"), 12).alias("similarity")).cache()
-    order = [F.desc("similarity"), "old_id", "new_id"]
-    out = None
-    while True:
-        best = left.withColumn("a", F.row_number().over(Window.partitionBy("old_id").orderBy(*order))).withColumn("b", F.row_number().over(Window.partitionBy("new_id").orderBy(*order))).filter("a = 1 AND b = 1").select("old_id", "new_id", "similarity").cache()
-        if not best.take(1):
-            return best if out is None else out
-        out = best if out is None else out.unionByName(best)
-        left = left.join(best.select("old_id"), "old_id", "left_anti").join(best.select("new_id"), "new_id", "left_anti").cache()
+    near = search.distances(old, new, None, query_key="topic_id", key="topic_id", most=1 - least)
+    left = lineage.cut(near.select(F.col("query_id").alias("old_id"), F.col("id").alias("new_id"), F.round(1 - F.col("distance"), 12).alias("similarity")))
+    order = F.struct((-F.col("similarity")).alias("s"), "old_id", "new_id")
+    out = left.limit(0)
+    while not left.isEmpty():
+        best = left.groupBy("old_id").agg(F.min(order).alias("o")).select("o.old_id", "o.new_id").join(left.groupBy("new_id").agg(F.min(order).alias("o")).select("o.old_id", "o.new_id"), ["old_id", "new_id"])
+        best = lineage.cut(left.join(best, ["old_id", "new_id"]).select("old_id", "new_id", "similarity"))
+        out = out.unionByName(best)
+        left = lineage.cut(left.join(best.select("old_id"), "old_id", "left_anti").join(best.select("new_id"), "new_id", "left_anti"))
+    return out
+
+
+def merge_labels(old: DataFrame, new: DataFrame, least: float = 0.8) -> DataFrame:
+    """(topic_id, label, review_status, old_id) for each new topic: label and status of the old topic that it matches, nulls and
+    `pending` where it matches none. old: (topic_id, label, review_status, embedding), new: (topic_id, embedding)."""
+    matched = match_topics(old, new, least).select(F.col("new_id").alias("topic_id"), "old_id")
+    facts = old.select(F.col("topic_id").alias("old_id"), "label", "review_status")
+    out = new.select("topic_id").join(matched.join(facts, "old_id"), "topic_id", "left")
+    return out.select("topic_id", "label", F.coalesce("review_status", F.lit("pending")).alias("review_status"), "old_id")
 
 
 def split_topic(assigned: DataFrame, topic_id: int, k: int, seed: int = 42) -> DataFrame:
@@ -115,6 +136,14 @@ def split_topic(assigned: DataFrame, topic_id: int, k: int, seed: int = 42) -> D
     return discover(inside, k, seed).select("id", F.lit(topic_id).alias("topic_id"), F.col("topic_id").alias("child"))
 
 
-def carry_over(manual: DataFrame, old: DataFrame, new: DataFrame, least: float = 0.5) -> DataFrame:
-    """(id, topic_id) of hand-made assignments (id, topic_id) to old topics, moved to the matched new ones; those without a match are lost."""
-    return manual.join(match_topics(old, new, least), F.col("topic_id") == F.col("old_id")).select("id", F.col("new_id").alias("topic_id"))
+def carry_over(manual: DataFrame, old: DataFrame, new: DataFrame, chunks: DataFrame, least: float = 0.8, near: float = 0.5) -> DataFrame:
+    """(id, topic_id, route) of hand-made assignments (id, topic_id) to old topics.
+
+    They go to the new topic that the old one matches (`matched`); else the chunk itself goes to its nearest new topic if
+    that is more than `near` alike (`nearest`); the others are lost.
+    """
+    matched = match_topics(old, new, least).select(F.col("old_id").alias("topic_id"), "new_id")
+    placed = lineage.cut(manual.join(matched, "topic_id", "left").select("id", "new_id"))
+    open_ = chunks.join(placed.filter("new_id IS NULL").select("id"), "id", "left_semi")
+    close = assign_nearest(open_, new).filter(F.col("similarity") > near).select("id", "topic_id", F.lit("nearest").alias("route"))
+    return placed.filter("new_id IS NOT NULL").select("id", F.col("new_id").alias("topic_id"), F.lit("matched").alias("route")).unionByName(close)

@@ -14,11 +14,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
-from ..operators import search
+from ..operators import lineage, search
 
 FLOOR, GROWN_FLOOR = 0.40, 0.55
 SCOPE_BONUS = 0.15
 BAND = 0.05
+# Verbs that mean the same, and scopes that stand for none.
+VERBS = (("query", "research", "lookup"), ("analyze", "review", "compare"))
+NO_SCOPE = ("all",)
 LEAST_USES, LEAST_SUCCESS, LEAST_WORDS = 3, 0.80, 20
 
 
@@ -30,28 +33,82 @@ def usable(plans: DataFrame, now: dt.datetime) -> DataFrame:
     return plans.filter(F.col("disabled_at").isNull() & ~failing & in_time)
 
 
-def match(asked: DataFrame, plans: DataFrame, scope: str | None = None, k: int = 5) -> DataFrame:
-    """(query_id, id, score, rank) of plans for each asked question (query_id, text, embedding).
+def verb_class(verb: Column) -> Column:
+    """The same value for verbs that mean the same; other verbs are their own class."""
+    out = verb
+    for verbs in VERBS:
+        out = F.when(verb.isin(*verbs), F.lit(verbs[0])).otherwise(out)
+    return out
 
-    Similarity is max(0, 1 - distance), or 1 for the same question word for word; plans that use made must reach the
-    higher floor; a plan of the asked scope gains 15 %. Ties go to plans with fewer tags, then to the smaller id.
+
+def scope_fit(tags: Column, scope: str | None) -> Column:
+    """1: a tag begins the asked scope, or the asked scope is a family (it ends in `__`) and begins a tag; 0: no scope asked or no tags; null: none fits. Case doesn't count."""
+    if not scope:
+        return F.lit(0.0)
+    low = scope.lower()
+    fits = F.exists(tags, lambda t: F.startswith(F.lit(low), F.lower(t)) | (F.startswith(F.lower(t), F.lit(low)) if low.endswith("__") else F.lit(False)))
+    return F.when(F.size(tags) == 0, F.lit(0.0)).when(fits, F.lit(1.0))
+
+
+def candidates(plans: DataFrame, dimensions: dict[str, str] | None, scope: str | None) -> DataFrame:
+    """Plans that may be offered, with `fit`: not always failing, with all asked dimensions (map `dimensions`; the verb by its
+    class), in the asked scope; a grown plan without scope tags and project is offered to callers without a scope only."""
+    out = plans.filter(~((F.col("failures") > 0) & (F.col("successes") == 0))).withColumn("fit", scope_fit(X.tag_list(F.col("scope_tags")), scope)).filter("fit IS NOT NULL")
+    for name, value in (dimensions or {}).items():
+        have = F.col("dimensions")[name]
+        out = out.filter(verb_class(have) == verb_class(F.lit(value)) if name == "verb" else have == F.lit(value))
+    if scope and scope.lower() not in NO_SCOPE:
+        out = out.filter(~(F.col("grown") & (F.size(X.tag_list(F.col("scope_tags"))) == 0) & (F.coalesce("project", F.lit("")) == "")))
+    return out
+
+
+def match(asked: DataFrame, plans: DataFrame, scope: str | None = None, k: int = 5, dimensions: dict[str, str] | None = None, floor: float = FLOOR) -> DataFrame:
+    """(query_id, id, confidence, score, rank) of plans for each asked question (query_id, text, embedding).
+
+    Confidence is max(0, 1 - distance), or 1 for the same question word for word; plans that use made must reach the
+    higher floor. The score adds 15 % for a plan of the asked scope and decides the order; ties go to plans with fewer scope
+    tags, then to the smaller id. Only pairs within the floor leave the vector search; equal questions are joined.
+    """
+    usable_ = candidates(plans, dimensions, scope).select("id", "embedding", X.squeezed(F.col("query")).alias("q"), F.size(X.tag_list(F.col("scope_tags"))).alias("tags"), "fit", "grown")
+    near = search.distances(asked, usable_, None, query_key="query_id", most=1 - floor).select("query_id", "id", F.greatest(F.lit(0.0), 1 - F.round("distance", 12)).alias("confidence"))
+    same = asked.select("query_id", X.squeezed(F.col("text")).alias("q")).join(usable_.select("id", "q"), "q").select("query_id", "id", F.lit(1.0).alias("confidence"))
+    best = near.unionByName(same).groupBy("query_id", "id").agg(F.max("confidence").alias("confidence"))
+    kept = best.join(usable_.select("id", "tags", "fit", "grown"), "id").filter(F.col("confidence") >= F.when(F.col("grown"), max(floor, GROWN_FLOOR)).otherwise(floor))
+    kept = kept.withColumn("score", F.col("confidence") * (1 + SCOPE_BONUS * F.col("fit")))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "tags", "id")
+    return kept.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= k).select("query_id", "id", "confidence", "score", "rank")
+
+
+def match_text(asked: DataFrame, plans: DataFrame, scope: str | None = None, k: int = 5, dimensions: dict[str, str] | None = None) -> DataFrame:
+    """The same columns, confidence and score null, for questions that no vector matched: plans whose question, description
+    or tags hold all content words of the asked one; more of the plan's words asked for first, then the smaller id."""
+    body = F.concat_ws(" ", "query", "description", "tags")
+    words = candidates(plans, dimensions, scope).select("id", X.content_words(body, 1).alias("have"))
+    wanted = asked.select("query_id", X.content_words(F.col("text"), 1).alias("want")).filter(F.size("want") > 0)
+    met = wanted.select("query_id", "want", F.explode("want").alias("w")).join(words.select("id", "have", F.explode("have").alias("w")), "w")
+    full = met.groupBy("query_id", "id").agg(F.count("*").alias("n"), F.first(F.size("want")).alias("of"), F.first(F.size("have")).alias("size")).filter("n = of")
+    order = Window.partitionBy("query_id").orderBy("size", "id")
+    nothing = F.lit(None).cast("double")
+    return full.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= k).select("query_id", "id", nothing.alias("confidence"), nothing.alias("score"), "rank")
+
+
+def match_or_text(asked: DataFrame, plans: DataFrame, scope: str | None = None, k: int = 5, dimensions: dict[str, str] | None = None) -> DataFrame:
+    """`match`, and `match_text` for the questions that it finds nothing for."""
+    near = lineage.cut(match(asked, plans, scope, k, dimensions))
+    rest = asked.join(near.select("query_id").distinct(), "query_id", "left_anti")
+    return near.unionByName(match_text(rest, plans, scope, k, dimensions))
+
+
+def choose(matches: DataFrame, costs: DataFrame, band: float = BAND) -> DataFrame:
+    """(query_id, id): the cheapest priced plan among the first matches whose confidence stays within `band` of the best match's, above or below.
+
+    The first match outside ends the run for good, whatever follows. Plans without a price come last, ties go by rank, and a
+    match without confidence stands alone. matches: (query_id, id, confidence, rank), costs: (id, cost).
     """
-    near = search.distances(asked, plans.select("id", "embedding"), None, query_key="query_id").select("query_id", "id", F.greatest(F.lit(0.0), 1 - F.round("distance", 12)).alias("similarity"))
-    facts = plans.select("id", X.squeezed(F.col("query")).alias("__q"), F.size(X.tag_list(F.col("tags"))).alias("__tags"), "scope", "grown")
-    joined = near.join(facts, "id").join(F.broadcast(asked.select("query_id", X.squeezed(F.col("text")).alias("__asked"))), "query_id")
-    base = F.when(F.col("__q") == F.col("__asked"), F.lit(1.0)).otherwise(F.col("similarity"))
-    kept = joined.withColumn("score", base).filter(F.col("score") >= F.when(F.col("grown"), GROWN_FLOOR).otherwise(FLOOR))
-    fit = F.coalesce(F.col("scope") == F.lit(scope), F.lit(False)) if scope is not None else F.lit(False)
-    kept = kept.withColumn("score", F.col("score") * F.when(fit, 1 + SCOPE_BONUS).otherwise(1.0))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "__tags", "id")
-    return kept.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= k).select("query_id", "id", "score", "rank")
-
-
-def choose(matches: DataFrame, costs: DataFrame) -> DataFrame:
-    """(query_id, id): the cheapest priced plan among those within 0.05 of the best match, else the best match. costs: (id, cost)."""
-    best = F.max("score").over(Window.partitionBy("query_id"))
-    band = matches.withColumn("__best", best).filter(F.col("score") >= F.col("__best") - BAND).join(costs, "id", "left")
-    return band.groupBy("query_id").agg(F.min_by("id", F.struct(F.col("cost").isNull(), F.coalesce("cost", F.lit(0.0)), "rank")).alias("id"))
+    order = Window.partitionBy("query_id").orderBy("rank")  # k rows
+    away = F.coalesce(F.abs(F.first("confidence").over(order) - F.col("confidence")) > band + 1e-12, F.col("rank") > 1)
+    inside = matches.withColumn("away", F.max(away).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).filter(~F.col("away"))
+    return inside.join(costs, "id", "left").groupBy("query_id").agg(F.min_by("id", F.struct(F.col("cost").isNull(), F.coalesce("cost", F.lit(0.0)), "rank")).alias("id"))
 
 
 def prices(history: DataFrame, fixed: DataFrame, least: int = 3) -> DataFrame:

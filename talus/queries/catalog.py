@@ -56,14 +56,16 @@ def visible_chunks(spark, sf_dir):
     return C.visible_chunks(table(spark, sf_dir, "parts"), table(spark, sf_dir, "manifest"), table(spark, sf_dir, "docs")).select("id")
 
 
-@query("purge_trash", """WITH o AS (SELECT m.chunk_id, bool_and(coalesce(d.deleted_at <= TIMESTAMP '1998-01-01', false)) AS aged FROM (SELECT * FROM {manifest} WHERE position = 1) m JOIN {docs} d ON d.id = m.doc_id GROUP BY 1) SELECT id, text FROM {parts} WHERE id IN (SELECT chunk_id FROM o WHERE aged)""")
+@query("purge_trash", """WITH o AS (SELECT m.chunk_id, bool_and(coalesce(d.deleted_at <= TIMESTAMP '1998-01-01', false)) AS aged FROM {manifest} m JOIN {docs} d ON d.id = m.doc_id GROUP BY 1) SELECT id, text FROM {parts} WHERE id IN (SELECT chunk_id FROM o WHERE aged)""")
 def purge_trash(spark, sf_dir):
-    return C.purgeable(table(spark, sf_dir, "parts"), table(spark, sf_dir, "manifest").filter("position = 1"), table(spark, sf_dir, "docs"), CUT).select("id", "text")
+    return C.purgeable(table(spark, sf_dir, "parts"), table(spark, sf_dir, "manifest"), table(spark, sf_dir, "docs"), CUT).select("id", "text")
 
 
-@query("manifest_gaps", "SELECT d.id, d.chunk_count AS expected, coalesce(m.n, 0) AS have FROM {docs} d LEFT JOIN (SELECT doc_id, count(*) AS n FROM {manifest} GROUP BY 1) m ON m.doc_id = d.id WHERE coalesce(m.n, 0) < d.chunk_count")
+@query("manifest_gaps", """SELECT d.id, d.chunk_count AS expected, coalesce(m.n, 0) AS have, d.chunk_count = 0 AS ghost FROM (SELECT *, CASE WHEN id % 4 = 0 THEN 'h' || CAST(id AS STRING) ELSE '' END AS content_hash FROM {docs}) d
+LEFT JOIN (SELECT doc_id, count(*) AS n FROM {manifest} GROUP BY 1) m ON m.doc_id = d.id WHERE coalesce(m.n, 0) < d.chunk_count OR (d.chunk_count = 0 AND m.n IS NULL AND d.content_hash <> '' AND d.collection <> '')""")
 def manifest_gaps(spark, sf_dir):
-    return C.gaps(table(spark, sf_dir, "docs"), table(spark, sf_dir, "manifest"))
+    hashed = F.when(F.col("id") % 4 == 0, F.concat(F.lit("h"), F.col("id").cast("string"))).otherwise("")
+    return C.gaps(table(spark, sf_dir, "docs").withColumn("content_hash", hashed), table(spark, sf_dir, "manifest"))
 
 
 @query("append_to_manifest", """SELECT f.doc_id, CAST(coalesce(l.last, -1) + row_number() OVER (PARTITION BY f.doc_id ORDER BY f.chunk_id) AS BIGINT) AS position, f.chunk_id
@@ -153,7 +155,7 @@ def link_density(spark, sf_dir):
 
 
 @query("resolve_alias", """WITH RECURSIVE a AS (SELECT id, id AS target, [id] AS seen, 0 AS n FROM {docs} UNION ALL
-SELECT a.id, d.alias_of, list_append(a.seen, d.alias_of), a.n + 1 FROM a JOIN {docs} d ON d.id = a.target WHERE d.alias_of IS NOT NULL AND NOT list_contains(a.seen, d.alias_of) AND a.n < 8)
+SELECT a.id, d.alias_of, list_append(a.seen, d.alias_of), a.n + 1 FROM a JOIN {docs} d ON d.id = a.target WHERE d.alias_of IS NOT NULL AND NOT list_contains(a.seen, d.alias_of))
 SELECT id, target FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC) AS r FROM a) WHERE r = 1""")
 def resolve_alias(spark, sf_dir):
     return G.resolve_aliases(table(spark, sf_dir, "docs"), "id", "alias_of")
@@ -190,7 +192,7 @@ def addresses(spark, sf_dir):
     return table(spark, sf_dir, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.concat_ws(".", F.col("n_regionkey").cast("string"), F.col("n_nationkey").cast("string"), F.col("c_custkey").cast("string")).alias("tumbler"))
 
 
-@query("tumbler_parts", f"SELECT c_custkey, tumbler, CAST(len(string_split(tumbler, '.')) AS INT) AS depth, array_to_string([string_split(tumbler, '.')[1], string_split(tumbler, '.')[1] || '.' || string_split(tumbler, '.')[2]], '|') AS ancestors FROM ({TUMBLERS})")
+@query("tumbler_parts", f"SELECT c_custkey, tumbler, CAST(len(string_split(tumbler, '.')) AS INT) AS depth, array_to_string([string_split(tumbler, '.')[1], string_split(tumbler, '.')[1] || '.' || string_split(tumbler, '.')[2], tumbler], '|') AS ancestors FROM ({TUMBLERS})")
 def tumbler_parts(spark, sf_dir):
     t = F.col("tumbler")
     return addresses(spark, sf_dir).select("c_custkey", t, A.depth(t).alias("depth"), F.array_join(A.ancestors(t), "|").alias("ancestors"))
@@ -219,3 +221,32 @@ def spans_overlap(spark, sf_dir):
 def dedup_concat(spark, sf_dir):
     parts = table(spark, sf_dir, "part").select("p_brand", "p_partkey", F.array("p_type").alias("types"))
     return T.first_seen_union(parts, "p_brand", "p_partkey", "types").select("p_brand", F.array_join("types", ",").alias("types"))
+
+
+LOOSE = "(SELECT l_partkey AS chunk_id, CAST(l_linenumber AS BIGINT) AS chunk_index, CASE WHEN l_orderkey % 3 = 0 THEN '' ELSE 'Author ' || CAST(l_suppkey AS STRING) END AS title, 'h' || CAST(l_suppkey AS STRING) AS content_hash FROM lineitem WHERE l_linenumber > 5)"
+APPEND = """SELECT f.doc_id, CAST(coalesce(l.n, 0) + row_number() OVER (PARTITION BY f.doc_id ORDER BY f.chunk_index, f.chunk_id) - 1 AS BIGINT) AS position, f.chunk_id
+FROM (SELECT DISTINCT e.id AS doc_id, c.chunk_id, c.chunk_index FROM {loose} c JOIN (SELECT {name}, max(id) AS id FROM {docs_} WHERE {name} <> '' GROUP BY 1) e ON e.{name} = c.{key}) f LEFT JOIN (SELECT doc_id, count(*) AS n FROM {manifest_} GROUP BY 1) l USING (doc_id)"""
+
+
+def _append_sql(name: str, key: str, docs_: str) -> str:
+    return APPEND.replace("{loose}", LOOSE).replace("{name}", name).replace("{key}", key).replace("{docs_}", docs_).replace("{manifest_}", "{manifest}")
+
+
+def loose_chunks(spark, sf_dir):
+    """Chunks without a document: the last lines of orders."""
+    lines = table(spark, sf_dir, "lineitem").filter("l_linenumber > 5")
+    supplier = F.col("l_suppkey").cast("string")
+    title = F.when(F.col("l_orderkey") % 3 == 0, "").otherwise(F.concat(F.lit("Author "), supplier))
+    return lines.select(F.col("l_partkey").alias("chunk_id"), F.col("l_linenumber").cast("long").alias("chunk_index"), title.alias("title"), F.concat(F.lit("h"), supplier).alias("content_hash"))
+
+
+@query("link_by_title", _append_sql("title", "title", "(SELECT id, author AS title FROM {docs})"))
+def link_by_title(spark, sf_dir):
+    docs = table(spark, sf_dir, "docs").withColumnRenamed("author", "title")
+    return C.link_loose(table(spark, sf_dir, "manifest"), docs, loose_chunks(spark, sf_dir), "title", "title")
+
+
+@query("link_by_content_hash", _append_sql("head_hash", "content_hash", "(SELECT id, 'h' || CAST(id % 500 AS STRING) AS head_hash FROM {docs})"))
+def link_by_content_hash(spark, sf_dir):
+    docs = table(spark, sf_dir, "docs").withColumn("head_hash", F.concat(F.lit("h"), (F.col("id") % 500).cast("string")))
+    return C.link_loose(table(spark, sf_dir, "manifest"), docs, loose_chunks(spark, sf_dir), "head_hash", "content_hash")

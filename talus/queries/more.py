@@ -13,14 +13,22 @@ from ..operators import search as S
 from ..operators import steps as D
 from ..operators import taxonomy as X2
 from .registry import query, table
-from .retrieval import hits
+from .retrieval import COS, hits
+
+
+MATCH = 0.2
+HALVES = ", ".join(f"{name} AS (SELECT label AS topic_id, list(x ORDER BY pos) AS embedding FROM (SELECT label, pos, avg(x) AS x FROM (SELECT label, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings WHERE vec_id % 2 = {i}) GROUP BY 1, 2) GROUP BY 1)" for i, name in enumerate(("old", "new")))
+#: Greedy one-to-one matching: each round takes the best pair that is left; ten topics take ten rounds at most.
+_PAIRS = f"w AS (SELECT o.topic_id AS old_id, n.topic_id AS new_id, row_number() OVER (ORDER BY round({COS.format(a='o.embedding', b='n.embedding')}, 12), o.topic_id, n.topic_id) AS r FROM old o, new n WHERE {COS.format(a='o.embedding', b='n.embedding')} <= 1 - {MATCH})"
+_ROUNDS = ", ".join(f"g{i} AS (SELECT * FROM g{i - 1} UNION ALL (SELECT old_id, new_id FROM w WHERE old_id NOT IN (SELECT old_id FROM g{i - 1}) AND new_id NOT IN (SELECT new_id FROM g{i - 1}) ORDER BY r LIMIT 1))" for i in range(1, 11))
+GREEDY = f"{_PAIRS}, g0 AS (SELECT old_id, new_id FROM w LIMIT 0), {_ROUNDS}, g AS (SELECT * FROM g10)"
 
 
 @query("cluster_results")
 def cluster_results(spark, sf_dir):
-    """Ward clusters of the 30 nearest chunks of each of 20 queries."""
+    """Ward clusters of the 30 nearest chunks of each query."""
     chunks = table(spark, sf_dir, "chunks")
-    near = S.nearest(chunks.filter("id < 20"), chunks, 30, query_key="id")
+    near = S.nearest(chunks.filter("id % 20 = 0"), chunks, 30, query_key="id")
     return R.cluster_results(near.select("query_id", "id", "distance").join(chunks.select("id", "embedding"), "id"))
 
 
@@ -61,9 +69,9 @@ def collection_vector_stats(spark, sf_dir):
     return C.vector_stats(table(spark, sf_dir, "chunks"))
 
 
-@query("resolve_chash", "SELECT user_id AS chash, event_type AS collection FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_type <> 'view', ts DESC, event_type) AS n FROM events WHERE event_id % 3 = 0) WHERE n = 1")
+@query("resolve_chash", "SELECT user_id AS chash, event_type AS collection FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_type <> 'view', ts DESC, event_type) AS n FROM events) WHERE n = 1")
 def resolve_chash(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").filter("event_id % 3 = 0").select(F.col("user_id").alias("chash"), F.col("event_type").alias("collection"), F.col("ts").alias("created_at"))
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("chash"), F.col("event_type").alias("collection"), F.col("ts").alias("created_at"))
     return C.resolve_chunk(rows, "chash", "view")
 
 
@@ -73,13 +81,16 @@ def traverse_purpose(spark, sf_dir):
     return G.traverse(seeds, table(spark, sf_dir, "links"), purpose="factual-evidence", depth=2)
 
 
-@query("suggest_links", """WITH d AS (SELECT p_partkey AS id, p_type AS stem, p_name || ' ' || lower(p_type) || ' x' AS title FROM part WHERE p_partkey % 10 = 0), w AS (SELECT DISTINCT id AS from_id, unnest(string_split(regexp_replace(lower(title), '[^a-z0-9_]+', ' ', 'g'), ' ')) AS word FROM d),
-m AS (SELECT DISTINCT from_id, d.id AS to_id FROM w JOIN d ON w.word = lower(d.stem) AND length(d.stem) > 3 WHERE w.from_id <> d.id), e AS (SELECT l_partkey AS from_id, l_suppkey AS to_id FROM lineitem)
+@query("suggest_links", r"""WITH c AS (SELECT page_id AS id, replace(lower(regexp_extract(html, 'href="/([^"]*)"', 1)), '_', '') AS stem FROM pages), d AS (SELECT page_id AS id, regexp_replace(lower(regexp_extract(html, '<title>([^<]*)</title>', 1)), '[-_ ]', '', 'g') AS title FROM pages),
+m AS (SELECT DISTINCT c.id AS from_id, d.id AS to_id FROM c JOIN d ON contains(d.title, c.stem) AND length(c.stem) > 3 AND c.id <> d.id), e AS (SELECT l_partkey AS from_id, l_suppkey AS to_id FROM lineitem)
 SELECT from_id, to_id FROM m WHERE NOT EXISTS (SELECT 1 FROM e WHERE (e.from_id = m.from_id AND e.to_id = m.to_id) OR (e.from_id = m.to_id AND e.to_id = m.from_id))""")
 def suggest_links(spark, sf_dir):
-    docs = table(spark, sf_dir, "part").filter("p_partkey % 10 = 0").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("stem"), F.concat("p_name", F.lit(" "), F.lower("p_type"), F.lit(" x")).alias("title"))
+    """Pages whose first linked file's name stands in another page's title."""
+    pages = table(spark, sf_dir, "pages")
+    codes = pages.select(F.col("page_id").alias("id"), F.regexp_extract("html", 'href="/([^"]*)"', 1).alias("stem"))
+    designs = pages.select(F.col("page_id").alias("id"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
     edges = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("from_id"), F.col("l_suppkey").alias("to_id"))
-    return G.suggest_links(docs, "id", "stem", "title", edges)
+    return G.suggest_links(codes, designs, edges)
 
 
 @query("split_topic")
@@ -87,12 +98,28 @@ def split_topic(spark, sf_dir):
     return X2.split_topic(table(spark, sf_dir, "chunks").withColumnRenamed("topic", "topic_id"), 3, 3)
 
 
-@query("rebuild_assignments")
+def halves(spark, sf_dir):
+    """Topics of one half of the chunks, and of the other with a turned label."""
+    chunks = table(spark, sf_dir, "chunks").withColumnRenamed("topic", "topic_id")
+    return chunks, *(V.mean_vector(chunks.filter(f"id % 2 = {i}"), ["topic_id"], "embedding", "embedding") for i in (0, 1))
+
+
+@query("rebuild_assignments", f"""WITH {HALVES}, {GREEDY}, manual AS (SELECT id, topic AS topic_id, embedding FROM {{chunks}}),
+r AS (SELECT m.id, g.new_id, m.embedding FROM manual m LEFT JOIN g ON g.old_id = m.topic_id),
+s AS (SELECT id, topic_id, sim FROM (SELECT r.id, n.topic_id, 1 - round({COS.format(a='r.embedding', b='n.embedding')}, 12) AS sim, row_number() OVER (PARTITION BY r.id ORDER BY round({COS.format(a='r.embedding', b='n.embedding')}, 12), n.topic_id) AS k FROM r, new n WHERE r.new_id IS NULL) WHERE k = 1)
+SELECT id, new_id AS topic_id, 'matched' AS route FROM r WHERE new_id IS NOT NULL UNION ALL SELECT id, topic_id, 'nearest' FROM s WHERE sim > 0.2""")
 def rebuild_assignments(spark, sf_dir):
     """Assignments to the topics of one half, carried over to those of the other."""
-    chunks = table(spark, sf_dir, "chunks").withColumnRenamed("topic", "topic_id")
-    old, new = (V.mean_vector(chunks.filter(f"id % 2 = {i}"), ["topic_id"], "embedding", "embedding") for i in (0, 1))
-    return X2.carry_over(chunks.select("id", "topic_id"), old, new, 0.2)
+    chunks, old, new = halves(spark, sf_dir)
+    return X2.carry_over(chunks.select("id", "topic_id"), old, new, chunks.select("id", "embedding"), MATCH, 0.2)
+
+
+@query("merge_labels", f"""WITH {HALVES}, {GREEDY} SELECT n.topic_id, 'topic ' || CAST(g.old_id AS STRING) AS label, CASE WHEN g.old_id IS NULL THEN 'pending' WHEN g.old_id % 2 = 0 THEN 'accepted' ELSE 'pending' END AS review_status, g.old_id FROM new n LEFT JOIN g ON g.new_id = n.topic_id""")
+def merge_labels(spark, sf_dir):
+    """Labels of the topics of one half of the chunks, given to those of the other."""
+    _, old, new = halves(spark, sf_dir)
+    status = F.when(F.col("topic_id") % 2 == 0, "accepted").otherwise("pending")
+    return X2.merge_labels(old.select("topic_id", F.concat(F.lit("topic "), F.col("topic_id").cast("string")).alias("label"), status.alias("review_status"), "embedding"), new, MATCH)
 
 
 @query("operator_extract", "SELECT page_id, nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), '') AS title, nullif(regexp_extract(html, '<html lang=\"([a-z]+)\"', 1), '') AS lang FROM pages")
@@ -111,7 +138,7 @@ def operator_compare(spark, sf_dir):
     return D.compare(rows.filter("id % 5 <> 0"), rows.filter("id % 3 <> 0").withColumn("n", F.col("n") % 20), "id", "n")
 
 
-@query("operator_summarize")
+@query("operator_summarize", r"""SELECT doc_id, array_to_string(list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s, ' ')), lambda s: s <> '')[1:2], ' ') AS summary FROM documents""")
 def operator_summarize(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", D.summary(F.col("text"), 2).alias("summary"))
 
@@ -142,9 +169,9 @@ def session_summary(spark, sf_dir):
     return table(spark, sf_dir, "links").join(docs, "from_id").groupBy("collection", "created_by").agg(F.count("*").alias("links"), F.countDistinct("from_id").alias("sources"))
 
 
-@query("squeezed_titles", "SELECT doc_id, regexp_replace(trim(lower(text[:80])), '\\s+', ' ', 'g') AS title FROM documents WHERE lang = 'en'")
+@query("squeezed_titles", "SELECT doc_id, sha256(regexp_replace(trim(lower(text), ' '), '\\s+', ' ', 'g')) AS digest FROM documents")
 def squeezed_titles(spark, sf_dir):
-    return table(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", X.squeezed(F.substr("text", F.lit(1), F.lit(80))).alias("title"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(X.squeezed(F.col("text")), 256).alias("digest"))
 
 
 @query("answer_steps", """SELECT topic, count(*) AS hits, min(distance) AS best FROM (SELECT * FROM (SELECT c.id, c.topic, round(1 - list_cosine_similarity(CAST(c.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS distance FROM {chunks} c, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE c.id <> 0) ORDER BY distance, id LIMIT 100) GROUP BY 1""")

@@ -172,19 +172,20 @@ def taxonomy_audit(spark, sf_dir):
     return out.select("source_collection", "rows", *(F.round(p, 6).alias(p) for p in ("p10", "p50", "p90")), "below")
 
 
-TERMS = f"""w AS (SELECT lang, unnest(list_filter(regexp_extract_all(lower(text), '[a-z0-9_]+'), lambda t: length(t) > 1 AND NOT list_contains({STOP}, t))) AS term FROM documents),
-tf AS (SELECT lang, term, count(*) AS tf FROM w GROUP BY 1, 2), f AS (SELECT term, sum(tf) AS f FROM tf GROUP BY 1), a AS (SELECT avg(n) AS a FROM (SELECT sum(tf) AS n FROM tf GROUP BY lang)),
-s AS (SELECT lang, term, round(tf * ln(1 + a.a / f.f), 6) AS score FROM tf JOIN f USING (term), a), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, term) AS rank FROM s)"""
+TERMS = rf"""w AS (SELECT doc_id, lang, unnest(list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]{{2,}}'), lambda t: NOT list_contains({STOP}, t))) AS term FROM documents),
+c AS (SELECT doc_id, lang, term, count(*) AS tf FROM w GROUP BY ALL), i AS (SELECT term, ln((1.0 + (SELECT count(*) FROM documents)) / (1.0 + count(*))) + 1 AS idf FROM c GROUP BY 1),
+v AS (SELECT doc_id, lang, term, tf * idf AS w, sqrt(sum((tf * idf) * (tf * idf)) OVER (PARTITION BY doc_id)) AS l FROM c JOIN i USING (term)),
+s AS (SELECT v.lang, term, round(sum(w / l) / any_value(z.n), 8) AS score FROM v JOIN (SELECT lang, count(*) AS n FROM documents GROUP BY 1) z ON z.lang IS NOT DISTINCT FROM v.lang GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, term) AS rank FROM s)"""
 
 
-@query("ctfidf_labels", f"WITH {TERMS} SELECT lang, term, score, rank FROM r WHERE rank <= 10")
+@query("ctfidf_labels", f"WITH {TERMS} SELECT lang, term, round(score, 6) AS score, rank FROM r WHERE rank <= 10")
 def ctfidf_labels(spark, sf_dir):
-    return X2.topic_terms(table(spark, sf_dir, "documents"), "lang", "text")
+    return X2.topic_terms(table(spark, sf_dir, "documents"), "doc_id", "lang", "text").withColumn("score", F.round("score", 6))
 
 
-@query("topic_labels", f"WITH {TERMS} SELECT lang, string_agg(term, ', ' ORDER BY rank) AS label FROM r WHERE rank <= 3 GROUP BY 1")
+@query("topic_labels", f"WITH {TERMS} SELECT lang, string_agg(term, ' ' ORDER BY rank) AS label FROM r WHERE rank <= 3 GROUP BY 1")
 def topic_labels(spark, sf_dir):
-    return X2.labels(X2.topic_terms(table(spark, sf_dir, "documents"), "lang", "text"), "lang")
+    return X2.labels(X2.topic_terms(table(spark, sf_dir, "documents"), "doc_id", "lang", "text"), "lang")
 
 
 @query("discover_topics")
@@ -192,16 +193,6 @@ def discover_topics(spark, sf_dir):
     return X2.discover(table(spark, sf_dir, "chunks"), 10)
 
 
-@query("merge_labels")
-def merge_labels(spark, sf_dir):
-    """Topics of one half of the chunks matched with those of the other."""
-    chunks = table(spark, sf_dir, "chunks").withColumnRenamed("topic", "topic_id")
-    from ..functions import vectors as V
-
-    old, new = (V.mean_vector(chunks.filter(f"id % 2 = {i}"), ["topic_id"], "embedding", "embedding") for i in (0, 1))
-    return X2.match_topics(old, new, 0.2)
-
-
 @query("line_windows", """WITH l AS (SELECT page_id, string_split(replace(html, chr(10), ' '), '><') AS l FROM pages), i AS (SELECT page_id, l, unnest(range(CAST(greatest(ceil((len(l) - 20) / 17.0), 0) AS BIGINT) + 1)) AS i FROM l)
 SELECT page_id, i AS chunk_index, i * 17 + 1 AS line_start, least(i * 17 + 20, len(l)) AS line_end, sha256(array_to_string(l[i * 17 + 1 : i * 17 + 20], chr(10))) AS digest FROM i""")
 def line_windows(spark, sf_dir):
@@ -239,31 +230,61 @@ def export_filter(spark, sf_dir):
     return pages.select("page_id", E.remapped(F.col("url"), (("http://", "https://"),)).alias("url"))
 
 
-PLANS = "(SELECT vec_id AS id, 'plan ' || CAST(vec_id AS STRING) AS query, embedding, CASE WHEN label % 2 = 0 THEN 'a,b' ELSE 'a' END AS tags, 'scope' || CAST(label % 3 AS STRING) AS scope, label % 4 = 0 AS grown, label, vec_id % 7 AS uses, vec_id % 5 AS successes FROM embeddings WHERE vec_id >= 20)"
+PLAN = ("vec_id AS id", "'plan ' || CAST(vec_id AS STRING) AS query", "'Finds parts of kind ' || CAST(label AS STRING) || ' in ' || CAST(vec_id % 30 AS STRING) AS description", "embedding", "'kind' || CAST(label AS STRING) AS tags", "CASE WHEN label % 5 = 0 THEN '' WHEN label % 2 = 0 THEN 'code__a,docs__b' ELSE 'docs__' END AS scope_tags", "label % 4 = 0 AS grown", "CASE WHEN vec_id % 3 = 0 THEN 'p' END AS project", "vec_id % 7 AS uses", "vec_id % 5 AS successes", "CASE WHEN vec_id % 3 = 1 THEN 1 ELSE 0 END AS failures", "CASE vec_id % 4 WHEN 0 THEN 'research' WHEN 1 THEN 'lookup' WHEN 2 THEN 'analyze' ELSE 'debug' END AS verb")
+#: Every row whose id is not divisible by 20 is a plan, the others are questions; the question repeats a plan word for word.
+PLANS = f"(SELECT {', '.join(PLAN)} FROM embeddings WHERE vec_id % 20 <> 0)"
 
 
 def plans(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").filter("vec_id >= 20").selectExpr("vec_id AS id", "'plan ' || CAST(vec_id AS STRING) AS query", "embedding", "CASE WHEN label % 2 = 0 THEN 'a,b' ELSE 'a' END AS tags", "'scope' || CAST(label % 3 AS STRING) AS scope", "label % 4 = 0 AS grown", "vec_id % 7 AS uses", "vec_id % 5 AS successes")
+    rows = table(spark, sf_dir, "embeddings").filter("vec_id % 20 <> 0").selectExpr(*PLAN)
+    return rows.withColumn("dimensions", F.create_map(F.lit("verb"), F.col("verb")))
 
 
 def asked(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").filter("vec_id < 20").selectExpr("vec_id AS query_id", "'Plan   ' || CAST(vec_id + 20 AS STRING) AS text", "embedding")
+    return table(spark, sf_dir, "embeddings").filter("vec_id % 20 = 0").selectExpr("vec_id AS query_id", "'Plan   ' || CAST(vec_id + 1 AS STRING) AS text", "embedding")
 
 
-MATCHED = f"""m AS (SELECT q.vec_id AS query_id, p.id, p.tags, CASE WHEN p.id = q.vec_id + 20 THEN 1.0 ELSE greatest(0.0, 1 - round({COS.format(a='p.embedding', b='q.embedding')}, 12)) END AS s, p.scope, p.grown FROM {PLANS} p, embeddings q WHERE q.vec_id < 20),
-k AS (SELECT query_id, id, tags, s * CASE WHEN scope = 'scope1' THEN 1.15 ELSE 1.0 END AS score FROM m WHERE s >= CASE WHEN grown THEN 0.55 ELSE 0.4 END),
-r AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, length(tags), id) AS rank FROM k)"""
+OFFERED = f"""o AS (SELECT *, CASE WHEN scope_tags = '' THEN 0 ELSE 1 END AS fit, len(list_filter(string_split(scope_tags, ','), lambda t: t <> '')) AS n FROM {PLANS} p WHERE NOT (failures > 0 AND successes = 0) AND (scope_tags = '' OR scope_tags = 'docs__' OR contains(scope_tags, 'docs__b')) AND NOT (grown AND scope_tags = '' AND coalesce(project, '') = '') AND verb IN ('query', 'research', 'lookup'))"""
+MATCHED = f"""{OFFERED}, m AS (SELECT q.vec_id AS query_id, p.id, p.n, p.fit, p.grown, CASE WHEN p.id = q.vec_id + 1 THEN 1.0 ELSE greatest(0.0, 1 - round({COS.format(a='p.embedding', b='q.embedding')}, 12)) END AS confidence FROM o p, embeddings q WHERE q.vec_id % 20 = 0),
+k AS (SELECT query_id, id, n, confidence, confidence * (1 + 0.15 * fit) AS score FROM m WHERE confidence >= CASE WHEN grown THEN 0.55 ELSE 0.4 END),
+r AS (SELECT query_id, id, confidence, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, n, id) AS rank FROM k)"""
 
 
-@query("plan_match", f"WITH {MATCHED} SELECT query_id, id, round(score, 6) AS score, rank FROM r WHERE rank <= 5")
+def matched(spark, sf_dir):
+    return P.match(asked(spark, sf_dir), plans(spark, sf_dir), "docs__b", dimensions={"verb": "query"})
+
+
+@query("plan_match", f"WITH {MATCHED} SELECT query_id, id, round(confidence, 6) AS confidence, round(score, 6) AS score, rank FROM r WHERE rank <= 5")
 def plan_match(spark, sf_dir):
-    return P.match(asked(spark, sf_dir), plans(spark, sf_dir), "scope1").withColumn("score", F.round("score", 6))
+    return matched(spark, sf_dir).withColumns({c: F.round(c, 6) for c in ("confidence", "score")})
+
+
+BODY = "list_distinct(list_filter(regexp_extract_all(lower({0}), '[a-z0-9_]+'), lambda t: length(t) > 1 AND NOT list_contains(" + STOP + ", t)))"
+TEXT_ASKED = "(SELECT vec_id AS query_id, CASE WHEN vec_id % 3 = 0 THEN 'The parts of kind' || CAST(label AS STRING) ELSE 'Finds plan of ' || CAST(label + 10 AS STRING) END AS text FROM embeddings WHERE vec_id % 20 = 0)"
+
+
+@query("plan_search", f"""WITH {OFFERED.replace(" AND verb IN ('query', 'research', 'lookup')", "")}, w AS (SELECT id, {BODY.format("query || ' ' || description || ' ' || tags")} AS have FROM o), q AS (SELECT query_id, {BODY.format("text")} AS want FROM {TEXT_ASKED}),
+m AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY len(have), id) AS rank FROM q, w WHERE len(want) > 0 AND list_has_all(have, want)) SELECT query_id, id, rank FROM m WHERE rank <= 5""")
+def plan_search(spark, sf_dir):
+    """The fallback by words, for questions that no vector matches."""
+    text = F.expr("CASE WHEN vec_id % 3 = 0 THEN 'The parts of kind' || CAST(label AS STRING) ELSE 'Finds plan of ' || CAST(label + 10 AS STRING) END")
+    questions = table(spark, sf_dir, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), text.alias("text"))
+    return P.match_text(questions, plans(spark, sf_dir), "docs__b").select("query_id", "id", "rank")
+
+
+@query("plan_usable", f"SELECT id FROM (SELECT *, TIMESTAMP '2024-01-01' + to_days(CAST(id % 20 AS INT)) AS created_at, CASE WHEN id % 3 = 0 THEN TIMESTAMP '2024-01-01' + to_days(CAST(id % 29 AS INT)) END AS last_used, CASE WHEN id % 7 = 0 THEN NULL ELSE id % 15 END AS ttl FROM {PLANS}) WHERE id % 11 <> 0 AND NOT (failures > 0 AND successes = 0) AND (ttl IS NULL OR date_diff('second', coalesce(greatest(created_at, last_used), created_at), TIMESTAMP '2024-01-31') / 86400.0 <= ttl)")
+def plan_usable(spark, sf_dir):
+    day = lambda n: F.to_timestamp(F.date_add(F.lit(dt.date(2024, 1, 1)), n.cast("int")))
+    rows = plans(spark, sf_dir).withColumns({"created_at": day(F.col("id") % 20), "last_used": F.when(F.col("id") % 3 == 0, day(F.col("id") % 29)), "ttl_days": F.when(F.col("id") % 7 != 0, F.col("id") % 15), "disabled_at": F.when(F.col("id") % 11 == 0, day(F.lit(3)))})
+    return P.usable(rows, NOW).select("id")
 
 
-@query("choose_within_band", f"WITH {MATCHED}, b AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS best FROM r WHERE rank <= 5) SELECT query_id, id FROM (SELECT query_id, b.id, row_number() OVER (PARTITION BY query_id ORDER BY p_retailprice IS NULL, coalesce(p_retailprice, 0), rank) AS n FROM b LEFT JOIN (SELECT p_partkey AS id, p_retailprice FROM part WHERE p_partkey % 2 = 0) c USING (id) WHERE score >= best - 0.05) WHERE n = 1")
+@query("choose_within_band", f"""WITH {MATCHED}, b AS (SELECT *, abs(first_value(confidence) OVER w - confidence) > 0.05 + 1e-12 AS away FROM r WHERE rank <= 5 WINDOW w AS (PARTITION BY query_id ORDER BY rank)),
+i AS (SELECT *, bool_or(away) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS out FROM b)
+SELECT query_id, id FROM (SELECT query_id, i.id, row_number() OVER (PARTITION BY query_id ORDER BY p_retailprice IS NULL, coalesce(p_retailprice, 0), rank) AS n FROM i LEFT JOIN (SELECT p_partkey AS id, p_retailprice FROM part WHERE p_partkey % 2 = 0) c USING (id) WHERE NOT out) WHERE n = 1""")
 def choose_within_band(spark, sf_dir):
     costs = table(spark, sf_dir, "part").filter("p_partkey % 2 = 0").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("cost"))
-    return P.choose(P.match(asked(spark, sf_dir), plans(spark, sf_dir), "scope1"), costs)
+    return P.choose(matched(spark, sf_dir), costs)
 
 
 @query("plan_cost", "SELECT p.p_partkey AS id, CASE WHEN h.n >= 30 THEN h.m WHEN p.p_partkey % 3 = 0 THEN NULL ELSE p.p_retailprice END AS cost FROM part p LEFT JOIN (SELECT l_partkey, count(l_quantity) AS n, median(l_quantity) AS m FROM lineitem GROUP BY 1) h ON h.l_partkey = p.p_partkey")

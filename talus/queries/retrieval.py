@@ -14,18 +14,17 @@ from ..operators import tables as T
 from .registry import query, table
 
 COS = "1 - list_cosine_similarity(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[]))"
-#: The SQL's hits of one search are the 500 chunks nearest to chunk 0; hits() below has all chunks, which is the same on tables of up to 501 chunks.
-MOST_HITS = 500
 HITS = f"""SELECT id, collection, kind, topic, round(d, 6) AS distance, CAST((id * 37) % 101 AS DOUBLE) / 100 AS frecency, id % 17 = 0 AS cached
-  FROM (SELECT c.id, c.collection, c.kind, c.topic, {COS.format(a='c.embedding', b='q.embedding')} AS d FROM {{chunks}} c, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE c.id <> 0)
-  ORDER BY round(d, 12), id LIMIT {MOST_HITS}"""
+  FROM (SELECT c.id, c.collection, c.kind, c.topic, {COS.format(a='c.embedding', b='q.embedding')} AS d FROM {{chunks}} c, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE c.id <> 0)"""
 
 
 def hits(spark, sf_dir):
     """Every chunk but chunk 0, with its distance to it: limits are those of the ranking steps, by collection."""
     chunks = table(spark, sf_dir, "chunks")
-    near = S.distances(chunks.filter("id = 0"), chunks.filter("id <> 0"), None, query_key="id").select("id", F.round(F.round("distance", 12), 6).alias("distance"))
-    return near.join(chunks.drop("embedding"), "id").select("id", "collection", "kind", "topic", "distance", ((F.col("id") * 37) % 101 / 100.0).cast("double").alias("frecency"), (F.col("id") % 17 == 0).alias("cached"))
+    asked = chunks.filter("id = 0").select("embedding").scalar()
+    far = F.round(F.round(V.cosine_distance("embedding", "__asked"), 12), 6)
+    near = chunks.filter("id <> 0").withColumn("__asked", asked).withColumn("distance", far)
+    return near.select("id", "collection", "kind", "topic", "distance", ((F.col("id") * 37) % 101 / 100.0).cast("double").alias("frecency"), (F.col("id") % 17 == 0).alias("cached"))
 
 
 @query("flagship", f"""
@@ -168,16 +167,16 @@ def _near(df):
     return df.select("query_id", "id", F.round("distance", 6).alias("distance"), F.col("rank").cast("long").alias("rank"))
 
 
-@query("knn_query", KNN % ("id < 20", "true", 10))
+@query("knn_query", KNN % ("id % 20 = 0", "true", 10))
 def knn_query(spark, sf_dir):
     chunks = table(spark, sf_dir, "chunks")
-    return _near(S.nearest(chunks.filter("id < 20"), chunks, 10, query_key="id"))
+    return _near(S.nearest(chunks.filter("id % 20 = 0"), chunks, 10, query_key="id"))
 
 
-@query("search_filtered", KNN % ("id < 20", "c.collection = 'c1'", 5))
+@query("search_filtered", KNN % ("id % 20 = 0", "c.collection = 'c1'", 5))
 def search_filtered(spark, sf_dir):
     chunks = table(spark, sf_dir, "chunks")
-    return _near(S.nearest(chunks.filter("id < 20"), chunks.filter("collection = 'c1'"), 5, query_key="id"))
+    return _near(S.nearest(chunks.filter("id % 20 = 0"), chunks.filter("collection = 'c1'"), 5, query_key="id"))
 
 
 @query("search_multi_collection", KNN % ("id = 3", "c.collection IN ('c0', 'c2')", 30))
@@ -201,9 +200,9 @@ def centroids(spark, sf_dir):
 
 
 @query("ann_centroid", f"""SELECT id, topic_id, similarity FROM (SELECT c.id, t.topic_id, round(1 - ({COS.format(a='c.embedding', b='t.embedding')}), 6) AS similarity,
-  row_number() OVER (PARTITION BY c.id ORDER BY round({COS.format(a='c.embedding', b='t.embedding')}, 12), t.topic_id) AS n FROM {{chunks}} c, {CENTROIDS} t WHERE c.id < 50) WHERE n <= 3""")
+  row_number() OVER (PARTITION BY c.id ORDER BY round({COS.format(a='c.embedding', b='t.embedding')}, 12), t.topic_id) AS n FROM {{chunks}} c, {CENTROIDS} t WHERE c.id % 20 = 0) WHERE n <= 3""")
 def ann_centroid(spark, sf_dir):
-    chunks = table(spark, sf_dir, "chunks").filter("id < 50")
+    chunks = table(spark, sf_dir, "chunks").filter("id % 20 = 0")
     near = S.nearest(chunks, centroids(spark, sf_dir), 3, query_key="id", key="topic_id")
     return near.select(F.col("query_id").alias("id"), F.col("id").alias("topic_id"), F.round(1 - F.col("distance"), 6).alias("similarity"))
 
@@ -225,7 +224,7 @@ def texts_with_vectors(spark, sf_dir):
 @query("text_gate", f"WITH {GATE} SELECT id FROM m")
 def text_gate(spark, sf_dir):
     """Misspelt on purpose: trigrams find `released`."""
-    return S.text_matches(table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "id"), "the relesed license")
+    return S.text_matches(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), "the relesed license").select("id")
 
 
 HYBRID = f"""WITH {GATE}, h AS (SELECT c.id, {COS.format(a='c.embedding', b='q.embedding')} AS distance FROM {{chunks}} c JOIN m USING (id), (SELECT embedding FROM embeddings WHERE vec_id = 0) q)"""
@@ -241,12 +240,10 @@ def hybrid_search(spark, sf_dir):
 @query("hybrid_search_rrf", HYBRID + """, r AS (SELECT h.id, CAST(row_number() OVER (ORDER BY round(distance, 12), h.id) AS BIGINT) AS vector_rank, CAST(row_number() OVER (ORDER BY n_chars, h.id) AS BIGINT) AS text_rank FROM h JOIN documents ON doc_id = h.id)
 SELECT id, vector_rank, text_rank, round(1 / (60.0 + vector_rank) + 1 / (60.0 + text_rank), 6) AS score FROM r""")
 def hybrid_search_rrf(spark, sf_dir):
-    both = texts_with_vectors(spark, sf_dir)
-    gated = both.join(S.text_matches(both, "relesed license"), "id", "left_semi")
-    near = S.distances(table(spark, sf_dir, "chunks").filter("id = 0"), gated, None, query_key="id").join(gated.select("id", F.char_length("text").alias("n_chars")), "id")
-    one = Window.partitionBy("query_id")
-    ranked = near.select("id", F.row_number().over(one.orderBy(F.round("distance", 12), "id")).cast("long").alias("vector_rank"), F.row_number().over(one.orderBy("n_chars", "id")).cast("long").alias("text_rank"))
-    return S.fuse(ranked, ["id"], ["vector_rank", "text_rank"]).withColumn("score", F.round("score", 6))
+    gated = S.text_matches(texts_with_vectors(spark, sf_dir), "relesed license")
+    asked = table(spark, sf_dir, "chunks").filter("id = 0").select("embedding").scalar()
+    far = gated.withColumn("asked", asked).select("id", V.cosine_distance("embedding", "asked").alias("distance"), F.char_length("text").alias("n_chars"))
+    return S.fused(far, "distance", "n_chars").withColumn("score", F.round("score", 6))
 
 
 SCOPED = f"""WITH d AS (SELECT m.doc_id AS document, c.id, round({COS.format(a='c.embedding', b='q.embedding')}, 12) AS distance FROM {{chunks}} c JOIN {{manifest}} m ON m.chunk_id = c.id JOIN {{docs}} d ON d.id = m.doc_id, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE d.deleted_at IS NULL AND %s)
@@ -255,22 +252,30 @@ SELECT document, id, round(distance, 6) AS distance FROM (SELECT *, row_number()
 
 def _scoped(spark, sf_dir, docs):
     chunks = table(spark, sf_dir, "chunks")
-    owners = table(spark, sf_dir, "manifest").join(docs.filter("deleted_at IS NULL").select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("document"), F.col("chunk_id").alias("id")).distinct()
-    inside = chunks.join(owners.select("id"), "id", "left_semi")
-    near = S.distances(chunks.filter("id = 0"), inside, None, query_key="id").select("id", F.round("distance", 12).alias("distance"))
-    best = S.best_of_document(near.join(owners, "id"), ["document"])
+    asked = chunks.filter("id = 0").select("embedding").scalar()
+    owners = table(spark, sf_dir, "manifest").join(docs.filter("deleted_at IS NULL").select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("document"), F.col("chunk_id").alias("id"))
+    far = chunks.withColumn("__asked", asked).select("id", F.round(V.cosine_distance("embedding", "__asked"), 12).alias("distance"))
+    best = S.best_of_document(owners.join(far, "id"), ["document"])
     return S.top(best, 25, ["distance", "document"]).select("document", "id", F.round("distance", 6).alias("distance"))
 
 
-@query("search_metadata_scoped", SCOPED % "d.content_type = 'F' AND d.collection = '1-URGENT'")
+@query("search_metadata_scoped", SCOPED % "d.content_type = 'F' AND contains(lower(d.author), 'author 1') AND d.year = 1997 AND (d.tumbler = '1' OR starts_with(d.tumbler, '1.')) AND d.collection = '1-URGENT'")
 def search_metadata_scoped(spark, sf_dir):
-    return _scoped(spark, sf_dir, table(spark, sf_dir, "docs").filter("content_type = 'F' AND collection = '1-URGENT'"))
+    docs = S.in_scope(table(spark, sf_dir, "docs"), "F", "AUTHOR 1", 1997, "1", F.col("collection") == "1-URGENT")
+    return _scoped(spark, sf_dir, docs)
+
 
+#: Topics by their label: two collections use `topic 3`, one of them for another topic.
+TOPICS = "(SELECT DISTINCT topic AS topic_id, 'topic ' || CAST(CASE WHEN topic = 7 THEN 3 ELSE topic END AS STRING) AS label, collection FROM {chunks})"
 
-@query("search_topic_scoped", KNN % ("id = 0", "c.topic = 3", 15))
+
+@query("search_topic_scoped", KNN % ("id = 0", f"c.id IN (SELECT x.id FROM {{chunks}} x JOIN {TOPICS} t ON t.topic_id = x.topic WHERE t.label = 'topic 3' AND t.collection = 'c3')", 15))
 def search_topic_scoped(spark, sf_dir):
     chunks = table(spark, sf_dir, "chunks")
-    return _near(S.nearest(chunks.filter("id = 0"), chunks.filter("topic = 3"), 15, query_key="id"))
+    label = F.concat(F.lit("topic "), F.when(F.col("topic") == 7, 3).otherwise(F.col("topic")).cast("string"))
+    topics = chunks.select(F.col("topic").alias("topic_id"), label.alias("label"), "collection").distinct()
+    members = S.topic_members(topics, chunks.select("id", F.col("topic").alias("topic_id")), "topic 3", "c3")
+    return _near(S.nearest(chunks.filter("id = 0"), chunks.join(members, "id", "left_semi"), 15, query_key="id"))
 
 
 REACH = """r AS (SELECT id, min(h) AS hops FROM (SELECT 5 AS id, 0 AS h UNION ALL
@@ -338,11 +343,12 @@ def quality_boost(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.round(scores.quality(F.col("p_size") - 5, scores.age_of_year(year, dt.date(2024, 1, 30))), 6).alias("quality"))
 
 
-@query("link_boost", f"""WITH h AS ({HITS}), l AS (SELECT to_id AS id, sum(CASE link_type WHEN 'implements' THEN 1.0 WHEN 'relates' THEN 0.5 WHEN 'cites' THEN 0.5 ELSE 0.0 END) AS w FROM {{links}} GROUP BY 1)
+@query("link_boost", f"""WITH h AS ({HITS}), l AS (SELECT from_id AS id, sum(CASE link_type WHEN 'implements' THEN 1.0 WHEN 'relates' THEN 0.5 WHEN 'cites' THEN 0.5 ELSE 0.0 END) AS w FROM {{links}} GROUP BY 1)
 SELECT id, round(1 - distance + 0.15 * least(1.0, coalesce(w, 0)), 6) AS score FROM h LEFT JOIN l USING (id)""")
 def link_boost(spark, sf_dir):
+    """Links that leave a hit count."""
     scored = hits(spark, sf_dir).withColumn("score", 1 - F.col("distance"))
-    return R.link_boost(scored, table(spark, sf_dir, "links").select(F.col("to_id").alias("id"), "link_type"), "id").select("id", F.round("score", 6).alias("score"))
+    return R.link_boost(scored, table(spark, sf_dir, "links").select(F.col("from_id").alias("id"), "link_type"), "id").select("id", F.round("score", 6).alias("score"))
 
 
 @query("topic_boost", f"""WITH h AS ({HITS}), t AS (SELECT topic, count(*) AS n FROM h GROUP BY 1), l AS (SELECT a, b FROM (VALUES (0, 1), (2, 5)) v(a, b))
@@ -359,13 +365,15 @@ def salience_boost(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.round(R.salience_boost(asked, X.tokens(F.col("text"))), 6).alias("boost"))
 
 
-@query("contradiction_flag", f"""WITH c AS (SELECT id, collection, embedding, CAST(topic AS STRING) || CAST(id % 2 AS STRING) AS agent FROM {{chunks}} WHERE id < 200),
-p AS (SELECT a.id AS a, b.id AS b FROM c a JOIN c b ON a.id < b.id AND a.collection = b.collection AND a.agent <> b.agent WHERE {COS.format(a='a.embedding', b='b.embedding')} <= 0.6)
-SELECT id, collection, id IN (SELECT a FROM p UNION SELECT b FROM p) AS contradicted FROM c""")
+@query("contradiction_flag", f"""WITH n AS ({KNN % ("id % 20 = 0", "true", 30)}), c AS (SELECT n.query_id, n.id, e.collection, e.embedding, CAST(e.topic AS STRING) || CAST(e.id % 2 AS STRING) AS agent FROM n JOIN {{chunks}} e USING (id)),
+p AS (SELECT a.query_id, a.id AS a, b.id AS b FROM c a JOIN c b ON a.query_id = b.query_id AND a.id < b.id AND a.collection = b.collection AND a.agent <> b.agent WHERE {COS.format(a='a.embedding', b='b.embedding')} < 0.6)
+SELECT c.query_id, c.id, c.collection, EXISTS (SELECT 1 FROM p WHERE p.query_id = c.query_id AND (p.a = c.id OR p.b = c.id)) AS contradicted FROM c""")
 def contradiction_flag(spark, sf_dir):
-    some = table(spark, sf_dir, "chunks").filter("id < 200").withColumn("agent", F.concat(F.col("topic").cast("string"), (F.col("id") % 2).cast("string")))
-    near = S.distances(some, some, None, query_key="id", most=0.6, skip_self=True).select(F.col("query_id").alias("a"), F.col("id").alias("b"))
-    return R.contradictions(some.select("id", "collection", "agent"), near, "id", "collection", "agent").select("id", "collection", "contradicted")
+    """Among the 30 nearest chunks of each search."""
+    chunks = table(spark, sf_dir, "chunks")
+    near = S.nearest(chunks.filter("id % 20 = 0"), chunks, 30, query_key="id").select("query_id", "id")
+    found = near.join(chunks, "id").withColumn("agent", F.concat(F.col("topic").cast("string"), (F.col("id") % 2).cast("string")))
+    return R.contradictions(found, least=0.6).select("query_id", "id", "collection", "contradicted")
 
 
 @query("exact_boost", f"""WITH h AS ({HITS}), e AS (SELECT vec_id AS id FROM embeddings WHERE vec_id % 10 = 0)

@@ -106,7 +106,7 @@ def test_tumblers(spark):
     assert [r.t for r in df.orderBy(tumblers.parsed(F.col("t"))).collect()] == ["1.1.3", "1.1.3.0", "1.1.10", "2"]
     t = F.lit("1.1.3")
     row = spark.range(1).select(tumblers.ancestors(t).alias("a"), tumblers.common_ancestor(t, F.lit("1.1.9")).alias("c"), tumblers.common_ancestor(t, F.lit("2.1")).alias("n"), tumblers.is_prefix(F.lit("1.1"), F.lit("1.10")).alias("p"), tumblers.ancestors(F.lit("7")).alias("e"), tumblers.span_parts(F.lit("3:100-250")).alias("s"), tumblers.span_parts(F.lit("x")).alias("x")).first()
-    assert (row.a, row.c, row.n, row.p, row.e, tuple(row.s), row.x) == (["1", "1.1"], "1.1", None, False, [], ("chunk", "3", 100, 250), None)
+    assert (row.a, row.c, row.n, row.p, row.e, tuple(row.s), row.x) == (["1", "1.1", "1.1.3"], "1.1", None, False, ["7"], ("chunk", "3", 100, 250), None)
 
 
 def test_ttl():
@@ -256,5 +256,8 @@ def test_all_evidence(spark):
 def test_suggested_links_hold_stems_anywhere(spark):
     docs = spark.createDataFrame([(1, "query_planner", "Notes"), (2, "chunk", "Query Planner Design"), (3, "api", "On chunking, api"), (4, None, "query-planner_chunk"), (5, "planner", None), (6, "_ab_", "ab")], "id long, stem string, title string")
     edges = spark.createDataFrame([(1, 4)], "from_id long, to_id long")
-    assert values(graph.suggest_links(docs, "id", "stem", "title", edges), "from_id", "to_id") == [(2, 1), (2, 5), (3, 2), (4, 2), (4, 5)]
-    assert graph.suggest_links(docs.limit(0), "id", "stem", "title", edges).count() == 0
+    codes, designs = docs.select("id", "stem"), docs.select("id", "title")
+    assert values(graph.suggest_links(codes, designs, edges), "from_id", "to_id") == [(1, 2), (2, 3), (2, 4), (5, 2), (5, 4)]
+    assert graph.suggest_links(codes.limit(0), designs, edges).count() == 0
+    plural = spark.createDataFrame([(9, "RDR 12: Retry Budgets for clients")], "id long, title string")
+    assert values(graph.suggest_links(spark.createDataFrame([(8, "retry_budget")], "id long, stem string"), plural, edges), "from_id", "to_id") == [(8, 9)]
