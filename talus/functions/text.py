@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -56,12 +58,36 @@ def squeezed(text: Column) -> Column:
 
 
 def query_from(raw: str, most: int = 500) -> str:
-    """The part of a long pasted prompt to search for: up to 200 characters pass as they are; else the last question,
-    else the last line of ten characters or more, else the end; `most` characters at most."""
+    """The part of a long pasted prompt to search for, `most` characters at most.
+
+    Up to 200 characters pass as they are. Else it is the last line that ends in a question mark (also a full-width one),
+    else the last sentence before one, if that has ten characters; else the last line of ten characters or more; else the end.
+    """
     text = raw.strip()
     if len(text) <= 200:
         return text
     lines = [line.strip() for line in text.splitlines() if line.strip()]
-    asked = [line for line in lines if line.endswith("?")]
+    asked = [line for line in lines if re.search(r"[?？]\s*[\"']?\s*$", line)]
+    asked = asked or [m[0].strip() for m in re.finditer(r"[^.!?。！？\n]+[?？]", text)]
     long = [line for line in lines if len(line) >= 10]
-    return (asked or long or [text[-most:]])[-1][-most:]
+    best = asked[-1:] if asked and len(asked[-1]) >= 10 else long[-1:]
+    return (best or [text])[0][-most:].strip()
+
+
+def glob_pattern(glob: str) -> str:
+    """A regular expression for a glob: `*` and `**` match any characters, `?` one."""
+    return "^" + "".join(".*" if p in ("*", "**") else "." if p == "?" else re.escape(p) for p in re.split(r"(\*\*|\*|\?)", glob)) + "$"
+
+
+def salient(text: Column, seeds: list[str], first: int = 3, longest: int = 600) -> Column:
+    """The `first` sentences of a text that are most like one of the seed queries, in their own order.
+
+    A sentence ends at `.`, `!` or `?` before white space and a capital, bracket or mark, and counts `longest` characters at
+    most. It scores the largest share of a seed's words that it has; ties go to the earlier one.
+    """
+    parts = F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+(?=[A-Z(\[`*_])"), lambda s: F.substr(F.trim(s), F.lit(1), F.lit(longest))), lambda s: s != "")
+    wanted = [F.array(*map(F.lit, dict.fromkeys(re.findall("[a-z0-9_]+", q.lower())))).cast("array<string>") for q in seeds]
+    best = lambda s: F.greatest(*(overlap_share(w, tokens(s)) for w in wanted), F.lit(0.0))
+    scored = F.transform(parts, lambda s, i: F.struct((-F.round(best(s), 9)).alias("s"), i.alias("i"), s.alias("t")))
+    kept = F.array_sort(F.transform(F.slice(F.array_sort(scored), 1, first), lambda x: F.struct(x["i"], x["t"])))
+    return F.transform(kept, lambda x: x["t"])

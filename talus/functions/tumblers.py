@@ -40,8 +40,8 @@ def spans_overlap(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
 
 
 def span_parts(span: Column) -> Column:
-    """Kind and numbers of a span: `lines` 42-57, `chunk` 3:100-250, `hash` chash:<64 hex>[:start-end]."""
-    lines, chunk, digest = r"^(\d+)-(\d+)$", r"^(\d+):(\d+)-(\d+)$", r"^chash:([0-9a-f]{64})(?::(\d+)-(\d+))?$"
+    """Kind and numbers of a span: `lines` 42-57, `chunk` 3:100-250, `hash` chash:<64 hex>[:start-end] or bare 64 or 32 hex digits."""
+    lines, chunk, digest = r"^(\d+)-(\d+)$", r"^(\d+):(\d+)-(\d+)$", r"^(?:chash:)?([0-9a-f]{64}|[0-9a-f]{32})(?::(\d+)-(\d+))?$"
 
     def number(pattern: str, group: int) -> Column:
         return F.regexp_extract(span, pattern, group).try_cast("bigint")
@@ -51,3 +51,10 @@ def span_parts(span: Column) -> Column:
         .when(span.rlike(chunk), F.struct(F.lit("chunk").alias("kind"), F.regexp_extract(span, chunk, 1).alias("of"), number(chunk, 2).alias("start"), number(chunk, 3).alias("end")))
         .when(span.rlike(digest), F.struct(F.lit("hash").alias("kind"), F.regexp_extract(span, digest, 1).alias("of"), number(digest, 2).alias("start"), number(digest, 3).alias("end")))
     )
+
+
+def span_text(span: Column, text: Column) -> Column:
+    """The part of a chunk's text that a span names by characters (from 0, the end left out), the whole text if it names none."""
+    parts = span_parts(span)
+    start, end = parts["start"].cast("int"), parts["end"].cast("int")
+    return F.when(start.isNull(), text).otherwise(F.substr(text, start + 1, F.greatest(end - start, F.lit(0))))

@@ -2,22 +2,63 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Iterator
+from itertools import accumulate, batched
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LINES, OVERLAP, MOST_BYTES = 150, 0.15, 12_288
 SENTENCE_CHARS = 1500
+# Characters that a long line is cut behind.
+BREAKS = ";,})]"
+
+
+def split_line(line: str, most: int) -> list[str]:
+    """Pieces of at most `most` characters: cut behind the last break character in the last fifth, else behind the last white space, else anywhere."""
+    out = []
+    while len(line) > most:
+        head = line[:most]
+        late = int(0.8 * most)
+        cut = max(head.rfind(c) for c in BREAKS) + 1
+        if cut <= late + 1:
+            cut = max(head.rfind(c, 1) for c in " \t") + 1 or most
+        out.append(line[:cut])
+        line = line[cut:]
+    return [*out, line] if line or not out else out
+
+
+def windows_of(text: str, lines: int, overlap: float, most: int) -> Iterator[tuple[int, int, str]]:
+    """(first line, last line, text) of the windows of a text, lines from 1; long lines are cut into several before they count."""
+    rows = [piece for line in text.split("\n") for piece in (split_line(line, most) if len(line.encode()) > most else [line])]
+    # Bytes up to each line's end, with line feeds.
+    ends = list(accumulate(len(row.encode()) + 1 for row in rows))
+    start = 0
+    while True:
+        before = ends[start - 1] if start else 0
+        end = min(start + lines, len(rows), max(start + 1, bisect_right(ends, before + most + 1, start)))
+        yield start + 1, end, "\n".join(rows[start:end]).encode()[:most].decode("utf-8", "ignore")
+        if end == len(rows):
+            return
+        start += max(1, int((end - start) * (1 - overlap)))
+
+
+def line_windows(docs: DataFrame, key: str, text: str, lines: int = LINES, overlap: float = OVERLAP, most: int = MOST_BYTES) -> DataFrame:
+    """(key, chunk_index, line_start, line_end, text): windows of at most `lines` lines and `most` bytes, each beginning a little before
+    the last one ended. A line of more bytes is cut first; a window of one line that is still too long loses its end."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, body in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                for at, cuts in enumerate(batched(windows_of(body, lines, overlap, most), 1000)):
+                    first, last, parts = zip(*cuts, strict=True)
+                    index = [at * 1000 + i for i in range(len(cuts))]
+                    yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(cuts), name.type), *(pa.array(x, pa.int64()) for x in (index, first, last)), pa.array(parts, pa.string())], [key, "chunk_index", "line_start", "line_end", "text"])
 
-def line_windows(docs: DataFrame, key: str, text: str, lines: int = LINES, overlap: float = OVERLAP) -> DataFrame:
-    """(key, chunk_index, line_start, line_end, text): windows of lines, each beginning a little before the last one ended; lines from 1."""
-    step = max(1, lines - int(lines * overlap))
-    split = docs.select(key, F.split(text, "\n").alias("__l"))
-    n = F.size("__l")
-    starts = F.sequence(F.lit(0), F.greatest(F.ceil((n - lines) / step), F.lit(0)).cast("int"))
-    cut = split.select(key, "__l", F.explode(starts).alias("i"))
-    first = F.col("i") * step
-    return cut.select(key, F.col("i").cast("long").alias("chunk_index"), (first + 1).cast("long").alias("line_start"), F.least(first + lines, n).cast("long").alias("line_end"), F.array_join(F.slice("__l", first + 1, lines), "\n").alias("text"))
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(key, F.coalesce(text, F.lit("")).alias(text)).mapInArrow(run, f"{key} {kind}, chunk_index long, line_start long, line_end long, text string")
 
 
 def byte_pieces(text: Column, most: int = MOST_BYTES) -> Column:
@@ -39,9 +80,16 @@ def sentence_windows(docs: DataFrame, key: str, sentences: Column, most: int = S
 
 
 def sections(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, section_index, header, text): what stands below each `#` header; text before the first one has an empty header."""
+    """(key, section_index, level, header, path, text): what stands below each `#` header, with the headers above it, its own last;
+    text before the first header has level 0, an empty header and no path."""
     parts = F.split(F.concat(F.lit("\n"), F.col(text)), r"\n(?=#{1,6} )")
-    cut = docs.select(key, F.posexplode(parts).alias("i", "part"))
-    header = F.regexp_extract("part", r"^#{1,6} ([^\n]*)", 1)
+    level = lambda p: F.length(F.regexp_extract(p, r"^(#{1,6}) ", 1))
+    header = lambda p: F.regexp_extract(p, r"^#{1,6} ([^\n]*)", 1)
+    one = "level int, header string"
+    # The open headers at each section: those of a lower level than its own, and itself.
+    opened = lambda stack, p: F.when(level(p) == 0, stack).otherwise(F.array_append(F.filter(stack, lambda h: h["level"] < level(p)), F.struct(level(p).alias("level"), header(p).alias("header"))))
+    start = F.struct(F.array().cast(f"array<struct<{one.replace(' ', ':')}>>".replace(",:", ",")).alias("stack"), F.array().cast("array<array<string>>").alias("paths"))
+    walked = F.aggregate(parts, start, lambda acc, p: F.struct(opened(acc["stack"], p).alias("stack"), F.array_append(acc["paths"], F.transform(opened(acc["stack"], p), lambda h: h["header"])).alias("paths")))["paths"]
+    cut = docs.select(key, F.posexplode(F.arrays_zip(parts.alias("part"), walked.alias("path"))).alias("i", "x")).select(key, F.col("i").cast("long").alias("section_index"), "x.part", "x.path")
     body = F.trim(F.regexp_replace("part", r"^#{1,6} [^\n]*\n?", ""))
-    return cut.select(key, F.col("i").cast("long").alias("section_index"), header.alias("header"), body.alias("text")).filter("header <> '' OR text <> ''")
+    return cut.select(key, "section_index", level(F.col("part")).alias("level"), header(F.col("part")).alias("header"), F.col("path").alias("path"), body.alias("text")).filter("header <> '' OR text <> ''")

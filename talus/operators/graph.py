@@ -5,13 +5,16 @@ Edges are (from_id, to_id, link_type) and may carry creators and dates.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import tumblers
 from . import lineage
 
 MOST_HOPS = 3
+#: Links that a bulk deletion takes without being confirmed.
+MOST_UNCONFIRMED = 10
 #: Nodes of a frontier, with all that was reached, that are broadcast: a few MB.
 FEW_NODES = 100_000
 # What a named purpose walks along.
@@ -163,3 +166,58 @@ def link_density(seeds: DataFrame, edges: DataFrame, group: str, depth: int = 1,
     at = lambda place: F.min(F.when(F.col("upto") > place, F.col("size")))
     out = placed.groupBy(group).agg(F.max("all").alias("seeds"), ((at(F.floor((F.col("all") - 1) / 2)) + at(F.floor(F.col("all") / 2))) / 2).alias("p50"), at(F.floor(0.9 * (F.col("all") - 1) + 0.5)).alias("p90"))
     return out.withColumn("low", F.col("p50") < low)
+
+
+def unlink(edges: DataFrame, pairs: DataFrame, link_type: str | None = None) -> DataFrame:
+    """Links without those of the pairs (from_id, to_id), of one type or of all."""
+    gone = pairs.select("from_id", "to_id").distinct()
+    if link_type is None:
+        return edges.join(gone, ["from_id", "to_id"], "left_anti")
+    return edges.filter(F.col("link_type") != link_type).unionByName(edges.filter(F.col("link_type") == link_type).join(gone, ["from_id", "to_id"], "left_anti"))
+
+
+def bulk_unlink(edges: DataFrame, condition: Column, confirmed: bool = False) -> DataFrame:
+    """Links without those that meet a condition; more than MOST_UNCONFIRMED of them go only if that is confirmed."""
+    meets = F.coalesce(condition, F.lit(False))
+    if not confirmed and edges.filter(meets).limit(MOST_UNCONFIRMED + 1).count() > MOST_UNCONFIRMED:
+        raise ValueError(f"more than {MOST_UNCONFIRMED} links would go")
+    return edges.filter(~meets)
+
+
+def auto_links(contexts: DataFrame, docs: DataFrame, edges: DataFrame, default: str = "relates") -> DataFrame:
+    """(from_id, to_id, link_type, outcome) for asked links (from_id, target, link_type): `created`, `exists`, `invalid` where the target is no address,
+    `missing` where an end is no document. docs: (id, tumbler)."""
+    known = docs.select(F.col("id").alias("to_id"), F.col("tumbler").alias("target"))
+    ends = docs.select(F.col("id").alias("from_id"), F.lit(True).alias("__from"))
+    wanted = contexts.select("from_id", "target", F.coalesce("link_type", F.lit(default)).alias("link_type")).distinct()
+    met = wanted.join(known, "target", "left").join(ends, "from_id", "left")
+    there = edges.select("from_id", "to_id", "link_type").distinct().withColumn("__there", F.lit(True))
+    met = met.join(there, ["from_id", "to_id", "link_type"], "left")
+    outcome = F.when(tumblers.parsed(F.col("target")).isNull(), "invalid").when(F.col("to_id").isNull() | F.col("__from").isNull(), "missing").when(F.col("__there"), "exists").otherwise("created")
+    return met.select("from_id", "target", "to_id", "link_type", outcome.alias("outcome"))
+
+
+def links_for_file(edges: DataFrame, docs: DataFrame, path: str, name: str = "path") -> DataFrame:
+    """(from_id, to_id, link_type, direction) of the live documents with a file path: links that leave and that reach them."""
+    mine = docs.filter((F.col(name) == path) & F.col("deleted_at").isNull()).select("id")
+    side = lambda c, direction: edges.join(mine.select(F.col("id").alias(c)), c, "left_semi").select("from_id", "to_id", "link_type", F.lit(direction).alias("direction"))
+    return side("from_id", "out").unionByName(side("to_id", "in"))
+
+
+def reached(seeds: DataFrame, edges: DataFrame, docs: DataFrame, manifest: DataFrame, **how) -> DataFrame:
+    """(tumbler, id, collection): the live documents that a walk reaches and the chunks of their manifests, once each; null
+    ids for documents without chunks. Seeds that are no documents are dropped. docs: (id, tumbler, collection, deleted_at)."""
+    alive = docs.filter(F.col("deleted_at").isNull()).select(F.col("id").alias("node"), "tumbler", "collection")
+    found = traverse(seeds.join(alive.select("node"), "node", "left_semi"), edges, **how)
+    chunks = manifest.select(F.col("doc_id").alias("node"), F.col("chunk_id").alias("id"))
+    return alive.join(found.select("node"), "node").join(chunks, "node", "left").select("tumbler", "id", "collection").distinct()
+
+
+def resolve(asked: DataFrame, docs: DataFrame) -> DataFrame:
+    """(asked, id, by) of asked addresses, paths or titles (asked): the live document with that address, else with that path, else
+    with that title (the smallest id of several); null where there is none. docs: (id, tumbler, path, title, deleted_at)."""
+    alive = docs.filter(F.col("deleted_at").isNull())
+    names = F.array(*(F.struct(F.lit(i).alias("rank"), F.lit(c).alias("by"), F.col(c).alias("asked")) for i, c in enumerate(("tumbler", "path", "title"))))
+    named = alive.select("id", F.explode(names).alias("n")).select("n.asked", F.struct("n.rank", "id", "n.by").alias("n")).filter("asked IS NOT NULL")
+    best = asked.select("asked").distinct().join(named, "asked").groupBy("asked").agg(F.min("n").alias("n"))
+    return asked.join(best, "asked", "left").select("asked", "n.id", "n.by")

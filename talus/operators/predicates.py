@@ -14,6 +14,17 @@ SIGNS = {"!=": "$ne", "<=": "$lte", ">=": "$gte", "=": "$eq", "<": "$lt", ">": "
 NUMBER = r"^-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?$"
 
 
+# Fields that hold numbers, so that 07 and 7.0 equal 7.
+NUMERIC_FIELDS = ("bib_year", "bib_citation_count", "page_number", "page_count", "chunk_index", "chunk_count", "chunk_start_char", "chunk_end_char")
+
+
+def _number(name: str, value):
+    """The value as a number where the field holds numbers and it is one."""
+    if name in NUMERIC_FIELDS and isinstance(value, str) and re.fullmatch(r"[-+]?\d+(?:\.\d*)?(?:[eE][-+]?\d+)?", value):
+        return float(value) if re.search("[.eE]", value) else int(value)
+    return value
+
+
 def _scalar(value) -> str:
     if isinstance(value, bool):
         return str(value).lower()
@@ -81,8 +92,10 @@ def conditions_of(pairs: list[str]) -> dict:
             equal.add(key)
         if op in RANGES and re.match(NUMBER, value):
             value = float(value)
-        elif len(value) > 1 and value[0] == value[-1] == '"':
+        elif len(value) > 1 and value[0] == value[-1] and value[0] in "\"'":
             value = value[1:-1]
+        elif op not in RANGES:
+            value = _number(key, value)
         parts.append({key: {op: value}})
     return {"$and": parts} if parts else {}
 

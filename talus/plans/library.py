@@ -22,6 +22,7 @@ BAND = 0.05
 # Verbs that mean the same, and scopes that stand for none.
 VERBS = (("query", "research", "lookup"), ("analyze", "review", "compare"))
 NO_SCOPE = ("all",)
+PROSE = "knowledge,docs,rdr,paper"
 LEAST_USES, LEAST_SUCCESS, LEAST_WORDS = 3, 0.80, 20
 
 
@@ -139,3 +140,16 @@ def check_template(template: dict) -> None:
             raise ValueError("a step needs a tool")
         if step["tool"] == "traverse" and len({"link_types", "purpose"} & set(step.get("args") or {})) != 1:
             raise ValueError("traverse takes link_types or purpose")
+
+
+def routed(steps: DataFrame) -> DataFrame:
+    """Steps (tool, domain, topic, mode, corpus, collection, threshold) with the corpus, topic and threshold that their scope and mode ask for.
+
+    A domain gives the corpus unless a corpus or collection is pinned; `broad` gives the threshold 2.0 unless one is set.
+    Steps that walk links take neither.
+    """
+    walks = F.col("tool") == "traverse"
+    domain = F.when(F.col("domain") == "prose", PROSE).when(F.col("domain") == "code", "code")
+    corpus = F.when(~walks & F.col("corpus").isNull() & F.col("collection").isNull(), domain).otherwise(F.col("corpus"))
+    threshold = F.when(~walks & F.col("threshold").isNull() & (F.col("mode") == "broad"), F.lit(2.0)).otherwise(F.col("threshold"))
+    return steps.withColumn("corpus", corpus).withColumn("threshold", threshold).withColumn("topic", F.when(~walks, F.col("topic")))

@@ -33,6 +33,28 @@ def items(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", "source")
 
 
+EXTRAS = "(SELECT doc_id, lang AS venue, CAST(2000 + n_chars % 20 AS STRING) AS year, CASE WHEN quality = 1 THEN 0.9 ELSE 0.6 END AS confidence FROM documents JOIN labels USING (doc_id))"
+
+
+def extras_table(spark, sf_dir):
+    joined = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    facts = F.create_map(F.lit("venue"), F.col("lang"), F.lit("year"), (2000 + F.col("n_chars") % 20).cast("string"))
+    return joined.select("doc_id", facts.alias("extras"), F.when(F.col("quality") == 1, 0.9).otherwise(0.6).alias("confidence"))
+
+
+@query("aspect_criterion", f"SELECT d.doc_id, coalesce(a.year LIKE '%2007%', false) AS matched FROM documents d LEFT JOIN {EXTRAS} a USING (doc_id)")
+def aspect_criterion(spark, sf_dir):
+    """The field and the search term come from the words: `extras.year` and 2007."""
+    return A.criterion_filter(items(spark, sf_dir), extras_table(spark, sf_dir), ["doc_id"], "published in the year 2007").select("doc_id", "matched")
+
+
+@query("aspect_reducer", f"SELECT coalesce(a.venue, 'unassigned') AS \"group\", CAST(max(confidence) AS DOUBLE) AS value FROM documents d LEFT JOIN {EXTRAS} a USING (doc_id) GROUP BY 1")
+def aspect_reducer(spark, sf_dir):
+    facts = extras_table(spark, sf_dir)
+    grouped = A.item_groups(items(spark, sf_dir), facts, ["doc_id"], "extras.venue").join(facts.select("doc_id", "confidence"), "doc_id", "left")
+    return A.reduce_groups(grouped, "source", "confidence").select("group", F.col(A.reducer_of("the maximum confidence of each")).alias("value"))
+
+
 @query("op_filter", f"SELECT d.doc_id, coalesce(a.datasets LIKE '%src1%', false) AS matched, CASE WHEN a.doc_id IS NULL THEN 'no aspects' WHEN a.datasets LIKE '%src1%' THEN 'datasets holds SRC1' ELSE 'no match' END AS rationale FROM documents d LEFT JOIN {ASPECTS} a USING (doc_id)")
 def op_filter(spark, sf_dir):
     return A.item_filter(items(spark, sf_dir), aspect_table(spark, sf_dir), ["doc_id"], "datasets", "SRC1").select("doc_id", "matched", "rationale")
@@ -107,23 +129,63 @@ def flag_stale(spark, sf_dir):
 
 
 STOP = "[" + ", ".join(repr(w) for w in X.STOPWORDS) + "]"
-CONTENT = f"list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9_]+'), lambda t: length(t) > 2 AND NOT list_contains({STOP}, t)))"
+FILLERS = "[" + ", ".join(repr(w) for w in N.FILLERS) + "]"
+CONTENT = rf"list_sort(list_distinct(list_filter(string_split_regex(lower(text), '\s+'), lambda t: length(t) > 2 AND NOT list_contains({FILLERS}, t))))"
 
 
-@query("find_overlapping", f"""WITH s AS (SELECT doc_id AS id, source, {CONTENT} AS w FROM documents) SELECT a, b, round(n / (na + nb - n), 6) AS similarity FROM (
-SELECT x.id AS a, y.id AS b, CAST(len(list_intersect(x.w, y.w)) AS DOUBLE) AS n, len(x.w) AS na, len(y.w) AS nb FROM s x JOIN s y ON x.source = y.source AND x.id < y.id WHERE len(x.w) > 0 AND len(y.w) > 0 AND len(x.w) >= 0.7 * len(y.w) AND len(y.w) >= 0.7 * len(x.w)) WHERE n / (na + nb - n) >= 0.7""")
+@query("find_overlapping", f"""WITH s AS (SELECT doc_id AS id, source, {CONTENT} AS w FROM documents), c AS (SELECT *, min(id) OVER (PARTITION BY source, w) AS rep FROM s WHERE len(w) > 0), r AS (SELECT * FROM c WHERE id = rep)
+SELECT a, b, round(n / (na + nb - n), 6) AS similarity FROM (
+SELECT x.id AS a, y.id AS b, CAST(len(list_intersect(x.w, y.w)) AS DOUBLE) AS n, len(x.w) AS na, len(y.w) AS nb FROM r x JOIN r y ON x.source = y.source AND x.id < y.id WHERE len(x.w) >= 0.7 * len(y.w) AND len(y.w) >= 0.7 * len(x.w)) WHERE n / (na + nb - n) >= 0.7
+UNION ALL SELECT rep, id, 1.0 FROM c WHERE id <> rep""")
 def find_overlapping(spark, sf_dir):
     return N.overlapping(table(spark, sf_dir, "documents"), "doc_id", "text", 0.7, "source").withColumn("similarity", F.round("similarity", 6))
 
 
-@query("put_or_merge", f"""WITH o AS (SELECT doc_id AS id, text, {CONTENT} AS w FROM documents WHERE doc_id % 10 <> 0), n AS (SELECT doc_id AS id, text, {CONTENT} AS w FROM documents WHERE doc_id % 10 = 0),
-m AS (SELECT n.id AS new_id, o.id AS old_id, n.text, CAST(len(list_intersect(n.w, o.w)) AS DOUBLE) / len(list_distinct(list_concat(n.w, o.w))) AS s FROM n JOIN o ON len(n.w) >= 0.5 * len(o.w) AND len(o.w) >= 0.5 * len(n.w)),
+@query("put_or_merge", f"""WITH o AS (SELECT doc_id AS id, source, text, {CONTENT} AS w FROM documents WHERE doc_id % 10 <> 0), n AS (SELECT doc_id AS id, source, text, {CONTENT} AS w FROM documents WHERE doc_id % 10 = 0),
+m AS (SELECT n.id AS new_id, o.id AS old_id, n.text, CAST(len(list_intersect(n.w, o.w)) AS DOUBLE) / len(list_distinct(list_concat(n.w, o.w))) AS s FROM n JOIN o ON o.source = n.source AND len(n.w) > 0 AND len(n.w) >= 0.5 * len(o.w) AND len(o.w) >= 0.5 * len(n.w)),
 h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY new_id ORDER BY s DESC, old_id) AS r FROM m WHERE s >= 0.5) WHERE r = 1),
 x AS (SELECT old_id AS id, string_agg(text, chr(10) ORDER BY new_id) AS extra FROM h GROUP BY 1)
 SELECT o.id, sha256(CASE WHEN x.extra IS NULL THEN o.text ELSE o.text || chr(10) || x.extra END) AS digest FROM o LEFT JOIN x USING (id) UNION ALL SELECT id, sha256(text) FROM n WHERE id NOT IN (SELECT new_id FROM h)""")
 def put_or_merge(spark, sf_dir):
-    notes = table(spark, sf_dir, "notes").select("id", "content")
-    return N.put_or_merge(notes.filter("id % 10 <> 0"), notes.filter("id % 10 = 0")).select("id", F.sha2("content", 256).alias("digest"))
+    notes = table(spark, sf_dir, "notes").select("id", "project", "content")
+    return N.put_or_merge(notes.filter("id % 10 <> 0"), notes.filter("id % 10 = 0"), scope="project").select("id", F.sha2("content", 256).alias("digest"))
+
+
+TITLED = "(SELECT n.*, 'note ' || CAST(id AS STRING) AS title, TIMESTAMP '2024-01-01' + to_days(CAST(id % 31 AS INT)) AS ts FROM {notes} n)"
+
+
+def titled(spark, sf_dir):
+    day = F.to_timestamp(F.date_add(F.lit(dt.date(2024, 1, 1)), (F.col("id") % 31).cast("int")))
+    return table(spark, sf_dir, "notes").withColumn("title", F.concat(F.lit("note "), F.col("id").cast("string"))).withColumn("ts", day)
+
+
+@query("memory_get", f"SELECT id, sha256(content) AS digest FROM {TITLED} WHERE project = 'src1' AND title = 'note ' || CAST((SELECT min(doc_id) FROM documents WHERE source = 'src1') AS STRING)")
+def memory_get(spark, sf_dir):
+    notes = titled(spark, sf_dir)
+    first = notes.filter("project = 'src1'").agg(F.min("id")).first()[0]
+    return N.get(notes, "src1", f"note {first}").select("id", F.sha2("content", 256).alias("digest"))
+
+
+@query("memory_list", f"SELECT id, project, title FROM {TITLED} WHERE project = 'src0'")
+def memory_list(spark, sf_dir):
+    return N.listed(titled(spark, sf_dir), "src0").select("id", "project", "title")
+
+
+@query("memory_projects", f"SELECT project, count(*) AS notes, CAST(CAST(max(ts) AS DATE) AS STRING) AS last FROM {TITLED} WHERE starts_with(project, 'src1') GROUP BY 1")
+def memory_projects(spark, sf_dir):
+    return N.projects(titled(spark, sf_dir), "src1").withColumn("last", F.col("last").cast("date").cast("string"))
+
+
+@query("memory_resolve", f"""WITH n AS {TITLED}, a AS (SELECT DISTINCT source AS project, 'note ' || CAST(doc_id % 50 AS STRING) AS asked FROM documents), m AS (SELECT a.project, a.asked, n.id, n.title FROM a LEFT JOIN n ON n.project = a.project AND starts_with(n.title, a.asked))
+SELECT project, asked, coalesce(min(id) FILTER (title = asked), CASE WHEN count(id) = 1 THEN min(id) END) AS id, CASE WHEN count(*) FILTER (title = asked) > 0 THEN 1 ELSE count(id) END AS matches FROM m GROUP BY 1, 2""")
+def memory_resolve(spark, sf_dir):
+    wanted = table(spark, sf_dir, "documents").select(F.col("source").alias("project"), F.concat(F.lit("note "), (F.col("doc_id") % 50).cast("string")).alias("asked")).distinct()
+    return N.resolve(titled(spark, sf_dir), wanted)
+
+
+@query("memory_search_glob", "SELECT id FROM {notes} WHERE list_contains(regexp_extract_all(lower(content), '[a-z0-9_]+'), 'license') AND regexp_full_match(project, 'src.*')")
+def memory_search_glob(spark, sf_dir):
+    return N.find(table(spark, sf_dir, "notes"), "the license", projects="src*").select("id")
 
 
 @query("memory_search", "SELECT id FROM {notes} WHERE list_contains(regexp_extract_all(lower(content), '[a-z0-9_]+'), 'license') AND list_contains(regexp_extract_all(lower(content), '[a-z0-9_]+'), 'licensed') AND list_contains(list_transform(string_split(tags, ','), lambda t: trim(t)), 'en')")
@@ -206,17 +268,29 @@ def byte_pieces(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(pieces).cast("long").alias("pieces"), F.char_length(F.array_join(pieces, "")).cast("long").alias("chars"))
 
 
-@query("sentence_windows")
+PIECES = r"list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s, ' ')), lambda s: s <> '')"
+
+
+@query("sentence_windows", f"""WITH RECURSIVE s AS (SELECT doc_id, {PIECES} AS p FROM documents), w AS (
+SELECT doc_id, 1 AS i, p[1] AS text, CAST(0 AS BIGINT) AS chunk_index FROM s WHERE len(p) > 0 UNION ALL
+SELECT w.doc_id, w.i + 1, CASE WHEN length(w.text) + 1 + length(s.p[w.i + 1]) > 1500 THEN s.p[w.i + 1] ELSE w.text || ' ' || s.p[w.i + 1] END, w.chunk_index + CASE WHEN length(w.text) + 1 + length(s.p[w.i + 1]) > 1500 THEN 1 ELSE 0 END FROM w JOIN s USING (doc_id) WHERE w.i < len(s.p))
+SELECT doc_id, chunk_index, sha256(arg_max(text, i)) AS digest FROM w GROUP BY 1, 2""")
 def sentence_windows(spark, sf_dir):
-    return K.sentence_windows(table(spark, sf_dir, "documents"), "doc_id", X.sentences(F.col("text")))
+    return K.sentence_windows(table(spark, sf_dir, "documents"), "doc_id", X.sentences(F.col("text"))).select("doc_id", "chunk_index", F.sha2("text", 256).alias("digest"))
+
 
+MARKED = r"regexp_replace(html, '<h([1-6])>([^<]*)</h[1-6]>', chr(1) || '\1\2' || chr(2), 'g')"
 
-@query("sections", r"""WITH p AS (SELECT page_id, unnest(string_split(regexp_replace(html, '<h([1-6])>([^<]*)</h[1-6]>', chr(1) || '\2' || chr(2), 'g'), chr(1))) AS part, generate_subscripts(string_split(regexp_replace(html, '<h([1-6])>([^<]*)</h[1-6]>', chr(1) || '\2' || chr(2), 'g'), chr(1)), 1) - 1 AS i FROM pages)
-SELECT page_id, i AS section_index, CASE WHEN i = 0 THEN '' ELSE string_split(part, chr(2))[1] END AS header FROM p""")
+
+@query("sections", rf"""WITH p AS (SELECT page_id, unnest(string_split({MARKED}, chr(1))) AS part, generate_subscripts(string_split({MARKED}, chr(1)), 1) - 1 AS i FROM pages),
+h AS (SELECT page_id, i, CASE WHEN i = 0 THEN 0 ELSE CAST(part[1] AS INT) END AS level, CASE WHEN i = 0 THEN '' ELSE string_split(part[2:], chr(2))[1] END AS header FROM p),
+l AS (SELECT *, {", ".join(f"max(CASE WHEN level = {k} THEN i END) OVER w AS p{k}, last_value(CASE WHEN level = {k} THEN header END IGNORE NULLS) OVER w AS h{k}" for k in range(1, 7))} FROM h WINDOW w AS (PARTITION BY page_id ORDER BY i))
+SELECT page_id, i AS section_index, header, array_to_string(list_filter([{", ".join(f"CASE WHEN p{k} IS NOT NULL AND level >= {k}" + "".join(f" AND coalesce(p{j}, -1) < p{k}" for j in range(1, k)) + f" THEN h{k} END" for k in range(1, 7))}], lambda x: x IS NOT NULL), ' > ') AS path FROM l""")
 def sections(spark, sf_dir):
     marked = F.regexp_replace("html", "\n", " ")
-    marked = F.regexp_replace(marked, "<h[1-6]>([^<]*)</h[1-6]>", "\n# $1\n")
-    return K.sections(table(spark, sf_dir, "pages").withColumn("md", marked), "page_id", "md").select("page_id", "section_index", "header")
+    for level in range(1, 7):
+        marked = F.regexp_replace(marked, f"<h{level}>([^<]*)</h{level}>", "\n" + "#" * level + " $1\n")
+    return K.sections(table(spark, sf_dir, "pages").withColumn("md", marked), "page_id", "md").select("page_id", "section_index", "header", F.array_join("path", " > ").alias("path"))
 
 
 @query("chunk_identity", "SELECT doc_id, sha256(text) AS chash, strlen(text) AS bytes FROM documents")
@@ -313,6 +387,13 @@ def claim_queue(spark, sf_dir):
     return J.claimable(queue, dt.datetime(2024, 1, 30), 500).select("id")
 
 
+@query("step_routing", """SELECT event_id, CASE WHEN tool <> 'traverse' AND corpus IS NULL AND domain IS NOT NULL THEN CASE domain WHEN 'prose' THEN 'knowledge,docs,rdr,paper' ELSE 'code' END ELSE corpus END AS corpus, CASE WHEN tool <> 'traverse' THEN topic END AS topic, CASE WHEN tool <> 'traverse' AND mode = 'broad' AND threshold IS NULL THEN 2.0 ELSE threshold END AS threshold
+FROM (SELECT event_id, CASE WHEN event_type = 'view' THEN 'traverse' ELSE 'search' END AS tool, CASE event_id % 3 WHEN 0 THEN 'prose' WHEN 1 THEN 'code' END AS domain, event_type AS topic, CASE WHEN user_id % 2 = 0 THEN 'broad' END AS mode, CASE WHEN user_id % 5 = 0 THEN 'docs' END AS corpus, CASE WHEN value > 50 THEN value / 100 END AS threshold FROM events)""")
+def step_routing(spark, sf_dir):
+    steps = table(spark, sf_dir, "events").selectExpr("event_id", "CASE WHEN event_type = 'view' THEN 'traverse' ELSE 'search' END AS tool", "CASE event_id % 3 WHEN 0 THEN 'prose' WHEN 1 THEN 'code' END AS domain", "event_type AS topic", "CASE WHEN user_id % 2 = 0 THEN 'broad' END AS mode", "CASE WHEN user_id % 5 = 0 THEN 'docs' END AS corpus", "CAST(NULL AS STRING) AS collection", "CASE WHEN value > 50 THEN value / 100 END AS threshold")
+    return P.routed(steps).select("event_id", "corpus", "topic", "threshold")
+
+
 @query("warm_ttl", "SELECT id, round(ttl_days * (1 + ln(access_count + 1)), 6) AS days FROM {notes} WHERE ttl_days IS NOT NULL")
 def warm_ttl(spark, sf_dir):
     notes = table(spark, sf_dir, "notes").filter("ttl_days IS NOT NULL")

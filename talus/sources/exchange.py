@@ -2,24 +2,19 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def glob_pattern(glob: str) -> str:
-    """A regular expression for a glob: `*` and `**` match any characters, `?` one."""
-    return "^" + "".join(".*" if p in ("*", "**") else "." if p == "?" else re.escape(p) for p in re.split(r"(\*\*|\*|\?)", glob)) + "$"
+from ..functions import text as X
 
 
 def chosen(path: Column, include: tuple[str, ...] = (), exclude: tuple[str, ...] = ()) -> Column:
     """Some include glob (if there are any) and no exclude glob matches; rows without a path pass."""
     inside, outside = F.lit(not include), F.lit(False)
     for g in include:
-        inside = inside | path.rlike(glob_pattern(g))
+        inside = inside | path.rlike(X.glob_pattern(g))
     for g in exclude:
-        outside = outside | path.rlike(glob_pattern(g))
+        outside = outside | path.rlike(X.glob_pattern(g))
     return path.isNull() | (inside & ~outside)
 
 

@@ -24,9 +24,12 @@ def first_of_each(events: DataFrame, key: str, late: str = "1 hour", ts: str = "
     return events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
 
 
-def append_chunks(stream: DataFrame, path: str, checkpoint: str, partition: str = "collection") -> StreamingQuery:
-    """Write rows as they come, by collection, and stop when all that is there has been written."""
-    return stream.writeStream.format("parquet").partitionBy(partition).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
+def append_chunks(stream: DataFrame, path: str, checkpoint: str, partition: str = "collection", most: int = 300) -> StreamingQuery:
+    """Write rows as they come, by collection, in files of at most `most` rows, and stop when all that is there has been written.
+
+    A task that fails is repeated with its files; nothing of a failed batch is seen by readers.
+    """
+    return stream.writeStream.format("parquet").partitionBy(partition).option("maxRecordsPerFile", most).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
 
 
 def keep_last(stream: DataFrame, keys: list[str], order: str, deleted: str, path: str, checkpoint: str) -> StreamingQuery:
@@ -65,5 +68,5 @@ def settle(queue: DataFrame, results: DataFrame, most_tries: int = 3) -> DataFra
 
 def replay(spark: SparkSession, path: str, schema: str, keys: list[str], order: str, deleted: str) -> DataFrame:
     """Batch form of `keep_last`, straight from JSON lines; lines that can't be read are left out."""
-    lines = spark.read.schema(f"{schema}, _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path).cache()
+    lines = spark.read.schema(f"{schema}, _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
     return tables.last_writes(lines.filter("_bad IS NULL").drop("_bad"), keys, order, deleted)
