@@ -1,4 +1,4 @@
-"""Cutting lineage: tables written to the folder that all executors share."""
+"""Cutting lineage in the folder that all executors share, and spreading small tables."""
 
 from __future__ import annotations
 
@@ -22,3 +22,16 @@ def cut(df: DataFrame) -> DataFrame:
             raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+#: Rows of a table that is dealt out if it lies in few files.
+SMALL = 1_000_000
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a small table out over all cores if it lies in fewer files than there are cores: a file of one row group is one task's work.
+
+    Larger tables, and those in many files, stay as they are.
+    """
+    cores, files = df.sparkSession.sparkContext.defaultParallelism, len(df.inputFiles())
+    return df.repartition(cores) if 0 < files < cores and df.count() <= SMALL else df

@@ -174,6 +174,7 @@ def text_matches(docs: DataFrame, query: str, key: str = "id", text: str = "text
     wanted = [w for w in dict.fromkeys(re.findall("[a-z0-9_]+", query.lower())) if w not in X.STOPWORDS]
     if not wanted:
         return docs.limit(0)
+    docs = lineage.spread(docs)
     alike = alike_words(docs, wanted, text, gate)
     few = alike.limit(FEW_WORDS + 1).collect()
     if len(few) > FEW_WORDS:

@@ -11,6 +11,9 @@ from pyspark.sql.window import Window
 from ..functions import text as X
 from . import lineage, search
 
+#: Terms whose weights are sent to every task, some 30 MB; more are joined.
+FEW_TERMS = 500_000
+
 
 def assign_nearest(chunks: DataFrame, centroids: DataFrame) -> DataFrame:
     """(id, topic_id, similarity): the nearest centroid of each chunk, the smaller topic_id of equal ones. centroids: (topic_id, embedding)."""
@@ -64,17 +67,17 @@ def topic_terms(docs: DataFrame, key: str, topic: str, text: str, most: int = 10
     Terms are words of two or more letters, digits or `_`, without stopwords; a document's counts times
     ln((1 + documents) / (1 + documents with the term)) + 1 are brought to length one. Ties of rounded scores go by term.
     """
-    split = docs.select(key, topic, F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}_]{2,})"), 1), lambda t: ~t.isin(list(X.STOPWORDS))).alias("ts"))
-    # Counted where the document stands: its words come once, with their number.
-    counted = split.select(key, topic, F.explode("ts").alias("term")).groupBy(key, topic, "term").agg(F.count("*").alias("tf"))
-    counted = lineage.cut(counted)
     n = docs.count()
-    df = counted.groupBy("term").agg((F.log((1.0 + n) / (1.0 + F.count("*"))) + 1).alias("idf"))
-    weighed = lineage.cut(counted.join(df, "term").select(key, topic, "term", (F.col("tf") * F.col("idf")).alias("w")))
-    length = weighed.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
+    terms = F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}_]{2,})"), 1), lambda t: ~t.isin(list(X.STOPWORDS)))
+    # Documents are shuffled once, by key; their words are counted, weighed and brought to length where they stand.
+    counted = docs.select(key, topic, text).repartition(key).select(key, topic, F.explode(terms).alias("term")).groupBy(key, topic, "term").agg(F.count("*").alias("tf"))
+    df = lineage.cut(counted.groupBy("term").agg((F.log((1.0 + n) / (1.0 + F.count("*"))) + 1).alias("idf")))
+    few = df.limit(FEW_TERMS + 1).count() <= FEW_TERMS
+    weighed = counted.join(F.broadcast(df) if few else df, "term").withColumn("w", F.col("tf") * F.col("idf"))
+    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))  # the words of one document
     sizes = docs.groupBy(topic).agg(F.count("*").alias("docs"))
-    means = weighed.join(length, key).groupBy(topic, "term").agg(F.sum(F.col("w") / F.col("length")).alias("s"))
-    scored = means.join(sizes, means[topic].eqNullSafe(sizes[topic])).select(means[topic], "term", F.round(F.col("s") / F.col("docs"), 8).alias("score"))
+    means = weighed.withColumn("share", F.col("w") / length).groupBy(topic, "term").agg(F.sum("share").alias("s"))
+    scored = means.join(F.broadcast(sizes), means[topic].eqNullSafe(sizes[topic])).select(means[topic], "term", F.round(F.col("s") / F.col("docs"), 8).alias("score"))  # a row for each topic
     order = Window.partitionBy(topic).orderBy(F.desc("score"), "term")
     return scored.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= most)
 
