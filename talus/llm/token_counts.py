@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.lineage import spread
+
 #: UTF-8 bytes of text in a portion, and of pieces in a call of the library.
 PORTION, CALL = 2_000_000, 256_000
 #: Counts of pieces that a task remembers; longer pieces aren't remembered.
@@ -81,6 +83,6 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(counts, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
         counter.known = {}  # the worker may wait for other tasks for long
 
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("n_bytes", F.octet_length("text").cast("long"))
+    sized = spread(docs.select("doc_id", "text")).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("n_bytes", F.octet_length("text").cast("long"))
     counted = sized.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
