@@ -31,8 +31,9 @@ from .common import cut, free_names
 
 #: Fingerprints in a partition's filter, and in a merged block, about: 64 MB each with their counts.
 FILTER_ROWS, BLOCK_ROWS = 2_000_000, 4_000_000
-#: Repeated fingerprints that are sent to every task, some 8 MB; beyond that they are joined by a shuffle.
-BROADCAST_ROWS = 250_000
+#: Repeated fingerprints that are sent to every task, and then the digests of their texts, some 10 MB; beyond that they are
+#: joined by a shuffle, in which AQE splits the rows of a text that very many share.
+BROADCAST_ROWS = 100_000
 
 FILTER_SCHEMA = "block int, runs binary, remainders binary, places binary, counts binary"
 
@@ -127,10 +128,10 @@ def duplicate_groups(docs: DataFrame) -> DataFrame:
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("fp", F.xxhash64("text"))
     prints = cut(texts.select("doc_id", "fp", F.sha2("text", 256).alias("text_sha256")))
     repeated = cut(repeated_fingerprints(prints).select("fp"))
-    few = repeated.count() <= BROADCAST_ROWS
-    candidates = texts.join(F.broadcast(repeated) if few else repeated, "fp", "left_semi")
+    sent = F.broadcast if repeated.count() <= BROADCAST_ROWS else lambda df: df
+    candidates = texts.join(sent(repeated), "fp", "left_semi")
     groups = candidates.groupBy("fp", "text").agg(F.max("doc_id").alias("most"), F.count("*").alias("n")).select(F.sha2("text", 256).alias("text_sha256"), "most", "n")
-    whole = prints.drop("fp").join(groups, "text_sha256", "left")
+    whole = prints.drop("fp").join(sent(groups), "text_sha256", "left")
     keep = F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("most"))
     return whole.select("doc_id", keep.alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
 
