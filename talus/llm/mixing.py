@@ -66,19 +66,22 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: in
 
 
 def _offsets(sized: DataFrame, weights: tuple[int, ...], max_epochs: int) -> DataFrame:
-    """(__source, __range, offset, source_size, target): what stands before each range of a source. sized: (source, size, key)."""
-    goal = targets(sized, weights, max_epochs).withColumnRenamed("source", "__source")
-    sums = sized.groupBy("source", F.substring("key", 1, RANGE_DIGITS).alias("__range")).agg(F.sum("size").alias("range_size"))
-    earlier = Window.partitionBy("source").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    """(__s, __r, offset, source_size, target): what stands before each range of a source, its name in a struct, where nulls are equal. sized: (source, size, key)."""
+    goal = targets(sized, weights, max_epochs).select(F.struct("source").alias("__s"), "source_size", "target")
+    sums = sized.groupBy(F.struct("source").alias("__s"), F.substring("key", 1, RANGE_DIGITS).alias("__r")).agg(F.sum("size").alias("range_size"))
+    earlier = Window.partitionBy("__s").orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.withColumn("offset", F.coalesce(F.sum("range_size").over(earlier), F.lit(0)))
-    return offsets.join(goal, offsets["source"].eqNullSafe(goal["__source"])).select(offsets["source"].alias("__source"), "__range", "offset", "source_size", "target")
+    return offsets.join(goal, "__s").select("__s", "__r", "offset", "source_size", "target")
 
 
 def _taken(rows: DataFrame, offsets: DataFrame) -> DataFrame:
-    """`rows` (source, size, key and anything else) with source_size, target, copies (times taken whole) and part (words of one more copy)."""
-    inside = Window.partitionBy("source", "__r").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("__r", F.substring("key", 1, RANGE_DIGITS)).withColumn("__inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    placed = placed.join(offsets, placed["source"].eqNullSafe(offsets["__source"]) & (placed["__r"] == offsets["__range"]))
+    """`rows` (source, size, key and anything else) with source_size, target, copies (times taken whole) and part (words of one more copy).
+
+    The window and the join share one shuffle of the rows.
+    """
+    inside = Window.partitionBy("__s", "__r").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("__s", F.struct("source")).withColumn("__r", F.substring("key", 1, RANGE_DIGITS)).withColumn("__inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    placed = placed.join(offsets, ["__s", "__r"])
     copies = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = F.floor(F.col("target") - F.col("copies") * F.col("source_size"))
     part = F.least(F.col("size"), F.greatest(F.lit(0), rest - F.col("offset") - F.col("__inside"))).cast("long")
