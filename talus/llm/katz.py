@@ -38,15 +38,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, ascii_lower, is_held_out, words
+from .common import ascii_lower, is_held_out, words
 
 HELD_OUT = (10, 0)
 END, START = np.uint64(1), np.uint64(2)
 CONTEXT = np.uint64(2**48 - 1)
 K = 5
 RESERVE = 1e-3
-#: Tokens in a bucket, on average, and in the blocks that a task makes at once.
-BUCKET_TOKENS, BLOCK_TOKENS = 1_500_000, 2_000_000
+#: Tokens in a bucket, on average (a token with its separator is some six bytes), and in the blocks that a task makes at once.
+BUCKET_TOKENS, TOKEN_BYTES, BLOCK_TOKENS = 1_500_000, 6, 2_000_000
 #: Heavy means this share of a sample of about SAMPLE texts.
 HEAVY_SHARE, SAMPLE, MOST_HEAVY = 1 / 2000, 4000, 2000
 
@@ -347,9 +347,9 @@ def score(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     tokens = hashed(docs)
     held = is_held_out(F.col("doc_id"), *HELD_OUT)
-    seen = docs.agg(F.count("*"), F.sum(F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)) + 1), F.count_if(~held)).first()
-    rows, total, texts = (x or 0 for x in seen)
-    buckets = max(8, total // BUCKET_TOKENS + 1)
+    seen = docs.agg(F.count("*"), F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1), F.count_if(~held)).first()
+    rows, size, texts = (x or 0 for x in seen)
+    buckets = max(8, int(size) // (BUCKET_TOKENS * TOKEN_BYTES) + 1)
     heavy_words, heavy_w, heavy_v = heavy_lists(tokens, rows)
     heavy_pairs = pair_key(heavy_w, heavy_v)
 
