@@ -7,7 +7,7 @@ import re
 from collections.abc import Iterator
 from functools import reduce
 from itertools import islice
-from operator import and_, or_
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -144,12 +144,21 @@ def _grams(word: str) -> list[str]:
     return list(dict.fromkeys(padded[i : i + 3] for i in range(len(padded) - 2)))
 
 
-def _may_be_alike(word: Column, asked: str, gate: float) -> Column:
-    """Holds for all words that have a share `gate` of the asked word's trigrams: of any n - needed + 1 of them they have one."""
-    grams = sorted(_grams(asked), key=lambda g: g.strip() != g)  # those inside a word say more
-    needed = math.ceil(gate * len(grams) - 1e-9)
-    said = [("^" if g[0] == " " else "") + re.escape(g.strip()) + ("$" if g[-1] == " " else "") for g in grams[: len(grams) - needed + 1]]
-    return word.rlike("|".join(said))
+def _spelt_like(wanted: list[str], gate: float) -> str:
+    """A pattern of the tokens that may have a share `gate` of an asked word's trigrams: of any n - needed + 1 of them they have one."""
+    first, inside = [], []
+    for asked in wanted:
+        grams = sorted(_grams(asked), key=lambda g: g.strip() != g)  # those inside a word say more
+        needed = math.ceil(gate * len(grams) - 1e-9)
+        for g in grams[: len(grams) - needed + 1]:
+            (first if g[0] == " " else inside).append(re.escape(g.strip()) + ("(?![a-z0-9_])" if g[-1] == " " else ""))
+    either = [*first, *([f"[a-z0-9_]*?(?:{'|'.join(dict.fromkeys(inside))})"] if inside else [])]
+    return f"(?<![a-z0-9_])(?={'|'.join(either)})[a-z0-9_]+"
+
+
+def _has_word(text: str, words: list[str]) -> Column:
+    """Whether one of the words is a token of the text; nothing is cut up for it."""
+    return F.lower(F.col(text)).rlike(f"(?<![a-z0-9_])(?:{'|'.join(map(re.escape, sorted(words)))})(?![a-z0-9_])")
 
 
 def alike_words(docs: DataFrame, wanted: list[str], text: str = "text", gate: float = GATE) -> DataFrame:
@@ -158,8 +167,8 @@ def alike_words(docs: DataFrame, wanted: list[str], text: str = "text", gate: fl
     Only words that may be alike leave the scan; they are made distinct and compared.
     """
     asked = F.array(*(F.struct(F.lit(w).alias("asked"), F.lit(_grams(w)).alias("grams")) for w in wanted))
-    near = lambda w: reduce(or_, (_may_be_alike(w, a, gate) for a in wanted))
-    words = docs.select(F.explode(F.array_distinct(F.filter(X.tokens(F.col(text)), near))).alias("word")).distinct()
+    near = F.regexp_extract_all(F.lower(F.col(text)), F.lit(_spelt_like(wanted, gate)), 0)
+    words = docs.select(F.explode(F.array_distinct(near)).alias("word")).distinct()
     pairs = words.withColumn("grams", X.trigrams(F.col("word"))).select("word", "grams", F.explode(asked).alias("a"))
     return pairs.filter(F.size(F.array_intersect("a.grams", "grams")) / F.size("a.grams") >= gate).select("a.asked", "word")
 
@@ -184,7 +193,7 @@ def text_matches(docs: DataFrame, query: str, key: str = "id", text: str = "text
     there = {w: [r["word"] for r in few if r["asked"] == w] for w in wanted}
     if not all(there.values()):
         return docs.limit(0)
-    return docs.filter(reduce(and_, (F.arrays_overlap(X.tokens(F.col(text)), F.lit(there[w])) for w in wanted)))
+    return docs.filter(reduce(and_, (_has_word(text, there[w]) for w in wanted)))
 
 
 def hybrid(queries: DataFrame, chunks: DataFrame, query: str, k: int, where: Column | None = None, **options) -> DataFrame:
