@@ -26,8 +26,8 @@ BLOCK_QUERIES = 10_000
 HELD = 1_000_000
 GATE = 0.6
 RRF_K = 60
-#: Words of similar spelling that filter a scan.
-FEW_WORDS = 1000
+#: Words of similar spelling that filter a scan, and those of one asked word that make one pattern.
+FEW_WORDS, PATTERN_WORDS = 1000, 30
 
 
 def query_blocks(queries: DataFrame, key: str, vector: str, most: str | None = None) -> Iterator[tuple[list, np.ndarray, np.ndarray | None]]:
@@ -157,7 +157,9 @@ def _spelt_like(wanted: list[str], gate: float) -> str:
 
 
 def _has_word(text: str, words: list[str]) -> Column:
-    """Whether one of the words is a token of the text; nothing is cut up for it."""
+    """Whether one of the words is a token of the text. A few words are one pattern, which cuts up nothing."""
+    if len(words) > PATTERN_WORDS:
+        return F.arrays_overlap(X.tokens(F.col(text)), F.lit(words))
     return F.lower(F.col(text)).rlike(f"(?<![a-z0-9_])(?:{'|'.join(map(re.escape, sorted(words)))})(?![a-z0-9_])")
 
 

@@ -47,6 +47,11 @@ def test_text_gate_with_many_similar_words(spark, monkeypatch):
     rows = [(i, f"the word is relea{c}ed here under a licen{d}e") for i, (c, d) in enumerate(itertools.product("stvx", "cs"))] + [(99, "nothing"), (98, None), (97, "released")]
     docs = spark.createDataFrame(rows, "id long, text string")
     few = values(search.text_matches(docs, "released license"), "id")
+    with monkeypatch.context() as m:  # tokens in place of a pattern
+        m.setattr(search, "PATTERN_WORDS", 0)
+        assert values(search.text_matches(docs, "released license"), "id") == few
+    whole = spark.createDataFrame([(1, "Licence: license."), (2, "a_license licenses7"), (3, "sublicense")], "id long, text string")
+    assert values(search.text_matches(whole, "license", gate=1.0), "id") == [(1,)]
     monkeypatch.setattr(search, "FEW_WORDS", 1)
     assert values(search.text_matches(docs, "released license"), "id") == few and (1,) in few and (97,) not in few
     assert search.text_matches(docs, "zzz license").count() == 0 and search.text_matches(docs, "the of").count() == 0
