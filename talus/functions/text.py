@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -91,3 +92,55 @@ def salient(text: Column, seeds: list[str], first: int = 3, longest: int = 600)
     scored = F.transform(parts, lambda s, i: F.struct((-F.round(best(s), 9)).alias("s"), i.alias("i"), s.alias("t")))
     kept = F.array_sort(F.transform(F.slice(F.array_sort(scored), 1, first), lambda x: F.struct(x["i"], x["t"])))
     return F.transform(kept, lambda x: x["t"])
+
+
+def _marked_letters() -> tuple[str, str]:
+    """Latin, Greek and Cyrillic letters with marks, and the letters they are without them."""
+    both = [(chr(c), unicodedata.normalize("NFD", chr(c))) for c in (*range(0xC0, 0x530), *range(0x1E00, 0x2000))]
+    both = [(c, d[0]) for c, d in both if len(d) > 1 and all(unicodedata.combining(x) for x in d[1:])]
+    return "".join(c for c, _ in both), "".join(d for _, d in both)
+
+
+#: Letters with marks and their bases, by rule; combining marks of their own follow, which have no counterpart and go.
+MARKED, BARE = _marked_letters()
+MARKS = "".join(map(chr, range(0x300, 0x370)))
+
+#: A word in any script, once letters are folded.
+WORD = r"[\p{L}\p{N}_]"
+
+#: Rules that take English endings off a word of more than three letters, in this order.
+ENDINGS = (
+    (r"^(.{2,})(?:ies|ied)$", "$1y"),
+    (r"sses$", "ss"),
+    (r"^(.{2,}[^su])s$", "$1"),
+    (r"^(.*[aeiouy].*[^e]|.*[aiouy])(?:ingly|edly|ing|ed)$", "$1"),
+    (r"([bdfgmnprt])\1$", "$1"),
+    (r"^(.{3,})e$", "$1"),
+)
+
+
+def folded(text: Column) -> Column:
+    """Lower-cased, without the marks of Latin, Greek and Cyrillic letters; null is empty."""
+    return F.translate(F.lower(F.coalesce(text, F.lit(""))), MARKED + MARKS, BARE)
+
+
+def folded_word(word: str) -> str:
+    """`folded` of a word of a query."""
+    return word.lower().translate({ord(c): d for c, d in zip(MARKED, BARE, strict=True)} | {ord(c): None for c in MARKS})
+
+
+def stem(word: Column) -> Column:
+    """A word without the endings of English plurals and verb forms; words of three letters, with digits or in another script stay."""
+    out = word
+    for pattern, left in ENDINGS:
+        out = F.regexp_replace(out, pattern, left)
+    return F.when(word.rlike("^[a-z]{4,}$"), out).otherwise(word)
+
+
+def stem_of(word: str) -> str:
+    """`stem` of a word of a query."""
+    if not re.fullmatch("[a-z]{4,}", word):
+        return word
+    for pattern, left in ENDINGS:
+        word = re.sub(pattern, left.replace("$1", r"\1"), word)
+    return word

@@ -7,9 +7,50 @@ from pyspark.sql import functions as F
 from ..functions import references as I
 from ..functions import text as X
 from ..functions import tumblers as A
+from ..operators import fulltext as T
 from ..operators import graph as G
 from .registry import query, table
 
+FOLDED = "regexp_extract_all(strip_accents(lower(coalesce({}, ''))), '[\\p{{L}}\\p{{N}}_]+')"
+
+
+def _stems(column: str) -> str:
+    """The stems of a column's words, in SQL that has no look-around and no back-references."""
+    words = FOLDED.format(column)
+    ends = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(w, '^(.{2,})(ies|ied)$', '\\1y'), 'sses$', 'ss'), '^(.{2,}[^su])s$', '\\1'), '^(.*[aeiouy].*[^e]|.*[aiouy])(ingly|edly|ing|ed)$', '\\1')"
+    single = "CASE WHEN regexp_matches(w, '(bb|dd|ff|gg|mm|nn|pp|rr|tt)$') THEN left(w, length(w) - 1) ELSE w END"
+    long = f"list_transform(list_transform(list_transform(list_filter({words}, lambda w: regexp_full_match(w, '[a-z]{{4,}}')), lambda w: {ends}), lambda w: {single}), lambda w: regexp_replace(w, '^(.{{3,}})e$', '\\1'))"
+    return f"list_concat({long}, list_filter({words}, lambda w: NOT regexp_full_match(w, '[a-z]{{4,}}')))"
+
+
+FIELDS = f"SELECT id, {_stems('content')} AS c, {FOLDED.format('project')} AS p, {FOLDED.format('tags')} AS t FROM {{notes}}"
+
+
+def _text_search(spark, sf_dir, asked):
+    notes = table(spark, sf_dir, "notes")
+    return T.matches(notes, asked, {"content": "B"}, {"project": "A", "tags": "C"}).select("id", F.round("score", 6).alias("score"))
+
+
+@query("text_search_stems", f"WITH f AS ({FIELDS}) SELECT id, CAST(0.4 AS DOUBLE) AS score FROM f WHERE list_contains(c, 'licens') AND list_contains(c, 'releas')")
+def text_search_stems(spark, sf_dir):
+    """`Licensing` and `releases` find `license` and `released`; the stopword does not count."""
+    return _text_search(spark, sf_dir, "Licensing the RELEASES")
+
+
+@query("text_search_tags", f"""WITH f AS ({FIELDS}), s AS (SELECT id, CASE WHEN list_contains(c, 'en') AND list_contains(c, 'src1') THEN 0.4 ELSE 0.0 END AS a,
+  greatest(CASE WHEN list_contains(p, 'en') THEN 1.0 ELSE 0.0 END, CASE WHEN list_contains(t, 'en') THEN 0.2 ELSE 0.0 END) AS x, greatest(CASE WHEN list_contains(p, 'src1') THEN 1.0 ELSE 0.0 END, CASE WHEN list_contains(t, 'src1') THEN 0.2 ELSE 0.0 END) AS y FROM f)
+SELECT * FROM (SELECT id, CAST(round(greatest(a, CASE WHEN x > 0 AND y > 0 THEN (x + y) / 2 ELSE 0 END), 6) AS DOUBLE) AS score FROM s) WHERE score > 0""")
+def text_search_tags(spark, sf_dir):
+    """Words of identifiers, whose heaviest field counts."""
+    return _text_search(spark, sf_dir, "en SRC1")
+
+
+@query("text_search_marks", f"WITH f AS ({FIELDS}) SELECT id, CAST(0.4 AS DOUBLE) AS score FROM f WHERE list_contains(c, 'etr') AND list_contains(c, 're')")
+def text_search_marks(spark, sf_dir):
+    """Letters with marks and without are the same, in the query and in the texts."""
+    return _text_search(spark, sf_dir, "Etrè re\u0301")
+
+
 CITED = "CASE p_partkey % 4 WHEN 0 THEN p_name || ' see 10.1000/x' || CAST(p_size AS STRING) || ', DOI: 10.1145/' || CAST(p_partkey AS STRING) || '.7).' WHEN 1 THEN 'see (10.5555/' || p_type || ').' WHEN 2 THEN 'papers/' || p_type || '-2503.0' || CAST(1000 + p_partkey % 9000 AS STRING) || 'v2.pdf' ELSE 'arXiv: 2101.' || CAST(10000 + p_partkey % 9000 AS STRING) || ' and ' || p_name END"
 CITED_BACK = "regexp_replace(coalesce(nullif(regexp_extract(t, '(?i)(?:doi[:\\s]+|https?://(?:dx\\.)?doi\\.org/)(10\\.\\d{4,9}/[-._;()/:a-zA-Z0-9]+)', 1), ''), nullif(regexp_extract(t, '\\b(10\\.\\d{4,9}/[-._;()/:a-zA-Z0-9]+)', 1), '')), '[.,;:)\\]]+$', '')".replace("\\\\", "\\")
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from talus.functions import references, text, tumblers
-from talus.operators import aspects, catalog, chunking, graph, lineage, notes, predicates, ranking, results, search, tables, taxonomy
+from talus.operators import aspects, catalog, chunking, fulltext, graph, lineage, notes, predicates, ranking, results, search, tables, taxonomy
 from talus.plans import library
 from talus.streaming import jobs
 
@@ -346,3 +346,42 @@ def test_small_tables_are_spread(spark, tmp_path):
     spark.range(100).coalesce(1).write.parquet(str(tmp_path / "one"))
     assert lineage.spread(spark.read.parquet(str(tmp_path / "one"))).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     assert values(lineage.spread(spark.range(3)), "id") == [(0,), (1,), (2,)]
+
+
+STEMS = {
+    "license": "licens", "licenses": "licens", "licensed": "licens", "licensing": "licens", "classes": "class", "ponies": "pony", "pony": "pony",
+    "hopping": "hop", "hopped": "hop", "need": "need", "status": "status", "class": "class", "red": "red", "as": "as", "café": "café", "v2ing": "v2ing",
+}
+
+
+def test_stems_and_folds(spark):
+    words = [(w, s) for w, s in STEMS.items()]
+    got = spark.createDataFrame(words, "w string, s string").select("s", text.stem(F.col("w")))
+    assert all(a == b for a, b in got.collect())
+    assert all(text.stem_of(w) == s for w, s in words)
+    texts = ["Élève ẾTRE", "e\u0301te\u0301", "Ёлка ά", "naïve ﬁ ß", ""]
+    assert [text.folded_word(t) for t in texts] == ["eleve etre", "ete", "елка α", "naive ﬁ ß", ""]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "i int, t string").select("i", text.folded(F.col("t")))
+    assert values(got, *got.columns) == [(i, t) for i, t in enumerate([*map(text.folded_word, texts), ""])]
+
+
+def test_text_search_over_fields(spark):
+    rows = [
+        (1, "Releasing the licenses", "a.b.Planner", "rdr,review"), (2, "a license", "x", "released"), (3, None, "the", None), (4, "planned", None, "the"),
+        (5, "RELEASED license", "released", "licenses"), (5, "RELEASED license", "released", "licenses"), (6, "relicensed released", "", ""),
+    ]
+    docs = spark.createDataFrame(rows, "id int, content string, title string, tags string")
+    find = lambda q, prose, plain=None: values(fulltext.matches(docs, q, prose, plain).select("id", F.round("score", 6).alias("score")), "id", "score")
+    assert find("license release", {"content": "B"}) == [(1, 0.4), (5, 0.4), (5, 0.4)]
+    # Fields of prose add up, the heaviest one counts.
+    assert find("release license", {"content": "B", "title": "A"}) == [(1, 0.4), (5, 0.7), (5, 0.7)]
+    assert find("release license", {"content": "B", "tags": "D"}) == [(1, 0.4), (2, 0.25), (5, 0.4), (5, 0.4)]
+    # Words of dotted titles; plain fields keep endings and stopwords.
+    assert find("planner", None, {"title": "C"}) == [(1, 0.2)]
+    assert find("the", {"content": "A"}, {"title": "C", "tags": "D"}) == [(3, 0.2), (4, 0.1)]
+    assert find("licens", None, {"tags": "A"}) == []
+    assert find("released", {"content": "D"}, {"tags": "A"}) == [(1, 0.1), (2, 1.0), (5, 0.1), (5, 0.1), (6, 0.1)]
+    for asked, plain in (("the", None), ("", {"tags": "A"}), (" ,.", {"tags": "A"})):
+        with pytest.raises(ValueError, match="nothing to search"):
+            fulltext.matches(docs, asked, {"content": "A"}, plain)
+    assert fulltext.matches(docs.limit(0), "license", {"content": "A"}).count() == 0
