@@ -230,3 +230,17 @@ def test_licences_across_lines_and_segments():
     assert [name for _, name in found(every)] == [name for name, _ in license_scan.TEMPLATES]
     assert [name for _, name in found(every.replace("\n", " "))] == [name for name, _ in license_scan.TEMPLATES]
     assert found("x" * 5000 + " Released under the MIT License. " + "y " * 4000) == [(5001, "MIT")]
+
+
+def test_least_scores_of_rare_lengths(spark, sample):
+    """A class with a single, typical text does not set its own limit."""
+    prototypes = language_id.learn(language_id.training_rows(sample))
+    rows = language_id.training_rows(sample).select("text", "lang").filter("lang = 'en' AND length(text) > 200").limit(40).collect()
+    long = " ".join(r.text for r in rows)
+    known = spark.createDataFrame([(long[:4000], "en"), (rows[0].text[:9], "en"), (rows[1].text[:900], "en")], "text string, lang string")
+    one = language_id.predict(known, prototypes).filter("lang_pred = lang").withColumn("class", language_id.length_class())
+    alone = {r["class"]: r.score for r in one.collect()}
+    got = {r["class"]: r.least for r in language_id.least_scores(known, prototypes).collect()}
+    near = language_id.NEAR
+    want = {c: 0.5 * min(s for k, s in alone.items() if abs(k - c) <= near) for c in range(min(alone) - near, max(alone) + near + 1) if any(abs(k - c) <= near for k in alone)}
+    assert alone and got == pytest.approx(want)
