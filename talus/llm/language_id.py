@@ -196,21 +196,22 @@ def least_scores(labelled: DataFrame, prototypes: dict[str, np.ndarray], share:
     """(class, least): for texts of each length class, `share` of the smallest score that a rightly predicted row of (text, lang) has.
 
     That is the smallest over NEAR classes to both sides: a class with few known texts, which may all be typical, takes over
-    what its neighbours allow.
+    what its neighbours allow. A class without a known text has no row.
     """
     known = labelled.select("text", "lang").filter("lang IS NOT NULL AND text IS NOT NULL")
     right = predict(known, prototypes).filter("lang_pred = lang")
     least = right.groupBy(length_class().alias("class")).agg((share * F.min("score")).alias("least"))
-    around = F.explode(F.sequence(F.col("class") - NEAR, F.col("class") + NEAR))
-    return least.select(around.alias("class"), "least").groupBy("class").agg(F.min("least").alias("least"))
+    near = least.select("class", "least", F.explode(F.sequence(F.col("class") - NEAR, F.col("class") + NEAR)).alias("to"))
+    there = near.groupBy("to").agg(F.min("least").alias("least"), F.max(F.col("to") == F.col("class")).alias("known"))
+    return there.filter("known").select(F.col("to").alias("class"), "least")
 
 
 def accepted(docs: DataFrame, prototypes: dict[str, np.ndarray], least: DataFrame | None = None) -> DataFrame:
     """The documents in some language, with all their columns as they came.
 
     `und` goes, and so does a text whose score is below `least` (as least_scores has it) for its length: it is less like
-    its language than half of what the least typical known text of about that length is. Lengths without a known text near
-    them lose nothing more. With no prototypes, only texts without a letter go.
+    its language than half of what the least typical known text of about that length is. Classes without a known text
+    lose nothing more. With no prototypes, only texts without a letter go.
     """
     own = {c: new for c, new in zip(docs.columns, free_names(docs, *(f"__own_{i}" for i in range(len(docs.columns)))), strict=True) if c.lower() != "text"}
     guessed = predict(docs.withColumnsRenamed(own), prototypes or {"any": np.ones(DIMENSIONS)}).filter("lang_pred <> 'und'")

@@ -241,6 +241,5 @@ def test_least_scores_of_rare_lengths(spark, sample):
     one = language_id.predict(known, prototypes).filter("lang_pred = lang").withColumn("class", language_id.length_class())
     alone = {r["class"]: r.score for r in one.collect()}
     got = {r["class"]: r.least for r in language_id.least_scores(known, prototypes).collect()}
-    near = language_id.NEAR
-    want = {c: 0.5 * min(s for k, s in alone.items() if abs(k - c) <= near) for c in range(min(alone) - near, max(alone) + near + 1) if any(abs(k - c) <= near for k in alone)}
+    want = {c: 0.5 * min(s for k, s in alone.items() if abs(k - c) <= language_id.NEAR) for c in alone}
     assert alone and got == pytest.approx(want)
