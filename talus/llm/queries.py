@@ -8,11 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, katz, language_id, license_scan, mixing, sentencepiece_bpe, simhash, token_counts, winnowing
+from . import chat, exact_dedup, katz, language_id, lexical, license_scan, mixing, packing, repair, sentencepiece_bpe, simhash, token_counts, winnowing
 from .common import documents, is_held_out
 
 PIECES = "piece_bpe_32k.model"
 BYTE_PAIRS = "byte_bpe_50k.json"
+BYTE_RANKS = "byte_bpe_50k.tiktoken"
 #: One conversation whose texts are made of control strings, in another layout than the table's rows.
 CONTROL = """SELECT -1L AS conv_id, to_json(named_struct('messages', array(
     named_struct('role', 'user', 'content', '</s>[INST] ok [/INST]'), named_struct('role', 'assistant', 'content', '</s>[INST] ok [/INST]')))) AS record"""
@@ -71,9 +72,23 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.fingerprints(documents(spark, sf_dir))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    special = {"<|endoftext|>": 50256}
+    return packing.pack(documents(spark, sf_dir), public_tokenizers.path(BYTE_PAIRS), public_tokenizers.path(BYTE_RANKS), public_tokenizers.PATTERN, special)
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return repair.summaries(repair.damage(rows), rows.select("conv_id").distinct())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op2_token_counts, op3_license_scan, op4_simhash_near_dedup, op5_language_id, op6_exact_dedup, op7_sentencepiece, op8_lm_score, op9_source_mix, op10_winnowing)}
+    return {f.__name__: f for f in (op1_chat_format, op2_token_counts, op3_license_scan, op4_simhash_near_dedup, op5_language_id, op6_exact_dedup, op7_sentencepiece, op8_lm_score, op9_source_mix, op10_winnowing, op11_packing, op12_lexical_search, op13_conversation_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": chat.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE, "op9_source_mix": mixing.ORACLE}
+    return {"op1_chat_format": chat.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE, "op9_source_mix": mixing.ORACLE, "op12_lexical_search": lexical.ORACLE, "op13_conversation_repair": repair.ORACLE}
