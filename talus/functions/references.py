@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Identifier patterns, URI schemes that have a reader, endings of minified files.
+# Identifier patterns, URI schemes that have a reader by default, endings of minified files.
 DOI = r"10\.\d{4,9}/[-._;()/:a-zA-Z0-9]+"
 DOI_LABEL = r"(?i)(?:doi[:\s]+|https?://(?:dx\.)?doi\.org/)"
 ARXIV = r"\d{4}\.\d{4,5}"
-SCHEMES = ("file", "chroma", "https", "nx-scratch", "x-devonthink-item", "nx-orphan-backfill")
+SCHEMES = ("file", "https")
 MINIFIED = (".min.js", ".min.mjs", ".min.cjs", ".min.css", ".bundle.js", ".bundle.mjs")
 
 
@@ -34,10 +34,10 @@ def source_uri(uri: Column, path: Column, root: Column) -> Column:
     return F.when(F.coalesce(uri, F.lit("")) != "", uri).when(F.coalesce(path, F.lit("")) != "", F.concat(F.lit("file://"), absolute)).otherwise("")
 
 
-def uri_fault(uri: Column) -> Column:
-    """Why a URI can't be registered: `no scheme` or `unknown scheme`; null if it can."""
+def uri_fault(uri: Column, schemes: tuple[str, ...] = SCHEMES) -> Column:
+    """Why a URI can't be registered: `no scheme`, or `unknown scheme` if it is none of those that have a reader; null if it can."""
     scheme = F.lower(F.regexp_extract(uri, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
-    return F.when(uri == "", None).when(scheme == "", "no scheme").when(~scheme.isin(*SCHEMES), "unknown scheme")
+    return F.when(uri == "", None).when(scheme == "", "no scheme").when(~scheme.isin(*schemes), "unknown scheme")
 
 
 def is_minified(name: Column) -> Column:

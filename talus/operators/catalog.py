@@ -69,19 +69,34 @@ def gaps(docs: DataFrame, manifest: DataFrame, expected: str = "chunk_count") ->
     return both.filter((F.col("have") < F.col("expected")) | (ghost & (F.col("have") == 0) & F.col("__known"))).select("id", "expected", "have", ghost.alias("ghost"))
 
 
+def _named(docs: DataFrame, name: str, key: str) -> DataFrame:
+    """(collection, key, doc_id): the last document of a name in each collection."""
+    return docs.filter(F.coalesce(F.col(name), F.lit("")) != "").groupBy("collection", F.col(name).alias(key)).agg(F.max("id").alias("doc_id"))
+
+
 def link_loose(manifest: DataFrame, docs: DataFrame, chunks: DataFrame, name: str, key: str) -> DataFrame:
-    """New manifest rows for chunks (chunk_id, chunk_index, `key`) whose key, a title or a content hash, is the document's `name`.
+    """New manifest rows for chunks (chunk_id, chunk_index, collection, `key`) whose key, a title or a content hash, is the `name` of a document of their collection.
 
-    They go behind the document's rows, by chunk_index and chunk_id; of documents with the same name the last one takes
-    them. Chunks without a key or without such a document are left out.
+    They go behind the document's rows, by chunk_index and chunk_id; of a collection's documents with the same name the last one takes
+    them. Chunks without a key or without such a document are left out; `loose_groups` counts them.
     """
-    named = docs.filter(F.coalesce(F.col(name), F.lit("")) != "").groupBy(F.col(name).alias(key)).agg(F.max("id").alias("doc_id"))
-    found = chunks.join(named, key).select("doc_id", "chunk_id", "chunk_index").distinct()
+    found = chunks.join(_named(docs, name, key), ["collection", key]).select("doc_id", "chunk_id", "chunk_index").distinct()
     have = manifest.groupBy("doc_id").agg(F.count("*").alias("__n"))
     nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("chunk_index", "chunk_id"))
     return found.withColumn("__nth", nth).join(have, "doc_id", "left").select("doc_id", (F.coalesce("__n", F.lit(0)) + F.col("__nth") - 1).cast("long").alias("position"), "chunk_id")
 
 
+def loose_groups(docs: DataFrame, chunks: DataFrame, name: str, key: str) -> DataFrame:
+    """(collection, linked_chunks, linked_docs, loose_chunks, loose_groups): what link_loose links, and the chunks and keys (null ones are one) that it leaves."""
+    groups = chunks.select("collection", F.when(F.col(key) != "", F.col(key)).alias(key), "chunk_id", "chunk_index").distinct().groupBy("collection", key).agg(F.count("*").alias("n"))
+    met = groups.join(_named(docs, name, key), ["collection", key], "left")
+    linked = F.col("doc_id").isNotNull()
+    return met.groupBy("collection").agg(
+        F.coalesce(F.sum(F.when(linked, F.col("n"))), F.lit(0)).alias("linked_chunks"), F.count_if(linked).alias("linked_docs"),
+        F.coalesce(F.sum(F.when(~linked, F.col("n"))), F.lit(0)).alias("loose_chunks"), F.count_if(~linked).alias("loose_groups"),
+    )
+
+
 def append_to_manifest(manifest: DataFrame, found: DataFrame) -> DataFrame:
     """New manifest rows for (doc_id, chunk_id, chunk_index): behind the last position, in the order of chunk_index."""
     last = manifest.groupBy("doc_id").agg(F.max("position").alias("__last"))

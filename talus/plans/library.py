@@ -24,14 +24,19 @@ VERBS = (("query", "research", "lookup"), ("analyze", "review", "compare"))
 NO_SCOPE = ("all",)
 PROSE = "knowledge,docs,rdr,paper"
 LEAST_USES, LEAST_SUCCESS, LEAST_WORDS = 3, 0.80, 20
+#: So many failures without one success mean that a plan always fails.
+MOST_FAILURES = 3
+
+
+def always_fails() -> Column:
+    return (F.coalesce("failures", F.lit(0)) >= MOST_FAILURES) & (F.coalesce("successes", F.lit(0)) == 0)
 
 
 def usable(plans: DataFrame, now: dt.datetime) -> DataFrame:
     """Not disabled, not always failing, and within a time to live that counts from the last use (no time to live: for good)."""
     since = F.timestamp_diff("SECOND", F.greatest("created_at", "last_used"), F.lit(now)) / 86400
     in_time = F.col("ttl_days").isNull() | (since <= F.col("ttl_days"))
-    failing = (F.col("failures") > 0) & (F.col("successes") == 0)
-    return plans.filter(F.col("disabled_at").isNull() & ~failing & in_time)
+    return plans.filter(F.col("disabled_at").isNull() & ~always_fails() & in_time)
 
 
 def verb_class(verb: Column) -> Column:
@@ -54,7 +59,7 @@ def scope_fit(tags: Column, scope: str | None) -> Column:
 def candidates(plans: DataFrame, dimensions: dict[str, str] | None, scope: str | None) -> DataFrame:
     """Plans that may be offered, with `fit`: not always failing, with all asked dimensions (map `dimensions`; the verb by its
     class), in the asked scope; a grown plan without scope tags and project is offered to callers without a scope only."""
-    out = plans.filter(~((F.col("failures") > 0) & (F.col("successes") == 0))).withColumn("fit", scope_fit(X.tag_list(F.col("scope_tags")), scope)).filter("fit IS NOT NULL")
+    out = plans.filter(~always_fails()).withColumn("fit", scope_fit(X.tag_list(F.col("scope_tags")), scope)).filter("fit IS NOT NULL")
     for name, value in (dimensions or {}).items():
         have = F.col("dimensions")[name]
         out = out.filter(verb_class(have) == verb_class(F.lit(value)) if name == "verb" else have == F.lit(value))

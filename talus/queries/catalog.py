@@ -223,9 +223,9 @@ def dedup_concat(spark, sf_dir):
     return T.first_seen_union(parts, "p_brand", "p_partkey", "types").select("p_brand", F.array_join("types", ",").alias("types"))
 
 
-LOOSE = "(SELECT l_partkey AS chunk_id, CAST(l_linenumber AS BIGINT) AS chunk_index, CASE WHEN l_orderkey % 3 = 0 THEN '' ELSE 'Author ' || CAST(l_suppkey AS STRING) END AS title, 'h' || CAST(l_suppkey AS STRING) AS content_hash FROM lineitem WHERE l_linenumber > 5)"
+LOOSE = "(SELECT l_partkey AS chunk_id, CAST(l_linenumber AS BIGINT) AS chunk_index, CASE WHEN l_orderkey % 3 = 0 THEN '' ELSE 'Author ' || CAST(l_suppkey AS STRING) END AS title, 'h' || CAST(l_suppkey AS STRING) AS content_hash, CASE l_partkey % 3 WHEN 0 THEN '1-URGENT' WHEN 1 THEN '2-HIGH' ELSE '5-LOW' END AS collection FROM lineitem WHERE l_linenumber > 5)"
 APPEND = """SELECT f.doc_id, CAST(coalesce(l.n, 0) + row_number() OVER (PARTITION BY f.doc_id ORDER BY f.chunk_index, f.chunk_id) - 1 AS BIGINT) AS position, f.chunk_id
-FROM (SELECT DISTINCT e.id AS doc_id, c.chunk_id, c.chunk_index FROM {loose} c JOIN (SELECT {name}, max(id) AS id FROM {docs_} WHERE {name} <> '' GROUP BY 1) e ON e.{name} = c.{key}) f LEFT JOIN (SELECT doc_id, count(*) AS n FROM {manifest_} GROUP BY 1) l USING (doc_id)"""
+FROM (SELECT DISTINCT e.id AS doc_id, c.chunk_id, c.chunk_index FROM {loose} c JOIN (SELECT collection, {name}, max(id) AS id FROM {docs_} WHERE {name} <> '' GROUP BY ALL) e ON e.{name} = c.{key} AND e.collection = c.collection) f LEFT JOIN (SELECT doc_id, count(*) AS n FROM {manifest_} GROUP BY 1) l USING (doc_id)"""
 
 
 def _append_sql(name: str, key: str, docs_: str) -> str:
@@ -237,16 +237,25 @@ def loose_chunks(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").filter("l_linenumber > 5")
     supplier = F.col("l_suppkey").cast("string")
     title = F.when(F.col("l_orderkey") % 3 == 0, "").otherwise(F.concat(F.lit("Author "), supplier))
-    return lines.select(F.col("l_partkey").alias("chunk_id"), F.col("l_linenumber").cast("long").alias("chunk_index"), title.alias("title"), F.concat(F.lit("h"), supplier).alias("content_hash"))
+    collection = F.when(F.col("l_partkey") % 3 == 0, "1-URGENT").when(F.col("l_partkey") % 3 == 1, "2-HIGH").otherwise("5-LOW")
+    return lines.select(F.col("l_partkey").alias("chunk_id"), F.col("l_linenumber").cast("long").alias("chunk_index"), title.alias("title"), F.concat(F.lit("h"), supplier).alias("content_hash"), collection.alias("collection"))
 
 
-@query("link_by_title", _append_sql("title", "title", "(SELECT id, author AS title FROM {docs})"))
+@query("link_by_title", _append_sql("title", "title", "(SELECT id, collection, author AS title FROM {docs})"))
 def link_by_title(spark, sf_dir):
     docs = table(spark, sf_dir, "docs").withColumnRenamed("author", "title")
     return C.link_loose(table(spark, sf_dir, "manifest"), docs, loose_chunks(spark, sf_dir), "title", "title")
 
 
-@query("link_by_content_hash", _append_sql("head_hash", "content_hash", "(SELECT id, 'h' || CAST(id % 500 AS STRING) AS head_hash FROM {docs})"))
+@query("link_by_content_hash", _append_sql("head_hash", "content_hash", "(SELECT id, collection, 'h' || CAST(id % 500 AS STRING) AS head_hash FROM {docs})"))
 def link_by_content_hash(spark, sf_dir):
     docs = table(spark, sf_dir, "docs").withColumn("head_hash", F.concat(F.lit("h"), (F.col("id") % 500).cast("string")))
     return C.link_loose(table(spark, sf_dir, "manifest"), docs, loose_chunks(spark, sf_dir), "head_hash", "content_hash")
+
+
+@query("loose_groups", """WITH l AS (SELECT DISTINCT collection, chunk_id, chunk_index, nullif(title, '') AS title FROM {loose}), g AS (SELECT collection, title, count(*) AS n FROM l GROUP BY ALL),
+m AS (SELECT g.*, e.title IS NOT NULL AS linked FROM g LEFT JOIN (SELECT DISTINCT collection, author AS title FROM {docs}) e ON e.title = g.title AND e.collection = g.collection)
+SELECT collection, CAST(coalesce(sum(n) FILTER (linked), 0) AS BIGINT) AS linked_chunks, count(*) FILTER (linked) AS linked_docs, CAST(coalesce(sum(n) FILTER (NOT linked), 0) AS BIGINT) AS loose_chunks, count(*) FILTER (NOT linked) AS loose_groups FROM m GROUP BY 1""".replace("{loose}", LOOSE))
+def loose_groups(spark, sf_dir):
+    docs = table(spark, sf_dir, "docs").withColumnRenamed("author", "title")
+    return C.loose_groups(docs, loose_chunks(spark, sf_dir), "title", "title")

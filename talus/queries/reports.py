@@ -45,17 +45,17 @@ def extras_table(spark, sf_dir):
 @query("aspect_criterion", f"SELECT d.doc_id, coalesce(a.year LIKE '%2007%', false) AS matched FROM documents d LEFT JOIN {EXTRAS} a USING (doc_id)")
 def aspect_criterion(spark, sf_dir):
     """The field and the search term come from the words: `extras.year` and 2007."""
-    return A.criterion_filter(items(spark, sf_dir), extras_table(spark, sf_dir), ["doc_id"], "published in the year 2007").select("doc_id", "matched")
+    return A.criterion_filter(items(spark, sf_dir), extras_table(spark, sf_dir), ["doc_id"], F.lit("published in the year 2007")).select("doc_id", "matched")
 
 
 @query("aspect_reducer", f"SELECT coalesce(a.venue, 'unassigned') AS \"group\", CAST(max(confidence) AS DOUBLE) AS value FROM documents d LEFT JOIN {EXTRAS} a USING (doc_id) GROUP BY 1")
 def aspect_reducer(spark, sf_dir):
     facts = extras_table(spark, sf_dir)
     grouped = A.item_groups(items(spark, sf_dir), facts, ["doc_id"], "extras.venue").join(facts.select("doc_id", "confidence"), "doc_id", "left")
-    return A.reduce_groups(grouped, "source", "confidence").select("group", F.col(A.reducer_of("the maximum confidence of each")).alias("value"))
+    return A.reduce_groups(grouped, "source", "confidence").select("group", A.reduced(F.lit("the maximum confidence of each")).alias("value"))
 
 
-@query("op_filter", f"SELECT d.doc_id, coalesce(a.datasets LIKE '%src1%', false) AS matched, CASE WHEN a.doc_id IS NULL THEN 'no aspects' WHEN a.datasets LIKE '%src1%' THEN 'datasets holds SRC1' ELSE 'no match' END AS rationale FROM documents d LEFT JOIN {ASPECTS} a USING (doc_id)")
+@query("op_filter", f"SELECT d.doc_id, coalesce(list_contains(string_split(lower(a.datasets), ', '), 'src1'), false) AS matched, CASE WHEN a.doc_id IS NULL THEN 'no aspects' WHEN list_contains(string_split(lower(a.datasets), ', '), 'src1') THEN 'datasets holds SRC1' ELSE 'no match' END AS rationale FROM documents d LEFT JOIN {ASPECTS} a USING (doc_id)")
 def op_filter(spark, sf_dir):
     return A.item_filter(items(spark, sf_dir), aspect_table(spark, sf_dir), ["doc_id"], "datasets", "SRC1").select("doc_id", "matched", "rationale")
 
@@ -304,7 +304,7 @@ def export_filter(spark, sf_dir):
     return pages.select("page_id", E.remapped(F.col("url"), (("http://", "https://"),)).alias("url"))
 
 
-PLAN = ("vec_id AS id", "'plan ' || CAST(vec_id AS STRING) AS query", "'Finds parts of kind ' || CAST(label AS STRING) || ' in ' || CAST(vec_id % 30 AS STRING) AS description", "embedding", "'kind' || CAST(label AS STRING) AS tags", "CASE WHEN label % 5 = 0 THEN '' WHEN label % 2 = 0 THEN 'code__a,docs__b' ELSE 'docs__' END AS scope_tags", "label % 4 = 0 AS grown", "CASE WHEN vec_id % 3 = 0 THEN 'p' END AS project", "vec_id % 7 AS uses", "vec_id % 5 AS successes", "CASE WHEN vec_id % 3 = 1 THEN 1 ELSE 0 END AS failures", "CASE vec_id % 4 WHEN 0 THEN 'research' WHEN 1 THEN 'lookup' WHEN 2 THEN 'analyze' ELSE 'debug' END AS verb")
+PLAN = ("vec_id AS id", "'plan ' || CAST(vec_id AS STRING) AS query", "'Finds parts of kind ' || CAST(label AS STRING) || ' in ' || CAST(vec_id % 30 AS STRING) AS description", "embedding", "'kind' || CAST(label AS STRING) AS tags", "CASE WHEN label % 5 = 0 THEN '' WHEN label % 2 = 0 THEN 'code__a,docs__b' ELSE 'docs__' END AS scope_tags", "label % 4 = 0 AS grown", "CASE WHEN vec_id % 3 = 0 THEN 'p' END AS project", "vec_id % 7 AS uses", "vec_id % 5 AS successes", "vec_id % 6 AS failures", "CASE vec_id % 4 WHEN 0 THEN 'research' WHEN 1 THEN 'lookup' WHEN 2 THEN 'analyze' ELSE 'debug' END AS verb")
 #: Every row whose id is not divisible by 20 is a plan, the others are questions; the question repeats a plan word for word.
 PLANS = f"(SELECT {', '.join(PLAN)} FROM embeddings WHERE vec_id % 20 <> 0)"
 
@@ -318,7 +318,7 @@ def asked(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").filter("vec_id % 20 = 0").selectExpr("vec_id AS query_id", "'Plan   ' || CAST(vec_id + 1 AS STRING) AS text", "embedding")
 
 
-OFFERED = f"""o AS (SELECT *, CASE WHEN scope_tags = '' THEN 0 ELSE 1 END AS fit, len(list_filter(string_split(scope_tags, ','), lambda t: t <> '')) AS n FROM {PLANS} p WHERE NOT (failures > 0 AND successes = 0) AND (scope_tags = '' OR scope_tags = 'docs__' OR contains(scope_tags, 'docs__b')) AND NOT (grown AND scope_tags = '' AND coalesce(project, '') = '') AND verb IN ('query', 'research', 'lookup'))"""
+OFFERED = f"""o AS (SELECT *, CASE WHEN scope_tags = '' THEN 0 ELSE 1 END AS fit, len(list_filter(string_split(scope_tags, ','), lambda t: t <> '')) AS n FROM {PLANS} p WHERE NOT (failures >= 3 AND successes = 0) AND (scope_tags = '' OR scope_tags = 'docs__' OR contains(scope_tags, 'docs__b')) AND NOT (grown AND scope_tags = '' AND coalesce(project, '') = '') AND verb IN ('query', 'research', 'lookup'))"""
 MATCHED = f"""{OFFERED}, m AS (SELECT q.vec_id AS query_id, p.id, p.n, p.fit, p.grown, CASE WHEN p.id = q.vec_id + 1 THEN 1.0 ELSE greatest(0.0, 1 - round({COS.format(a='p.embedding', b='q.embedding')}, 12)) END AS confidence FROM o p, embeddings q WHERE q.vec_id % 20 = 0),
 k AS (SELECT query_id, id, n, confidence, confidence * (1 + 0.15 * fit) AS score FROM m WHERE confidence >= CASE WHEN grown THEN 0.55 ELSE 0.4 END),
 r AS (SELECT query_id, id, confidence, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, n, id) AS rank FROM k)"""
@@ -346,7 +346,7 @@ def plan_search(spark, sf_dir):
     return P.match_text(questions, plans(spark, sf_dir), "docs__b").select("query_id", "id", "rank")
 
 
-@query("plan_usable", f"SELECT id FROM (SELECT *, TIMESTAMP '2024-01-01' + to_days(CAST(id % 20 AS INT)) AS created_at, CASE WHEN id % 3 = 0 THEN TIMESTAMP '2024-01-01' + to_days(CAST(id % 29 AS INT)) END AS last_used, CASE WHEN id % 7 = 0 THEN NULL ELSE id % 15 END AS ttl FROM {PLANS}) WHERE id % 11 <> 0 AND NOT (failures > 0 AND successes = 0) AND (ttl IS NULL OR date_diff('second', coalesce(greatest(created_at, last_used), created_at), TIMESTAMP '2024-01-31') / 86400.0 <= ttl)")
+@query("plan_usable", f"SELECT id FROM (SELECT *, TIMESTAMP '2024-01-01' + to_days(CAST(id % 20 AS INT)) AS created_at, CASE WHEN id % 3 = 0 THEN TIMESTAMP '2024-01-01' + to_days(CAST(id % 29 AS INT)) END AS last_used, CASE WHEN id % 7 = 0 THEN NULL ELSE id % 15 END AS ttl FROM {PLANS}) WHERE id % 11 <> 0 AND NOT (failures >= 3 AND successes = 0) AND (ttl IS NULL OR date_diff('second', coalesce(greatest(created_at, last_used), created_at), TIMESTAMP '2024-01-31') / 86400.0 <= ttl)")
 def plan_usable(spark, sf_dir):
     day = lambda n: F.to_timestamp(F.date_add(F.lit(dt.date(2024, 1, 1)), n.cast("int")))
     rows = plans(spark, sf_dir).withColumns({"created_at": day(F.col("id") % 20), "last_used": F.when(F.col("id") % 3 == 0, day(F.col("id") % 29)), "ttl_days": F.when(F.col("id") % 7 != 0, F.col("id") % 15), "disabled_at": F.when(F.col("id") % 11 == 0, day(F.lit(3)))})

@@ -61,7 +61,7 @@ def identifiers(spark, sf_dir):
     return rows.select("id", I.doi(F.col("t")).alias("doi"), I.arxiv(F.col("t")).alias("arxiv"))
 
 
-@query("source_uris", """SELECT page_id, uri, CASE WHEN uri = '' THEN NULL WHEN NOT regexp_matches(uri, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN 'no scheme' WHEN lower(regexp_extract(uri, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) NOT IN ('file', 'chroma', 'https', 'nx-scratch', 'x-devonthink-item', 'nx-orphan-backfill') THEN 'unknown scheme' END AS fault
+@query("source_uris", """SELECT page_id, uri, CASE WHEN uri = '' THEN NULL WHEN NOT regexp_matches(uri, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN 'no scheme' WHEN lower(regexp_extract(uri, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) NOT IN ('file', 'https') THEN 'unknown scheme' END AS fault
 FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN 'file:///' || regexp_extract(url, '//([^/]*)', 1) WHEN 2 THEN 'file:///root/' || regexp_extract(url, '//([^/]*)', 1) ELSE '' END AS uri FROM pages)""")
 def source_uris(spark, sf_dir):
     """Given URIs, absolute and relative paths, and neither."""

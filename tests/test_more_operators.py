@@ -156,7 +156,7 @@ def test_choice_keeps_to_the_first_run_within_the_band(spark):
 def test_plan_candidates(spark):
     schema = "id int, query string, description string, tags string, embedding array<double>, scope_tags string, grown boolean, project string, successes int, failures int, dimensions map<string,string>"
     plan = lambda i, scope="", grown=False, project=None, ok=1, bad=0, verb="research", v=(1.0, 0.0): (i, f"plan {i}", "finds papers by an author", "papers", list(v), scope, grown, project, ok, bad, {"verb": verb, "domain": "prose"})
-    plans = spark.createDataFrame([plan(1), plan(2, "Docs__a,code"), plan(3, "code__x"), plan(4, grown=True), plan(5, grown=True, project="p"), plan(6, ok=0, bad=2), plan(7, verb="debug"), plan(8, "docs__", v=(0.0, 1.0))], schema)
+    plans = spark.createDataFrame([plan(1), plan(2, "Docs__a,code"), plan(3, "code__x"), plan(4, grown=True), plan(5, grown=True, project="p"), plan(6, ok=0, bad=3), plan(7, verb="debug"), plan(8, "docs__", v=(0.0, 1.0))], schema)
     ids = lambda *a: [r[0] for r in values(library.candidates(plans, *a), "id")]
     assert ids(None, None) == [1, 2, 3, 4, 5, 7, 8] and ids({"verb": "query"}, None) == [1, 2, 3, 4, 5, 8] and ids({"verb": "debug", "domain": "prose"}, None) == [7]
     assert ids(None, "docs__a") == [1, 2, 5, 7, 8] and ids(None, "docs__") == [1, 2, 5, 7, 8] and ids(None, "docs") == [1, 5, 7] and ids(None, "all") == [1, 4, 5, 7]
@@ -169,9 +169,9 @@ def test_plan_candidates(spark):
 
 def test_usable_plans(spark):
     day = lambda n: dt.datetime(2024, 1, n)
-    rows = [(1, day(1), None, None, 1, 0, None), (2, day(1), None, 5, 1, 0, None), (3, day(1), day(28), 5, 1, 0, None), (4, day(1), None, None, 0, 1, None), (5, day(1), None, None, 0, 0, day(2))]
+    rows = [(1, day(1), None, None, 1, 0, None), (2, day(1), None, 5, 1, 0, None), (3, day(1), day(28), 5, 1, 0, None), (4, day(1), None, None, 0, 3, None), (6, day(1), None, None, 0, 2, None), (7, day(1), None, None, 0, 1, None), (8, day(1), None, None, 1, 9, None), (5, day(1), None, None, 0, 0, day(2))]
     plans = spark.createDataFrame(rows, "id int, created_at timestamp, last_used timestamp, ttl_days int, successes int, failures int, disabled_at timestamp")
-    assert values(library.usable(plans, day(31)), "id") == [(1,), (3,)]
+    assert values(library.usable(plans, day(31)), "id") == [(1,), (3,), (6,), (7,), (8,)]
 
 
 def windows_by_hand(body, lines, overlap, most):
@@ -208,21 +208,32 @@ def test_header_paths(spark):
 
 
 def test_aspect_rules(spark):
-    assert [aspects.field_of(x) for x in ("trained on ImageNet", "compared with BM25", "reports accuracy", "uses an algorithm", "focuses on drift", "published at a journal", "in the year 2023", "anything else")] == ["experimental_datasets", "experimental_baselines", "experimental_results", "proposed_method", "problem_formulation", "extras.venue", "extras.year", ""]
-    assert aspects.needle_of("papers trained on TPC-C") == "papers" and aspects.needle_of("the dataset is TPC-DS") == "TPC-DS" and aspects.needle_of("of the and") == ""
-    assert [aspects.reducer_of(x) for x in ("count distinct items", "Count", "avg confidence", "the mean confidence", "max confidence", "minimum confidence")] == ["distinct_items", "items", "avg_confidence", "avg_confidence", "max_confidence", "min_confidence"]
+    criteria = ["trained on ImageNet", "compared with BM25", "reports accuracy", "uses an algorithm", "focuses on drift", "published at a journal", "in the year 2023", "anything else"]
+    field = aspects.asked_field(F.col("value"))
+    asked = spark.createDataFrame([*criteria, "papers trained on TPC-C", "the dataset is TPC-DS", "of the and", None], "string").select("value", field.alias("f"), aspects.asked_needle(F.col("value"), field).alias("n")).collect()
+    assert [r.f for r in asked[:8]] == ["experimental_datasets", "experimental_baselines", "experimental_results", "proposed_method", "problem_formulation", "extras.venue", "extras.year", None]
+    assert [r.n for r in asked[8:]] == ["papers", "TPC-DS", None, None]
+    phrases = spark.createDataFrame([*["count distinct items", "Count", "avg confidence", "the mean confidence", "max confidence", "minimum confidence"]], "string")
+    row = phrases.crossJoin(spark.createDataFrame([(5, 2, 0.4, 0.1, 0.9)], "items long, distinct_items long, avg_confidence double, min_confidence double, max_confidence double"))
+    assert [r[0] for r in row.select(aspects.reduced(F.col("value"))).collect()] == [2, 5, 0.4, 0.4, 0.9, 0.1]
     facts = spark.createDataFrame([("paxos", {"venue": "VLDB", "year": "2023"}, ["YCSB"]), ("raft", {"venue": "OSDI"}, [])], "p string, extras map<string,string>, experimental_datasets array<string>")
     items = spark.createDataFrame([("paxos",), ("raft",), ("gone",)], "p string")
-    assert values(aspects.criterion_filter(items, facts, ["p"], "the venue is vldb"), "p", "matched") == [("gone", False), ("paxos", True), ("raft", False)]
+    assert values(aspects.criterion_filter(items, facts, ["p"], F.lit("the venue is vldb")), "p", "matched") == [("gone", False), ("paxos", True), ("raft", False)]
     assert values(aspects.item_filter(items, facts, ["p"], "extras", "osdi"), "p", "matched") == [("gone", False), ("paxos", False), ("raft", True)]
     assert values(aspects.item_groups(items, facts, ["p"], "extras.venue"), "p", "group") == [("gone", "unassigned"), ("paxos", "VLDB"), ("raft", "OSDI")]
     for bad in ("nothing", "other.entry"):
         with pytest.raises(ValueError):
             aspects.item_filter(items, facts, ["p"], bad, "x")
-    with pytest.raises(ValueError):
-        aspects.criterion_filter(items, facts, ["p"], "anything else")
-    with pytest.raises(ValueError):
-        aspects.reducer_of("sum of squares")
+    each = spark.createDataFrame([("paxos", "trained on ycsb"), ("raft", "the venue is vldb"), ("gone", "in the year 2023")], "p string, asks string")
+    assert values(aspects.criterion_filter(each, facts, ["p"], F.col("asks")), "p", "matched", "rationale") == [("gone", False, "no aspects"), ("paxos", True, "experimental_datasets holds ycsb"), ("raft", False, "no match")]
+    with pytest.raises(Exception, match="no aspect or no search term"):
+        aspects.criterion_filter(items, facts, ["p"], F.lit("anything else")).collect()
+    with pytest.raises(Exception, match="no reducer"):
+        row.select(aspects.reduced(F.lit("sum of squares"))).collect()
+    nested = spark.createDataFrame([("paxos", {"a": {"b": "deep"}}), ("raft", {})], "p string, extras map<string,map<string,string>>")
+    text = nested.select("p", F.to_json("extras").alias("extras"))
+    for kind in (nested, text, text.withColumn("extras", F.parse_json("extras"))):
+        assert values(aspects.item_filter(items, kind, ["p"], "extras.a.b", "DEE"), "p", "matched") == [("gone", False), ("paxos", True), ("raft", False)]
 
 
 def test_copies_make_no_pairs_of_their_own(spark):
@@ -272,8 +283,8 @@ def test_references(spark):
     assert [one(spark, references.arxiv(F.lit(t).cast("string"))).c0 for t in texts] == ["2503.07641", "2101.00001", "2101.12345", None, None]
     row = one(spark, references.uri_fault(F.lit("https://x/y")), references.uri_fault(F.lit("/plain")), references.uri_fault(F.lit("ftp://x")), references.uri_fault(F.lit("")), references.source_uri(F.lit(""), F.lit("a/b.py"), F.lit("/repo/")), references.source_uri(F.lit(None).cast("string"), F.lit("/a"), F.lit("/r")), references.source_uri(F.lit(""), F.lit(""), F.lit("/r")))
     assert tuple(row) == (None, "no scheme", "unknown scheme", None, "file:///repo/a/b.py", "file:///a", "")
-    row = one(spark, references.scope_tags(F.lit(" rdr__nexus-0123abCD, all,code__x-*,docs*,,docs")), references.newest_first(F.lit("2024-01-09T00")), references.is_minified(F.lit("a/HTMX.min.JS")), references.is_minified(F.lit("a.js")), references.has_shebang(F.lit("#!/bin/sh")))
-    assert tuple(row) == ("code__x,docs,rdr__nexus", "7975-98-90T99", True, False, True)
+    row = one(spark, references.scope_tags(F.lit(" rdr__delta-0123abCD, all,code__x-*,docs*,,docs")), references.newest_first(F.lit("2024-01-09T00")), references.is_minified(F.lit("a/HTMX.min.JS")), references.is_minified(F.lit("a.js")), references.has_shebang(F.lit("#!/bin/sh")))
+    assert tuple(row) == ("code__x,docs,rdr__delta", "7975-98-90T99", True, False, True)
 
 
 def test_spans_by_characters(spark):
@@ -326,7 +337,11 @@ def test_gaps_and_loose_chunks(spark):
     docs = spark.createDataFrame([(1, "c", 3, "h", "A"), (2, "c", 0, "h", "A"), (3, "c", 0, "", "B"), (4, "", 0, "h", ""), (5, "c", 1, "", "C")], "id long, collection string, chunk_count int, content_hash string, title string")
     manifest = spark.createDataFrame([(1, 0, 10), (5, 0, 11)], "doc_id long, position long, chunk_id long")
     assert values(catalog.gaps(docs, manifest), "id", "expected", "have", "ghost") == [(1, 3, 1, False), (2, 0, 0, True)]
-    chunks = spark.createDataFrame([(20, 2, "C"), (21, 1, "C"), (22, 1, ""), (23, 1, None), (24, 1, "Z"), (21, 1, "C")], "chunk_id long, chunk_index long, title string")
+    chunks = spark.createDataFrame([(20, 2, "C"), (21, 1, "C"), (22, 1, ""), (23, 1, None), (24, 1, "Z"), (21, 1, "C")], "chunk_id long, chunk_index long, title string").withColumn("collection", F.lit("c"))
+    elsewhere = chunks.withColumn("collection", F.lit("d"))
+    assert not values(catalog.link_loose(manifest, docs, elsewhere, "title", "title"), "doc_id")
+    counts = ("collection", "linked_chunks", "linked_docs", "loose_chunks", "loose_groups")
+    assert values(catalog.loose_groups(docs, chunks.union(elsewhere), "title", "title"), *counts) == [("c", 2, 1, 3, 2), ("d", 0, 0, 5, 3)]
     assert values(catalog.link_loose(manifest, docs, chunks, "title", "title"), "doc_id", "position", "chunk_id") == [(5, 1, 21), (5, 2, 20)]
 
 

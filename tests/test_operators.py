@@ -131,11 +131,17 @@ def test_topics(spark):
 def test_aspects(spark):
     facts = spark.createDataFrame([("paxos", ["TPC-C", "YCSB"], "VLDB"), ("raft", ["YCSB"], "OSDI")], "p string, datasets array<string>, venue string")
     items = spark.createDataFrame([("paxos",), ("raft",), ("gone",)], "p string")
-    assert values(aspects.item_filter(items, facts, ["p"], "datasets", "tpc"), "p", "matched") == [("gone", False), ("paxos", True), ("raft", False)]
+    assert values(aspects.item_filter(items, facts, ["p"], "datasets", "tpc-c"), "p", "matched") == [("gone", False), ("paxos", True), ("raft", False)]
+    plus = spark.createDataFrame([("paxos", ["TPC-C-plus"], 0.9), ("raft", ["TPC-C"], 0.8)], "p string, datasets array<string>, confidence double")
+    assert values(aspects.item_filter(items, plus, ["p"], "datasets", "TPC-C"), "p", "matched") == [("gone", False), ("paxos", False), ("raft", True)]
+    with pytest.raises(ValueError):
+        aspects.item_filter(items, plus, ["p"], "confidence", "0.9")
     assert values(aspects.item_groups(items, facts, ["p"], "venue"), "p", "group") == [("gone", "unassigned"), ("paxos", "VLDB"), ("raft", "OSDI")]
     with pytest.raises(ValueError):
         aspects.item_groups(items, facts, ["p"], "datasets")
-    assert aspects.field_of("papers that use the YCSB dataset") == "experimental_datasets" and aspects.needle_of("use TPC-C and the like") == "TPC-C"
+    asked = spark.createDataFrame([("papers that use the YCSB dataset",), ("use TPC-C and the like",)], "c string")
+    found = asked.select(aspects.asked_field(F.col("c")).alias("f"), aspects.asked_needle(F.col("c"), F.lit(None)).alias("n")).collect()
+    assert found[0].f == "experimental_datasets" and found[1].n == "TPC-C"
 
 
 def test_notes(spark):
