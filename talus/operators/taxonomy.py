@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import text as X
-from . import lineage, search
+from ..functions import vectors as V
+from . import density, lineage, search
 
 #: Terms whose weights are sent to every task, some 30 MB; more are joined.
 FEW_TERMS = 500_000
+#: Rows of a collection up to which topics are found by density.
+DENSE = 5000
 
 
 def assign_nearest(chunks: DataFrame, centroids: DataFrame) -> DataFrame:
@@ -87,23 +91,62 @@ def labels(terms: DataFrame, topic: str, first: int = 3) -> DataFrame:
     return terms.filter(F.col("rank") <= first).groupBy(topic).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda s: s["term"]), " ").alias("label"))
 
 
-def cluster_count(n: int) -> int:
+def cluster_count(n: int | Column) -> Column:
     """Topics for n documents: none below 5, else max(10, sqrt(n) / 3), n at most."""
-    return 0 if n < 5 else min(n, max(10, round(math.sqrt(n) / 3)))
+    n = F.lit(n) if isinstance(n, int) else n
+    return F.when(n < 5, 0).otherwise(F.least(n, F.greatest(F.lit(10), F.floor(F.sqrt(n) / 3)))).cast("int")
 
 
-def discover(chunks: DataFrame, k: int | None = None, seed: int = 42) -> DataFrame:
-    """(id, topic_id) by k-means on unit vectors; no rows for fewer than 5 chunks."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.feature import Normalizer
+def nearest_means(chunks: DataFrame, by: str, k: Column, key: str = "id", vector: str = "embedding", rounds: int = 10) -> DataFrame:
+    """(by, id, topic_id) by k-means in each collection; `k` is an expression over a collection's number of rows `n`, none for 0.
 
-    count = chunks.count() if k is None else k
-    k = cluster_count(count) if k is None else k
-    if not k:
-        return chunks.select("id", F.lit(0).alias("topic_id")).limit(0)
-    vectors = Normalizer(inputCol="v", outputCol="features").transform(chunks.select("id", array_to_vector("embedding").alias("v")))
-    return KMeans(k=k, seed=seed).fit(vectors).transform(vectors).select("id", F.col("prediction").alias("topic_id"))
+    It begins with the k rows of the smallest hashes. Rows meet their collection's means in blocks, and a block sends each mean's sum and
+    count. Sums are whole numbers of 2**-32, so that they are the same in any order and partitioning. A mean without rows stays.
+    """
+    points = density.points(chunks, by, key, vector)
+    sizes = points.groupBy("by").agg(F.count("*").alias("n")).select("by", k.alias("k")).filter("k > 0")
+    points = lineage.cut(density.join_safe(points, sizes, "by"))
+    first = points.withColumn("topic", F.row_number().over(Window.partitionBy("by").orderBy(F.xxhash64("id"), "id")) - 1).filter(F.col("topic") < F.col("k"))
+    unit = F.transform("v", lambda x: x.cast("double") / F.when(V.norm("v") > 0, V.norm("v")).otherwise(1.0))
+    means = lineage.cut(first.select("by", "topic", unit.alias("m")))
+    blocks = points.select("by", "block").distinct()
+    sums = T.StructType([points.schema["by"], T.StructField("topic", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("s", T.ArrayType(T.LongType()))])
+    owned = T.StructType([points.schema["by"], points.schema["id"], T.StructField("topic", T.IntegerType())])
+
+    def nearest(rows: pa.Table, there: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        there = there.sort_by("topic")
+        vectors = density.matrix_of(rows["v"])
+        centers = there["m"].combine_chunks().flatten().to_numpy().reshape(there.num_rows, -1)
+        return vectors, there["topic"].to_numpy()[np.round(density.squares(vectors, centers), 9).argmin(axis=1)]
+
+    def summed(rows: pa.Table, there: pa.Table) -> pa.Table:
+        vectors, own = nearest(rows, there)
+        names = np.unique(own)
+        whole = np.rint(vectors * 2**32).astype(np.int64)
+        parts = [whole[own == t].sum(axis=0) for t in names]
+        return pa.table([pa.array([rows["by"][0].as_py()] * len(names), rows["by"].type), pa.array(names, pa.int32()), pa.array(np.bincount(own)[names], pa.int64()), pa.array([p.tolist() for p in parts], pa.list_(pa.int64()))], ["by", "topic", "n", "s"])
+
+    def assigned(rows: pa.Table, there: pa.Table) -> pa.Table:
+        return pa.table([rows["by"], rows["id"], pa.array(nearest(rows, there)[1], pa.int32())], ["by", "id", "topic"])
+
+    def meet(f, schema: T.StructType) -> DataFrame:
+        spread = density.join_safe(blocks, means, "by")
+        return points.select(*(F.col(c).alias(c) for c in ("by", "id", "v", "block"))).groupBy("by", "block").cogroup(spread.groupBy("by", "block")).applyInArrow(f, schema)
+
+    for _ in range(rounds):
+        placed = meet(summed, sums).select("by", "topic", "n", F.posexplode("s").alias("at", "x")).groupBy("by", "topic", "at").agg((F.sum("x") / F.lit(2.0**32) / F.sum("n")).alias("x"))
+        moved = placed.groupBy("by", "topic").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]).alias("new"))
+        means = lineage.cut(density.join_safe(means, moved, "by", "topic", how="left").select("by", "topic", F.coalesce("new", "m").alias("m")))
+    return meet(assigned, owned).select(F.col("by").alias(by), F.col("id").alias(key), F.col("topic").alias("topic_id"))
+
+
+def discover(chunks: DataFrame, by: str, key: str = "id", vector: str = "embedding", dense: int = DENSE) -> DataFrame:
+    """(by, id, topic_id): topics of each collection, by density up to `dense` rows (density.topics; -1 is noise), by k-means beyond; fewer than 5 rows are noise."""
+    sizes = chunks.filter(F.col(vector).isNotNull()).groupBy(F.col(by).alias("__by")).agg(F.count("*").alias("__n"))
+    sized = chunks.filter(F.col(vector).isNotNull()).join(sizes, F.col(by).eqNullSafe(F.col("__by")))
+    small = density.topics(sized.filter((F.col("__n") <= dense) | (F.col("__n") < 5)), by, key, vector)
+    large = sized.filter((F.col("__n") > dense) & (F.col("__n") >= 5))
+    return small if large.isEmpty() else small.unionByName(nearest_means(large, by, cluster_count(F.col("n")), key, vector))
 
 
 def match_topics(old: DataFrame, new: DataFrame, least: float = 0.8) -> DataFrame:
@@ -133,10 +176,18 @@ def merge_labels(old: DataFrame, new: DataFrame, least: float = 0.8) -> DataFram
     return out.select("topic_id", "label", F.coalesce("review_status", F.lit("pending")).alias("review_status"), "old_id")
 
 
-def split_topic(assigned: DataFrame, topic_id: int, k: int, seed: int = 42) -> DataFrame:
-    """(id, topic_id, child) of the chunks of one topic, in k parts. assigned: (id, topic_id, embedding)."""
-    inside = assigned.filter(F.col("topic_id") == topic_id)
-    return discover(inside, k, seed).select("id", F.lit(topic_id).alias("topic_id"), F.col("topic_id").alias("child"))
+def split_topic(assigned: DataFrame, topic_id: int, k: int) -> DataFrame:
+    """(id, topic_id, child) of the chunks of one topic, in k parts by k-means. assigned: (id, topic_id, embedding)."""
+    inside = assigned.filter(F.col("topic_id") == topic_id).select("id", "embedding", F.lit(topic_id).alias("__parent"))
+    parts = nearest_means(inside, "__parent", F.least(F.lit(k), F.col("n")).cast("int"))
+    return parts.select("id", F.lit(topic_id).alias("topic_id"), F.col("topic_id").alias("child"))
+
+
+def child_labels(split: DataFrame, texts: DataFrame) -> DataFrame:
+    """(child, docs, label) of the parts that split_topic gives, by the terms of their texts (id, text)."""
+    docs = split.select("id", "child").join(texts.select("id", "text"), "id")
+    sizes = docs.groupBy("child").agg(F.count("*").alias("docs"))
+    return sizes.join(labels(topic_terms(docs, "id", "child", "text"), "child"), "child", "left")
 
 
 def carry_over(manual: DataFrame, old: DataFrame, new: DataFrame, chunks: DataFrame, least: float = 0.8, near: float = 0.5) -> DataFrame:

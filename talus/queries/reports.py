@@ -252,7 +252,7 @@ def topic_labels(spark, sf_dir):
 
 @query("discover_topics")
 def discover_topics(spark, sf_dir):
-    return X2.discover(table(spark, sf_dir, "chunks"), 10)
+    return X2.discover(table(spark, sf_dir, "chunks"), "collection").select("collection", "id", "topic_id")
 
 
 @query("line_windows", """WITH l AS (SELECT page_id, string_split(replace(html, chr(10), ' '), '><') AS l FROM pages), i AS (SELECT page_id, l, unnest(range(CAST(greatest(ceil((len(l) - 20) / 17.0), 0) AS BIGINT) + 1)) AS i FROM l)

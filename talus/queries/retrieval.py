@@ -7,10 +7,12 @@ from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..functions import vectors as V
+from ..operators import lineage
 from ..operators import predicates as P
 from ..operators import ranking as R
 from ..operators import search as S
 from ..operators import tables as T
+from ..operators import vector_index as VI
 from .registry import query, table
 
 COS = "1 - list_cosine_similarity(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[]))"
@@ -179,6 +181,33 @@ def search_filtered(spark, sf_dir):
     return _near(S.nearest(chunks.filter("id % 20 = 0"), chunks.filter("collection = 'c1'"), 5, query_key="id"))
 
 
+def indexed(spark, sf_dir):
+    """An index of all chunks, with the column that predicates ask for."""
+    return VI.build(table(spark, sf_dir, "chunks"), lineage.new_folder(spark, "vector-index"), keep=["collection"])
+
+
+@query("vector_index_exact", KNN % ("id % 20 = 0", "true", 10))
+def vector_index_exact(spark, sf_dir):
+    return _near(VI.search(indexed(spark, sf_dir), table(spark, sf_dir, "chunks").filter("id % 20 = 0"), 10, exact=True, query_key="id"))
+
+
+@query("vector_index_filtered", KNN % ("id % 20 = 0", "c.collection = 'c1'", 10))
+def vector_index_filtered(spark, sf_dir):
+    asked = table(spark, sf_dir, "chunks").filter("id % 20 = 0")
+    return _near(VI.search(indexed(spark, sf_dir), asked, 10, F.col("collection") == "c1", exact=True, query_key="id"))
+
+
+@query("vector_index_recall", "SELECT count(*) AS queries, true AS all_full, true AS enough FROM embeddings WHERE vec_id % 20 = 0")
+def vector_index_recall(spark, sf_dir):
+    """Searches by codes against the true ten nearest under a predicate: every query gets ten rows, and recall is 0.9 or more."""
+    chunks, wanted = table(spark, sf_dir, "chunks"), F.col("collection") == "c1"
+    asked = chunks.filter("id % 20 = 0")
+    truth = S.nearest(asked, chunks.filter(wanted), 10, query_key="id")
+    found = lineage.cut(VI.search(indexed(spark, sf_dir), asked, 10, wanted, query_key="id"))
+    full = found.groupBy("query_id").agg(F.count("*").alias("n")).agg((F.min("n") == 10).alias("all_full"))
+    return VI.recall(found, truth).agg(F.count("*").alias("queries"), (F.sum("found") / F.sum("wanted") >= 0.9).alias("enough")).crossJoin(full).select("queries", "all_full", "enough")
+
+
 @query("search_multi_collection", KNN % ("id = 3", "c.collection IN ('c0', 'c2')", 30))
 def search_multi_collection(spark, sf_dir):
     chunks = table(spark, sf_dir, "chunks")

@@ -115,11 +115,11 @@ def test_topics_are_found_and_split(spark):
     centres = np.eye(4)
     rows = [(i, (centres[i % 4] + 0.05 * rnd.normal(size=4)).tolist(), i % 2) for i in range(80)]
     chunks = spark.createDataFrame(rows, "id long, embedding array<double>, topic_id int")
-    found = dict(values(taxonomy.discover(chunks, 4), "id", "topic_id"))
+    found = dict(values(taxonomy.nearest_means(chunks.withColumn("c", F.lit("c")), "c", F.lit(4)), "id", "topic_id"))
     assert len(found) == 80 and len({(i % 4, t) for i, t in found.items()}) == 4
     parts = values(taxonomy.split_topic(chunks, 1, 2), "id", "topic_id", "child")
     assert {i for i, _, _ in parts} == {i for i in range(80) if i % 2} and len({(i % 4, c) for i, _, c in parts}) == 2
-    assert taxonomy.discover(chunks.limit(4)).count() == 0 and [taxonomy.cluster_count(n) for n in (4, 5, 100, 10_000)] == [0, 5, 10, 33]
+    assert tuple(one(spark, *(taxonomy.cluster_count(n) for n in (4, 5, 100, 10_000)))) == (0, 5, 10, 33)
 
 
 def test_greedy_topic_matching_equals_brute_force(spark):
