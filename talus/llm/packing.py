@@ -1,8 +1,8 @@
 """Packing whole documents into sequences of a fixed number of tokens, in their order, by dynamic programming over cuts.
 
 The ids of the documents of a portion of the table stand one after the other, each document with an end id. A sequence is the
-stretch between two cuts. Cuts may lie at the ends of documents, at the ends of sentences, at one full sequence after such an
-end, and, where ends lie farther apart, at any number of full sequences. A cut costs nothing at the end of a document,
+stretch between two cuts. Cuts may lie at the ends of documents, at the ends of sentences, and, if no such end lies just before, at one
+full sequence after an end, or several where ends lie farther apart. A cut costs nothing at the end of a document,
 `SENTENCE` at the end of a sentence and `INSIDE` elsewhere; a sequence costs its padding, and `EACH`. Padding is what the
 sequence lacks of `size`, and nothing if its length is a power of two. For a cut at p the best last one q >= p - size has the least
 cost(q) + q, a minimum over a sliding window, which a monotone queue gives; lengths that are powers of two are looked up by
@@ -13,8 +13,7 @@ ids at least in a portion, one sequence may end early. Sequence ids are the task
 split of the table gives another packing of the same ids.
 
 Ids are those of the tokenizers library. Texts go through tiktoken on the same vocabulary, which is several times faster and gives the
-same ids (a test compares all code points); texts with a run of `RUN` characters with or without white space, on which it is
-slow, go through tokenizers itself.
+same ids: a test compares all code points, and long runs with and without white space.
 
 Defined results: a null or empty text is the end id alone. Rows that repeat are packed each, and a null doc_id stays null. A text of
 any length is packed whole. Of plans that cost the same, the one whose last sequence is shorter is taken, at each cut. An empty table gives
@@ -24,8 +23,6 @@ no pieces. Columns other than doc_id and text, whatever their names, are ignored
 from __future__ import annotations
 
 import base64
-import os
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -40,31 +37,22 @@ SIZE, END = 1024, 0
 SENTENCE, INSIDE, EACH = 4, 16, 4
 #: Ids in a portion at least.
 PORTION = 1_000_000
-RUN = 400
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 class Encoder:
     """Ids of a text as an array, and which ids end a sentence."""
 
-    def __init__(self, json_path: str, ranks_path: str, pattern: str, special: dict[str, int]) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread for each task
+    def __init__(self, ranks_path: str, pattern: str, special: dict[str, int]) -> None:
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.exact = Tokenizer.from_file(json_path)
-        self.exact.no_truncation()
-        self.exact.no_padding()
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
-        self.slow = re.compile(rf"\S{{{RUN}}}|\s{{{RUN}}}")
-        self.ends = np.zeros(self.exact.get_vocab_size(), bool)
+        self.ends = np.zeros(max([*ranks.values(), *special.values()]) + 1, bool)
         self.ends[[i for token, i in ranks.items() if token.rstrip().endswith((b".", b"!", b"?")) or b"\n" in token]] = True
 
     def ids(self, text: str) -> np.ndarray:
-        if self.slow.search(text):
-            return np.array(self.exact.encode(text, add_special_tokens=False).ids, np.uint32)
         return self.fast.encode_to_numpy(text, allowed_special="all")
 
 
@@ -73,12 +61,15 @@ def places(ends: np.ndarray, sentences: np.ndarray, size: int = SIZE) -> tuple[n
     soft = np.union1d(np.append(0, ends), sentences)
     cost = np.full(len(soft), SENTENCE)
     cost[np.searchsorted(soft, np.append(0, ends))] = 0
-    extra = [soft[:-1] + size]
+    full = [soft[:-1] + size]
     for g in np.flatnonzero(np.diff(soft) > size):
         starts = soft[np.searchsorted(soft, soft[g] - size, "right") : g + 1]
-        extra.append((starts[:, None] + size * np.arange(2, (soft[g + 1] - soft[g]) // size + 2)).ravel())
-    inside = np.setdiff1d(np.concatenate(extra), soft)
+        steps = (starts[:, None] + size * np.arange(2, (soft[g + 1] - soft[g]) // size + 2)).ravel()
+        full.append(steps[steps < soft[g + 1]])
+    inside = np.unique(np.concatenate(full)) if len(full) > 1 else full[0]
     inside = inside[inside < soft[-1]]
+    # An end so near before it costs no more than the place inside.
+    inside = inside[inside - soft[np.searchsorted(soft, inside, "right") - 1] > INSIDE - SENTENCE]
     at = np.append(soft, inside)
     order = np.argsort(at, kind="stable")
     return at[order], np.append(cost, np.full(len(inside), INSIDE))[order]
@@ -86,12 +77,16 @@ def places(ends: np.ndarray, sentences: np.ndarray, size: int = SIZE) -> tuple[n
 
 def cheapest_cuts(at: np.ndarray, cost: np.ndarray, size: int = SIZE) -> np.ndarray:
     """The ends of the sequences, rising, of the cheapest way from the first place to the last."""
-    exact = {}  # place: earlier places from which a sequence needs no padding
-    for power in (1 << k for k in range(size.bit_length())):
-        if power < size:
-            found = np.minimum(np.searchsorted(at, at - power), len(at) - 1)
-            for j in np.flatnonzero(at[found] == at - power).tolist():
-                exact.setdefault(j, []).append(int(found[j]))
+    # Pairs of places between which a sequence needs no padding, by their later place.
+    later, earlier = [], []
+    for power in (1 << k for k in range((size - 1).bit_length())):
+        found = np.minimum(np.searchsorted(at, at - power), len(at) - 1)
+        j = np.flatnonzero(at[found] == at - power)
+        later.append(j)
+        earlier.append(found[j])
+    later, earlier = np.concatenate(later), np.concatenate(earlier)
+    order = np.argsort(later, kind="stable")
+    later, earlier, x = [*later[order].tolist(), -1], earlier[order].tolist(), 0
     at, cost = at.tolist(), cost.tolist()
     total, came = [0] * len(at), [0] * len(at)
     keys, queue, head = [at[0]], [0], 0  # total + place, rising; the queue's places
@@ -100,9 +95,11 @@ def cheapest_cuts(at: np.ndarray, cost: np.ndarray, size: int = SIZE) -> np.ndar
         while at[queue[head]] < p - size:
             head += 1
         best, last = keys[head] + size - p, queue[head]
-        for i in exact.get(j, ()):
-            if total[i] <= best:
-                best, last = total[i], max(i, last) if total[i] == best else i
+        while later[x] == j:
+            i = earlier[x]
+            if total[i] < best or total[i] == best and i > last:
+                best, last = total[i], i
+            x += 1
         total[j], came[j] = best + cost[j] + EACH, last
         key = total[j] + p
         while len(keys) > head and keys[-1] >= key:
@@ -133,11 +130,11 @@ def pieces(documents: list[np.ndarray], ends_sentence: np.ndarray, size: int = S
     return document, begin - starts[document], length, crc, sequence, offset
 
 
-def pack(docs: DataFrame, json_path: str, ranks_path: str, pattern: str, special: dict[str, int], size: int = SIZE, end: int = END) -> DataFrame:
+def pack(docs: DataFrame, ranks_path: str, pattern: str, special: dict[str, int], size: int = SIZE, end: int = END) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, task = Encoder(json_path, ranks_path, pattern, special), TaskContext.get().partitionId()
+        encoder, task = Encoder(ranks_path, pattern, special), TaskContext.get().partitionId()
         used, held, names, documents = 0, 0, [], []
 
         def packed() -> pa.RecordBatch:

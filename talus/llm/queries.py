@@ -74,7 +74,7 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     special = {"<|endoftext|>": 50256}
-    return packing.pack(documents(spark, sf_dir), public_tokenizers.path(BYTE_PAIRS), public_tokenizers.path(BYTE_RANKS), public_tokenizers.PATTERN, special)
+    return packing.pack(documents(spark, sf_dir), public_tokenizers.path(BYTE_RANKS), public_tokenizers.PATTERN, special)
 
 
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
