@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +27,26 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(spark: SparkSession, name: str, source: str, build: Callable[[str], object]) -> str:
+    """The folder of something derived from the files at `source`, which `build(folder)` writes the first time and whenever the files have changed.
+
+    Files are told apart by their path, size, number and time. A folder counts once it is complete.
+    """
+    def at(path: str):
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    place, files = at(source)
+    held, status = files.getContentSummary(place), files.getFileStatus(place)
+    facts = f"{status.getPath()} {held.getLength()} {held.getFileCount()} {status.getModificationTime()}"
+    folder = f"{shared_folder(spark)}/../{name}-{hashlib.sha256(facts.encode()).hexdigest()[:32]}"
+    done, there = at(f"{folder}/_complete")
+    if not there.exists(done):
+        build(folder)
+        there.create(done, True).close()
+    return folder
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write `df` to the shared checkpoint folder and go on from there, so that a lost executor costs no recomputation."""
     shared_folder(df.sparkSession)

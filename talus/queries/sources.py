@@ -9,7 +9,9 @@ from ..functions import text as X
 from ..functions import tumblers as A
 from ..operators import fulltext as T
 from ..operators import graph as G
+from ..operators import text_index as TI
 from .registry import query, table
+from .retrieval import notes_index
 
 FOLDED = "regexp_extract_all(strip_accents(lower(coalesce({}, ''))), '[\\p{{L}}\\p{{N}}_]+')"
 
@@ -23,6 +25,12 @@ def _stems(column: str) -> str:
     return f"list_concat({long}, list_filter({words}, lambda w: NOT regexp_full_match(w, '[a-z]{{4,}}')))"
 
 
+def _placed(column: str) -> str:
+    """All words of a column in order, with the rules of stems for long ones on every word."""
+    ends = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(w, '^(.{2,})(ies|ied)$', '\\1y'), 'sses$', 'ss'), '^(.{2,}[^su])s$', '\\1'), '^(.*[aeiouy].*[^e]|.*[aiouy])(ingly|edly|ing|ed)$', '\\1')"
+    return f"list_transform(list_transform({FOLDED.format(column)}, lambda w: {ends}), lambda w: regexp_replace(w, '^(.{{3,}})e$', '\\1'))"
+
+
 FIELDS = f"SELECT id, {_stems('content')} AS c, {FOLDED.format('project')} AS p, {FOLDED.format('tags')} AS t FROM {{notes}}"
 
 
@@ -31,15 +39,43 @@ def _text_search(spark, sf_dir, asked):
     return T.matches(notes, asked, {"content": "B"}, {"project": "A", "tags": "C"}).select("id", F.round("score", 6).alias("score"))
 
 
+STEMS_SQL = f"WITH f AS ({FIELDS}) SELECT id, CAST(0.4 AS DOUBLE) AS score FROM f WHERE list_contains(c, 'licens') AND list_contains(c, 'releas')"
+
+
+@query("text_index_stems", STEMS_SQL)
+def text_index_stems(spark, sf_dir):
+    return TI.search(spark, notes_index(spark, sf_dir), "Licensing the RELEASES").withColumn("score", F.round("score", 6))
+
+
 @query("text_search_stems", f"WITH f AS ({FIELDS}) SELECT id, CAST(0.4 AS DOUBLE) AS score FROM f WHERE list_contains(c, 'licens') AND list_contains(c, 'releas')")
 def text_search_stems(spark, sf_dir):
     """`Licensing` and `releases` find `license` and `released`; the stopword does not count."""
     return _text_search(spark, sf_dir, "Licensing the RELEASES")
 
 
-@query("text_search_tags", f"""WITH f AS ({FIELDS}), s AS (SELECT id, CASE WHEN list_contains(c, 'en') AND list_contains(c, 'src1') THEN 0.4 ELSE 0.0 END AS a,
+TAGS_SQL = f"""WITH f AS ({FIELDS}), s AS (SELECT id, CASE WHEN list_contains(c, 'en') AND list_contains(c, 'src1') THEN 0.4 ELSE 0.0 END AS a,
   greatest(CASE WHEN list_contains(p, 'en') THEN 1.0 ELSE 0.0 END, CASE WHEN list_contains(t, 'en') THEN 0.2 ELSE 0.0 END) AS x, greatest(CASE WHEN list_contains(p, 'src1') THEN 1.0 ELSE 0.0 END, CASE WHEN list_contains(t, 'src1') THEN 0.2 ELSE 0.0 END) AS y FROM f)
-SELECT * FROM (SELECT id, CAST(round(greatest(a, CASE WHEN x > 0 AND y > 0 THEN (x + y) / 2 ELSE 0 END), 6) AS DOUBLE) AS score FROM s) WHERE score > 0""")
+SELECT * FROM (SELECT id, CAST(round(greatest(a, CASE WHEN x > 0 AND y > 0 THEN (x + y) / 2 ELSE 0 END), 6) AS DOUBLE) AS score FROM s) WHERE score > 0"""
+
+
+@query("text_index_tags", TAGS_SQL)
+def text_index_tags(spark, sf_dir):
+    return TI.search(spark, notes_index(spark, sf_dir), "en SRC1").withColumn("score", F.round("score", 6))
+
+
+@query("text_index_top", TAGS_SQL + " ORDER BY score DESC, id LIMIT 25")
+def text_index_top(spark, sf_dir):
+    """The best 25, reading shards by their bounds."""
+    return TI.top(spark, notes_index(spark, sf_dir), "en SRC1", 25).withColumn("score", F.round("score", 6))
+
+
+@query("text_index_phrase", f"SELECT id, times FROM (SELECT id, CAST(len(list_filter(range(1, len(c)), lambda i: c[i] = 'releas' AND c[i + 1] = 'under')) AS BIGINT) AS times FROM (SELECT id, {_placed('content')} AS c FROM {{notes}})) WHERE times > 0")
+def text_index_phrase(spark, sf_dir):
+    """Stems that follow each other, from the stored positions."""
+    return TI.phrase(spark, notes_index(spark, sf_dir), "Released under")
+
+
+@query("text_search_tags", TAGS_SQL)
 def text_search_tags(spark, sf_dir):
     """Words of identifiers, whose heaviest field counts."""
     return _text_search(spark, sf_dir, "en SRC1")
