@@ -4,14 +4,14 @@ Segments of a text (lines, or parts of very long ones) that hold a cue such as "
 blocks: a segment's cues with as many words before and after as the longest template may take, across lines and segments,
 so that consecutive blocks overlap. A block's words are compressed plain and with each template as zstandard raw
 dictionary; what a template saves, as a share of what it saves on itself, ranks the templates. Every template that saves
-enough, however many there are, is confirmed by its exact wording: its words are matched in order within the block, and
+enough in a block, however many there are, is confirmed by its exact wording: its words are matched in order within the block, and
 the differences (template words that are missing, other words in between) are few or the place is no notice.
 
-Defined results: a null or empty text has no blocks. All cues of a text of any length are looked at; words of a block that
-stand more than BLOCK characters from its cues are left out. All notices of a text are returned, with the place of their
+Defined results: a null or empty text has no blocks. All cues of a text of any length are looked at, and `licence` is spelt like
+`license`; whatever stands between two words, they are neighbours. All notices of a text are returned, with the place of their
 first word; where notices overlap, the one with the most words of its template (less the differences) stays, and of equal
 ones the one with fewer differences, then the earlier in the list. A segment with a cue that no notice touches is returned with a null licence and the
-differences from the best template. A null doc_id stays null. Repeated rows give repeated results; an empty table gives
+differences of its block from the best template. A null doc_id stays null. Repeated rows give repeated results; an empty table gives
 none; columns other than doc_id and text, of any name, are ignored.
 """
 
@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CUES = r"(?i)licen[sc]|copyright|warrant|redistribut|spdx|creative[\W_]+commons|public[\W_]+domain|permission[\W_]+is[\W_]+hereby"
-#: Characters of a segment, and of a block before its first and behind its last cue.
-SEGMENT, BLOCK = 2000, 8000
+#: Characters of a segment.
+SEGMENT = 2000
 #: Least share of what a template saves on itself, in a block and at its place, and most template words (share) that may
 #: be missing or strange. A block's letters are coded in fewer bits than a template's alone, hence the low share there.
 LEAST_IN_BLOCK, LEAST_SAVED, MOST_DIFFERENT = 0.2, 0.4, 0.1
@@ -54,6 +54,9 @@ CC0 = "To the extent possible under law, the author(s) have dedicated all copyri
 MPL = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."
 SHORT = (
     ("MIT", "Released under the MIT License."),
+    ("MIT", "This project is MIT licensed."),
+    ("MIT", "This project is licensed under the MIT License."),
+    ("Apache-2.0", "This project is licensed under the Apache License 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
@@ -94,8 +97,13 @@ TEMPLATES = (
 WORD = re.compile(r"[^\W_]+")
 
 
+def spelled(word: str) -> str:
+    """A word as it is compared: lower-cased, `licence` as `license`."""
+    return word.lower().replace("licenc", "licens")
+
+
 def normal(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    return [spelled(w) for w in WORD.findall(text)]
 
 
 def segments(text: str) -> list[tuple[int, str]]:
@@ -112,24 +120,36 @@ def segments(text: str) -> list[tuple[int, str]]:
     return out
 
 
-def blocks(text: str, reach: int) -> Iterator[tuple[int, int, int, str]]:
-    """(segment's place, its end, block's place, block) for each segment with a cue: `reach` words before its first and behind its last cue are in the block."""
+def blocks(text: str, reach: int) -> Iterator[tuple[list[tuple[int, int]], list[tuple[str, int, int]]]]:
+    """(segments with cues as (place, end), words as (word, place, end)): `reach` words before the first and behind the last cue are in the block.
+
+    Segments share a block while their cues lie within `reach` words, so that a word is in three blocks at most, about.
+    """
     cues = [m.span() for m in re.finditer(CUES, text)]
     if not cues:
         return
     spans = [m.span() for m in WORD.finditer(text)]
     begins, ends = [a for a, _ in spans], [b for _, b in spans]
-    k = 0
+
+    def words(first: int, last: int) -> list[tuple[str, int, int]]:
+        return [(spelled(text[a:b]), a, b) for a, b in spans[max(first - reach, 0) : last + reach + 1]]
+
+    k, here, first, last = 0, [], 0, 0
     for at, part in segments(text):
-        first = k
+        low = k
         while k < len(cues) and cues[k][0] < at + len(part):
             k += 1
-        if k == first:
+        if k == low:
             continue
-        a, b = cues[first][0], cues[k - 1][1]
-        low, high = bisect.bisect_right(ends, a) - reach, bisect.bisect_left(begins, b) + reach
-        start = max(begins[max(low, 0)], a - BLOCK)
-        yield at, at + len(part), start, text[start : min(ends[min(high, len(ends)) - 1], b + BLOCK)]
+        a, b = bisect.bisect_right(ends, cues[low][0]), bisect.bisect_left(begins, cues[k - 1][1])
+        if here and b - first > reach:
+            yield here, words(first, last)
+            here = []
+        if not here:
+            first = a
+        here.append((at, at + len(part)))
+        last = b
+    yield here, words(first, last)
 
 
 class Scanner:
@@ -192,8 +212,7 @@ class Scanner:
     def scan(self, text: str) -> Iterator[tuple[int, str | None, str, float, list[str], list[str]]]:
         """(place, licence or None, best template's licence, share saved, missing, extra) for each notice, and for each segment with a cue but no notice."""
         notices, segments_ = {}, []
-        for at, end, start, block in blocks(text, self.reach):
-            words = [(m.group().lower(), start + m.start(), start + m.end()) for m in WORD.finditer(block)]
+        for here, words in blocks(text, self.reach):
             have = [w for w, _, _ in words]
             ranked = self.rank(have)
             for i in (-i for share, i in ranked if share >= LEAST_IN_BLOCK):
@@ -202,7 +221,7 @@ class Scanner:
                     unlike, saved = len(missing) + len(extra), self.saved(have[first:last], i)
                     if saved >= LEAST_SAVED:
                         notices[unlike - len(self.templates[i][1]), unlike, i, low, high] = (saved, missing, extra)
-            segments_.append((at, end, have, *ranked[0]))
+            segments_ += [(at, end, have, *ranked[0]) for at, end in here]
         taken: list[tuple[int, int]] = []
         rows = []
         for (_, _, i, low, high), (saved, missing, extra) in sorted(notices.items()):
@@ -210,10 +229,13 @@ class Scanner:
             if (at == 0 or taken[at - 1][1] <= low) and (at == len(taken) or taken[at][0] >= high):
                 taken.insert(at, (low, high))
                 rows.append((low, self.templates[i][0], self.templates[i][0], saved, missing, extra))
+        nearest = None
         for at, end, have, saved, i in segments_:
             before = bisect.bisect(taken, (end,))
             if before == 0 or taken[before - 1][1] <= at:
-                missing, extra, _, _ = self.differences(have, -i)
+                if nearest is None or nearest[0] is not have:
+                    nearest = (have, *self.differences(have, -i)[:2])
+                _, missing, extra = nearest
                 rows.append((at, None, self.templates[-i][0], saved, missing, extra))
         yield from sorted(rows, key=lambda r: r[0])
 

@@ -171,7 +171,7 @@ def test_licences(docs, sample, none):
 
 def exact_places(text):
     """(place, licence) of every template's wording, word for word, by looking at every word of a text; of overlapping ones the longest."""
-    words = [(m.group().lower(), m.start(), m.end()) for m in license_scan.WORD.finditer(text)]
+    words = [(license_scan.spelled(m.group()), m.start(), m.end()) for m in license_scan.WORD.finditer(text)]
     have, out = [w for w, _, _ in words], []
     for i, (name, template) in enumerate(license_scan.TEMPLATES):
         want = license_scan.normal(template)
