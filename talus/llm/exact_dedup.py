@@ -123,28 +123,40 @@ def repeated_fingerprints(prints: DataFrame) -> DataFrame:
     return filters.repartition("block").sortWithinPartitions("block").mapInArrow(lambda x: merge_filters(x, shape), "fp long, copies long")
 
 
-def duplicate_groups(docs: DataFrame) -> DataFrame:
-    """One row for each document: doc_id, keep_id, group_size, kept, text_sha256."""
+def _groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp, text_sha256) of all rows, and (text_sha256, most, n) of the texts that more than one row has, marked for broadcasting if they are few."""
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("fp", F.xxhash64("text"))
     prints = cut(texts.select("doc_id", "fp", F.sha2("text", 256).alias("text_sha256")))
     repeated = cut(repeated_fingerprints(prints).select("fp"))
     sent = F.broadcast if repeated.count() <= BROADCAST_ROWS else lambda df: df
     candidates = texts.join(sent(repeated), "fp", "left_semi")
-    groups = candidates.groupBy("fp", "text").agg(F.max("doc_id").alias("most"), F.count("*").alias("n")).select(F.sha2("text", 256).alias("text_sha256"), "most", "n")
-    whole = prints.drop("fp").join(sent(groups), "text_sha256", "left")
+    groups = candidates.groupBy("fp", "text").agg(F.max("doc_id").alias("most"), F.count("*").alias("n"))
+    return prints, sent(groups.select(F.sha2("text", 256).alias("text_sha256"), "most", "n"))
+
+
+def duplicate_groups(docs: DataFrame) -> DataFrame:
+    """One row for each document: doc_id, keep_id, group_size, kept, text_sha256."""
+    prints, groups = _groups(docs)
+    whole = prints.drop("fp").join(groups, "text_sha256", "left")
     keep = F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("most"))
     return whole.select("doc_id", keep.alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The rows that stay, with all their columns."""
-    mine, sha, place = free_names(docs, "__id", "__sha", "__nth")
-    identity = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
-    stay = duplicate_groups(docs).filter("kept").select(identity.alias(mine), F.col("text_sha256").alias(sha)).distinct()
-    keyed = docs.withColumn(mine, identity).withColumn(sha, F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
-    # The window uses the join's partitioning and order: repeated rows leave one.
-    nth = F.row_number().over(Window.partitionBy(mine, sha).orderBy(mine))
-    return keyed.join(stay, [mine, sha], "left_semi").withColumn(place, nth).filter(F.col(place) == 1).select(*docs.columns)
+    """The rows that stay, with all their columns.
+
+    Rows of texts that come once stay where they are, as those of repeated ones are known; of a repeated text's rows, only those that may
+    stay are shuffled.
+    """
+    sha, most, n, place = free_names(docs, "__sha", "__most", "__n", "__nth")
+    groups = cut(_groups(docs)[1].select(F.col("text_sha256").alias(sha), F.col("most").alias(most), F.col("n").alias(n)))
+    keyed = docs.withColumn(sha, F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
+    many = groups.count() > BROADCAST_ROWS
+    groups = groups if many else F.broadcast(groups)
+    alone = keyed.join(groups, sha, "left_anti").select(*docs.columns)
+    nth = F.row_number().over(Window.partitionBy(sha).orderBy("doc_id"))
+    first = keyed.join(groups, sha).filter(F.col("doc_id").eqNullSafe(F.col(most))).withColumn(place, nth).filter(F.col(place) == 1)
+    return alone.unionByName(first.select(*docs.columns))
 
 
 ORACLE = """

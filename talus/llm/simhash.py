@@ -35,6 +35,8 @@ from .common import ascii_lower, cut, free_names, words
 from .components import connected_components
 
 RADIUS = 3
+#: Documents that go, up to which they are sent to every task.
+BROADCAST_ROWS = 100_000
 SHINGLE = 3
 #: Bits of the three blocks.
 BLOCKS = (tuple(range(0, 22)), tuple(range(22, 43)), tuple(range(43, 64)))
@@ -155,8 +157,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents with the smallest doc_id of their component, with all their columns; rows that repeat a doc_id go together."""
+    """The documents with the smallest doc_id of their component, with all their columns; rows that repeat a doc_id go together.
+
+    Rows whose doc_id is also that of another fingerprint stay if one of them does. What goes is sent to the rows where it is little.
+    """
     (mine,) = free_names(docs, "__id")
     identity = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
-    stay = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(identity.alias(mine)).distinct()
-    return docs.withColumn(mine, identity).join(stay, mine, "left_semi").select(*docs.columns)
+    judged = near_duplicates(docs).groupBy(identity.alias(mine)).agg(F.bool_or(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays"))
+    goes = cut(judged.filter(~F.col("stays")).select(mine))
+    sent = F.broadcast if goes.count() <= BROADCAST_ROWS else lambda df: df
+    return docs.withColumn(mine, identity).join(sent(goes), mine, "left_anti").select(*docs.columns)
