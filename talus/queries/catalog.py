@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from ..functions import tumblers as A
 from ..operators import catalog as C
 from ..operators import graph as G
+from ..operators import intervals as V
 from ..operators import tables as T
+from ..operators import titles as TT
 from .registry import query, table
 
 CUT = dt.datetime(1998, 1, 1)
@@ -210,11 +212,47 @@ def tumbler_subtree(spark, sf_dir):
 
 @query("spans_overlap", "SELECT a.l_orderkey, a.l_linenumber AS a, b.l_linenumber AS b FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber WHERE a.l_quantity <= b.l_quantity + 5 AND b.l_quantity <= a.l_quantity + 5")
 def spans_overlap(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
-    a, b = lines.alias("a"), lines.alias("b")
-    q = lambda t: F.col(f"{t}.l_quantity")
-    met = a.join(b, (F.col("a.l_orderkey") == F.col("b.l_orderkey")) & (F.col("a.l_linenumber") < F.col("b.l_linenumber")))
-    return met.filter(A.spans_overlap(q("a"), q("a") + 5, q("b"), q("b") + 5)).select("a.l_orderkey", F.col("a.l_linenumber").alias("a"), F.col("b.l_linenumber").alias("b"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("long").alias("start"), (F.col("l_quantity") + 5).cast("long").alias("end"))
+    met = V.overlap_join(lines, lines, ["l_orderkey"])
+    return met.filter("a.l_linenumber < b.l_linenumber").select("l_orderkey", F.col("a.l_linenumber").alias("a"), F.col("b.l_linenumber").alias("b"))
+
+
+#: Spans of days by supplier: a few days, or years for every 97th line.
+DAYS = "SELECT l_suppkey, l_orderkey, l_linenumber, l_returnflag, date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS start, date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) + CASE WHEN l_orderkey % 97 = 0 THEN 900 ELSE CAST(l_quantity AS BIGINT) % 10 END AS \"end\" FROM lineitem"
+
+
+def day_spans(spark, sf_dir):
+    start = F.unix_date(F.to_date("l_shipdate")).cast("long")
+    long = F.when(F.col("l_orderkey") % 97 == 0, 900).otherwise(F.col("l_quantity").cast("long") % 10)
+    return table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_returnflag", start.alias("start"), (start + long).alias("end"))
+
+
+@query("interval_overlaps", f"WITH s AS ({DAYS}) SELECT a.l_suppkey, a.l_orderkey AS a, a.l_linenumber AS a_line, b.l_orderkey AS b, b.l_linenumber AS b_line FROM s a JOIN s b ON a.l_suppkey = b.l_suppkey AND a.start <= b.end AND b.start <= a.end WHERE a.l_returnflag = 'R' AND b.l_returnflag = 'A'")
+def interval_overlaps(spark, sf_dir):
+    """Returned lines and accepted ones of a supplier that were under way on the same day."""
+    spans = day_spans(spark, sf_dir)
+    met = V.overlap_join(spans.filter("l_returnflag = 'R'"), spans.filter("l_returnflag = 'A'"), ["l_suppkey"])
+    return met.select("l_suppkey", F.col("a.l_orderkey").alias("a"), F.col("a.l_linenumber").alias("a_line"), F.col("b.l_orderkey").alias("b"), F.col("b.l_linenumber").alias("b_line"))
+
+
+@query("interval_runs", f"WITH s AS ({DAYS}), m AS (SELECT *, CASE WHEN start <= max(\"end\") OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM s WINDOW w AS (PARTITION BY l_suppkey ORDER BY start, \"end\")), r AS (SELECT *, sum(fresh) OVER (PARTITION BY l_suppkey ORDER BY start, \"end\" ROWS UNBOUNDED PRECEDING) AS run FROM m) SELECT l_suppkey, min(start) AS start, max(\"end\") AS \"end\", count(*) AS spans FROM r GROUP BY l_suppkey, run")
+def interval_runs(spark, sf_dir):
+    return V.covered(day_spans(spark, sf_dir), ["l_suppkey"])
+
+
+SAID = "list_sort(list_distinct(list_filter(regexp_extract_all(lower(coalesce({}, '')), '[\\p{{L}}\\p{{N}}]+'), lambda w: length(w) >= 4 AND NOT list_contains([" + ", ".join(f"'{w}'" for w in TT.EMPTY) + "], w))))"
+SOURCES = "SELECT doc_id AS k, {} AS w FROM documents".format(SAID.format("string_split(text, chr(10))[1]"))
+OTHERS = "SELECT page_id AS k, {} AS w FROM pages".format(SAID.format("regexp_extract(html, '<title>([^<]*)</title>', 1)"))
+
+
+@query("title_matches", f"""WITH a AS (SELECT w, min(k) AS first, count(*) AS n FROM ({SOURCES}) WHERE len(w) > 0 GROUP BY 1), b AS (SELECT w, min(k) AS first, count(*) AS n FROM ({OTHERS}) WHERE len(w) > 0 GROUP BY 1),
+p AS (SELECT a.first AS source_id, a.n AS sources, b.first AS other_id, b.n AS others, a.w AS aw, len(list_intersect(a.w, b.w)) AS shared, least(len(a.w), len(b.w)) AS short, greatest(len(a.w), len(b.w)) AS long FROM a, b)
+SELECT source_id, sources, other_id, others FROM p WHERE (shared >= 2 AND shared >= 0.5 * short AND (short > 2 OR long <= 2 * short + 1)) OR (shared = 1 AND short = 1 AND NOT (len(aw) = 1 AND list_contains([{", ".join(f"'{w}'" for w in TT.COMMON)}], aw[1])))""")
+def title_matches(spark, sf_dir):
+    """First lines of documents against titles of pages."""
+    sources = table(spark, sf_dir, "documents").select("doc_id", F.get(F.split("text", "\n"), F.lit(0)).alias("title"))
+    others = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
+    return TT.matches(sources, others, "doc_id", "title", "page_id", "title")
 
 
 @query("dedup_concat", "SELECT p_brand, array_to_string(list(p_type ORDER BY first), ',') AS types FROM (SELECT p_brand, p_type, min(p_partkey) AS first FROM part GROUP BY 1, 2) GROUP BY 1")
