@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import markup
+
 LINES, OVERLAP, MOST_BYTES = 150, 0.15, 12_288
 SENTENCE_CHARS = 1500
 # Characters that a long line is cut behind.
@@ -31,12 +33,15 @@ def split_line(line: str, most: int) -> list[str]:
 
 
 def windows_of(text: str, lines: int, overlap: float, most: int) -> Iterator[tuple[int, int, str]]:
-    """(first line, last line, text) of the windows of a text, lines from 1; long lines are cut into several before they count."""
-    rows = [piece for line in text.split("\n") for piece in (split_line(line, most) if len(line.encode()) > most else [line])]
+    """(first line, last line, text) of the windows of a text, lines from 1; long lines are cut into several before they count.
+
+    Lines end at any line end, a last one makes no line of its own, and an empty text has no windows.
+    """
+    rows = [piece for line in text.splitlines() for piece in (split_line(line, most) if len(line.encode()) > most else [line])]
     # Bytes up to each line's end, with line feeds.
     ends = list(accumulate(len(row.encode()) + 1 for row in rows))
     start = 0
-    while True:
+    while rows:
         before = ends[start - 1] if start else 0
         end = min(start + lines, len(rows), max(start + 1, bisect_right(ends, before + most + 1, start)))
         yield start + 1, end, "\n".join(rows[start:end]).encode()[:most].decode("utf-8", "ignore")
@@ -80,16 +85,18 @@ def sentence_windows(docs: DataFrame, key: str, sentences: Column, most: int = S
 
 
 def sections(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, section_index, level, header, path, text): what stands below each `#` header, with the headers above it, its own last;
-    text before the first header has level 0, an empty header and no path."""
-    parts = F.split(F.concat(F.lit("\n"), F.col(text)), r"\n(?=#{1,6} )")
-    level = lambda p: F.length(F.regexp_extract(p, r"^(#{1,6}) ", 1))
-    header = lambda p: F.regexp_extract(p, r"^#{1,6} ([^\n]*)", 1)
-    one = "level int, header string"
-    # The open headers at each section: those of a lower level than its own, and itself.
-    opened = lambda stack, p: F.when(level(p) == 0, stack).otherwise(F.array_append(F.filter(stack, lambda h: h["level"] < level(p)), F.struct(level(p).alias("level"), header(p).alias("header"))))
-    start = F.struct(F.array().cast(f"array<struct<{one.replace(' ', ':')}>>".replace(",:", ",")).alias("stack"), F.array().cast("array<array<string>>").alias("paths"))
-    walked = F.aggregate(parts, start, lambda acc, p: F.struct(opened(acc["stack"], p).alias("stack"), F.array_append(acc["paths"], F.transform(opened(acc["stack"], p), lambda h: h["header"])).alias("paths")))["paths"]
-    cut = docs.select(key, F.posexplode(F.arrays_zip(parts.alias("part"), walked.alias("path"))).alias("i", "x")).select(key, F.col("i").cast("long").alias("section_index"), "x.part", "x.path")
-    body = F.trim(F.regexp_replace("part", r"^#{1,6} [^\n]*\n?", ""))
-    return cut.select(key, "section_index", level(F.col("part")).alias("level"), header(F.col("part")).alias("header"), F.col("path").alias("path"), body.alias("text")).filter("header <> '' OR text <> ''")
+    """(key, section_index, level, header, path, text): what stands below each header, with the headers above it, its own last; text
+    before the first header has level 0, an empty header and no path. Lines inside code fences are no headers. Null and blank texts have none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [key, "section_index", "level", "header", "path", "text"]
+        for batch in batches:
+            for name, body in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                found = list(markup.sections(body)) if body and body.strip() else []
+                if found:
+                    level, header, path, parts = zip(*found, strict=True)
+                    columns = [pa.array(range(len(found)), pa.int64()), pa.array(level, pa.int32()), pa.array(header), pa.array(path, pa.list_(pa.string())), pa.array(parts)]
+                    yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(found), name.type), *columns], names)
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(key, text).mapInArrow(run, f"{key} {kind}, section_index long, level int, header string, path array<string>, text string")

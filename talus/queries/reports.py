@@ -10,6 +10,7 @@ from ..functions import scores
 from ..functions import text as X
 from ..operators import aspects as A
 from ..operators import chunking as K
+from ..operators import markup as M
 from ..operators import notes as N
 from ..operators import taxonomy as X2
 from ..operators import telemetry as L
@@ -283,7 +284,7 @@ MARKED = r"regexp_replace(html, '<h([1-6])>([^<]*)</h[1-6]>', chr(1) || '\1\2' |
 
 
 @query("sections", rf"""WITH p AS (SELECT page_id, unnest(string_split({MARKED}, chr(1))) AS part, generate_subscripts(string_split({MARKED}, chr(1)), 1) - 1 AS i FROM pages),
-h AS (SELECT page_id, i, CASE WHEN i = 0 THEN 0 ELSE CAST(part[1] AS INT) END AS level, CASE WHEN i = 0 THEN '' ELSE string_split(part[2:], chr(2))[1] END AS header FROM p),
+h AS (SELECT page_id, i, CASE WHEN i = 0 THEN 0 ELSE CAST(part[1] AS INT) END AS level, CASE WHEN i = 0 THEN '' ELSE trim(string_split(part[2:], chr(2))[1]) END AS header FROM p),
 l AS (SELECT *, {", ".join(f"max(CASE WHEN level = {k} THEN i END) OVER w AS p{k}, last_value(CASE WHEN level = {k} THEN header END IGNORE NULLS) OVER w AS h{k}" for k in range(1, 7))} FROM h WINDOW w AS (PARTITION BY page_id ORDER BY i))
 SELECT page_id, i AS section_index, header, array_to_string(list_filter([{", ".join(f"CASE WHEN p{k} IS NOT NULL AND level >= {k}" + "".join(f" AND coalesce(p{j}, -1) < p{k}" for j in range(1, k)) + f" THEN h{k} END" for k in range(1, 7))}], lambda x: x IS NOT NULL), ' > ') AS path FROM l""")
 def sections(spark, sf_dir):
@@ -293,6 +294,27 @@ def sections(spark, sf_dir):
     return K.sections(table(spark, sf_dir, "pages").withColumn("md", marked), "page_id", "md").select("page_id", "section_index", "header", F.array_join("path", " > ").alias("path"))
 
 
+@query("markdown_chunks")
+def markdown_chunks(spark, sf_dir):
+    """Documents with headers and a fenced block: a table function in a lateral join."""
+    text = F.concat(F.lit("# "), "source", F.lit("\n"), "text", F.lit("\n```\n# no header\n```\n## "), "lang", F.lit("\n"), F.left("text", F.lit(3000)), F.lit("\n"))
+    return M.markdown_chunks(table(spark, sf_dir, "documents").withColumn("md", text), "doc_id", "md").select("doc_id", "chunk_index", "header", F.array_join("path", " > ").alias("path"), "start", "end", "has_code", F.sha2("text", 256).alias("digest"))
+
+
+@query("page_windows", """WITH RECURSIVE w AS (
+  SELECT doc_id, text, CAST(0 AS BIGINT) AS start, CAST(-1 AS BIGINT) AS "end", CAST(-1 AS BIGINT) AS i FROM documents WHERE length(text) > 0
+  UNION ALL
+  SELECT doc_id, text, CASE WHEN i < 0 THEN 0 ELSE "end" - 300 END,
+    CASE WHEN s + 1500 >= length(text) THEN length(text) WHEN contains(substring(text, s + 1201, 300), '. ') THEN s + 1200 + 300 - instr(reverse(substring(text, s + 1201, 300)), ' .') ELSE s + 1500 END, i + 1
+  FROM (SELECT *, CASE WHEN i < 0 THEN 0 ELSE "end" - 300 END AS s FROM w) WHERE i < 0 OR "end" - 300 > start AND "end" - 300 < length(text))
+SELECT doc_id, i AS chunk_index, start, "end", start // 2000 + 1 AS page FROM w WHERE i >= 0""")
+def page_windows(spark, sf_dir):
+    """Windows over pages of 2000 characters."""
+    pages = F.transform(F.sequence(F.lit(0), F.floor((F.char_length("text") - 1) / 2000)), lambda i: F.substr("text", (i * 2000 + 1).cast("int"), F.lit(2000)))
+    docs = table(spark, sf_dir, "documents").filter("length(text) > 0")
+    return M.page_windows(docs, "doc_id", pages).select("doc_id", "chunk_index", "start", "end", "page")
+
+
 @query("chunk_identity", "SELECT doc_id, sha256(text) AS chash, strlen(text) AS bytes FROM documents")
 def chunk_identity(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("chash"), F.octet_length("text").cast("long").alias("bytes"))

@@ -176,7 +176,7 @@ def test_usable_plans(spark):
 
 def windows_by_hand(body, lines, overlap, most):
     """The longest window that fits, found by trying every end."""
-    rows = [piece for line in body.split("\n") for piece in (chunking.split_line(line, most) if len(line.encode()) > most else [line])]
+    rows = [piece for line in body.splitlines() for piece in (chunking.split_line(line, most) if len(line.encode()) > most else [line])]
     out, start = [], 0
     while True:
         end = next(e for e in range(min(start + lines, len(rows)), start, -1) if e == start + 1 or len("\n".join(rows[start:e]).encode()) <= most)
@@ -189,22 +189,23 @@ def windows_by_hand(body, lines, overlap, most):
 def test_line_windows_keep_to_bytes(spark):
     rnd = random.Random(6)
     bodies = ["\n".join("x" * rnd.randint(0, 60) for _ in range(rnd.randint(1, 80))) for _ in range(20)] + ["", "a b " * 13_000, "y" * 50_000, "p;" * 10_000, "é" * 30]
-    df = spark.createDataFrame(list(enumerate(bodies)), "id int, t string")
+    df = spark.createDataFrame([*enumerate(bodies), (len(bodies), "a\r\nb\rc\n"), (len(bodies) + 1, None)], "id int, t string")
     for lines, most in ((10, 200), (150, chunking.MOST_BYTES)):
         got = {}
         for r in chunking.line_windows(df, "id", "t", lines, most=most).orderBy("id", "chunk_index").collect():
             got.setdefault(r.id, []).append((r.line_start, r.line_end, r.text))
             assert len(r.text.encode()) <= most
         for i, body in enumerate(bodies[:-1]):
-            assert got[i] == windows_by_hand(body, lines, 0.15, most)
+            assert got.get(i, []) == (windows_by_hand(body, lines, 0.15, most) if body else [])
+        assert [r[2] for r in got[len(bodies)]] == ["a\nb\nc"] and len(bodies) + 1 not in got
     assert "".join(chunking.split_line("a b " * 100, 50)) == "a b " * 100 and all(p.endswith(" ") for p in chunking.split_line("a b " * 100, 50))
     assert chunking.split_line("ab" * 20 + ";" + "c" * 30, 45)[0] == "ab" * 20 + ";" and chunking.split_line("z" * 100, 40) == ["z" * 40, "z" * 40, "z" * 20]
 
 
 def test_header_paths(spark):
-    df = spark.createDataFrame([(1, "intro\n# A\n## B\nx\n### C\n## D\n# E\ntail"), (2, "no header")], "id int, t string")
+    df = spark.createDataFrame([(1, "intro\n# A\n## B\nx\n### C\n## D\n# E\ntail"), (2, "no header"), (3, "# A\n```sh\n# not a header\n```\n~~~~\n# nor this\n~~~\n## nor\n~~~~\n## B #\nTitle\n=====\n"), (4, "  \n"), (5, None)], "id int, t string")
     got = [(r.header, r.path) for r in chunking.sections(df, "id", "t").orderBy("id", "section_index").collect()]
-    assert got == [("", []), ("A", ["A"]), ("B", ["A", "B"]), ("C", ["A", "B", "C"]), ("D", ["A", "D"]), ("E", ["E"]), ("", [])]
+    assert got == [("", []), ("A", ["A"]), ("B", ["A", "B"]), ("C", ["A", "B", "C"]), ("D", ["A", "D"]), ("E", ["E"]), ("", []), ("A", ["A"]), ("B", ["A", "B"]), ("Title", ["Title"])]
 
 
 def test_aspect_rules(spark):
