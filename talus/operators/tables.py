@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Rows of a part that one task numbers.
-RANK_ROWS = 1_000_000
+from . import batches
 
 
 def page(df: DataFrame, order: list[str], limit: int | None = None, offset: int = 0) -> DataFrame:
@@ -98,14 +97,5 @@ def line_cache(docs: DataFrame, key: str, text: str, weight: str, needle: str, m
 
 
 def ranks(df: DataFrame, by: str, key: str, out: str) -> DataFrame:
-    """`df` with the place of each row (from 1) by a number and then by key, over all rows.
-
-    Rows are cut at quantiles of the number into parts of about RANK_ROWS, numbered in each and shifted by what stands before.
-    """
-    parts = df.count() // RANK_ROWS + 1
-    bounds = F.lit(df.agg(F.percentile_approx(by, [i / parts for i in range(1, parts)], 10 * parts)).first()[0] if parts > 1 else []).cast("array<double>")
-    placed = df.withColumn("__part", F.size(F.filter(bounds, lambda b: b < F.col(by))))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
-    offsets = placed.groupBy("__part").agg(F.count("*").alias("__n")).select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    inside = F.row_number().over(Window.partitionBy("__part").orderBy(by, key))
-    return placed.join(F.broadcast(offsets), "__part").withColumn(out, (F.col("__before") + inside).cast("long")).drop("__part", "__before")
+    """`df` with the place of each row (from 1) by a number and then by key, over all rows."""
+    return batches.running(df, [F.asc(by), F.asc(key)], {out: F.lit(1).cast("long")})

@@ -7,6 +7,8 @@ from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..functions import vectors as V
+from ..operators import batches as BA
+from ..operators import keyed as KM
 from ..operators import lineage
 from ..operators import predicates as P
 from ..operators import ranking as R
@@ -92,6 +94,40 @@ def jsonl_replay(spark, sf_dir):
     return T.last_writes(log, ["user_id"], "event_id", "gone").select("user_id", "event_type", "value")
 
 
+@query("keyed_merge", """SELECT user_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n = 1 AND event_type <> 'error'""")
+def keyed_merge(spark, sf_dir):
+    """`jsonl_replay` by merges into key buckets: the log in three batches, the second one twice and the first one late."""
+    log = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value", (F.col("event_type") == "error").alias("gone"))
+    path = lineage.new_folder(spark, "keyed")
+    batch = lambda n: log.filter(F.col("event_id") % 3 == n)
+    KM.create(batch(1), path, ["user_id"], "event_id", 16)
+    for number, n in ((1, 2), (1, 2), (2, 0), (3, 1)):
+        KM.merge(batch(n), path, ["user_id"], "event_id", number)
+    return KM.read(spark, path).select("user_id", "event_type", "value")
+
+
+@query("line_cache_cut", """WITH s AS (SELECT doc_id, n_chars % 97 AS weight, CASE WHEN right(text, 1) = chr(10) THEN string_split(left(text, length(text) - 1), chr(10)) ELSE string_split(text, chr(10)) END AS l FROM documents WHERE text <> ''),
+b AS (SELECT doc_id, weight, CAST(list_sum(list_transform(l, lambda x, i: strlen(x) + strlen(CAST(doc_id AS VARCHAR)) + strlen(CAST(i AS VARCHAR)) + 3)) AS BIGINT) AS bytes FROM s)
+SELECT doc_id, weight, bytes FROM (SELECT *, sum(bytes) OVER (ORDER BY weight DESC, doc_id) - bytes AS before FROM b) WHERE before < 1000000""")
+def line_cache_cut(spark, sf_dir):
+    """The documents of a line cache of about a million bytes, by weight."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") % 97).alias("weight"), "text")
+    return BA.cached(docs, "weight", "doc_id", "text", 1_000_000)
+
+
+@query("write_batches", """WITH RECURSIVE d AS (SELECT l_returnflag AS collection, l_orderkey AS document, count(*) AS rows, CAST(sum(CAST(l_quantity AS BIGINT) * 1000) AS BIGINT) AS bytes FROM lineitem GROUP BY ALL),
+p AS (SELECT *, CAST(floor((sum(rows + 1) OVER (PARTITION BY collection ORDER BY document) - rows - 1) / 200000) AS BIGINT) AS stretch FROM d),
+o AS (SELECT *, row_number() OVER (PARTITION BY collection, stretch ORDER BY document) AS i FROM p),
+w AS (SELECT collection, stretch, document, rows, bytes, i, CAST(0 AS BIGINT) AS batch, rows AS n, bytes AS b FROM o WHERE i = 1
+  UNION ALL SELECT o.collection, o.stretch, o.document, o.rows, o.bytes, o.i, CASE WHEN f THEN w.batch + 1 ELSE w.batch END, CASE WHEN f THEN 0 ELSE w.n END + o.rows, CASE WHEN f THEN 0 ELSE w.b END + o.bytes
+  FROM w JOIN (SELECT * FROM o) o ON o.collection = w.collection AND o.stretch = w.stretch AND o.i = w.i + 1, LATERAL (SELECT w.n + o.rows > 300 OR w.b + o.bytes > 2000000 AS f) x)
+SELECT collection, document, rows, bytes, collection || '/' || stretch || '/' || batch AS batch FROM w""")
+def write_batches(spark, sf_dir):
+    """Whole orders in batches of 300 lines and two million bytes at most."""
+    chunks = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("collection"), F.col("l_orderkey").alias("document"), (F.col("l_quantity").cast("long") * 1000).alias("size"))
+    return BA.packed(chunks, "collection", "document", "size", 300, 2_000_000)
+
+
 @query("upsert", """SELECT coalesce(b.p_partkey, a.p_partkey) AS id, CASE WHEN b.p_partkey IS NOT NULL THEN 'new ' || b.p_name ELSE a.p_name END AS name
 FROM (SELECT * FROM part WHERE p_partkey % 3 <> 0) a FULL JOIN (SELECT * FROM part WHERE p_partkey % 2 = 0) b ON a.p_partkey = b.p_partkey""")
 def upsert(spark, sf_dir):

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import tables
+from ..operators import batches, keyed, tables
 
 
 def telemetry_windows(events: DataFrame, late: str = "1 hour", window: str = "1 day", ts: str = "ts", by: str = "event_type", value: str = "value") -> DataFrame:
@@ -32,20 +32,35 @@ def append_chunks(stream: DataFrame, path: str, checkpoint: str, partition: str
     return stream.writeStream.format("parquet").partitionBy(partition).option("maxRecordsPerFile", most).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
 
 
-def keep_last(stream: DataFrame, keys: list[str], order: str, deleted: str, path: str, checkpoint: str) -> StreamingQuery:
-    """Fold an append-only log into the last row of each key, one new version of the table for each batch: path/v=<batch>."""
+def keep_last(stream: DataFrame, keys: list[str], order: str, deleted: str, path: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
+    """Fold an append-only log into the last row of each key, in a table of key buckets (operators.keyed); a batch rewrites the buckets it touches.
+
+    Batches have numbers, so one that is repeated after a failure is merged once; and were its number lost, it would change nothing.
+    """
 
     def fold(batch: DataFrame, number: int) -> None:
-        spark: SparkSession = batch.sparkSession
-        new = batch.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in batch.columns if c not in keys]), order).alias("__l")).select(*keys, "__l.*")
-        old = spark.read.parquet(f"{path}/v={number - 1}") if number else new.limit(0)
-        both = old.select(*new.columns).unionByName(new)
-        last = both.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in new.columns if c not in keys]), order).alias("__l")).select(*keys, "__l.*")
-        last.write.mode("overwrite").parquet(f"{path}/v={number}")
+        rows = batch.withColumnRenamed(deleted, keyed.GONE)
+        if number == 0:
+            keyed.create(rows.withColumn(keyed.GONE, F.coalesce(keyed.GONE, F.lit(False))), path, keys, order, buckets)
+        else:
+            keyed.merge(rows, path, keys, order, number)
 
     return stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def write_packed(stream: DataFrame, collection: str, document: str, size: str, path: str, checkpoint: str, most_rows: int = 300, most_bytes: int = 8_000_000) -> StreamingQuery:
+    """Write chunks in batches of whole documents, as batches.packed packs them, to path/run=<n>; a batch that is repeated replaces its own folder.
+
+    A document's chunks come in one micro-batch, as those of one file do.
+    """
+
+    def put(rows: DataFrame, number: int) -> None:
+        named = batches.packed(rows, collection, document, size, most_rows, most_bytes).select(*(F.col(c).alias(f"__{c}") for c in (collection, document)), "batch")
+        rows.join(named, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in (collection, document)]).drop(f"__{collection}", f"__{document}").write.mode("overwrite").parquet(f"{path}/run={number}")
+
+    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def current(versions: DataFrame, deleted: str) -> DataFrame:
     """Without the rows that say that their key is gone."""
     return versions.filter(~F.coalesce(F.col(deleted), F.lit(False)))

@@ -57,14 +57,17 @@ def test_text_gate_with_many_similar_words(spark, monkeypatch):
     assert search.text_matches(docs, "zzz license").count() == 0 and search.text_matches(docs, "the of").count() == 0
 
 
-def test_ranks_over_parts(spark, monkeypatch):
+def test_ranks_over_parts(spark):
     rnd = random.Random(4)
     rows = [(i, rnd.choice([0.5, rnd.random()])) for i in range(300)]
     order = [i for i, _ in sorted(rows, key=lambda r: (r[1], r[0]))]
     df = spark.createDataFrame(rows, "id long, d double")
-    for size in (1_000_000, 20):
-        monkeypatch.setattr(tables, "RANK_ROWS", size)
-        assert [r.id for r in tables.ranks(df, "d", "id", "rank").orderBy("rank").collect()] == order
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for parts in (1, 20):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        got = [r.id for r in tables.ranks(df, "d", "id", "rank").orderBy("rank").collect()]
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        assert got == order
     assert tables.ranks(df.limit(0), "d", "id", "rank").count() == 0
 
 
