@@ -8,6 +8,7 @@ from ..functions import text as X
 from ..functions import vectors as V
 from ..operators import catalog as C
 from ..operators import graph as G
+from ..operators import rerank as RR
 from ..operators import results as R
 from ..operators import search as S
 from ..operators import steps as D
@@ -178,3 +179,18 @@ def squeezed_titles(spark, sf_dir):
 def answer_steps(spark, sf_dir):
     """Search, then group and reduce: a stored plan's steps composed by hand."""
     return S.top(hits(spark, sf_dir), 100, ["distance", "id"]).groupBy("topic").agg(F.count("*").alias("hits"), F.min("distance").alias("best"))
+
+
+@query("rerank_pairs")
+def rerank_pairs(spark, sf_dir):
+    """The two replies of each conversation that are most like its first question, by late interaction."""
+    rows = table(spark, sf_dir, "conversations")
+    asked = rows.filter("role = 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("query"))
+    pairs = rows.filter("role = 'assistant'").join(asked, "conv_id")
+    return RR.best(pairs, 2, "conv_id", "turn", "query", "text").withColumn("score", F.round("score", 6))
+
+
+@query("salient_scored")
+def salient_scored(spark, sf_dir):
+    """The three sentences of each document that are most like one of two questions."""
+    return RR.salient(table(spark, sf_dir, "documents"), "doc_id", "text", ["released under a license", "the rest of the day"]).select("doc_id", "place", F.round("score", 6).alias("score"), F.sha2("sentence", 256).alias("digest"))
