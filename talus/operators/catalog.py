@@ -51,10 +51,12 @@ def health(docs: DataFrame, edges: DataFrame, stale_before: dt.datetime) -> Data
     return alive.join(inbound, "id", "left").groupBy("collection").agg(F.count("*").alias("docs"), F.max("indexed_at").alias("last_indexed"), F.count_if(F.col("__in").isNull()).alias("orphans"), F.when(F.count("indexed_at") > 0, stale / F.count("indexed_at")).alias("stale_ratio"))
 
 
-def totals(docs: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row: live documents, collections, content types, links."""
+def totals(docs: DataFrame, edges: DataFrame, manifest: DataFrame, owner: str) -> DataFrame:
+    """One row: live documents, their owners, collections, content types and chunks, and links."""
     alive = live(docs)
-    return alive.agg(F.count("*").alias("docs"), F.countDistinct("collection").alias("collections"), F.countDistinct("content_type").alias("content_types")).withColumn("links", edges.agg(F.count("*")).scalar())
+    out = alive.agg(F.count("*").alias("docs"), F.countDistinct(owner).alias("owners"), F.countDistinct("collection").alias("collections"), F.countDistinct("content_type").alias("content_types"))
+    chunks = manifest.join(alive.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").agg(F.countDistinct("chunk_id"))
+    return out.withColumn("chunks", chunks.scalar()).withColumn("links", edges.agg(F.count("*")).scalar())
 
 
 def gaps(docs: DataFrame, manifest: DataFrame, expected: str = "chunk_count") -> DataFrame:
@@ -124,10 +126,10 @@ def next_numbers(docs: DataFrame, owner: str, new: DataFrame, order: str) -> Dat
     return new.withColumn("__n", n).join(last, owner, "left").withColumn("number", (F.coalesce("__last", F.lit(0)) + F.col("__n")).cast("long")).drop("__n", "__last")
 
 
-def vector_stats(chunks: DataFrame, vector: str = "embedding") -> DataFrame:
-    """(collection, chunks, dimension): the dimension is null where a collection mixes several."""
+def vector_stats(chunks: DataFrame, vector: str = "embedding", written: str = "written_at") -> DataFrame:
+    """(collection, chunks, dimension, last_write) of chunks that are visible (visible_chunks): the dimension is null where a collection mixes several."""
     size = F.size(vector)
-    return chunks.groupBy("collection").agg(F.count("*").alias("chunks"), F.when(F.min(size) == F.max(size), F.max(size)).alias("dimension"))
+    return chunks.groupBy("collection").agg(F.count("*").alias("chunks"), F.when(F.min(size) == F.max(size), F.max(size)).alias("dimension"), F.max(written).alias("last_write"))
 
 
 def resolve_chunk(rows: DataFrame, chash: str, prefer: str | None = None) -> DataFrame:
@@ -152,10 +154,12 @@ def search(docs: DataFrame, words: str | None = None, text: list[str] = (), cont
 
 
 def show(docs: DataFrame, edges: DataFrame) -> DataFrame:
-    """Documents with the numbers of links that leave and reach them."""
-    out = edges.groupBy(F.col("from_id").alias("id")).agg(F.count("*").alias("links_out"))
-    into = edges.groupBy(F.col("to_id").alias("id")).agg(F.count("*").alias("links_in"))
-    return docs.join(out, "id", "left").join(into, "id", "left").fillna(0, ["links_out", "links_in"])
+    """Documents with the links that leave and reach them, as sorted arrays of (id, link_type), and their numbers."""
+    side = lambda at, other, name: edges.groupBy(F.col(at).alias("id")).agg(F.array_sort(F.collect_list(F.struct(F.col(other).alias("id"), "link_type"))).alias(name))
+    none = F.array().cast("array<struct<id:bigint,link_type:string>>")
+    both = docs.join(side("from_id", "to_id", "out"), "id", "left").join(side("to_id", "from_id", "into"), "id", "left")
+    filled = both.withColumns({"out": F.coalesce("out", none), "into": F.coalesce("into", none)})
+    return filled.withColumns({"links_out": F.size("out").cast("long"), "links_in": F.size("into").cast("long")})
 
 
 def of_tenant(df: DataFrame, tenant: str, column: str = "tenant") -> DataFrame:

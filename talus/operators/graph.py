@@ -148,12 +148,27 @@ def path_links(docs: DataFrame, key: str, text: str, pattern: str, targets: Data
     return named.join(targets.select(F.col("id").alias("to_id"), path), path).filter("from_id <> to_id").select("from_id", "to_id", F.lit(link_type).alias("link_type")).distinct()
 
 
-def link_audit(edges: DataFrame, live: DataFrame) -> DataFrame:
-    """(link_type, created_by, links, duplicates, orphaned): orphaned links have an end that is no live document."""
-    ends = live.select("id").withColumn("ok", F.lit(True))
-    marked = edges.join(ends.withColumnRenamed("id", "from_id").withColumnRenamed("ok", "from_ok"), "from_id", "left").join(ends.withColumnRenamed("id", "to_id").withColumnRenamed("ok", "to_ok"), "to_id", "left")
-    single = marked.groupBy("from_id", "to_id", "link_type", "created_by").agg(F.count("*").alias("n"), F.count_if(F.col("from_ok").isNull() | F.col("to_ok").isNull()).alias("lost"))
-    return single.groupBy("link_type", "created_by").agg(F.sum("n").alias("links"), F.sum(F.col("n") - 1).alias("duplicates"), F.sum("lost").alias("orphaned"))
+def link_audit(edges: DataFrame, live: DataFrame, hashes: DataFrame | None = None) -> DataFrame:
+    """(link_type, created_by, links, duplicates, orphaned, stale_spans, stale_hashes).
+
+    Orphaned links have an end that is no live document. Where edges have a `span`: one by places is stale if its document (from_id) was
+    indexed after the link was made (live: id, indexed_at; edges: created_at), one by hash if no chunk has the hash (hashes: chash).
+    """
+    ends = live.select("id", F.lit(True).alias("ok"))
+    from_end = live.select(F.col("id").alias("from_id"), F.lit(True).alias("from_ok"), *([F.col("indexed_at").alias("__indexed")] if "indexed_at" in live.columns else []))
+    marked = edges.join(from_end, "from_id", "left").join(ends.withColumnsRenamed({"id": "to_id", "ok": "to_ok"}), "to_id", "left")
+    old, gone = F.lit(False), F.lit(False)
+    if "span" in edges.columns:
+        marked = marked.withColumn("__span", tumblers.span_parts(F.col("span")))
+        kind = F.col("__span.kind")
+        old = F.coalesce(kind.isin("lines", "chunk") & (F.col("__indexed") > F.col("created_at")), F.lit(False))
+        if hashes is not None:
+            known = hashes.select(F.col("chash").alias("__hash")).distinct().withColumn("__there", F.lit(True))
+            marked = marked.withColumn("__hash", F.when(kind == "hash", F.regexp_extract("span", "([0-9a-f]{64}|[0-9a-f]{32})", 1))).join(known, "__hash", "left")
+            gone = F.col("__hash").isNotNull() & F.col("__there").isNull()
+    lost = F.col("from_ok").isNull() | F.col("to_ok").isNull()
+    single = marked.groupBy("from_id", "to_id", "link_type", "created_by").agg(F.count("*").alias("n"), F.count_if(lost).alias("lost"), F.count_if(old).alias("old"), F.count_if(gone).alias("gone"))
+    return single.groupBy("link_type", "created_by").agg(F.sum("n").alias("links"), F.sum(F.col("n") - 1).alias("duplicates"), F.sum("lost").alias("orphaned"), F.sum("old").alias("stale_spans"), F.sum("gone").alias("stale_hashes"))
 
 
 def link_density(seeds: DataFrame, edges: DataFrame, group: str, depth: int = 1, low: float = 3) -> DataFrame:

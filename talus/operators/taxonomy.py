@@ -51,18 +51,52 @@ def icf(assignments: DataFrame) -> DataFrame:
     return counted.select("topic_id", "df", F.log2(F.col("n") / F.col("df")).alias("icf"))
 
 
-def hubs(assignments: DataFrame, least_collections: int = 2, most_icf: float | None = None) -> DataFrame:
-    """(topic_id, df, icf, chunks) of topics that many collections share."""
+# Parts of labels that say that a topic is about form.
+GENERIC = ("assert", "junit", "builder", "class", "import", "exception", "getter", "setter", "variable", "declaration", "operator")
+
+
+def generic_words(label: Column) -> Column:
+    """The words of GENERIC that a label holds anywhere, whatever the case."""
+    return F.filter(F.array(*map(F.lit, GENERIC)), lambda w: F.contains(F.lower(F.coalesce(label, F.lit(""))), w))
+
+
+def hubs(assignments: DataFrame, least_collections: int = 2, most_icf: float | None = None, topics: DataFrame | None = None) -> DataFrame:
+    """(topic_id, df, icf, chunks, score) of topics that many collections share, with `generic` words of their labels if topics (topic_id, label) are given.
+
+    The score is chunks * (1 - icf); the worst hub has the largest (`ordered_hubs`).
+    """
     chunks = assignments.groupBy("topic_id").agg(F.count("*").alias("chunks"))
     out = icf(assignments).filter(F.col("df") >= least_collections)
     out = out.filter(F.col("icf") <= most_icf) if most_icf is not None else out
-    return out.join(chunks, "topic_id")
+    out = out.join(chunks, "topic_id").withColumn("score", F.col("chunks") * (1 - F.col("icf")))
+    return out if topics is None else out.join(topics.select("topic_id", "label"), "topic_id", "left").withColumn("generic", generic_words(F.col("label")))
+
 
+def ordered_hubs(found: DataFrame) -> DataFrame:
+    return found.orderBy(F.desc("score"), "topic_id")
 
-def audit(assignments: DataFrame, group: str, least: float) -> DataFrame:
-    """(group, rows, p10, p50, p90, below): nearest-rank quantiles of similarity, and rows strictly below a limit."""
+
+def least_similarity(collection: Column, limits: dict[str, float], otherwise: float) -> Column:
+    """The limit of the longest of the given beginnings that a collection's name has."""
+    out = F.lit(otherwise)
+    for begin in sorted(limits, key=len):
+        out = F.when(F.startswith(collection, F.lit(begin)), F.lit(limits[begin])).otherwise(out)
+    return out
+
+
+def audit(assignments: DataFrame, group: str, least: float | Column) -> DataFrame:
+    """(group, rows, p10, p50, p90, below): nearest-rank quantiles of similarity, and rows strictly below a limit, a number or an expression over the rows."""
+    limit = F.lit(least) if isinstance(least, int | float) else least
     rank = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY similarity)").alias(f"p{round(p * 100)}")
-    return assignments.groupBy(group).agg(F.count("*").alias("rows"), rank(0.1), rank(0.5), rank(0.9), F.count_if(F.col("similarity") < least).alias("below"))
+    return assignments.groupBy(group).agg(F.count("*").alias("rows"), rank(0.1), rank(0.5), rank(0.9), F.count_if(F.col("similarity") < limit).alias("below"))
+
+
+def top_topics(assignments: DataFrame, group: str, topics: DataFrame, first: int = 5) -> DataFrame:
+    """(group, topic_id, chunks, rank, generic): the topics that most of a group's rows are assigned to, and the generic words of their labels."""
+    counts = assignments.groupBy(group, "topic_id").agg(F.count("*").alias("chunks"))
+    order = Window.partitionBy(group).orderBy(F.desc("chunks"), "topic_id")
+    ranked = counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= first)
+    return ranked.join(topics.select("topic_id", "label"), "topic_id", "left").withColumn("generic", generic_words(F.col("label"))).drop("label")
 
 
 def topic_terms(docs: DataFrame, key: str, topic: str, text: str, most: int = 10) -> DataFrame:

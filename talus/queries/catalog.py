@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from ..functions import tumblers as A
 from ..operators import catalog as C
 from ..operators import graph as G
+from ..operators import health as H
 from ..operators import intervals as V
 from ..operators import tables as T
+from ..operators import telemetry as L
 from ..operators import titles as TT
 from .registry import query, table
 
@@ -18,9 +20,9 @@ CUT = dt.datetime(1998, 1, 1)
 LIVE = "(SELECT * FROM {docs} WHERE deleted_at IS NULL)"
 
 
-@query("catalog_stats", f"SELECT count(*) AS docs, count(DISTINCT collection) AS collections, count(DISTINCT content_type) AS content_types, (SELECT count(*) FROM {{links}}) AS links FROM {LIVE}")
+@query("catalog_stats", f"SELECT count(*) AS docs, count(DISTINCT author) AS owners, count(DISTINCT collection) AS collections, count(DISTINCT content_type) AS content_types, (SELECT count(DISTINCT chunk_id) FROM {{manifest}} WHERE doc_id IN (SELECT id FROM {LIVE})) AS chunks, (SELECT count(*) FROM {{links}}) AS links FROM {LIVE}")
 def catalog_stats(spark, sf_dir):
-    return C.totals(table(spark, sf_dir, "docs"), table(spark, sf_dir, "links"))
+    return C.totals(table(spark, sf_dir, "docs"), table(spark, sf_dir, "links"), table(spark, sf_dir, "manifest"), "author")
 
 
 @query("collection_doc_counts", f"SELECT collection, count(*) AS n FROM {LIVE} GROUP BY 1")
@@ -53,6 +55,31 @@ def collection_health(spark, sf_dir):
     return out.withColumn("last_indexed", F.col("last_indexed").cast("date").cast("string")).withColumn("stale_ratio", F.round("stale_ratio", 6))
 
 
+SEARCHED = "CASE user_id % 6 WHEN 0 THEN '1-URGENT' WHEN 1 THEN '2-HIGH' WHEN 2 THEN '3-MEDIUM' WHEN 3 THEN '9-NONE' ELSE '5-LOW' END"
+OWN = "CASE l_suppkey % 4 WHEN 0 THEN '1-URGENT' WHEN 1 THEN '2-HIGH' WHEN 2 THEN '3-MEDIUM' ELSE '4-NOT SPECIFIED' END"
+
+
+@query("collection_health_report", f"""WITH d AS (SELECT * FROM {LIVE}), c AS (SELECT collection, count(*) AS n FROM {{manifest}} JOIN {{docs}} d ON d.id = doc_id WHERE chunk_id % 9 <> 0 GROUP BY 1),
+h AS (SELECT collection, max(indexed_at) AS last, count(*) FILTER (i.id IS NULL) AS orphans, CAST(count(*) FILTER (indexed_at < TIMESTAMP '1998-01-01') AS DOUBLE) / nullif(count(indexed_at), 0) AS stale FROM d LEFT JOIN {INBOUND} i USING (id) GROUP BY 1),
+s AS (SELECT {SEARCHED} AS collection, avg(CASE WHEN kept_count = 0 THEN 1.0 ELSE 0.0 END) AS zero, quantile_cont(top_distance, 0.5) AS mid FROM {{log}} GROUP BY 1),
+a AS (SELECT o_orderpriority AS src, {OWN} AS own, l_suppkey % 40 AS topic_id FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderpriority <> '5-LOW' OR l_suppkey % 4 = 3),
+r AS (SELECT own AS collection, rank() OVER (ORDER BY count(DISTINCT src) DESC) AS place FROM a WHERE src <> own GROUP BY own),
+t AS (SELECT src, topic_id, count(*) AS n, row_number() OVER (PARTITION BY src ORDER BY count(*) DESC, topic_id) AS k FROM a GROUP BY 1, 2), u AS (SELECT src AS collection, CAST(sum(n) FILTER (k <= 10) AS DOUBLE) / sum(n) AS share FROM t GROUP BY 1),
+x AS (SELECT collection, count(*) AS n FROM {{docs}} WHERE id % 2 = 0 GROUP BY 1)
+SELECT collection, CAST(coalesce(c.n, 0) AS BIGINT) AS chunk_count, CAST(CAST(last AS DATE) AS VARCHAR) AS last_indexed, round(zero, 6) AS zero_hit_rate, round(mid, 6) AS median_query_distance, CAST(place AS DOUBLE) AS cross_projection_rank, CAST(coalesce(orphans, 0) AS BIGINT) AS orphans, round(stale, 6) AS stale_ratio, round(share, 6) AS hub_domination,
+CASE WHEN c.n > 0 THEN round(least(1.0, CAST(x.n AS DOUBLE) / c.n), 6) END AS hash_coverage FROM (SELECT DISTINCT collection FROM {{docs}}) LEFT JOIN h USING (collection) LEFT JOIN c USING (collection) LEFT JOIN s USING (collection) LEFT JOIN r USING (collection) LEFT JOIN u USING (collection) LEFT JOIN x USING (collection)""")
+def collection_health_report(spark, sf_dir):
+    """All facts, worst coverage first; the order is that of `health.ordered`."""
+    docs, lines = table(spark, sf_dir, "docs"), table(spark, sf_dir, "lineitem")
+    chunks = table(spark, sf_dir, "manifest").filter("chunk_id % 9 <> 0").join(docs.select(F.col("id").alias("doc_id"), "collection"), "doc_id").select("collection")
+    searches = L.search_stats(table(spark, sf_dir, "log").withColumn("collection", F.expr(SEARCHED)), dt.datetime(1970, 1, 1))
+    sources = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderpriority").alias("source_collection"))
+    assigned = lines.join(sources, "l_orderkey").filter("source_collection <> '5-LOW' OR l_suppkey % 4 = 3").select("source_collection", F.expr(OWN).alias("topic_collection"), (F.col("l_suppkey") % 40).alias("topic_id"))
+    out = H.report(docs, table(spark, sf_dir, "links"), chunks, searches, assigned, docs.filter("id % 2 = 0").select("collection"), CUT)
+    shown = out.withColumns({"last_indexed": F.col("last_indexed").cast("date").cast("string"), "cross_projection_rank": F.col("cross_projection_rank").cast("double")}).withColumns({c: F.round(c, 6) for c in ("zero_hit_rate", "median_query_distance", "stale_ratio", "hub_domination", "hash_coverage")})
+    return H.ordered(shown, ["hash_coverage", "last_indexed"])
+
+
 @query("visible_chunks", """SELECT p.id FROM {parts} p WHERE p.id NOT IN (SELECT chunk_id FROM {manifest} m JOIN {docs} d ON d.id = m.doc_id GROUP BY 1 HAVING NOT bool_or(d.deleted_at IS NULL))""")
 def visible_chunks(spark, sf_dir):
     return C.visible_chunks(table(spark, sf_dir, "parts"), table(spark, sf_dir, "manifest"), table(spark, sf_dir, "docs")).select("id")
@@ -141,11 +168,18 @@ def link_merge(spark, sf_dir):
     return merged.withColumn("created_at", F.col("created_at").cast("date").cast("string")).withColumn("co_discovered_by", F.array_join("co_discovered_by", ","))
 
 
-@query("link_audit", """WITH s AS (SELECT to_id % 50 AS from_id, to_id, link_type, created_by FROM {links}), g AS (SELECT from_id, to_id, link_type, created_by, count(*) AS n FROM s GROUP BY ALL),
-l AS (SELECT id FROM {docs} WHERE deleted_at IS NULL) SELECT link_type, created_by, CAST(sum(n) AS BIGINT) AS links, CAST(sum(n - 1) AS BIGINT) AS duplicates,
-CAST(sum(CASE WHEN from_id NOT IN (SELECT id FROM l) OR to_id NOT IN (SELECT id FROM l) THEN n ELSE 0 END) AS BIGINT) AS orphaned FROM g GROUP BY 1, 2""")
+SPANS = "CASE WHEN to_id % 4 = 0 THEN '3-9' WHEN to_id % 4 = 1 THEN 'chash:' || md5(CAST(to_id % 90 AS STRING)) WHEN to_id % 4 = 2 THEN '2:0-50' END"
+
+
+@query("link_audit", f"""WITH s AS (SELECT to_id % 50 AS from_id, to_id, link_type, created_by, created_at, {SPANS.replace("STRING", "VARCHAR")} AS span FROM {{links}}),
+l AS (SELECT id, indexed_at FROM {{docs}} WHERE deleted_at IS NULL), h AS (SELECT 'chash:' || md5(CAST(p_partkey AS VARCHAR)) AS chash FROM part WHERE p_partkey < 60),
+g AS (SELECT s.from_id, to_id, link_type, created_by, count(*) AS n, count(*) FILTER (span LIKE '%-%' AND l.indexed_at > created_at) AS old, count(*) FILTER (span LIKE 'chash%' AND span NOT IN (SELECT chash FROM h)) AS gone FROM s LEFT JOIN l ON l.id = s.from_id GROUP BY ALL)
+SELECT link_type, created_by, CAST(sum(n) AS BIGINT) AS links, CAST(sum(n - 1) AS BIGINT) AS duplicates,
+CAST(sum(CASE WHEN from_id NOT IN (SELECT id FROM l) OR to_id NOT IN (SELECT id FROM l) THEN n ELSE 0 END) AS BIGINT) AS orphaned, CAST(sum(old) AS BIGINT) AS stale_spans, CAST(sum(gone) AS BIGINT) AS stale_hashes FROM g GROUP BY 1, 2""")
 def link_audit(spark, sf_dir):
-    return G.link_audit(table(spark, sf_dir, "links").withColumn("from_id", F.col("to_id") % 50), C.live(table(spark, sf_dir, "docs")))
+    links = table(spark, sf_dir, "links").withColumn("from_id", F.col("to_id") % 50).withColumn("span", F.expr(SPANS))
+    hashes = table(spark, sf_dir, "part").filter("p_partkey < 60").select(F.md5(F.col("p_partkey").cast("string")).alias("chash"))
+    return G.link_audit(links, C.live(table(spark, sf_dir, "docs")), hashes)
 
 
 @query("link_density", """WITH s AS (SELECT id, collection FROM {docs} WHERE id % 20 = 0), e AS (SELECT from_id AS a, to_id AS b FROM {links} UNION SELECT to_id, from_id FROM {links}),

@@ -60,14 +60,19 @@ def catalog_search(spark, sf_dir):
     return C.search(table(spark, sf_dir, "part"), "RING", ["p_name", "p_type"], equals={"p_brand": "Brand#2"}).select("p_partkey", "p_name")
 
 
-@query("catalog_show", "SELECT d.id, coalesce(o.n, 0) AS links_out, coalesce(i.n, 0) AS links_in FROM {docs} d LEFT JOIN (SELECT from_id AS id, count(*) AS n FROM {links} GROUP BY 1) o USING (id) LEFT JOIN (SELECT to_id AS id, count(*) AS n FROM {links} GROUP BY 1) i ON i.id = d.id")
+@query("catalog_show", "SELECT d.id, coalesce(o.n, 0) AS links_out, coalesce(i.n, 0) AS links_in, coalesce(o.l, '') AS out, coalesce(i.l, '') AS into FROM {docs} d LEFT JOIN (SELECT from_id AS id, count(*) AS n, string_agg(to_id || ' ' || link_type, ',' ORDER BY to_id, link_type) AS l FROM {links} GROUP BY 1) o USING (id) LEFT JOIN (SELECT to_id AS id, count(*) AS n, string_agg(from_id || ' ' || link_type, ',' ORDER BY from_id, link_type) AS l FROM {links} GROUP BY 1) i ON i.id = d.id")
 def catalog_show(spark, sf_dir):
-    return C.show(table(spark, sf_dir, "docs"), table(spark, sf_dir, "links")).select("id", "links_out", "links_in")
+    out = C.show(table(spark, sf_dir, "docs"), table(spark, sf_dir, "links"))
+    spelled = lambda c: F.array_join(F.transform(c, lambda x: F.concat(x["id"].cast("string"), F.lit(" "), x["link_type"])), ",").alias(c)
+    return out.select("id", "links_out", "links_in", spelled("out"), spelled("into"))
 
 
-@query("collection_vector_stats", "SELECT collection, count(*) AS chunks, CASE WHEN min(len(embedding)) = max(len(embedding)) THEN CAST(max(len(embedding)) AS INT) END AS dimension FROM {chunks} GROUP BY 1")
+@query("collection_vector_stats", """WITH v AS (SELECT *, TIMESTAMP '2024-01-01' + to_days(CAST(id % 28 AS INT)) AS written FROM {chunks} WHERE id NOT IN (SELECT chunk_id FROM {manifest} m JOIN {docs} d ON d.id = m.doc_id GROUP BY 1 HAVING NOT bool_or(d.deleted_at IS NULL)))
+SELECT collection, count(*) AS chunks, CASE WHEN min(len(embedding)) = max(len(embedding)) THEN CAST(max(len(embedding)) AS INT) END AS dimension, CAST(CAST(max(written) AS DATE) AS VARCHAR) AS last_write FROM v GROUP BY 1""")
 def collection_vector_stats(spark, sf_dir):
-    return C.vector_stats(table(spark, sf_dir, "chunks"))
+    chunks = table(spark, sf_dir, "chunks").withColumn("written_at", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 28).cast("int")))
+    visible = C.visible_chunks(chunks, table(spark, sf_dir, "manifest"), table(spark, sf_dir, "docs"))
+    return C.vector_stats(visible).withColumn("last_write", F.col("last_write").cast("string"))
 
 
 @query("resolve_chash", "SELECT user_id AS chash, event_type AS collection FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_type <> 'view', ts DESC, event_type) AS n FROM events) WHERE n = 1")

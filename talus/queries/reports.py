@@ -224,14 +224,23 @@ def icf(spark, sf_dir):
     return X2.icf(rows).withColumn("icf", F.round("icf", 6))
 
 
-@query("hubs", f"WITH a AS {PROJECTED}, n AS (SELECT count(DISTINCT source_collection) AS n FROM a) SELECT topic_id, count(DISTINCT source_collection) AS df, round(log2(CAST(any_value(n.n) AS DOUBLE) / count(DISTINCT source_collection)), 6) AS icf, count(*) AS chunks FROM a, n GROUP BY 1 HAVING count(DISTINCT source_collection) >= 2")
+@query("hubs", f"WITH a AS {PROJECTED}, n AS (SELECT count(DISTINCT source_collection) AS n FROM a) SELECT topic_id, count(DISTINCT source_collection) AS df, round(log2(CAST(any_value(n.n) AS DOUBLE) / count(DISTINCT source_collection)), 6) AS icf, count(*) AS chunks, round(count(*) * (1 - log2(CAST(any_value(n.n) AS DOUBLE) / count(DISTINCT source_collection))), 6) AS score, CASE WHEN topic_id % 3 = 0 THEN 'class|import' WHEN topic_id % 3 = 1 THEN 'builder' ELSE '' END AS generic FROM a, n GROUP BY 1 HAVING count(DISTINCT source_collection) >= 2 ORDER BY score DESC, topic_id")
 def hubs(spark, sf_dir):
-    return X2.hubs(projected(spark, sf_dir), 2).select("topic_id", "df", F.round("icf", 6).alias("icf"), "chunks")
+    """The worst hubs first, with the generic words of their labels."""
+    topics = centroids(spark, sf_dir).select("topic_id", F.when(F.col("topic_id") % 3 == 0, "Import of Classes").when(F.col("topic_id") % 3 == 1, "query BuilderS").otherwise("storage").alias("label"))
+    found = X2.ordered_hubs(X2.hubs(projected(spark, sf_dir), 2, topics=topics))
+    return found.select("topic_id", "df", F.round("icf", 6).alias("icf"), "chunks", F.round("score", 6).alias("score"), F.array_join("generic", "|").alias("generic"))
 
 
-@query("taxonomy_audit", f"""WITH a AS (SELECT source_collection, round(similarity, 9) AS similarity FROM {PROJECTED}) SELECT source_collection, count(*) AS rows, round(quantile_disc(similarity, 0.1), 6) AS p10, round(quantile_disc(similarity, 0.5), 6) AS p50, round(quantile_disc(similarity, 0.9), 6) AS p90, count(*) FILTER (similarity < 0.5) AS below FROM a GROUP BY 1""")
+@query("top_topics", f"WITH a AS {PROJECTED}, g AS (SELECT source_collection, topic_id, count(*) AS chunks FROM a GROUP BY 1, 2) SELECT source_collection, topic_id, chunks, CAST(rank AS INT) AS rank, CASE WHEN topic_id % 2 = 0 THEN 'junit' ELSE '' END AS generic FROM (SELECT *, row_number() OVER (PARTITION BY source_collection ORDER BY chunks DESC, topic_id) AS rank FROM g) WHERE rank <= 3")
+def top_topics(spark, sf_dir):
+    topics = centroids(spark, sf_dir).select("topic_id", F.when(F.col("topic_id") % 2 == 0, "JUnit runs").alias("label"))
+    return X2.top_topics(projected(spark, sf_dir), "source_collection", topics, 3).withColumn("generic", F.array_join("generic", "|"))
+
+
+@query("taxonomy_audit", f"""WITH a AS (SELECT source_collection, round(similarity, 9) AS similarity FROM {PROJECTED}) SELECT source_collection, count(*) AS rows, round(quantile_disc(similarity, 0.1), 6) AS p10, round(quantile_disc(similarity, 0.5), 6) AS p50, round(quantile_disc(similarity, 0.9), 6) AS p90, count(*) FILTER (similarity < CASE WHEN source_collection LIKE 'c1%' THEN 0.7 WHEN source_collection LIKE 'c%' THEN 0.5 ELSE 0.6 END) AS below FROM a GROUP BY 1""")
 def taxonomy_audit(spark, sf_dir):
-    out = X2.audit(projected(spark, sf_dir).withColumn("similarity", F.round("similarity", 9)), "source_collection", 0.5)
+    out = X2.audit(projected(spark, sf_dir).withColumn("similarity", F.round("similarity", 9)), "source_collection", X2.least_similarity(F.col("source_collection"), {"c": 0.5, "c1": 0.7}, 0.6))
     return out.select("source_collection", "rows", *(F.round(p, 6).alias(p) for p in ("p10", "p50", "p90")), "below")
 
 
