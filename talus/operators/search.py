@@ -6,7 +6,6 @@ import math
 import re
 from collections.abc import Iterator
 from functools import reduce
-from itertools import islice
 from operator import and_
 
 import numpy as np
@@ -14,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from ..functions import text as X
@@ -22,6 +22,8 @@ from . import lineage, tables
 
 #: Queries of one block, as vectors on every executor: 10,000 of 1024 places are 80 MB. More queries go in more blocks.
 BLOCK_QUERIES = 10_000
+#: Chunks of a block that meets blocks of queries.
+BLOCK_CHUNKS = 50_000
 #: Distances that a task holds at once.
 HELD = 1_000_000
 GATE = 0.6
@@ -30,21 +32,6 @@ RRF_K = 60
 FEW_WORDS, PATTERN_WORDS = 1000, 30
 
 
-def query_blocks(queries: DataFrame, key: str, vector: str, most: str | None = None) -> Iterator[tuple[list, np.ndarray, np.ndarray | None]]:
-    """Keys, unit vectors and limits (a column of the queries) of all queries, BLOCK_QUERIES at a time; one empty block if there are none."""
-    rows = queries.select(key, vector, *([F.col(most).cast("double")] if most is not None else []))
-    few = rows.limit(BLOCK_QUERIES + 1).collect()
-    some = iter(few if len(few) <= BLOCK_QUERIES else rows.toLocalIterator())
-    block = list(islice(some, BLOCK_QUERIES))
-    while True:
-        block.sort(key=lambda r: r[0])
-        matrix = np.array([r[1] for r in block], np.float64).reshape(len(block), len(block[0][1]) if block else 0)
-        yield [r[0] for r in block], _units(matrix), np.array([r[2] for r in block], np.float64) if most is not None else None
-        block = list(islice(some, BLOCK_QUERIES))
-        if not block:
-            return
-
-
 def _units(matrix: np.ndarray) -> np.ndarray:
     norms = np.sqrt((matrix**2).sum(axis=1, keepdims=True))
     return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
@@ -53,8 +40,7 @@ def _units(matrix: np.ndarray) -> np.ndarray:
 def distances(queries: DataFrame, chunks: DataFrame, k: int | None, query_key: str = "query_id", key: str = "id", vector: str = "embedding", most: float | str | None = None, skip_self: bool = False) -> DataFrame:
     """(query_id, id, distance): cosine distances of all chunks to all queries, in blocks of both.
 
-    Each block of queries is broadcast and meets all chunks; any number of queries runs, in one pass over the chunks for
-    every BLOCK_QUERIES. With `k`, each batch of chunks keeps its k nearest for each query (ties by id), and with `most` (a
+    Any number of queries runs (_by_blocks). With `k`, each batch of chunks keeps its k nearest for each query (ties by id), and with `most` (a
     number, or a column of the queries) those within a distance, before anything leaves the batch. A vector of zeros is at
     distance 1; vectors of different length are an error.
     """
@@ -74,16 +60,38 @@ def closest_query(queries: DataFrame, chunks: DataFrame, query_key: str = "query
 
 
 def _by_blocks(queries: DataFrame, chunks: DataFrame, query_key: str, key: str, vector: str, most: float | str | None, schema: T.StructType, scored) -> DataFrame:
+    """Rows of `scored(batches of chunks, sorted keys, unit vectors, limits)`: up to BLOCK_QUERIES queries are broadcast and nothing is shuffled.
+
+    More of them and the chunks are dealt into blocks by hash, and each block of the one meets each of the other as one group, so
+    that no query passes the driver and the chunks are read once.
+    """
     # The query keys come back in their own type.
     wide = {"int": np.int32, "smallint": np.int16, "tinyint": np.int8}.get(queries.schema[query_key].dataType.simpleString())
-    rows = chunks.select(key, vector).filter(F.col(vector).isNotNull())
-
-    def of_block(names: list, matrix: np.ndarray, limits: np.ndarray | None) -> DataFrame:
-        limits = np.full(len(names), most, np.float64) if isinstance(most, int | float) else limits
-        shared = chunks.sparkSession.sparkContext.broadcast((np.array(names, wide), matrix, limits))
+    limit = F.col(most).cast("double") if isinstance(most, str) else F.lit(None if most is None else float(most)).cast("double")
+    asked = queries.select(F.col(query_key).alias("q"), F.col(vector).alias("v"), limit.alias("most"))
+    rows = chunks.select(F.col(key).alias(key), F.col(vector).alias(vector)).filter(F.col(vector).isNotNull())
+    few = asked.limit(BLOCK_QUERIES + 1).collect()
+    bounded = most is not None
+
+    def block(names: list, vectors: list, limits: list) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+        order = sorted(range(len(names)), key=names.__getitem__)
+        matrix = np.array([vectors[i] for i in order], np.float64).reshape(len(order), len(vectors[0]) if vectors else 0)
+        return np.array([names[i] for i in order], wide), _units(matrix), np.array([limits[i] for i in order], np.float64) if bounded else None
+
+    if len(few) <= BLOCK_QUERIES:
+        shared = chunks.sparkSession.sparkContext.broadcast(block(*([r[i] for r in few] for i in range(3))))
         return rows.mapInArrow(lambda batches: scored(batches, *shared.value), schema)
+    across, down = -(-asked.count() // BLOCK_QUERIES), -(-rows.count() // BLOCK_CHUNKS) or 1
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = rows.withColumn("__y", F.pmod(F.xxhash64(key), F.lit(down)).cast("int")).withColumn("__x", every(across))
+    right = asked.withColumn("__x", F.pmod(F.xxhash64("q"), F.lit(across)).cast("int")).withColumn("__y", every(down))
+    empty = {f.name: [] for f in schema.fields}
+
+    def meet(here: pa.Table, there: pa.Table) -> pa.Table:
+        found = list(scored(here.select([0, 1]).combine_chunks().to_batches(), *block(*(there[c].to_pylist() for c in ("q", "v", "most"))))) if here.num_rows and there.num_rows else []
+        return pa.Table.from_batches(found) if found else pa.table(empty).cast(to_arrow_schema(schema))
 
-    return reduce(DataFrame.unionByName, (of_block(*block) for block in query_blocks(queries, query_key, vector, most if isinstance(most, str) else None)))
+    return left.groupBy("__x", "__y").cogroup(right.groupBy("__x", "__y")).applyInArrow(meet, schema)
 
 
 def _vectors(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -246,6 +254,12 @@ def topic_members(topics: DataFrame, assignments: DataFrame, label: str, collect
     return assignments.join(named.select("topic_id"), "topic_id", "left_semi").select("id").distinct()
 
 
+def in_collections(queries: DataFrame, chunks: DataFrame, models: DataFrame, names: list[str], k: int = 10, **options) -> DataFrame:
+    """`nearest` over the chunks of some collections, which one model must have embedded. models: (collection, model, dimension)."""
+    one_model(models.filter(F.col("collection").isin(names)))
+    return nearest(queries, chunks.filter(F.col("collection").isin(names)), k, **options)
+
+
 def one_model(collections: DataFrame) -> None:
     """An error if the collections (collection, model, dimension) of one search were embedded by different models or have vectors of different length."""
     few = collections.select("model", "dimension").distinct().limit(2).collect()

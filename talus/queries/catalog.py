@@ -144,9 +144,9 @@ def _walks(seed_filter: str, direction: str, depth: int, types: list[str] | None
 
 for name, direction, depth, types in (("traverse_out", "out", 3, None), ("traverse_in", "in", 2, None), ("traverse_both", "both", 2, ["cites", "implements"])):
 
-    @query(name, _walks("id % 500 = 5", direction, depth, types))
+    @query(name, _walks("id % 20 = 0", direction, depth, types))
     def traverse(spark, sf_dir, direction=direction, depth=depth, types=types):
-        seeds = table(spark, sf_dir, "docs").filter("id % 500 = 5").select(F.col("id").alias("node"))
+        seeds = table(spark, sf_dir, "docs").filter("id % 20 = 0").select(F.col("id").alias("node"))
         return G.walk(seeds, table(spark, sf_dir, "links"), depth, direction, types)
 
 

@@ -81,9 +81,9 @@ def resolve_chash(spark, sf_dir):
     return C.resolve_chunk(rows, "chash", "view")
 
 
-@query("traverse_purpose", "WITH e AS (SELECT from_id AS s, to_id AS d FROM {links} WHERE link_type IN ('cites', 'implements', 'relates')), a AS (SELECT DISTINCT e.d AS node FROM e WHERE e.s IN (SELECT id FROM {docs} WHERE id % 300 = 7)) SELECT node, CAST(min(hops) AS INT) AS hops FROM (SELECT id AS node, 0 AS hops FROM {docs} WHERE id % 300 = 7 UNION ALL SELECT node, 1 FROM a UNION ALL SELECT e.d, 2 FROM a JOIN e ON e.s = a.node) GROUP BY 1")
+@query("traverse_purpose", "WITH e AS (SELECT from_id AS s, to_id AS d FROM {links} WHERE link_type IN ('cites', 'implements', 'relates')), a AS (SELECT DISTINCT e.d AS node FROM e WHERE e.s IN (SELECT id FROM {docs} WHERE id % 20 = 0)) SELECT node, CAST(min(hops) AS INT) AS hops FROM (SELECT id AS node, 0 AS hops FROM {docs} WHERE id % 20 = 0 UNION ALL SELECT node, 1 FROM a UNION ALL SELECT e.d, 2 FROM a JOIN e ON e.s = a.node) GROUP BY 1")
 def traverse_purpose(spark, sf_dir):
-    seeds = table(spark, sf_dir, "docs").filter("id % 300 = 7").select(F.col("id").alias("node"))
+    seeds = table(spark, sf_dir, "docs").filter("id % 20 = 0").select(F.col("id").alias("node"))
     return G.traverse(seeds, table(spark, sf_dir, "links"), purpose="factual-evidence", depth=2)
 
 

@@ -248,8 +248,8 @@ def vector_index_recall(spark, sf_dir):
 @query("search_multi_collection", KNN % ("id = 3", "c.collection IN ('c0', 'c2')", 30))
 def search_multi_collection(spark, sf_dir):
     chunks = table(spark, sf_dir, "chunks")
-    both = chunks.filter("collection = 'c0'").unionByName(chunks.filter("collection = 'c2'"))
-    return _near(S.nearest(chunks.filter("id = 3"), both, 30, query_key="id"))
+    models = chunks.groupBy("collection").agg(F.lit("m").alias("model"), F.max(F.size("embedding")).alias("dimension"))
+    return _near(S.in_collections(chunks.filter("id = 3"), chunks, models, ["c0", "c2"], 30, query_key="id"))
 
 
 @query("live_nn_probe", KNN.replace("WHERE rank", "WHERE true AND rank") % ("id % 20 = 0", "c.id <> q.id", 1))
@@ -334,7 +334,8 @@ def _scoped(spark, sf_dir, docs):
     chunks = table(spark, sf_dir, "chunks")
     asked = chunks.filter("id = 0").select("embedding").scalar()
     owners = table(spark, sf_dir, "manifest").join(docs.filter("deleted_at IS NULL").select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("document"), F.col("chunk_id").alias("id"))
-    far = chunks.withColumn("__asked", asked).select("id", F.round(V.cosine_distance("embedding", "__asked"), 12).alias("distance"))
+    # Only what is in scope is scored.
+    far = chunks.join(owners.select("id").distinct(), "id", "left_semi").withColumn("__asked", asked).select("id", F.round(V.cosine_distance("embedding", "__asked"), 12).alias("distance"))
     best = S.best_of_document(owners.join(far, "id"), ["document"])
     return S.top(best, 25, ["distance", "document"]).select("document", "id", F.round("distance", 6).alias("distance"))
 

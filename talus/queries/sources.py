@@ -172,10 +172,10 @@ def links_for_file(spark, sf_dir):
     return G.links_for_file(table(spark, sf_dir, "links"), table(spark, sf_dir, "docs"), "Author 7", "author")
 
 
-@query("traverse_chunks", """WITH d AS (SELECT * FROM {docs} WHERE deleted_at IS NULL), e AS (SELECT from_id, to_id FROM {links} WHERE link_type = 'cites'), s AS (SELECT id FROM d WHERE id % 300 = 7),
+@query("traverse_chunks", """WITH d AS (SELECT * FROM {docs} WHERE deleted_at IS NULL), e AS (SELECT from_id, to_id FROM {links} WHERE link_type = 'cites'), s AS (SELECT id FROM d WHERE id % 20 = 0),
 r AS (SELECT id FROM s UNION SELECT e.to_id FROM s JOIN e ON e.from_id = s.id) SELECT DISTINCT d.tumbler, m.chunk_id AS id, d.collection FROM r JOIN d USING (id) LEFT JOIN {manifest} m ON m.doc_id = d.id""")
 def traverse_chunks(spark, sf_dir):
-    seeds = table(spark, sf_dir, "docs").filter("id % 300 = 7").select(F.col("id").alias("node")).union(spark.range(1).select(F.lit(-5).cast("long")))
+    seeds = table(spark, sf_dir, "docs").filter("id % 20 = 0").select(F.col("id").alias("node")).union(spark.range(1).select(F.lit(-5).cast("long")))
     return G.reached(seeds, table(spark, sf_dir, "links"), table(spark, sf_dir, "docs"), table(spark, sf_dir, "manifest"), link_types=["cites"])
 
 

@@ -76,6 +76,11 @@ def test_one_model(spark):
     search.one_model(good)
     with pytest.raises(ValueError, match="different models"):
         search.one_model(good.union(spark.createDataFrame([("c", "n", 3)], good.schema)))
+    chunks = spark.createDataFrame([(1, "a", [1.0, 0.0, 0.0]), (2, "b", [0.0, 1.0, 0.0]), (3, "c", [1.0, 0.0, 0.0])], "id long, collection string, embedding array<double>")
+    every = good.union(spark.createDataFrame([("c", "n", 3)], good.schema))
+    assert values(search.in_collections(chunks.filter("id = 1"), chunks, every, ["a", "b"], 5, query_key="id"), "id") == [(1,), (2,)]
+    with pytest.raises(ValueError):
+        search.in_collections(chunks.filter("id = 1"), chunks, every, ["a", "c"], 5, query_key="id")
 
 
 def test_contradictions_need_less_than_the_limit(spark):
