@@ -69,7 +69,7 @@ def places(ends: np.ndarray, sentences: np.ndarray, size: int = SIZE) -> tuple[n
     inside = np.unique(np.concatenate(full)) if len(full) > 1 else full[0]
     inside = inside[inside < soft[-1]]
     # An end so near before it costs no more than the place inside.
-    inside = inside[inside - soft[np.searchsorted(soft, inside, "right") - 1] > INSIDE - SENTENCE]
+    inside = inside[inside - soft[np.searchsorted(soft, inside, "right") - 1] > min(INSIDE - SENTENCE, size // 8)]
     at = np.append(soft, inside)
     order = np.argsort(at, kind="stable")
     return at[order], np.append(cost, np.full(len(inside), INSIDE))[order]
