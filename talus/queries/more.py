@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -13,6 +15,7 @@ from ..operators import results as R
 from ..operators import search as S
 from ..operators import steps as D
 from ..operators import taxonomy as X2
+from ..streaming import sessions as SE
 from .registry import query, table
 from .retrieval import COS, hits
 
@@ -199,3 +202,17 @@ def rerank_pairs(spark, sf_dir):
 def salient_scored(spark, sf_dir):
     """The three sentences of each document that are most like one of two questions."""
     return RR.salient(table(spark, sf_dir, "documents"), "doc_id", "text", ["released under a license", "the rest of the day"]).select("doc_id", "place", F.round("score", 6).alias("score"), F.sha2("sentence", 256).alias("digest"))
+
+
+@query("session_promotions", """WITH r AS (SELECT CAST(user_id AS VARCHAR) AS session, CASE WHEN event_type = 'error' THEN 'close' ELSE 'put' END AS kind, CASE WHEN event_type <> 'error' THEN event_type END AS key, props AS value, value > 20 AS flagged, ts FROM events),
+o AS (SELECT *, row_number() OVER w AS place, CASE WHEN lag(ts) OVER w IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER w) > 172800000000 OR lag(kind) OVER w = 'close' THEN 1 ELSE 0 END AS fresh FROM r WINDOW w AS (PARTITION BY session ORDER BY ts, kind, key NULLS FIRST, value NULLS FIRST)),
+n AS (SELECT *, sum(fresh) OVER (PARTITION BY session ORDER BY place) AS n FROM o), e AS (SELECT session, n, epoch_us(max(ts)) AS last, bool_or(kind = 'close') AS closed FROM n GROUP BY 1, 2),
+c AS (SELECT session, n, CASE WHEN closed THEN last ELSE last + 172800000000 END AS closed_us, CASE WHEN closed THEN 'closed' ELSE 'idle' END AS reason FROM e WHERE closed OR last + 172800000000 < (SELECT epoch_us(max(ts)) FROM r)),
+p AS (SELECT session, n, key, arg_max(value, place) AS value, arg_max(flagged, place) AS flagged FROM n WHERE kind = 'put' GROUP BY 1, 2, 3)
+SELECT session, CAST(closed_us AS BIGINT) AS closed_us, reason, key, value FROM p JOIN c USING (session, n) WHERE flagged""")
+def session_promotions(spark, sf_dir):
+    """A user's events as scratch entries: errors close a session, and so do two days without an event."""
+    event = F.col("event_type")
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.when(event == "error", "close").otherwise("put").alias("kind"), F.when(event != "error", event).alias("key"), F.col("props").alias("value"), (F.col("value") > 20).alias("flagged"), "ts")
+    out = SE.promoted(rows, dt.timedelta(days=2))
+    return out.select("session", F.unix_micros("closed_at").alias("closed_us"), "reason", "key", "value")
