@@ -31,6 +31,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import cut
+
 #: The role grammar: state, what may be shifted, next state. 0: nothing yet, 1: after s, 2: after u, 3: after a.
 SHIFTS = {0: {"s": 1, "u": 2}, 1: {"u": 2}, 2: {"a": 3}, 3: {"u": 2}}
 ACCEPT = (0, 3)
@@ -180,7 +182,7 @@ def edits(rows: DataFrame) -> DataFrame:
 
 def repair(turns: DataFrame) -> DataFrame:
     """Distinct rows with their edits, and `output`: the rows (role, text) that come of each."""
-    rows = distinct_rows(turns)
+    rows = cut(distinct_rows(turns))  # read twice
     joined = rows.join(edits(rows), "digest")
     letters = F.split(F.concat("edits", "tail"), "")
     kept = F.filter(letters, lambda x: (x != "D") & (x != ""))
