@@ -25,8 +25,8 @@ from .common import ascii_lower, cut, words
 GRAM = 5
 WINDOW = 8
 #: Documents in a range, and the fan of the two levels of quantiles that cut ranges: FAN**2 = 262,144 of them, at 50 billion
-#: documents some 200,000 each. Bounds of the second level take 2 MB, heads of ranges some 20 MB at most.
-RANGE_ROWS, FAN = 250, 512
+#: documents some 200,000 each. Bounds of the second level take 2 MB. Heads of ranges are broadcast up to BROADCAST_ROWS, some 25 MB, else joined.
+RANGE_ROWS, FAN, BROADCAST_ROWS = 250, 512, 300_000
 
 
 def winnow(df: DataFrame, text: str, out: str, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
@@ -88,17 +88,24 @@ def with_next(docs: DataFrame) -> DataFrame:
     parts = ids.withColumn("one", _place("down", first))
     bounds = F.broadcast(cut(parts.groupBy("one").agg(_quantiles("down", fan).alias("bounds"))))  # 2 * fan rows at most
     ranged = parts.join(bounds, "one").groupBy("one", _place("down", F.col("bounds")).alias("two")).agg(F.count("*").alias("n"), (F.min("down") == F.max("down")).alias("single"))
-    splits = F.broadcast(cut(ranged.filter(F.col("single") & (F.col("n") > 2 * RANGE_ROWS)).select("one", "two", F.ceil(F.col("n") / RANGE_ROWS).alias("splits"))))  # no more than ranges
+    splits = cut(ranged.filter(F.col("single") & (F.col("n") > 2 * RANGE_ROWS)).select("one", "two", F.ceil(F.col("n") / RANGE_ROWS).alias("splits")))
+    ranges = fan * fan + (splits.agg(F.sum("splits")).first()[0] or 0)  # at most
+    splits = F.broadcast(splits)  # no more than fan * fan
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), down.alias("down")).withColumn("tie", F.xxhash64("text")).withColumn("one", _place("down", first))
     keyed = keyed.join(bounds, "one").withColumn("two", _place("down", F.col("bounds"))).join(splits, ["one", "two"], "left")
     # The hash as a number from 0 to 2**31 - 1, in the same order, times the splits.
     third = F.shiftright(F.shiftrightunsigned(F.col("tie").bitwiseXOR(F.lit(-(2**63))), 33) * F.coalesce("splits", F.lit(1)), 31)
     keyed = keyed.select("doc_id", "text", "down", "tie", F.struct("one", "two", third.alias("three")).alias("range"))
-    heads = keyed.groupBy("range").agg(F.min(F.struct("down", "tie")).alias("head"))
-    order = Window.orderBy("range")  # a row for each range
-    everything = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    heads = heads.select("head.*", F.coalesce(F.lag("range").over(order), F.max("range").over(everything)).alias("to"))
-    both = keyed.join(F.broadcast(heads), ["down", "tie"], "left")
+    heads = cut(keyed.groupBy("range").agg(F.min(F.struct("down", "tie")).alias("head")))
+    # The range above each one: inside a part by a window, at a part's first range the last one of the part above, at the very first the last of all.
+    lasts = heads.groupBy("range.one").agg(F.max("range").alias("last"))  # fan rows
+    parts_in_order = Window.orderBy("one")
+    everything = parts_in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    above = lasts.select("one", F.coalesce(F.lag("last").over(parts_in_order), F.max("last").over(everything)).alias("above"))
+    inside = Window.partitionBy("range.one").orderBy("range")
+    placed = heads.select("head.*", F.col("range.one").alias("one"), F.lag("range").over(inside).alias("before")).join(F.broadcast(above), "one")
+    heads = placed.select("down", "tie", F.coalesce("before", "above").alias("to"))
+    both = keyed.join(F.broadcast(heads) if ranges <= BROADCAST_ROWS else heads, ["down", "tie"], "left")
     own = F.struct("range", F.lit(False).alias("ahead"))
     places = F.when(F.col("to").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("to").alias("range"), F.lit(True).alias("ahead"))))
     return both.select("doc_id", "down", "tie", "text", F.explode(places).alias("x")).select("doc_id", "down", "tie", "text", "x.range", "x.ahead")

@@ -167,6 +167,8 @@ def test_winnowing(docs, sample, none, monkeypatch, range_rows):
 def test_winnowing_ranges(spark, monkeypatch, range_rows):
     """Sparse ids with outliers, a third of null ids, a third of one id, and repeated rows: right results from ranges that stay small."""
     monkeypatch.setattr(winnowing, "RANGE_ROWS", range_rows)
+    if range_rows == 5:  # heads of ranges by a shuffle
+        monkeypatch.setattr(winnowing, "BROADCAST_ROWS", 10)
     ids = [*range(1, 100), 10**15, -(10**15), -(2**63), 2**63 - 1, *[None] * 100, *[77] * 100]
     rows = [(d, f"text {i} of the row with many words in it {i * 7} and an end {i % 3}") for i, d in enumerate(ids)] + [(77, "again and again the same words in a row here")] * 5
     table = spark.createDataFrame(rows, "doc_id long, text string")
