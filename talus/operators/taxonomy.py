@@ -25,6 +25,46 @@ def assign_nearest(chunks: DataFrame, centroids: DataFrame) -> DataFrame:
     return near.select("id", F.col("query_id").alias("topic_id"), (1 - F.col("distance")).alias("similarity"))
 
 
+def assign_own(chunks: DataFrame, centroids: DataFrame, collection: str = "collection", key: str = "id", vector: str = "embedding") -> DataFrame:
+    """(key, topic_id, collection): the nearest centroid of each chunk's own collection, however far; the smaller topic_id of equal ones.
+
+    Blocks of a collection's chunks meet its centroids. Chunks of collections without centroids, and those without a vector, get none.
+    """
+    points = density.points(chunks, collection, key, vector)
+    there = centroids.select(F.col(collection).alias("by"), F.col("topic_id"), F.col(vector).alias("c"))
+    cells = points.select(*(F.col(c).alias(c) for c in ("by", "block"))).distinct()
+    sent = density.join_safe(cells, there, "by")
+    topic = centroids.schema["topic_id"].dataType
+
+    def nearest(rows: pa.Table, own: pa.Table) -> pa.Table:
+        if not rows.num_rows or not own.num_rows:
+            return pa.table([rows["by"].slice(0, 0), rows["id"].slice(0, 0), own["topic_id"].slice(0, 0)], ["by", "id", "topic_id"])
+        own = own.sort_by("topic_id")
+        far = np.round(density.squares(density.matrix_of(rows["v"]), density.matrix_of(own["c"])), 12)
+        return pa.table([rows["by"], rows["id"], own["topic_id"].take(pa.array(far.argmin(axis=1)))], ["by", "id", "topic_id"])
+
+    schema = T.StructType([points.schema["by"], points.schema["id"], T.StructField("topic_id", topic)])
+    met = points.groupBy("by", "block").cogroup(sent.groupBy("by", "block")).applyInArrow(nearest, schema)
+    return met.select(F.col("id").alias(key), "topic_id", F.col("by").alias(collection))
+
+
+def assign_passes(chunks: DataFrame, centroids: DataFrame, existing: DataFrame, least: float, cross: bool = True) -> DataFrame:
+    """(id, topic_id, similarity, assigned_by, source_collection): existing rows, then what two passes add; a pair that is there stays as it is.
+
+    The own pass gives each chunk the nearest topic of its collection, without a similarity (`centroid`), unless it has one of that collection's topics;
+    the cross pass every topic of other collections that is at least `least` alike (`projection`). chunks: (id, collection, embedding), centroids: (topic_id, collection, embedding).
+    """
+    topics = centroids.select("topic_id", F.col("collection").alias("__topic_of"))
+    taken = existing.select("id", "topic_id").join(topics, "topic_id").select("id", F.col("__topic_of").alias("collection")).distinct()
+    own = assign_own(chunks, centroids).join(taken, ["id", "collection"], "left_anti")
+    new = own.select("id", "topic_id", F.lit(None).cast("double").alias("similarity"), F.lit("centroid").alias("assigned_by"), F.col("collection").alias("source_collection"))
+    if cross:
+        near = project(chunks, centroids.select("topic_id", "embedding"), least).join(topics, "topic_id").join(chunks.select("id", F.col("collection").alias("source_collection")), "id")
+        foreign = near.filter(F.col("source_collection") != F.col("__topic_of"))
+        new = new.unionByName(foreign.select("id", "topic_id", "similarity", F.lit("projection").alias("assigned_by"), "source_collection"))
+    return existing.unionByName(new.join(existing.select("id", "topic_id"), ["id", "topic_id"], "left_anti").select(*existing.columns))
+
+
 def project(chunks: DataFrame, centroids: DataFrame, least: float, weights: DataFrame | None = None) -> DataFrame:
     """(id, topic_id, similarity) with similarity (times the topic's weight, if given) of `least` or more; the raw value is kept.
 

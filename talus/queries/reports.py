@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from ..functions import metadata as MD
 from ..functions import scores
 from ..functions import text as X
 from ..operators import aspects as A
@@ -205,6 +206,42 @@ def assign_nearest(spark, sf_dir):
     return X2.assign_nearest(table(spark, sf_dir, "chunks"), centroids(spark, sf_dir)).withColumn("similarity", F.round("similarity", 6))
 
 
+OWNED = f"(SELECT t.topic_id, 'c' || CAST(t.topic_id % 4 AS STRING) AS collection, t.embedding FROM {CENTROIDS} t)"
+
+
+@query("assign_passes", f"""WITH t AS {OWNED}, p AS (SELECT c.id, c.collection AS source, t.topic_id, t.collection AS own, {COS.format(a='c.embedding', b='t.embedding')} AS far FROM {{chunks}} c, t),
+e AS (SELECT id, topic AS topic_id, CAST(0.9 AS DOUBLE) AS similarity, 'manual' AS assigned_by, collection AS source_collection FROM {{chunks}} WHERE id % 3 = 0),
+o AS (SELECT id, topic_id, CAST(NULL AS DOUBLE) AS similarity, 'centroid' AS assigned_by, source AS source_collection FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(far, 12), topic_id) AS n FROM p WHERE source = own) WHERE n = 1 AND id % 3 <> 0),
+x AS (SELECT id, topic_id, 1 - far AS similarity, 'projection' AS assigned_by, source AS source_collection FROM p WHERE source <> own AND 1 - far >= 0.1)
+SELECT id, topic_id, round(similarity, 6) AS similarity, assigned_by, source_collection FROM (SELECT * FROM e UNION ALL SELECT * FROM (SELECT * FROM o UNION ALL SELECT * FROM x) WHERE (id, topic_id) NOT IN (SELECT (id, topic_id) FROM e))""")
+def assign_passes(spark, sf_dir):
+    """Own topics for chunks without one, topics of other collections, and what a hand has assigned first."""
+    chunks = table(spark, sf_dir, "chunks")
+    owned = centroids(spark, sf_dir).withColumn("collection", F.concat(F.lit("c"), (F.col("topic_id") % 4).cast("string")))
+    manual = chunks.filter("id % 3 = 0").select("id", F.col("topic").alias("topic_id"), F.lit(0.9).alias("similarity"), F.lit("manual").alias("assigned_by"), F.col("collection").alias("source_collection"))
+    return X2.assign_passes(chunks, owned, manual, 0.1).withColumn("similarity", F.round("similarity", 6))
+
+
+META = (
+    "CASE WHEN o_orderkey % 3 = 0 THEN 'x' END AS title", "CASE WHEN o_orderkey % 4 = 0 THEN '0' WHEN o_orderkey % 4 = 1 THEN '1999' END AS bib_year", "CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE NULL END AS bib_venue",
+    "CASE WHEN o_orderkey % 2 = 0 THEN 'file' ELSE 'web' END AS extraction_source", "'cargo' AS git_branch",
+)
+
+
+@query("metadata_normalized", f"""WITH m AS (SELECT o_orderkey AS id, {', '.join(META)} FROM orders), e AS (SELECT id, unnest([
+  CASE WHEN title IS NOT NULL THEN 'title=' || title END, CASE WHEN coalesce(bib_year, '0') <> '0' AND bib_year IS NOT NULL THEN 'bib_year=' || bib_year END,
+  CASE WHEN coalesce(bib_year, '0') <> '0' AND bib_venue IS NOT NULL THEN 'bib_venue=' || bib_venue END, CASE WHEN extraction_source <> 'file' THEN 'extraction_source=' || extraction_source END, 'content_type=pdf']) AS kv FROM m)
+SELECT id, string_agg(kv, ';' ORDER BY kv) AS metadata FROM e WHERE kv IS NOT NULL GROUP BY 1""")
+def metadata_normalized(spark, sf_dir):
+    """Cargo and placeholders leave metadata maps."""
+    keys = ("title", "bib_year", "bib_venue", "extraction_source", "git_branch")
+    rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", *META)
+    given = F.map_filter(F.create_map(*(x for k in keys for x in (F.lit(k), F.col(k)))), lambda k, v: v.isNotNull())
+    out = MD.normalized(given, F.lit("pdf"), ["title", "bib_year", "bib_venue", "extraction_source"], ["bib_year", "bib_venue"], {"extraction_source": ("", "file")})
+    pairs = F.array_sort(F.transform(F.map_entries(out), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    return rows.select("id", F.array_join(pairs, ";").alias("metadata"))
+
+
 PROJECTED = f"(SELECT c.id, c.collection AS source_collection, t.topic_id, 1 - ({COS.format(a='c.embedding', b='t.embedding')}) AS similarity FROM {{chunks}} c, {CENTROIDS} t WHERE 1 - ({COS.format(a='c.embedding', b='t.embedding')}) >= 0.3)"
 
 
