@@ -147,6 +147,53 @@ def check_template(template: dict) -> None:
             raise ValueError("traverse takes link_types or purpose")
 
 
+#: Dimensions that a template may have by default.
+DIMENSIONS = ("verb", "scope", "domain", "strategy", "object", "topic")
+STEP = "array<struct<tool:string,args:map<string,string>>>"
+
+
+def dimension_key(dimensions: Column) -> Column:
+    """`identity` of a map column: its entries lower-cased, in the order of their keys."""
+    pairs = F.transform(F.map_entries(dimensions), lambda e: F.struct(F.lower(e["key"]).alias("k"), F.lower(e["value"]).alias("v")))
+    return F.to_json(F.map_from_entries(F.array_sort(pairs)))
+
+
+def template_faults(templates: DataFrame, known: tuple[str, ...] = DIMENSIONS, strict: bool = False) -> DataFrame:
+    """Templates (id, description, dimensions map, steps STEP) with `faults`, sorted, and `warnings`: dimensions that aren't known, which `strict` makes faults.
+
+    A template needs a description, the dimensions verb and scope, and steps, each with a tool; a walk (`traverse`) names its links in
+    exactly one way, `link_types` or `purpose`. Of templates with the same dimensions, whatever their case, all but the one with the smallest id are `duplicate`.
+    """
+    dimensions = F.coalesce("dimensions", F.create_map().cast("map<string,string>"))
+    lower = F.transform_keys(dimensions, lambda k, v: F.lower(k))
+    steps = F.coalesce("steps", F.array().cast(STEP))
+    ways = lambda s: F.size(F.array_intersect(F.map_keys(F.coalesce(s["args"], F.create_map().cast("map<string,string>"))), F.array(F.lit("link_types"), F.lit("purpose"))))
+    lacks = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    unknown = F.array_sort(F.transform(F.filter(F.map_keys(lower), lambda k: ~k.isin(*known)), lambda k: F.concat(F.lit("unknown dimension "), k)))
+    first = F.min("id").over(Window.partitionBy(dimension_key(dimensions)))
+    faults = F.array(
+        F.when(lacks(F.col("description")), "no description"), F.when(lacks(lower["verb"]), "no verb"), F.when(lacks(lower["scope"]), "no scope"), F.when(F.size(steps) == 0, "no steps"),
+        F.when(F.exists(steps, lambda s: lacks(s["tool"])), "step without tool"), F.when(F.exists(steps, lambda s: (s["tool"] == "traverse") & (ways(s) != 1)), "traverse takes link_types or purpose"),
+        F.when(F.col("id") != first, "duplicate"),
+    )
+    found = F.array_compact(faults)
+    return templates.withColumn("faults", F.array_sort(F.concat(found, unknown) if strict else found)).withColumn("warnings", unknown)
+
+
+def save(plans: DataFrame, templates: DataFrame, known: tuple[str, ...] = DIMENSIONS, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The plans with the templates that may be saved, and the others with their faults; dimensions that a plan has already are a `duplicate`.
+
+    Saved templates have the plans' columns that they lack as nulls.
+    """
+    judged = template_faults(templates, known, strict)
+    taken = plans.select(dimension_key(F.col("dimensions")).alias("__key"), F.lit(True).alias("__taken")).distinct()
+    met = judged.withColumn("__key", dimension_key(F.coalesce("dimensions", F.create_map().cast("map<string,string>")))).join(taken, "__key", "left")
+    faults = F.when(F.col("__taken"), F.array_sort(F.array_union("faults", F.array(F.lit("duplicate"))))).otherwise(F.col("faults"))
+    met = met.withColumn("faults", faults).drop("__key", "__taken")
+    good = met.filter(F.size("faults") == 0).drop("faults", "warnings")
+    return plans.unionByName(good, allowMissingColumns=True), met.filter(F.size("faults") > 0)
+
+
 def routed(steps: DataFrame) -> DataFrame:
     """Steps (tool, domain, topic, mode, corpus, collection, threshold) with the corpus, topic and threshold that their scope and mode ask for.
 

@@ -429,6 +429,20 @@ def choose_within_band(spark, sf_dir):
     return P.choose(matched(spark, sf_dir), costs)
 
 
+@query("plan_templates", """WITH t AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 <> 0 THEN 'text' END AS description, CASE WHEN o_orderkey % 5 <> 0 THEN lower(o_orderpriority) END AS verb, o_orderstatus || CAST(o_custkey % 400 AS VARCHAR) AS scope, o_orderkey % 11 = 0 AS walks, o_orderkey % 22 = 0 AS two, o_orderkey % 13 = 0 AS more FROM orders),
+k AS (SELECT *, coalesce(verb, '') || '|' || lower(scope) || '|' || more AS key FROM t), f AS (SELECT *, min(id) OVER (PARTITION BY key) AS first FROM k)
+SELECT id, array_to_string(list_sort(list_filter([CASE WHEN description IS NULL THEN 'no description' END, CASE WHEN verb IS NULL THEN 'no verb' END, CASE WHEN walks AND two THEN 'traverse takes link_types or purpose' END, CASE WHEN id <> first THEN 'duplicate' END], lambda x: x IS NOT NULL)), ', ') AS faults, CASE WHEN more THEN 'unknown dimension mood' ELSE '' END AS warnings FROM f""")
+def plan_templates(spark, sf_dir):
+    """Templates from orders: what keeps each from being saved."""
+    key = F.col("o_orderkey")
+    entry = lambda name, value: F.struct(F.lit(name).alias("key"), value.alias("value"))
+    entries = F.filter(F.array(entry("Verb", F.when(key % 5 != 0, F.col("o_orderpriority"))), entry("scope", F.concat("o_orderstatus", (F.col("o_custkey") % 400).cast("string"))), entry("mood", F.when(key % 13 == 0, "calm"))), lambda e: e["value"].isNotNull())
+    args = F.when(key % 22 == 0, F.create_map(F.lit("link_types"), F.lit("cites"), F.lit("purpose"), F.lit("p"))).otherwise(F.create_map(F.lit("purpose"), F.lit("p")))
+    steps = F.array(F.struct(F.when(key % 11 == 0, "traverse").otherwise("search").alias("tool"), args.alias("args")))
+    rows = table(spark, sf_dir, "orders").select(key.alias("id"), F.when(key % 7 != 0, "text").alias("description"), F.map_from_entries(entries).alias("dimensions"), steps.alias("steps"))
+    return P.template_faults(rows).select("id", F.array_join("faults", ", ").alias("faults"), F.array_join("warnings", ", ").alias("warnings"))
+
+
 @query("plan_cost", "SELECT p.p_partkey AS id, CASE WHEN h.n >= 30 THEN h.m WHEN p.p_partkey % 3 = 0 THEN NULL ELSE p.p_retailprice END AS cost FROM part p LEFT JOIN (SELECT l_partkey, count(l_quantity) AS n, median(l_quantity) AS m FROM lineitem GROUP BY 1) h ON h.l_partkey = p.p_partkey")
 def plan_cost(spark, sf_dir):
     history = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("id"), F.col("l_quantity").alias("cost_usd"))
