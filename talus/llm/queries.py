@@ -51,8 +51,7 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path(PIECES)
-    return digests(sentencepiece_bpe.decode(sentencepiece_bpe.encode(documents(spark, sf_dir), path), path))
+    return digests(sentencepiece_bpe.encode_and_decode(documents(spark, sf_dir), public_tokenizers.path(PIECES)))
 
 
 def digests(decoded: DataFrame) -> DataFrame:

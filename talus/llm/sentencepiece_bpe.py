@@ -277,20 +277,38 @@ def _portions(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
 PORTION = 300_000
 
 
+def _encoded(own: Model, batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, pa.ListArray]]:
+    """doc_ids and lists of ids, a portion of the batch at a time."""
+    texts = batch.column("text")
+    for lo, hi in _portions(pc.binary_length(texts).fill_null(0).to_pylist(), PORTION):
+        ids, counts = own.encode(texts.slice(lo, hi - lo).to_pylist())
+        yield batch.column("doc_id").slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(ids))
+
+
+def _decoded(own: Model, doc_ids: pa.Array, lists: pa.ListArray) -> Iterator[pa.RecordBatch]:
+    """(doc_id, ids, text), a portion of the lists at a time."""
+    counts = np.asarray(pc.list_value_length(lists).fill_null(0), np.int64)
+    for lo, hi in _portions(counts.tolist(), PORTION):
+        part = lists.slice(lo, hi - lo)
+        texts = own.decode(part.flatten().to_numpy(zero_copy_only=False).astype(np.int64), counts[lo:hi])
+        yield pa.RecordBatch.from_arrays([doc_ids.slice(lo, hi - lo), part, pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids array<int>) of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model(path)
         for batch in batches:
-            texts = batch.column("text")
-            for lo, hi in _portions(pc.binary_length(texts).fill_null(0).to_pylist(), PORTION):
-                ids, counts = own.encode(texts.slice(lo, hi - lo).to_pylist())
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), lists], ["doc_id", "ids"])
+            for doc_ids, lists in _encoded(own, batch):
+                yield pa.RecordBatch.from_arrays([doc_ids, lists], ["doc_id", "ids"])
         own.forget()  # the worker may wait for other tasks for long
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return _texts(docs).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -299,11 +317,19 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model(path)
         for batch in batches:
-            lists = batch.column("ids")
-            counts = np.asarray(pc.list_value_length(lists).fill_null(0), np.int64)
-            for lo, hi in _portions(counts.tolist(), PORTION):
-                part = lists.slice(lo, hi - lo)
-                texts = own.decode(part.flatten().to_numpy(zero_copy_only=False).astype(np.int64), counts[lo:hi])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), part, pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
+            yield from _decoded(own, batch.column("doc_id"), batch.column("ids"))
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")
+
+
+def encode_and_decode(docs: DataFrame, path: str) -> DataFrame:
+    """What `decode` gives of `encode`'s result, (doc_id, ids, text), by one Python worker a task instead of two with a model each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = model(path)
+        for batch in batches:
+            for doc_ids, lists in _encoded(own, batch):
+                yield from _decoded(own, doc_ids, lists)
+        own.forget()
+
+    return _texts(docs).mapInArrow(run, "doc_id long, ids array<int>, text string")

@@ -6,8 +6,9 @@ import public_tokenizers
 import sentencepiece
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from talus.llm import sentencepiece_bpe, token_counts
-from talus.llm.queries import BYTE_PAIRS, PIECES, digests
+from talus.llm.queries import BYTE_PAIRS, PIECES, digests, op7_sentencepiece
 
 ALPHABET = ["a", "b", "the", "ing", " ", "  ", "▁", "\n", "\t", "\x1c", "\x85", "é", "中", "😀", "\x00", "<s>", "</s>", "<|endoftext|>", "<|endof", "'s", "it's", "0", "1", "!!", "aaaa", "<0x0A>", "ab" * 40, " " * 20, "x" * 100, "​", "　", "ß", "of", "th", "he"]
 
@@ -42,6 +43,17 @@ def test_sentencepiece_documents(docs, sample, none):
     assert sentencepiece_bpe.decode(sentencepiece_bpe.encode(none, path), path).count() == 0
 
 
+def test_sentencepiece_needs_one_worker_a_task(spark, docs, sample, none, sf):
+    """Two Python workers a task, each with a model, took an executor beyond its memory."""
+    for df in (op7_sentencepiece(spark, sf), corpus_pipeline.encode_pieces(spark, docs, sf)):
+        assert df._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    path = public_tokenizers.path(PIECES)
+    for table in (docs, sample, none):
+        apart, together = sentencepiece_bpe.decode(sentencepiece_bpe.encode(table, path), path), sentencepiece_bpe.encode_and_decode(table, path)
+        assert together.schema == apart.schema
+        assert sorted(map(repr, together.collect())) == sorted(map(repr, apart.collect()))
+
+
 def test_counts_match_library(docs, sample, none):
     path = public_tokenizers.path(BYTE_PAIRS)
     library = Tokenizer.from_file(path)
