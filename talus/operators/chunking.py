@@ -32,38 +32,48 @@ def split_line(line: str, most: int) -> list[str]:
     return [*out, line] if line or not out else out
 
 
-def windows_of(text: str, lines: int, overlap: float, most: int) -> Iterator[tuple[int, int, str]]:
+def windows_of(text: str, lines: int, overlap: float, most: int | None, between: str | None = None) -> Iterator[tuple[int, int, str]]:
     """(first line, last line, text) of the windows of a text, lines from 1; long lines are cut into several before they count.
 
-    Lines end at any line end, a last one makes no line of its own, and an empty text has no windows.
+    Lines end at any line end, a last one makes no line of its own, and an empty text has no windows. With `between`, lines are
+    what stands between these characters, empty ones too. Without `most`, lines and windows are whole however long they are.
     """
-    rows = [piece for line in text.splitlines() for piece in (split_line(line, most) if len(line.encode()) > most else [line])]
-    # Bytes up to each line's end, with line feeds.
-    ends = list(accumulate(len(row.encode()) + 1 for row in rows))
+    rows = text.splitlines() if between is None else text.split(between)
+    if most is not None:
+        rows = [piece for line in rows for piece in (split_line(line, most) if len(line.encode()) > most else [line])]
+        # Bytes up to each line's end, with line feeds.
+        ends = list(accumulate(len(row.encode()) + 1 for row in rows))
     start = 0
     while rows:
-        before = ends[start - 1] if start else 0
-        end = min(start + lines, len(rows), max(start + 1, bisect_right(ends, before + most + 1, start)))
-        yield start + 1, end, "\n".join(rows[start:end]).encode()[:most].decode("utf-8", "ignore")
+        end = min(start + lines, len(rows))
+        if most is None:
+            yield start + 1, end, "\n".join(rows[start:end])
+        else:
+            before = ends[start - 1] if start else 0
+            end = min(end, max(start + 1, bisect_right(ends, before + most + 1, start)))
+            yield start + 1, end, "\n".join(rows[start:end]).encode()[:most].decode("utf-8", "ignore")
         if end == len(rows):
             return
         start += max(1, int((end - start) * (1 - overlap)))
 
 
-def line_windows(docs: DataFrame, key: str, text: str, lines: int = LINES, overlap: float = OVERLAP, most: int = MOST_BYTES) -> DataFrame:
+def line_windows(docs: DataFrame, key: str, text: str, lines: int = LINES, overlap: float = OVERLAP, most: int | None = MOST_BYTES, between: str | None = None) -> DataFrame:
     """(key, chunk_index, line_start, line_end, text): windows of at most `lines` lines and `most` bytes, each beginning a little before
-    the last one ended. A line of more bytes is cut first; a window of one line that is still too long loses its end."""
+    the last one ended. A line of more bytes is cut first; a window of one line that is still too long loses its end.
+
+    `most` None is no limit of bytes. With `between`, lines are what stands between these characters, and only a null text has no windows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, body in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                for at, cuts in enumerate(batched(windows_of(body, lines, overlap, most), 1000)):
+                for at, cuts in enumerate(batched(windows_of(body, lines, overlap, most, between), 1000)):
                     first, last, parts = zip(*cuts, strict=True)
                     index = [at * 1000 + i for i in range(len(cuts))]
                     yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(cuts), name.type), *(pa.array(x, pa.int64()) for x in (index, first, last)), pa.array(parts, pa.string())], [key, "chunk_index", "line_start", "line_end", "text"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, F.coalesce(text, F.lit("")).alias(text)).mapInArrow(run, f"{key} {kind}, chunk_index long, line_start long, line_end long, text string")
+    return docs.filter(F.col(text).isNotNull()).select(key, text).mapInArrow(run, f"{key} {kind}, chunk_index long, line_start long, line_end long, text string")
 
 
 def byte_pieces(text: Column, most: int = MOST_BYTES) -> Column:

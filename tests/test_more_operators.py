@@ -1,6 +1,7 @@
 """More fixtures with known outcomes, and operators without SQL against brute force."""
 
 import datetime as dt
+import hashlib
 import itertools
 import json
 import random
@@ -9,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from talus.functions import references, text, tumblers
 from talus.operators import aspects, catalog, chunking, fulltext, graph, lineage, notes, predicates, ranking, results, search, tables, taxonomy
 from talus.plans import library
@@ -210,6 +212,20 @@ def test_line_windows_keep_to_bytes(spark):
     assert chunking.split_line("ab" * 20 + ";" + "c" * 30, 45)[0] == "ab" * 20 + ";" and chunking.split_line("z" * 100, 40) == ["z" * 40, "z" * 40, "z" * 20]
 
 
+def test_line_windows_without_a_limit_of_bytes(spark, tmp_path):
+    long = "é;" * 40_000
+    bodies = ["><".join(["x", long, "", "a\rb\u2028c"] * 10 + [""]), "", None, "one\nline", "><".join(map(str, range(37)))]
+    df = spark.createDataFrame([*enumerate(bodies)], "page_id long, html string")
+    df.write.parquet(f"{tmp_path}/pages.parquet")
+    want = []
+    for i, body in enumerate(bodies):
+        if body is not None:
+            lines = body.replace("\n", " ").split("><")
+            starts = [s for s in range(0, len(lines), 17) if s == 0 or s + 3 < len(lines)]
+            want += [(i, n, s + 1, min(s + 20, len(lines)), hashlib.sha256("\n".join(lines[s : s + 20]).encode()).hexdigest()) for n, s in enumerate(starts)]
+    assert sorted(tuple(r) for r in __spark_entry__.queries()["line_windows"](spark, str(tmp_path)).collect()) == want
+
+
 def test_header_paths(spark):
     df = spark.createDataFrame([(1, "intro\n# A\n## B\nx\n### C\n## D\n# E\ntail"), (2, "no header"), (3, "# A\n```sh\n# not a header\n```\n~~~~\n# nor this\n~~~\n## nor\n~~~~\n## B #\nTitle\n=====\n"), (4, "  \n"), (5, None)], "id int, t string")
     got = [(r.header, r.path) for r in chunking.sections(df, "id", "t").orderBy("id", "section_index").collect()]
