@@ -296,7 +296,7 @@ def text_gate(spark, sf_dir):
 def notes_index(spark, sf_dir):
     """The stored text index of the notes, built when the documents have changed."""
     build = lambda folder: TI.build(table(spark, sf_dir, "notes"), folder, "id", {"content": "B"}, {"project": "A", "tags": "C"}, ["content"])
-    return TI.TextIndex(lineage.stored(spark, "text-index-3", f"{sf_dir}/documents.parquet", build))
+    return TI.TextIndex(lineage.stored(spark, "text-index-4", f"{sf_dir}/documents.parquet", build))
 
 
 @query("text_index_gate", f"WITH {GATE} SELECT id FROM m")

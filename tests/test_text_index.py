@@ -52,6 +52,18 @@ def test_phrases(spark, notes, index):
         assert {r.id: r.times for r in text_index.phrase(spark, index, query).collect()} == {i: n for i, n in times.items() if n}
 
 
+def test_shards_are_bounded_by_words(spark, notes, monkeypatch, tmp_path):
+    """No list is grouped over all documents, and many small shards give the same."""
+    monkeypatch.setattr(text_index, "SHARD_WORDS", 60)
+    short = notes.filter("id <> 9002")  # the note of 5000 words
+    small = text_index.build(short, str(tmp_path / "index"), "id", {"content": "B"}, {"project": "A", "tags": "C"}, ["content"])
+    most = small.postings(spark, text_index.STEM).selectExpr("max(n)", "max(size(positions))", "count(distinct shard)").first()
+    assert most[0] < 60 and most[1] <= 60 and most[2] > 10
+    assert scores(text_index.top(spark, small, "en SRC1", 7)) == sorted(sorted(scores(fulltext.matches(short, "en SRC1", {"content": "B"}, {"project": "A", "tags": "C"})), key=lambda r: (-r[1], r[0]))[:7])
+    plan = text_index.postings(short, "id", [(text_index.STEM, "content", "B")])._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan
+
+
 def test_only_asked_postings_are_read(spark, index):
     plan = text_index._read(spark, index, text_index.STEM, ["licens"])._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(kind" in plan and "In(term, [licens])" in plan.replace("EqualTo(term,licens)", "In(term, [licens])")
