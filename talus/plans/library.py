@@ -90,12 +90,22 @@ def match_text(asked: DataFrame, plans: DataFrame, scope: str | None = None, k:
     or tags hold all content words of the asked one; more of the plan's words asked for first, then the smaller id."""
     body = F.concat_ws(" ", "query", "description", "tags")
     words = candidates(plans, dimensions, scope).select("id", X.content_words(body, 1).alias("have"))
-    wanted = asked.select("query_id", X.content_words(F.col("text"), 1).alias("want")).filter(F.size("want") > 0)
-    met = wanted.select("query_id", "want", F.explode("want").alias("w")).join(words.select("id", "have", F.explode("have").alias("w")), "w")
-    full = met.groupBy("query_id", "id").agg(F.count("*").alias("n"), F.first(F.size("want")).alias("of"), F.first(F.size("have")).alias("size")).filter("n = of")
-    order = Window.partitionBy("query_id").orderBy("size", "id")
+    wanted = asked.select("query_id", F.array_sort(X.content_words(F.col("text"), 1)).alias("want")).filter(F.size("want") > 0)
+    # Questions of the same words, and plans of the same words, are one class each. A class of plans needs its k smallest ids only.
+    classes = lineage.cut(words.select("id", F.array_sort("have").alias("have")).withColumn("nth", F.row_number().over(Window.partitionBy("have").orderBy("id"))).filter(F.col("nth") <= k).drop("nth"))
+    sets = classes.groupBy("have").agg(F.min("id").alias("set"))
+    each = sets.select("set", F.size("have").alias("size"), F.explode("have").alias("w"))
+    counts = each.groupBy("w").agg(F.count("*").alias("df"))
+    wants = lineage.cut(wanted.select("want").distinct())
+    # A fitting plan has the rarest of the words too, so a common word brings nothing together but where all words are common.
+    asks = wants.select("want", F.explode("want").alias("w")).join(counts, "w", "left")
+    rare = asks.groupBy("want").agg(F.min_by("w", F.struct(F.coalesce("df", F.lit(0)).alias("df"), "w")).alias("w"))
+    full = rare.join(each, "w").join(sets.select("set", "have"), "set").filter(F.size(F.array_except("want", "have")) == 0).select("want", "set", "size")
+    best = full.join(classes.join(sets, "have").select("set", "id"), "set")
+    order = Window.partitionBy("want").orderBy("size", "id")
+    first = best.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= k).select("want", "id", "rank")
     nothing = F.lit(None).cast("double")
-    return full.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= k).select("query_id", "id", nothing.alias("confidence"), nothing.alias("score"), "rank")
+    return wanted.join(first, "want").select("query_id", "id", nothing.alias("confidence"), nothing.alias("score"), "rank")
 
 
 def match_or_text(asked: DataFrame, plans: DataFrame, scope: str | None = None, k: int = 5, dimensions: dict[str, str] | None = None) -> DataFrame:

@@ -196,6 +196,16 @@ def windows_by_hand(body, lines, overlap, most):
         start += max(1, int((end - start) * (1 - overlap)))
 
 
+def test_questions_and_plans_of_the_same_words_make_no_product(spark):
+    """All pairs would be a thousand million rows."""
+    plans = spark.range(100_000).selectExpr("id", "'find parts' AS query", "IF(id < 3, 'of late orders', 'of orders') AS description", "'' AS tags", "'' AS scope_tags", "false AS grown", "'p' AS project", "map('verb', 'query') AS dimensions", "0 AS failures", "0 AS successes")
+    asked = spark.range(5000).selectExpr("id AS query_id", "IF(id % 2 = 0, 'parts orders', 'orders late the find') AS text")
+    got = library.match_text(asked, plans, k=4).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "id"))).alias("r"))
+    want = {0: [3, 4, 5, 6], 1: [0, 1, 2]}
+    rows = got.collect()
+    assert len(rows) == 5000 and all([tuple(x) for x in r.r] == [*enumerate(want[r.query_id % 2], 1)] for r in rows)
+
+
 def test_line_windows_keep_to_bytes(spark):
     rnd = random.Random(6)
     bodies = ["\n".join("x" * rnd.randint(0, 60) for _ in range(rnd.randint(1, 80))) for _ in range(20)] + ["", "a b " * 13_000, "y" * 50_000, "p;" * 10_000, "é" * 30]
