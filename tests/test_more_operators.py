@@ -196,6 +196,27 @@ def windows_by_hand(body, lines, overlap, most):
         start += max(1, int((end - start) * (1 - overlap)))
 
 
+@pytest.mark.parametrize("least", [0.5, 0.7])
+def test_overlaps_by_several_first_words_equal_brute_force(spark, least):
+    """All pairs that are alike, though sets that share too few of their first words are not compared; nothing is shuffled to find these."""
+    rnd = random.Random(4)
+    base = [rnd.sample(range(60), rnd.randint(1, 25)) for _ in range(40)]
+    sets = base + [[w if rnd.random() > 0.2 else rnd.randrange(60) for w in rnd.choice(base)] for _ in range(80)]
+    rows = [(i, rnd.choice(["p", None]), " ".join(f"w{x:03}" for x in s)) for i, s in enumerate(sets)]
+    df = spark.createDataFrame(rows, "id long, project string, content string")
+    share = lambda x, y: len(set(x) & set(y)) / len(set(x) | set(y))
+    got = {(r.a, r.b): r.similarity for r in notes.overlapping(df, "id", "content", least, "project").collect()}
+    first = {}
+    for i, project, text in rows:
+        first.setdefault((project, *sorted(set(text.split()))), i)
+    own = {i: first[(project, *sorted(set(text.split())))] for i, project, text in rows}
+    pairs = {(x[0], y[0]): share(x[2].split(), y[2].split()) for x in rows for y in rows if x[0] < y[0] and x[1] == y[1]}
+    want = {k: v for k, v in pairs.items() if v >= least and (own[k[0]] == k[0] and own[k[1]] in k)}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+    reps = spark.createDataFrame([(i, [*range(i, i + 30)]) for i in range(50)], "rep long, words array<long>")
+    assert "Exchange" not in notes._rarest_first(reps, least)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_questions_and_plans_of_the_same_words_make_no_product(spark):
     """All pairs would be a thousand million rows."""
     plans = spark.range(100_000).selectExpr("id", "'find parts' AS query", "IF(id < 3, 'of late orders', 'of orders') AS description", "'' AS tags", "'' AS scope_tags", "false AS grown", "'p' AS project", "map('verb', 'query') AS dimensions", "0 AS failures", "0 AS successes")
